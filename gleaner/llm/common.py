@@ -78,3 +78,10 @@ def check_columns(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"columns are missing: {', '.join(missing)}")
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """df with a broadcast hint where it has at most so many (narrow) rows; else as it is, for a shuffled join."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
