@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows that Spark hands to a Python worker at once; texts may be long.
 ARROW_ROWS = 1000
 
+_shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -55,8 +59,23 @@ def _clean() -> None:
             return
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the package's source to the Python workers of this application, once."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    root = Path(__file__).resolve().parent.parent
+    held = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
+    with zipfile.ZipFile(held, "w") as out:
+        for p in sorted(root.rglob("*.py")):
+            out.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(held))
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's rows per Arrow batch to ARROW_ROWS, if they are more."""
+    """Before Python stages: the package goes to the workers, and Arrow batches get ARROW_ROWS rows at most."""
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
