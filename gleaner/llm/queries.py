@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleaner.llm import line_quality, packing, positional_index, simhash
+from gleaner.llm import line_quality, packing, positional_index, simhash, warc
 from gleaner.llm.common import table
 
 
@@ -16,6 +17,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return found.select(F.when(F.col("record_id") >= 0, F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -33,7 +39,7 @@ def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_packing, op4_simhash, op7_decontaminate, op9_line_quality]
+    found = [op2_warc, op3_packing, op4_simhash, op7_decontaminate, op9_line_quality]
     return {f.__name__: f for f in found}
 
 
