@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import line_quality, packing, positional_index, simhash, warc
+from gleaner.llm import class_lm, line_quality, packing, positional_index, simhash, warc
 from gleaner.llm.common import table
 
 
@@ -38,8 +38,12 @@ def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.train_and_score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_warc, op3_packing, op4_simhash, op7_decontaminate, op9_line_quality]
+    found = [op2_warc, op3_packing, op4_simhash, op7_decontaminate, op9_line_quality, op10_class_lm]
     return {f.__name__: f for f in found}
 
 
