@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import class_lm, line_quality, packing, positional_index, simhash, warc
+from gleaner.llm import class_lm, line_quality, nbsvm, packing, positional_index, simhash, warc
 from gleaner.llm.common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(spark, table(spark, sf_dir, "pages"))
     return found.select(F.when(F.col("record_id") >= 0, F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
@@ -43,7 +47,7 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_warc, op3_packing, op4_simhash, op7_decontaminate, op9_line_quality, op10_class_lm]
+    found = [op1_quality, op2_warc, op3_packing, op4_simhash, op7_decontaminate, op9_line_quality, op10_class_lm]
     return {f.__name__: f for f in found}
 
 
