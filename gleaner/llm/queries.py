@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import class_lm, line_quality, nbsvm, packing, positional_index, simhash, warc
+from gleaner.llm import class_lm, line_quality, nbsvm, packing, positional_index, simhash, toxicity, warc
 from gleaner.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.judge(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality, op2_warc, op3_packing, op4_simhash, op7_decontaminate, op9_line_quality, op10_class_lm]
+    found = [op1_quality, op2_warc, op3_packing, op4_simhash, op7_decontaminate, op8_toxicity, op9_line_quality, op10_class_lm]
     return {f.__name__: f for f in found}
 
 
