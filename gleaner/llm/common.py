@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that Spark hands to a Python worker at once; texts may be long.
-ARROW_ROWS = 1000
+ARROW_ROWS = 200
 
 _shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
