@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import class_lm, line_quality, nbsvm, packing, positional_index, simhash, suffix_dedup, toxicity, warc
+from gleaner.llm import class_lm, html_main, line_quality, nbsvm, packing, positional_index, simhash, suffix_dedup, toxicity, warc
 from gleaner.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op6_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,7 +59,7 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality, op2_warc, op3_packing, op4_simhash, op5_suffix_dedup, op7_decontaminate, op8_toxicity, op9_line_quality, op10_class_lm]
+    found = [op1_quality, op2_warc, op3_packing, op4_simhash, op5_suffix_dedup, op6_html_main, op7_decontaminate, op8_toxicity, op9_line_quality, op10_class_lm]
     return {f.__name__: f for f in found}
 
 
