@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import check_columns, staged
+from gleaner.llm.common import broadcast_if_small, check_columns, staged
 
 _WHITE = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -95,12 +95,12 @@ def judge(
     max_repeat_percent: int = 50,
     min_kept_share: float = 0.2,
     min_kept_words: int = 25,
-    carry: bool = False,
+    keyed: bool = False,
 ) -> DataFrame:
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words, kept.
 
     ``kept`` is false where the base rule fails, or where frequent lines leave fewer than ``min_kept_words`` words and
-    less than ``min_kept_share`` of all. With ``carry`` the input's own columns are returned, and __kept.
+    less than ``min_kept_share`` of all. With ``keyed`` only __id, __sha (of the text) and kept are returned.
     """
     check_columns(docs, text, host, doc_id)
     lines = staged(lines_of(docs, text, host, doc_id), "lines")
@@ -109,16 +109,16 @@ def judge(
     some = F.broadcast(flagged) if flagged.count() <= BROADCAST_LINES else flagged
     hit = lines.alias("l").join(some.alias("f"), F.col("l.__host").eqNullSafe(F.col("f.__host")) & (F.col("l.__line") == F.col("f.__line")), "left_semi")
     removed = hit.select(*_KEY, "__at", "__words").distinct().groupBy(*_KEY).agg(F.sum("__words").alias("__sum"))
-    own = [F.col(c) for c in docs.columns] if carry else []
-    keyed = docs.select(*own, F.col(doc_id).alias("__id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__sha"), F.col(text).alias("__body"))
-    base = base_columns(keyed, F.col("__body")).drop("__body")
+    given = docs.select(F.col(doc_id).alias("__id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__sha"), F.col(text).alias("__body"))
+    # a table: else filters on the result would be pushed into the scan with these expressions written out in full
+    base = staged(base_columns(given, F.col("__body")).drop("__body"), "base")
     b, r = base.alias("b"), removed.alias("r")
     out = b.join(r, F.col("b.__id").eqNullSafe(F.col("r.__id")) & (F.col("b.__sha") == F.col("r.__sha")), "left")
     n, gone = F.col("b.__n_words"), F.least(F.coalesce(F.col("r.__sum"), F.lit(0)), F.col("b.__n_words"))
     failed = (n < min_words) | (100 * F.col("b.__n_repeat_words") > max_repeat_percent * n)
     depleted = (n - gone < min_kept_words) & (n - gone < min_kept_share * n)
-    if carry:
-        return out.select(*[F.col(f"b.{c}") for c in docs.columns], (~failed & ~depleted).alias("__kept"))
+    if keyed:
+        return out.select("b.__id", "b.__sha", (~failed & ~depleted).alias("kept"))
     return out.select(
         F.col("b.__id").alias(doc_id),
         n.alias("n_words"),
@@ -129,6 +129,8 @@ def judge(
     )
 
 
-def keep(docs: DataFrame, **how) -> DataFrame:
+def keep(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """The rows of docs that the rules keep, with docs' own columns."""
-    return judge(docs, carry=True, **how).filter("__kept").drop("__kept")
+    gone = staged(judge(docs, text=text, doc_id=doc_id, keyed=True, **how).filter(~F.col("kept")).select("__id", "__sha").distinct(), "rejected")
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__sha"))
+    return docs.join(broadcast_if_small(gone), same, "left_anti")
