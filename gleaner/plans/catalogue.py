@@ -1,4 +1,4 @@
-"""The named queries over the driver's tables, each with its SQL."""
+"""The named queries over the driver's tables, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.plans import core, graph, texts  # noqa: F401  register their queries
+from gleaner.plans.registry import ORACLE, QUERIES
+
 FLAGSHIP = "gate4_priority"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
