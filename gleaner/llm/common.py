@@ -49,6 +49,19 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch() -> list[str]:
+    """The scratch paths in use, in order."""
+    return [path for _, path in _written]
+
+
+def release(paths: list[str]) -> None:
+    """Delete scratch tables that no result still to be read rests on."""
+    for spark, path in [w for w in _written if w[1] in set(paths)]:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _written.remove((spark, path))
+
+
 def _clean() -> None:
     for spark, path in _written:
         try:

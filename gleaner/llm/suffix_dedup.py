@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from gleaner.llm.common import bounded_batches, broadcast_if_small, check_columns, emit, rows, staged
 from gleaner.llm.suffix_array import common_prefixes, suffix_array
@@ -112,40 +114,48 @@ def _by_bucket(numbers: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(bucket, first, end) of sorted numbers."""
     bucket = (numbers >> np.uint64(40)).astype(np.int64)
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    if not len(cuts):
+        return
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(numbers)], strict=True):
         yield int(bucket[a]), a, b
 
 
-_CHUNK = "chunk long, ids array<long>, keys array<long>, sizes array<long>, raw long, body binary"
+def _packed_body(body: bytes) -> bytes:
+    """Bodies are written once and shuffled twice, so they are packed well."""
+    return pa.Codec("zstd", compression_level=6).compress(body, asbytes=True)
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
-    """Documents (__id, __key, __body) in chunks, one row each, bodies end to end and compressed."""
-    schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("raw", pa.int64()), ("body", pa.binary())])
+    """Documents (__id, __key, __rest, __body) in chunks, one row each, bodies end to end and compressed."""
+    kind = docs.schema["__rest"].dataType
+    longs = ArrayType(LongType())
+    out = StructType().add("chunk", "long").add("ids", longs).add("keys", longs).add("rests", ArrayType(kind)).add("sizes", longs).add("raw", "long").add("body", "binary")
+    schema = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
 
         def chunk() -> pa.RecordBatch:
-            body = b"".join(b for _, _, b in held)
-            packed = pa.compress(body, codec="zstd", asbytes=True) if body else b""
-            return emit({"chunk": [number], "ids": [[i for i, _, _ in held]], "keys": [[k for _, k, _ in held]], "sizes": [[len(b) for _, _, b in held]], "raw": [len(body)], "body": [packed]}, schema)
+            body = b"".join(h[3] for h in held)
+            packed = _packed_body(body) if body else b""
+            ids, keys, rests, bodies = (list(x) for x in zip(*held, strict=True))
+            return emit({"chunk": [number], "ids": [ids], "keys": [keys], "rests": [rests], "sizes": [[len(b) for b in bodies]], "raw": [len(body)], "body": [packed]}, schema)
 
-        for i, k, b in rows(batches, "__id", "__key", "__body"):
+        for i, k, r, b in rows(batches, "__id", "__key", "__rest", "__body"):
             if held and size + len(b) > CHUNK_BYTES:
                 yield chunk()
                 number, held, size = number + 1, [], 0
-            held.append((i, k, b))
+            held.append((i, k, r, b))
             size += len(b) + 16
         if held:
             yield chunk()
 
-    return docs.select("__id", "__key", "__body").mapInArrow(run, _CHUNK)
+    return docs.select("__id", "__key", "__rest", "__body").mapInArrow(run, out)
 
 
 class _Chunk:
     def __init__(self, row: dict) -> None:
-        self.number, self.keys = row["chunk"], row["keys"]
+        self.number, self.keys, self.rests = row["chunk"], row["keys"], row["rests"]
         self.ids, self.sizes = np.array(row["ids"], np.int64), np.array(row["sizes"], np.int64)
         self.body = pa.decompress(row["body"], row["raw"], codec="zstd", asbytes=True) if row["raw"] else b""
         self.t = np.frombuffer(self.body, np.uint8)
@@ -326,11 +336,15 @@ def _verdicts(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.groupBy("bucket").applyInArrow(run, "chunk long, bucket long, bits binary")
 
 
-_OUT = "__id long, __key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+def _whole(data: bytes) -> bytes:
+    """Without the bytes of characters that a cut went through."""
+    return data.decode("utf-8", "ignore").encode()
 
 
 def _cut(chunks: DataFrame, buckets: int, length: int, with_text: bool) -> DataFrame:
-    schema = pa.schema([("__id", pa.int64()), ("__key", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+    kind = chunks.schema["rests"].dataType.elementType
+    result = StructType().add("__id", "long").add("__key", "long").add("__rest", kind).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string").add("kept", "binary")
+    schema = to_arrow_schema(result)
     windows = length - K + 1
 
     def gone(chunk: _Chunk, row: dict) -> np.ndarray:
@@ -360,28 +374,34 @@ def _cut(chunks: DataFrame, buckets: int, length: int, with_text: bool) -> DataF
         for chunk, row in _opened(batches):
             mask, at = gone(chunk, row), 0
             out: dict[str, list] = {n: [] for n in schema.names}
-            for i, key, size in zip(chunk.ids.tolist(), chunk.keys, chunk.sizes.tolist(), strict=True):
+            for i, key, rest, size in zip(chunk.ids.tolist(), chunk.keys, chunk.rests, chunk.sizes.tolist(), strict=True):
                 m = mask[at : at + size]
                 removed = int(m.sum())
                 kept = chunk.t[at : at + size][~m].tobytes() if removed else chunk.body[at : at + size]
                 spans = int(m[:1].sum() + (m[1:] & ~m[:-1]).sum()) if removed else 0
-                values = (i, key, size, removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_text and removed else None)
+                values = (i, key, rest, size, removed, spans, hashlib.sha256(kept).hexdigest(), (_whole(kept) if removed else kept) if with_text else None)
                 for n, v in zip(schema.names, values, strict=True):
                     out[n].append(v)
                 at += size
             yield emit(out, schema)
 
-    return chunks.mapInArrow(run, _OUT)
+    return chunks.mapInArrow(run, result)
 
 
 def passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 50, with_text: bool = False) -> DataFrame:
-    """Per row: __id, __key (of the row's text), n_bytes, n_removed, n_spans, kept_sha256, and kept (bytes, if asked for and changed)."""
+    """Per row: __id, __key (of the row's text), n_bytes, n_removed, n_spans, kept_sha256.
+
+    With text also kept (the bytes left) and, in __rest, the row's other columns and whether its text is null: they travel with the
+    bodies, so no text is shuffled to join them again.
+    """
     if not K < length <= K + 31:
         raise ValueError(f"length must be over {K} and at most {K + 31}")
     check_columns(docs, text, doc_id)
     bounded_batches(docs.sparkSession)
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b"").cast("binary"))
-    given = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LARGEST)).alias("__id"), body.alias("__body"))
+    others = [F.col(c).alias(f"c{n}") for n, c in enumerate(docs.columns) if c != text] if with_text else []
+    rest = F.struct(F.col(text).isNull().alias("empty"), *others)
+    given = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LARGEST)).alias("__id"), rest.alias("__rest"), body.alias("__body"))
     given = given.withColumns({"__key": F.xxhash64("__body"), "__sha": F.sha2("__body", 256), "__n": F.octet_length("__body").cast("long")})
     thin = staged(given.select("__id", "__key", "__sha", "__n"), "digests")
     total = thin.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
@@ -397,9 +417,9 @@ def passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length
     verdicts = staged(_verdicts(_contexts(with_shared.filter("shared IS NOT NULL"), buckets, length), length), "verdicts")
     judged = verdicts.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("verdicts"))
     cut = _cut(with_shared.join(judged, "chunk", "left"), buckets, length, with_text)
-    empty = hashlib.sha256(b"").hexdigest()
-    whole = copies.select(
-        "__id", "__key", F.col("__n").alias("n_bytes"), F.col("__n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(empty).alias("kept_sha256"), (F.lit(b"") if with_text else F.lit(None)).cast("binary").alias("kept")
+    gone = given.join(marked, (F.col("__id") == F.col("i")) & (F.col("__key") == F.col("k")), "left_semi")
+    whole = gone.select(
+        "__id", "__key", "__rest", F.col("__n").alias("n_bytes"), F.col("__n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit(b"" if with_text else None).cast("binary").alias("kept")
     )
     return cut.unionByName(whole)
 
@@ -412,17 +432,9 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
 
 def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 50, n_chars: str | None = "n_chars") -> DataFrame:
     """docs with the repeated bytes cut out of their texts (what is left of a cut character goes too), and n_chars, if it is a column, counted anew."""
-    found = staged(passages(docs, text, doc_id, length, with_text=True), "passages")
-    ok = pa.schema([("__cid", pa.int64()), ("__ckey", pa.int64()), ("__kept", pa.string())])
-
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]
-            yield emit({"__cid": batch.column("__id").to_pylist(), "__ckey": batch.column("__key").to_pylist(), "__kept": texts}, ok)
-
-    changed = found.filter("n_removed > 0").select("__id", "__key", "kept").dropDuplicates(["__id", "__key"]).mapInArrow(decoded, "__cid long, __ckey long, __kept string")
-    key = (F.coalesce(F.col(doc_id).cast("long"), F.lit(_LARGEST)) == F.col("__cid")) & (F.xxhash64(F.col(text).cast("binary")) == F.col("__ckey"))
-    out = docs.join(changed, key, "left").withColumn(text, F.coalesce("__kept", text))
+    fields = [(f"c{n}", c) for n, c in enumerate(docs.columns) if c != text]
+    found = passages(docs, text, doc_id, length, with_text=True)
+    out = found.select(*[F.col(f"__rest.{n}").alias(c) for n, c in fields], F.col("n_removed").alias("__gone"), F.when(~F.col("__rest.empty"), F.col("kept").cast("string")).alias(text))
     if n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.when(F.col("__cid").isNull(), F.col(n_chars)).otherwise(F.length(text).cast(docs.schema[n_chars].dataType)))
+        out = out.withColumn(n_chars, F.when(F.col("__gone") == 0, F.col(n_chars)).otherwise(F.length(text).cast(docs.schema[n_chars].dataType)))
     return out.select(*docs.columns)
