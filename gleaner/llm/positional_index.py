@@ -15,12 +15,12 @@ cross documents; extra columns are ignored or kept.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +33,9 @@ BLOCK_BYTES = 8_000_000
 #: Between documents the positions jump, so that no window reaches over.
 _APART = 1
 
-INDEX_SCHEMA = "doc_ids array<long>, starts array<long>, sizes array<long>, terms array<binary>, list_ends array<long>, positions binary"
+INDEX_SCHEMA = "segment long, doc_ids array<long>, starts array<long>, sizes array<long>, terms array<binary>, list_ends array<long>, positions binary"
 _ARROW = pa.schema(
-    [("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("terms", pa.list_(pa.binary())), ("list_ends", pa.list_(pa.int64())), ("positions", pa.binary())]
+    [("segment", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("terms", pa.list_(pa.binary())), ("list_ends", pa.list_(pa.int64())), ("positions", pa.binary())]
 )
 
 
@@ -43,7 +43,7 @@ def words(text: bytes | None) -> list[bytes]:
     return _WORD.findall((text or b"").lower())
 
 
-def _segment(ids: list, texts: list[list[bytes]]) -> dict:
+def _segment(segment: int, ids: list, texts: list[list[bytes]]) -> dict:
     number: dict[bytes, int] = {}
     starts, parts, at = [], [], 0
     for ws in texts:
@@ -61,7 +61,7 @@ def _segment(ids: list, texts: list[list[bytes]]) -> dict:
     if len(place):
         first = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         gaps[first] = place[first]
-    return {"doc_ids": ids, "starts": starts, "sizes": [len(p) for p in parts], "terms": list(number), "list_ends": ends.tolist(), "positions": gaps.tobytes()}
+    return {"segment": segment, "doc_ids": ids, "starts": starts, "sizes": [len(p) for p in parts], "terms": list(number), "list_ends": ends.tolist(), "positions": gaps.tobytes()}
 
 
 def build(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -70,17 +70,17 @@ def build(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, held = [], [], 0
+        ids, texts, held, number = [], [], 0, TaskContext.get().partitionId() << 32
         for i, t in rows(batches, "__id", "__text"):
             ids.append(i)
             texts.append(words(t))
             held += len(t or b"") + 8
             if held >= SEGMENT_BYTES:
-                one = _segment(ids, texts)
-                ids, texts, held = [], [], 0
+                one = _segment(number, ids, texts)
+                ids, texts, held, number = [], [], 0, number + 1
                 yield emit({k: [v] for k, v in one.items()}, _ARROW)
         if ids:
-            yield emit({k: [v] for k, v in _segment(ids, texts).items()}, _ARROW)
+            yield emit({k: [v] for k, v in _segment(number, ids, texts).items()}, _ARROW)
 
     given = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("binary").alias("__text"))
     return given.mapInArrow(run, INDEX_SCHEMA)
@@ -90,6 +90,7 @@ class Segment:
     """One row of the index, opened: position lists by term, and documents by position."""
 
     def __init__(self, row: dict[str, pa.Scalar]) -> None:
+        self.segment = row["segment"].as_py()
         self.doc_ids = row["doc_ids"].values
         self.starts = row["starts"].values.to_numpy()
         self.sizes = row["sizes"].values.to_numpy()
@@ -167,8 +168,8 @@ def _blocks(items: DataFrame, text: str, item_id: str) -> Iterator[list[tuple[in
     yield block
 
 
-_HIT = "__seg string, __row int, __id long, n_words long, items array<long>, runs array<long>"
-_HIT_ARROW = pa.schema([("__seg", pa.string()), ("__row", pa.int32()), ("__id", pa.int64()), ("n_words", pa.int64()), ("items", pa.list_(pa.int64())), ("runs", pa.list_(pa.int64()))])
+_HIT = "__seg long, __row int, __id long, n_words long, items array<long>, runs array<long>"
+_HIT_ARROW = pa.schema([("__seg", pa.int64()), ("__row", pa.int32()), ("__id", pa.int64()), ("n_words", pa.int64()), ("items", pa.list_(pa.int64())), ("runs", pa.list_(pa.int64()))])
 
 
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[Segment]:
@@ -192,11 +193,10 @@ def phrases(index: DataFrame, block: list[tuple[int, bytes]], width: int = 13) -
                     items.update(item_ids[k] for k in owners)
                     spans.append((p, p + len(terms)))
             out = {n: [] for n in _HIT_ARROW.names}
-            name = hashlib.md5(repr((seg.doc_ids.to_pylist()[:64], len(seg.place), int(seg.place.sum()))).encode()).hexdigest()
             for d, (i, n) in enumerate(zip(seg.doc_ids.to_pylist(), seg.sizes.tolist(), strict=True)):
                 items, spans = hits.get(d, ((), ()))
                 start = int(seg.starts[d])
-                for k, v in zip(_HIT_ARROW.names, (name, d, i, n, sorted(items), [x - start for r in merged(spans) for x in r]), strict=True):
+                for k, v in zip(_HIT_ARROW.names, (seg.segment, d, i, n, sorted(items), [x - start for r in merged(spans) for x in r]), strict=True):
                     out[k].append(v)
             yield emit(out, _HIT_ARROW)
 
