@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm import line_quality, packing, positional_index, simhash, suffix_dedup
-from gleaner.llm.common import staged, table
+from gleaner.llm.common import release, scratch, staged, table
 from gleaner.llm.queries import tokenizer_path
 
 
@@ -54,5 +54,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        before = set(scratch())
         docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        # the stage's own tables go; its result, the newest, stays
+        release([path for path in scratch()[:-1] if path not in before])
     return STAGES[-1][1](spark, docs, sf_dir)
