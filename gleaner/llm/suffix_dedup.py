@@ -8,7 +8,8 @@ them without one suffix array over all text:
    equal k-grams, at equal places. Numbers of picked k-grams are dealt to buckets, deduplicated within chunks of
    documents, and those found in several documents are reported back to their chunks.
 3. *Contexts.* Windows that picked a shared anchor are sent to the anchor's bucket, as the stretch of bytes
-   they cover, distinct within a chunk, with the smallest id that has it. In the bucket, stretches whose anchor
+   they cover, distinct within a chunk, with the smallest id that has it; those of an anchor that very many chunks have are
+   dealt out window by window instead. In the bucket, stretches whose anchor
    has just one are settled; all others are concatenated, their suffixes sorted in two stages (suffix_array), and runs of
    neighbours with common prefixes of ``length`` bytes give the smallest document of each window.
 4. The verdicts, a bit for each window, go back to the chunks, which cut the bytes out.
@@ -24,6 +25,7 @@ returned; extra columns are ignored or kept.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +42,9 @@ from gleaner.llm.suffix_array import common_prefixes, suffix_array
 CHUNK_BYTES, BUCKET_BYTES = 1_000_000, 8_000_000
 K = 24
 #: Suffixes in one suffix array at most; more stretches in a bucket are taken by anchor in parts.
-ARRAY_BYTES = 16_000_000
+ARRAY_BYTES = 4_000_000
+#: An anchor in more chunks than this doesn't gather its stretches in one bucket: each of their windows goes to a bucket of its own hash.
+HOT_CHUNKS = 500
 _LARGEST = (1 << 63) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -191,24 +195,36 @@ def _anchor_lists(chunks: DataFrame, buckets: int, length: int) -> DataFrame:
 
 
 def _shared(lists: DataFrame) -> DataFrame:
-    """(chunk, bucket, ids) of anchors that several documents have."""
-    schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("ids", pa.binary())])
+    """(chunk, bucket, ids, hot) of anchors that several documents have, and of those among them that very many chunks have."""
+    schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("ids", pa.binary()), ("hot", pa.binary())])
+    most = HOT_CHUNKS
 
     def run(table: pa.Table) -> pa.Table:
         sets = [_unpacked(x) for x in table["ids"].to_pylist()]
+        own_sets = [np.unique(s) for s in sets]
         every = np.sort(np.concatenate(sets))
         several = np.unique(every[1:][every[1:] == every[:-1]])
-        out = {"chunk": [], "bucket": [], "ids": []}
-        for c, b, s in zip(table["chunk"].to_pylist(), table["bucket"].to_pylist(), sets, strict=True):
-            own = np.unique(s)
+        present, times = np.unique(np.concatenate(own_sets), return_counts=True)
+        hot = present[times > most]
+        out = {n: [] for n in schema.names}
+        for c, b, own in zip(table["chunk"].to_pylist(), table["bucket"].to_pylist(), own_sets, strict=True):
             at = np.minimum(np.searchsorted(several, own), max(len(several) - 1, 0))
             own = own[several[at] == own] if len(several) else own[:0]
             if len(own):
-                for n, v in zip(out, (c, b, _packed(own)), strict=True):
+                for n, v in zip(out, (c, b, _packed(own), _packed(np.intersect1d(own, hot))), strict=True):
                     out[n].append(v)
         return pa.table([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
-    return lists.groupBy("bucket").applyInArrow(run, "chunk long, bucket long, ids binary")
+    return lists.groupBy("bucket").applyInArrow(run, "chunk long, bucket long, ids binary, hot binary")
+
+
+def _among(number: np.ndarray, shared: list[dict] | None, which: str) -> np.ndarray:
+    """Which anchors are in the chunk's lists of that kind."""
+    parts = [_unpacked(s[which]) | (np.uint64(s["bucket"]) << np.uint64(40)) for s in shared or []]
+    sought = np.sort(np.concatenate([np.zeros(0, np.uint64), *parts]))
+    if not len(sought):
+        return np.zeros(len(number), bool)
+    return sought[np.minimum(np.searchsorted(sought, number), len(sought) - 1)] == number
 
 
 def _stretches(chunk: _Chunk, shared: list[dict] | None, buckets: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list]]:
@@ -217,20 +233,25 @@ def _stretches(chunk: _Chunk, shared: list[dict] | None, buckets: int, length: i
     Distinct stretches, in order of occurrence: [bucket, bytes, anchor's offset, smallest id].
     """
     doc, low, high, place, h = anchors(chunk.t, chunk.sizes, length)
-    sought = np.sort(np.concatenate([_unpacked(s["ids"]) | (np.uint64(s["bucket"]) << np.uint64(40)) for s in shared or []] or [np.zeros(0, np.uint64)]))
     number = _numbers(h, buckets)
-    if len(sought):
-        hit = sought[np.minimum(np.searchsorted(sought, number), len(sought) - 1)] == number
-    else:
-        hit = np.zeros(len(number), bool)
+    hit = _among(number, shared, "ids")
     doc, low, high, place, number = doc[hit], low[hit], high[hit], place[hit], number[hit]
-    known: dict[bytes, int] = {}
+    bucket = (number >> np.uint64(40)).astype(np.int64)
+    if (hot := _among(number, shared, "hot")).any():
+        # window by window, to buckets of their own
+        many = (high - low + 1)[hot]
+        at = np.repeat(low[hot], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        own = np.array([zlib.crc32(chunk.body[a : a + length]) for a in at.tolist()], np.int64) % buckets
+        doc, place, bucket = (np.concatenate([x[~hot], np.repeat(x[hot], many)]) for x in (doc, place, bucket))
+        low, high = np.concatenate([low[~hot], at]), np.concatenate([high[~hot], at])
+        bucket[len(bucket) - len(own) :] = own
+    known: dict[tuple[int, bytes], int] = {}
     distinct: list[list] = []
     which = np.empty(len(doc), np.int64)
     body, ids = chunk.body, chunk.ids.tolist()
-    for n, (d, a, b, p, x) in enumerate(zip(doc.tolist(), low.tolist(), high.tolist(), place.tolist(), (number >> np.uint64(40)).tolist(), strict=True)):
+    for n, (d, a, b, p, x) in enumerate(zip(doc.tolist(), low.tolist(), high.tolist(), place.tolist(), bucket.tolist(), strict=True)):
         text = body[a : b + length]
-        k = known.setdefault(text, len(distinct))
+        k = known.setdefault((x, text), len(distinct))
         if k == len(distinct):
             distinct.append([x, text, p - a, ids[d]])
         elif ids[d] < distinct[k][3]:
@@ -412,7 +433,7 @@ def passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length
     rest = given.join(marked, (F.col("__id") == F.col("i")) & (F.col("__key") == F.col("k")), "left_anti")
     chunks = staged(_chunks(rest), "chunks")
     shared = staged(_shared(_anchor_lists(chunks, buckets, length)), "shared")
-    own = shared.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "ids")).alias("shared"))
+    own = shared.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "ids", "hot")).alias("shared"))
     with_shared = chunks.join(own, "chunk", "left")
     verdicts = staged(_verdicts(_contexts(with_shared.filter("shared IS NOT NULL"), buckets, length), length), "verdicts")
     judged = verdicts.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("verdicts"))
