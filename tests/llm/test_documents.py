@@ -95,6 +95,20 @@ def test_components(which, cut, request, monkeypatch):
     assert got == sorted(((i, f"{f:016x}", None if i is None else find(i)) for i, f in rows), key=repr)
 
 
+def test_tiles_lose_no_link():
+    rng = np.random.default_rng(5)
+    seeds = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    fp = np.concatenate([seeds, *[seeds ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) for _ in range(60)]])
+    ones = np.bitwise_count(fp).astype(np.int32)
+    order = np.argsort(ones, kind="stable")
+    fp, ones, node = fp[order], ones[order], np.arange(len(fp))
+    columns = {"fp": fp.view(np.int64), "node": node, "ones": ones, **{n: np.full(len(fp), -1) for n in ("t", "u", "own")}}
+    got = simhash._compare(columns, np.array([0, len(fp)]), 4)
+    x, y = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4)
+    want = forest(x, y)
+    assert [a.tolist() for a in got] == [a.tolist() for a in want]
+
+
 def test_deduplicate_keeps_one(docs):
     kept = [r.doc_id for r in simhash.deduplicate(docs).collect()]
     assert len([i for i in kept if i is not None]) == len({i for i in kept if i is not None}) and None in kept
@@ -130,9 +144,11 @@ def removed(rows):
 
 
 @pytest.mark.parametrize("which", ["docs", "real"])
-@pytest.mark.parametrize("chunk", [1_000_000, 2_000])
-def test_repeated_passages(which, chunk, request, monkeypatch):
+@pytest.mark.parametrize("chunk,hot,array", [(1_000_000, 500, 4_000_000), (2_000, 1, 3_000)])
+def test_repeated_passages(which, chunk, hot, array, request, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(suffix_dedup, "HOT_CHUNKS", hot)
+    monkeypatch.setattr(suffix_dedup, "ARRAY_BYTES", array)
     df = request.getfixturevalue(which)
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeated_passages(df).collect()), key=repr)
     assert got == removed(df.collect())
