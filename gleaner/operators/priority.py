@@ -13,7 +13,8 @@ HIGH, MEDIUM = 0.70, 0.40
 
 def reliability(tier: Column) -> Column:
     """1 for tier 1 down to 0 for tier 5; 0.5 without a tier."""
-    return F.coalesce(1 - (F.least(F.greatest(tier, F.lit(1)), F.lit(5)) - 1) / 4, F.lit(0.5))
+    # least and greatest skip nulls, so the missing tier is told first
+    return F.when(tier.isNull(), 0.5).otherwise(1 - (F.least(F.greatest(tier, F.lit(1)), F.lit(5)) - 1) / 4)
 
 
 def density(claims: Column, measurements: Column, entities: Column) -> Column:

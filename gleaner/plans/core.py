@@ -15,7 +15,7 @@ from gleaner.plans.tables import Tables
 _COUNTS = "counts AS (SELECT artifact_id, count(*) AS claims, count(*) FILTER (regexp_matches(proposition, '[0-9]')) AS measurements FROM claims GROUP BY 1)"
 _GATE4 = "+" + _COUNTS + """, lone AS (SELECT entity FROM artifact_entities GROUP BY 1 HAVING count(DISTINCT artifact_id) = 1),
 nov AS (SELECT e.artifact_id, count(*) AS entities, count(l.entity) / count(*) AS novelty FROM artifact_entities e LEFT JOIN lone l USING (entity) GROUP BY 1),
-parts AS (SELECT a.artifact_id, coalesce(1 - (least(greatest(s.tier, 1), 5) - 1) / 4, 0.5) AS reliability, coalesce(n.novelty, 0) AS novelty,
+parts AS (SELECT a.artifact_id, CASE WHEN s.tier IS NULL THEN 0.5 ELSE 1 - (least(greatest(s.tier, 1), 5) - 1) / 4 END AS reliability, coalesce(n.novelty, 0) AS novelty,
   0.5 * least(coalesce(c.claims, 0) / 10, 1.0) + 0.4 * least(coalesce(c.measurements, 0) / 3, 1.0) + 0.1 * least(coalesce(n.entities, 0) / 10, 1.0) AS density
   FROM artifacts a LEFT JOIN sources s USING (source) LEFT JOIN nov n USING (artifact_id) LEFT JOIN counts c USING (artifact_id) WHERE a.status = 'extracted'),
 p AS (SELECT *, round(0.35 * reliability + 0.35 * novelty + 0.30 * density + 1e-9, 4) AS priority_score FROM parts),
