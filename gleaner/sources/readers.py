@@ -148,4 +148,5 @@ def posts(spark: SparkSession, path: str) -> DataFrame:
 def model_json(text: Column, schema: str) -> Column:
     """A model's answer as a struct: code fences stripped, else the outermost braces; null if neither parses."""
     plain = F.trim(F.regexp_replace(text, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", ""))
-    return F.coalesce(F.from_json(plain, schema), F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), schema))
+    # a parser that keeps going gives a row of nulls for other text, so what is no object isn't tried as one
+    return F.from_json(F.when(plain.rlike(r"(?s)^\{.*\}$"), plain).otherwise(F.regexp_extract(text, r"(?s)\{.*\}", 0)), schema)
