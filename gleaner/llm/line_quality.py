@@ -64,13 +64,18 @@ def base_columns(df: DataFrame, text: Column) -> DataFrame:
     ).drop("__text", "__w", "__lines", "__h", "__p", "__d", "__s", "__q")
 
 
+def _hashed(line: Column) -> Column:
+    """60 bits of a line's MD5 digest, as any SQL engine can compute them."""
+    return F.conv(F.substring(F.md5(line.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def lines_of(docs: DataFrame, text: str, host: str, doc_id: str) -> DataFrame:
     """(__id, __sha, __host, __at, __line, __words, __sig): each normalised line of each document with its words."""
     body = F.coalesce(F.col(text), F.lit(""))
     df = docs.select(F.col(doc_id).alias("__id"), F.xxhash64(body).alias("__sha"), F.col(host).cast("string").alias("__host"), F.split(F.lower(body), "\n").alias("__raw"))
     clean = F.transform("__raw", lambda x: F.trim(F.regexp_replace(x, "[\\x20\\x09-\\x0D]+", " ")))
     kept = F.filter(clean, lambda x: x != "")
-    df = df.withColumn("__ls", F.transform(kept, lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(_deleted(x, " ")) + 1).alias("n"))))
+    df = df.withColumn("__ls", F.transform(kept, lambda x: F.struct(_hashed(x).alias("h"), (F.length(x) - F.length(_deleted(x, " ")) + 1).alias("n"))))
     df = df.withColumn("__hs", F.slice(F.array_sort(F.array_distinct(F.transform("__ls", lambda x: x["h"]))), 1, 2))
     one = df.select(*_KEY, "__host", F.col("__hs"), F.posexplode("__ls").alias("__at", "__l"))
     first, second = F.get("__hs", F.lit(0)), F.coalesce(F.get("__hs", F.lit(1)), F.lit(0).cast("long"))

@@ -63,5 +63,49 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_SQL = {
+    "op2_warc": r"""WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (SELECT *, list_transform(range(40), lambda i: strpos('0123456789abcdef', hex[i + 1]) - 1) AS nibble FROM p),
+d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+  CAST((((nibble[(5 * k) // 4 + 1] * 256 + coalesce(nibble[(5 * k) // 4 + 2], 0) * 16 + coalesce(nibble[(5 * k) // 4 + 3], 0)) // CAST(pow(2, 7 - (5 * k) % 4) AS BIGINT)) % 32) + 1 AS INT)]), '') AS payload_digest FROM b),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, true AS intact FROM m""",
+    "op5_suffix_dedup": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, unnest(range(greatest(length(h) // 2 - 49, 0))) AS p, unnest(list_transform(range(greatest(length(h) // 2 - 49, 0)), lambda i: h[2 * i + 1:2 * i + 100])) AS gram FROM d),
+hit AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY gram) AS first FROM w) WHERE first < doc_id),
+step AS (SELECT *, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 1 ELSE 0 END AS new FROM hit),
+run AS (SELECT doc_id, k, min(p) AS s, max(p) + 50 AS e FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM step) GROUP BY 1, 2),
+cut AS (SELECT *, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM run),
+gone AS (SELECT c.doc_id, sum(e - s) AS n, count(*) AS spans, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS kept FROM cut c JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN gone USING (doc_id)""",
+    "op7_decontaminate": r"""WITH d AS (SELECT doc_id, regexp_extract_all(LOWERED, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents), b AS (SELECT item_id, regexp_extract_all(LOWERED, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, least(len(w), 13) AS size, unnest(list_transform(range(greatest(len(w) - 12, 1)), lambda i: array_to_string(w[i + 1:i + 13], ' '))) AS gram FROM b WHERE len(w) > 0),
+s AS (SELECT DISTINCT size FROM g),
+x AS (SELECT doc_id, size, unnest(range(greatest(len(w) - size + 1, 0))) AS pos, unnest(list_transform(range(greatest(len(w) - size + 1, 0)), lambda i: array_to_string(w[i + 1:i + size], ' '))) AS gram FROM d, s),
+h AS (SELECT doc_id, item_id, pos, size FROM x JOIN g USING (size, gram)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS p FROM h) GROUP BY 1),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM h) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)""".replace("LOWERED", _ASCII_LOWER),
+    "op9_line_quality": r"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+tri AS (SELECT doc_id, unnest(range(greatest(len(w) - 2, 0))) AS pos, unnest(list_transform(range(greatest(len(w) - 2, 0)), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) AS g FROM d),
+twice AS (SELECT doc_id, pos FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS p FROM twice) GROUP BY 1),
+raw AS (SELECT doc_id, source, list_filter(list_transform(string_split(lower(t), chr(10)), lambda x: trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')), lambda x: x <> '') AS ls FROM d),
+line AS (SELECT doc_id, source, x, length(x) - length(replace(x, ' ', '')) + 1 AS words, CAST('0x' || md5(x)[1:15] AS BIGINT) AS h FROM (SELECT doc_id, source, unnest(ls) AS x FROM raw)),
+least2 AS (SELECT doc_id, list_sort(list_distinct(list(h)))[1:2] AS hs FROM line GROUP BY 1),
+sig AS (SELECT l.*, CASE WHEN h = hs[1] THEN coalesce(hs[2], 0) ELSE hs[1] END AS s FROM line l JOIN least2 USING (doc_id)),
+host AS (SELECT source, count(*) AS docs FROM documents GROUP BY 1),
+freq AS (SELECT s.source, h FROM (SELECT source, h, count(DISTINCT s) AS n FROM sig GROUP BY 1, 2) s JOIN host USING (source) WHERE n > 20 AND n > 0.05 * docs),
+gone AS (SELECT doc_id, sum(words) AS n FROM sig SEMI JOIN freq USING (source, h) GROUP BY 1),
+base AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  coalesce(rep.n, 0) AS n_repeat_words, least(coalesce(gone.n, 0), len(w)) AS removed_words FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+SELECT *, NOT base_failed AND NOT (n_words - removed_words < 25 AND n_words - removed_words < 0.2 * n_words) AS kept FROM f""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries whose method SQL can express; the others are tested against brute force."""
+    return dict(_SQL)
