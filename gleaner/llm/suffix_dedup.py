@@ -44,7 +44,7 @@ K = 24
 #: Suffixes in one suffix array at most; more stretches in a bucket are taken by anchor in parts.
 ARRAY_BYTES = 4_000_000
 #: An anchor in more chunks than this doesn't gather its stretches in one bucket: each of their windows goes to a bucket of its own hash.
-HOT_CHUNKS = 500
+HOT_CHUNKS = 4000
 _LARGEST = (1 << 63) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
