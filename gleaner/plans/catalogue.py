@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.plans import core, gates, graph, texts  # noqa: F401  register their queries
+from gleaner.plans import core, gates, graph, intake, texts  # noqa: F401  register their queries
 from gleaner.plans.registry import ORACLE, QUERIES
 
 FLAGSHIP = "gate4_priority"
