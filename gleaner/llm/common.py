@@ -26,11 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir, or one under /tmp where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file:///tmp/checkpoints/{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{os.getpid()}").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
