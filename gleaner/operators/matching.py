@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import ngrams, tokens
+from gleaner.functions.text import tokens
 
 
 def overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str, pattern: str, least: int) -> DataFrame:
@@ -60,11 +60,29 @@ def contained(new: DataFrame, old: DataFrame, new_id: str, old_id: str, text: st
 
 def verbatim(texts: DataFrame, sources: DataFrame, key: str, text: str, source_text: str, n: int = 8) -> DataFrame:
     """(key, position, gram): the first run of n words of a text that a source has too."""
-    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
-    grams = texts.select(key, F.posexplode(ngrams(words(F.col(text)), n)).alias("position", "gram"))
-    known = sources.select(F.explode(ngrams(words(F.col(source_text)), n)).alias("gram")).distinct()
-    hits = grams.join(known, "gram", "left_semi")
-    return hits.groupBy(key).agg(F.min(F.struct("position", "gram")).alias("h")).select(key, "h.position", "h.gram")
+
+    def hashed(df: DataFrame, c: str) -> DataFrame:
+        """df with __w, its words, and __h, a hash of each run.
+
+        __w is a column of its own, or each run would split the text again; for the same reason __h is exploded with its empty arrays, as
+        Spark would otherwise push a filter on it, written out, below.
+        """
+        df = df.withColumn("__w", F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("__w") - n, F.lit(0))), lambda i: F.xxhash64(*[F.get("__w", i + k) for k in range(n)]))
+        return df.withColumn("__h", F.when(F.size("__w") >= n, runs))
+
+    known = hashed(sources.select(F.col(source_text).alias("__s")), "__s").select(F.explode_outer("__h").alias("h")).filter("h IS NOT NULL").distinct()
+    grams = hashed(texts.select(key, F.col(text).alias("__t")), "__t").select(key, F.posexplode_outer("__h").alias("position", "h")).filter("h IS NOT NULL")
+    hits = grams.join(known, "h", "left_semi").select(key, "position")
+    # hashes find the places, words confirm them
+    spelled = lambda w, i: F.array_join(F.slice(w, i + 1, n), " ")
+    worded = texts.select(F.col(key).alias("__k"), F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "").alias("__w"))
+    places = hits.groupBy(key).agg(F.array_sort(F.collect_list("position")).alias("__p"))
+    found = places.join(worded, F.col(key) == F.col("__k")).select(key, F.explode("__p").alias("position"), "__w").select(key, "position", spelled(F.col("__w"), F.col("position")).alias("gram"))
+    wanted = sources.select(F.filter(F.split(F.lower(source_text), r"\s+"), lambda w: w != "").alias("__w"))
+    wanted = wanted.select("__w", F.explode_outer(F.when(F.size("__w") >= n, F.sequence(F.lit(0), F.greatest(F.size("__w") - n, F.lit(0))))).alias("i")).filter("i IS NOT NULL").select(spelled(F.col("__w"), F.col("i")).alias("gram")).distinct()
+    exact = found.join(wanted, "gram", "left_semi")
+    return exact.groupBy(key).agg(F.min(F.struct("position", "gram")).alias("h")).select(key, "h.position", "h.gram")
 
 
 def _fold(keys: list[str], keep) -> callable:
