@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import bounded_batches, broadcast_if_small, check_columns, emit, rows, staged
+from gleaner.llm.common import bounded_batches, broadcast_if_small, check_columns, emit, rows, staged, trim
 
 _WORD = regex.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Bytes of text in a segment (a longer document has one of its own), and of items' text in a block of the query set.
@@ -79,6 +79,8 @@ def build(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
                 one = _segment(number, ids, texts)
                 ids, texts, held, number = [], [], 0, number + 1
                 yield emit({k: [v] for k, v in one.items()}, _ARROW)
+                del one
+                trim()
         if ids:
             yield emit({k: [v] for k, v in _segment(number, ids, texts).items()}, _ARROW)
 
@@ -176,6 +178,7 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[Segment]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield Segment({n: batch.column(n)[i] for n in batch.schema.names})
+            trim()
 
 
 def phrases(index: DataFrame, block: list[tuple[int, bytes]], width: int = 13) -> DataFrame:

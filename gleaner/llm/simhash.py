@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import bounded_batches, broadcast_if_small, check_columns, emit, rows, staged
+from gleaner.llm.common import bounded_batches, broadcast_if_small, check_columns, emit, rows, staged, trim
 from gleaner.llm.graph import components, forest
 
 TILE = 1024
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
                 ids.append(i)
                 fps.append(fingerprint(t, width))
             yield emit({"__id": ids, "__fp": np.array(fps, np.uint64).view(np.int64)}, schema)
+        trim()
 
     given = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("binary").alias("__text"))
     return given.mapInArrow(run, "__id long, __fp long")

@@ -36,13 +36,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from gleaner.llm.common import bounded_batches, broadcast_if_small, check_columns, emit, rows, staged
+from gleaner.llm.common import bounded_batches, broadcast_if_small, check_columns, emit, rows, staged, trim
 from gleaner.llm.suffix_array import common_prefixes, suffix_array
 
-CHUNK_BYTES, BUCKET_BYTES = 1_000_000, 8_000_000
+CHUNK_BYTES, BUCKET_BYTES = 1_000_000, 4_000_000
 K = 24
 #: Suffixes in one suffix array at most; more stretches in a bucket are taken by anchor in parts.
-ARRAY_BYTES = 4_000_000
+ARRAY_BYTES = 1_500_000
 #: An anchor in more chunks than this doesn't gather its stretches in one bucket: each of their windows goes to a bucket of its own hash.
 HOT_CHUNKS = 4000
 _LARGEST = (1 << 63) - 1
@@ -170,6 +170,7 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Chunk, dict]]:
         for at in range(batch.num_rows):
             row = batch.slice(at, 1).to_pylist()[0]
             yield _Chunk(row), row
+            trim()
 
 
 def _anchor_lists(chunks: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -352,6 +353,8 @@ def _verdicts(contexts: DataFrame, length: int) -> DataFrame:
         weights = np.uint64(1) << np.arange(windows, dtype=np.uint64)
         for own, numbers in lists:
             out.append(((least[numbers] < own[:, None]) * weights).sum(1, dtype=np.uint64).astype("<u4").tobytes())
+        del known, texts, grams, groups, least, lists
+        trim()
         return pa.table([table["chunk"].combine_chunks(), table["bucket"].combine_chunks(), pa.array(out, pa.binary())], schema=schema)
 
     return contexts.groupBy("bucket").applyInArrow(run, "chunk long, bucket long, bits binary")
