@@ -144,7 +144,7 @@ def removed(rows):
 
 
 @pytest.mark.parametrize("which", ["docs", "real"])
-@pytest.mark.parametrize("chunk,hot,array", [(1_000_000, 4000, 4_000_000), (2_000, 1, 3_000)])
+@pytest.mark.parametrize("chunk,hot,array", [(1_000_000, 4000, 1_500_000), (2_000, 1, 3_000)])
 def test_repeated_passages(which, chunk, hot, array, request, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", chunk)
     monkeypatch.setattr(suffix_dedup, "HOT_CHUNKS", hot)
