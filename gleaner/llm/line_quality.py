@@ -4,7 +4,7 @@ Only DataFrame and SQL functions run here. A line is normalised (lower case, whi
 over the distinct documents of its host; lines above the limit are boilerplate and are removed; a document which
 keeps too little of its words is depleted and rejected.
 
-What counts as a distinct document: for each line, documents that share the smallest hash of their *other* lines
+What counts as a distinct document: for each line, documents that share the longest of their *other* lines
 count once. A group of exact copies therefore counts once, and most near copies do too, so copies of a good text
 aren't taken for boilerplate; removing them is the task of deduplication.
 
@@ -76,8 +76,9 @@ def lines_of(docs: DataFrame, text: str, host: str, doc_id: str) -> DataFrame:
     clean = F.transform("__raw", lambda x: F.trim(F.regexp_replace(x, "[\\x20\\x09-\\x0D]+", " ")))
     kept = F.filter(clean, lambda x: x != "")
     df = df.withColumn("__ls", F.transform(kept, lambda x: F.struct(_hashed(x).alias("h"), (F.length(x) - F.length(_deleted(x, " ")) + 1).alias("n"))))
-    df = df.withColumn("__hs", F.slice(F.array_sort(F.array_distinct(F.transform("__ls", lambda x: x["h"]))), 1, 2))
-    one = df.select(*_KEY, "__host", F.col("__hs"), F.posexplode("__ls").alias("__at", "__l"))
+    df = df.withColumn("__hs", F.transform(F.slice(F.array_sort(F.array_distinct(F.transform("__ls", lambda x: F.struct((-x["n"]).alias("n"), x["h"].alias("h"))))), 1, 2), lambda x: x["h"]))
+    # with the rows of texts without lines, which go right after: else a filter for them, written out, would do all this twice
+    one = df.select(*_KEY, "__host", F.col("__hs"), F.posexplode_outer("__ls").alias("__at", "__l")).filter("__l IS NOT NULL")
     first, second = F.get("__hs", F.lit(0)), F.coalesce(F.get("__hs", F.lit(1)), F.lit(0).cast("long"))
     return one.select(*_KEY, "__host", "__at", F.col("__l.h").alias("__line"), F.col("__l.n").cast("long").alias("__words"), F.when(F.col("__l.h") == first, second).otherwise(first).alias("__sig"))
 

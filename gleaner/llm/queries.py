@@ -94,8 +94,8 @@ twice AS (SELECT doc_id, pos FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS p FROM twice) GROUP BY 1),
 raw AS (SELECT doc_id, source, list_filter(list_transform(string_split(lower(t), chr(10)), lambda x: trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')), lambda x: x <> '') AS ls FROM d),
 line AS (SELECT doc_id, source, x, length(x) - length(replace(x, ' ', '')) + 1 AS words, CAST('0x' || md5(x)[1:15] AS BIGINT) AS h FROM (SELECT doc_id, source, unnest(ls) AS x FROM raw)),
-least2 AS (SELECT doc_id, list_sort(list_distinct(list(h)))[1:2] AS hs FROM line GROUP BY 1),
-sig AS (SELECT l.*, CASE WHEN h = hs[1] THEN coalesce(hs[2], 0) ELSE hs[1] END AS s FROM line l JOIN least2 USING (doc_id)),
+longest AS (SELECT doc_id, list_transform(list_sort(list_distinct(list({'n': -words, 'h': h})))[1:2], lambda pair: pair.h) AS hs FROM line GROUP BY 1),
+sig AS (SELECT l.*, CASE WHEN h = hs[1] THEN coalesce(hs[2], 0) ELSE hs[1] END AS s FROM line l JOIN longest USING (doc_id)),
 host AS (SELECT source, count(*) AS docs FROM documents GROUP BY 1),
 freq AS (SELECT s.source, h FROM (SELECT source, h, count(DISTINCT s) AS n FROM sig GROUP BY 1, 2) s JOIN host USING (source) WHERE n > 20 AND n > 0.05 * docs),
 gone AS (SELECT doc_id, sum(words) AS n FROM sig SEMI JOIN freq USING (source, h) GROUP BY 1),
