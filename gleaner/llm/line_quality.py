@@ -4,9 +4,9 @@ Only DataFrame and SQL functions run here. A line is normalised (lower case, whi
 over the distinct documents of its host; lines above the limit are boilerplate and are removed; a document which
 keeps too little of its words is depleted and rejected.
 
-What counts as a distinct document: for each line, documents that share the longest of their *other* lines
-count once. A group of exact copies therefore counts once, and most near copies do too, so copies of a good text
-aren't taken for boilerplate; removing them is the task of deduplication.
+What counts as a distinct document: documents of a host whose normalised lines are all the same, in the same order, count
+once, for a line as for the host's share. A group of copies of a good text therefore isn't taken for boilerplate; texts
+that differ in any word count each, and removing near copies is the task of deduplication.
 
 Defined cases: a null or empty text has no words and fails the base rule (fewer than 50 words); a null host is a
 host of its own; repeated rows are judged alike and all returned; extra columns are ignored by ``judge`` and kept by
@@ -70,22 +70,24 @@ def _hashed(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, text: str, host: str, doc_id: str) -> DataFrame:
-    """(__id, __sha, __host, __at, __line, __words, __sig): each normalised line of each document with its words."""
+    """(__id, __sha, __host, __at, __line, __words, __text): each normalised line of each document with its words and the hash of the whole normalised text.
+
+    A document without lines has one row, with a null line, so that it counts for its host.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     df = docs.select(F.col(doc_id).alias("__id"), F.xxhash64(body).alias("__sha"), F.col(host).cast("string").alias("__host"), F.split(F.lower(body), "\n").alias("__raw"))
     clean = F.transform("__raw", lambda x: F.trim(F.regexp_replace(x, "[\\x20\\x09-\\x0D]+", " ")))
     kept = F.filter(clean, lambda x: x != "")
     df = df.withColumn("__ls", F.transform(kept, lambda x: F.struct(_hashed(x).alias("h"), (F.length(x) - F.length(_deleted(x, " ")) + 1).alias("n"))))
-    df = df.withColumn("__hs", F.transform(F.slice(F.array_sort(F.array_distinct(F.transform("__ls", lambda x: F.struct((-x["n"]).alias("n"), x["h"].alias("h"))))), 1, 2), lambda x: x["h"]))
-    # with the rows of texts without lines, which go right after: else a filter for them, written out, would do all this twice
-    one = df.select(*_KEY, "__host", F.col("__hs"), F.posexplode_outer("__ls").alias("__at", "__l")).filter("__l IS NOT NULL")
-    first, second = F.get("__hs", F.lit(0)), F.coalesce(F.get("__hs", F.lit(1)), F.lit(0).cast("long"))
-    return one.select(*_KEY, "__host", "__at", F.col("__l.h").alias("__line"), F.col("__l.n").cast("long").alias("__words"), F.when(F.col("__l.h") == first, second).otherwise(first).alias("__sig"))
+    df = df.withColumn("__whole", F.xxhash64(F.transform("__ls", lambda x: x["h"])))
+    one = df.select(*_KEY, "__host", "__whole", F.posexplode_outer("__ls").alias("__at", "__l"))
+    return one.select(*_KEY, "__host", "__at", F.col("__l.h").alias("__line"), F.col("__l.n").cast("long").alias("__words"), F.col("__whole").alias("__text"))
 
 
-def frequent_lines(lines: DataFrame, docs_per_host: DataFrame, min_docs: int, share: float) -> DataFrame:
-    """(__host, __line) of lines in more than max(min_docs, share * the host's documents) distinct documents."""
-    counted = lines.select("__host", "__line", "__sig").distinct().groupBy("__host", "__line").agg(F.count("*").alias("__n")).filter(F.col("__n") > min_docs)
+def frequent_lines(lines: DataFrame, min_docs: int, share: float) -> DataFrame:
+    """(__host, __line) of lines in more than max(min_docs, share * the host's distinct documents) distinct documents."""
+    docs_per_host = lines.select("__host", "__text").distinct().groupBy("__host").agg(F.count("*").alias("__docs"))
+    counted = lines.filter("__line IS NOT NULL").select("__host", "__line", "__text").distinct().groupBy("__host", "__line").agg(F.count("*").alias("__n")).filter(F.col("__n") > min_docs)
     joined = counted.alias("c").join(docs_per_host.alias("d"), F.col("c.__host").eqNullSafe(F.col("d.__host")))
     return joined.filter(F.col("c.__n") > share * F.col("d.__docs")).select("c.__host", "c.__line")
 
@@ -110,8 +112,7 @@ def judge(
     """
     check_columns(docs, text, host, doc_id)
     lines = staged(lines_of(docs, text, host, doc_id), "lines")
-    per_host = docs.groupBy(F.col(host).cast("string").alias("__host")).agg(F.count("*").alias("__docs"))
-    flagged = staged(frequent_lines(lines, per_host, min_docs, share), "frequent-lines")
+    flagged = staged(frequent_lines(lines, min_docs, share), "frequent-lines")
     some = F.broadcast(flagged) if flagged.count() <= BROADCAST_LINES else flagged
     hit = lines.alias("l").join(some.alias("f"), F.col("l.__host").eqNullSafe(F.col("f.__host")) & (F.col("l.__line") == F.col("f.__line")), "left_semi")
     removed = hit.select(*_KEY, "__at", "__words").distinct().groupBy(*_KEY).agg(F.sum("__words").alias("__sum"))

@@ -58,6 +58,19 @@ def test_frequent_lines_deplete(spark):
     assert {r.doc_id for r in line_quality.keep(df, min_words=10, max_repeat_percent=100).collect()} == {i for i, k in kept.items() if k}
 
 
+def test_long_templates_are_counted_per_document(spark):
+    template = ["\n".join(" ".join(f"shared{k}word{j}" for j in range(n)) for k, n in enumerate((30, 25, 15)))]
+    rows = [(i, f"{template[0]}\nown{i} text{i} here{i}", "long") for i in range(100)]
+    # copies and empty texts count once for the share as well: 30 of 530 distinct texts have the line
+    few = "a line that thirty of the documents of this host have"
+    rows += [(1000 + i, f"{few}\n" + " ".join(f"few{i}word{j}" for j in range(60)), "few") for i in range(30)]
+    rows += [(2000 + i, " ".join(f"other{i}word{j}" for j in range(60)), "few") for i in range(499)] + [(3000 + i, "", "few") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.base_failed, r.removed_words, r.kept) for r in line_quality.judge(df).collect()}
+    assert all(got[i] == (False, 70, False) for i in range(100))
+    assert all(got[1000 + i] == (False, len(few.split()), True) for i in range(30))
+
+
 # near-duplicates ---------------------------------------------------------------------------------------------------------
 
 
