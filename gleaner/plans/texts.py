@@ -162,6 +162,13 @@ def containment_dupes(t: Tables) -> DataFrame:
     return M.contained(t.problems(), parts, "problem_id", "part_id", "statement", "[a-z]{4,}", 0.2).withColumn("share", F.round("share", 6))
 
 
+@query()
+def containment_dupes_all(t: Tables) -> DataFrame:
+    """As containment_dupes, over all parts: distinct statements are compared and ids joined back."""
+    parts = t.raw("part").select(F.col("p_partkey").alias("part_id"), F.concat("p_type", F.lit(" economy price market exports crude women housing")).alias("statement"))
+    return M.contained_all(t.problems(), parts, "problem_id", "part_id", "statement", "[a-z]{4,}", 0.2).withColumn("share", F.round("share", 6))
+
+
 @query(
     r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents), g AS (SELECT doc_id, unnest(range(greatest(len(w) - 7, 0))) AS position, unnest(list_transform(range(greatest(len(w) - 7, 0)), lambda i: array_to_string(w[i + 1:i + 8], ' '))) AS gram FROM w), bw AS (SELECT list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM benchmark), b AS (SELECT DISTINCT unnest(list_transform(range(greatest(len(w) - 7, 0)), lambda i: array_to_string(w[i + 1:i + 8], ' '))) AS gram FROM bw) SELECT doc_id, min(position) AS position, first(gram ORDER BY position) AS gram FROM g SEMI JOIN b USING (gram) GROUP BY 1"
 )

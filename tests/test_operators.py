@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -154,3 +155,18 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
     ingest.ingest(spark, land, table, check).awaitTermination()
     assert spark.read.parquet(table).count() == 3
     assert ingest.source_activity(spark, land).isStreaming
+
+
+def test_containment_over_all_parts(spark, small):
+    from gleaner.plans import catalogue
+    from gleaner.plans.tables import Tables
+
+    words = lambda s: set(re.findall("[a-z]{4,}", s.lower()))
+    t = Tables(spark, small)
+    parts = [(r.p_partkey, words(r.p_type + " economy price market exports crude women housing")) for r in t.raw("part").collect()]
+    want = []
+    for r in t.problems().collect():
+        own = words(r.statement)
+        want += [(r.problem_id, k, round(len(own & w) / len(own), 6)) for k, w in parts if len(own & w) / len(own) > 0.2]
+    got = rows(catalogue.queries()["containment_dupes_all"](spark, small).select("problem_id", "part_id", "share"))
+    assert got == sorted(want, key=repr) and len(got) > catalogue.queries()["containment_dupes"](spark, small).count()
