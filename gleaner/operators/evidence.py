@@ -80,11 +80,13 @@ def topic_links(topics: DataFrame, generic: list[str], generic_weight: float = 0
     Topics are few and problems many, so pairs are counted over the distinct sets of topics and joined back.
     """
     weight = F.when(F.col("topic").isin(generic), generic_weight).otherwise(1.0)
-    one = topics.select("problem_id", "topic").distinct().withColumn("w", weight)
-    other = one.select(F.col("problem_id").alias("b"), "topic")
-    pairs = one.withColumnRenamed("problem_id", "a").join(other, "topic").filter("a < b")
-    out = pairs.groupBy("a", "b").agg(F.sum("w").alias("score"), F.max("w").alias("m"))
-    return out.filter((F.col("score") >= least) & (F.col("m") >= 1.0)).select("a", "b", "score")
+    sets = topics.select("problem_id", "topic").distinct().groupBy("problem_id").agg(F.sort_array(F.collect_list("topic")).alias("s"))
+    one = sets.select("s").distinct().select(F.col("s").alias("sa"), F.explode("s").alias("topic")).withColumn("w", weight)
+    other = one.select(F.col("sa").alias("sb"), "topic")
+    shared = one.join(other, "topic").groupBy("sa", "sb").agg(F.sum("w").alias("score"), F.max("w").alias("m"))
+    linked = shared.filter((F.col("score") >= least) & (F.col("m") >= 1.0)).select("sa", "sb", "score")
+    a, b = (sets.select(F.col("problem_id").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
+    return linked.join(a, "sa").join(b, "sb").filter("a < b").select("a", "b", "score")
 
 
 def value_bands(numbers: DataFrame, values: DataFrame, width: float = 0.051) -> DataFrame:

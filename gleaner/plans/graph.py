@@ -124,6 +124,14 @@ def problem_topic_links(t: Tables) -> DataFrame:
     return E.topic_links(topics, ["Brand#1", "Brand#2"])
 
 
+@query()
+def problem_topic_links_all(t: Tables) -> DataFrame:
+    """As problem_topic_links, over all parts."""
+    parts = t.raw("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("topic"))
+    topics = t.raw("lineitem").select("l_partkey", F.col("l_suppkey").alias("problem_id")).join(parts, "l_partkey").select("problem_id", "topic")
+    return E.topic_links(topics, ["Brand#1", "Brand#2"])
+
+
 @query("+n AS (SELECT DISTINCT event_type, round(value, 1) AS number FROM events) SELECT event_type, number, count(*) AS hits, min(p_retailprice) AS nearest_low FROM n JOIN part ON abs(p_retailprice - number) < 0.051 GROUP BY 1, 2", "studies")
 def value_band_join(t: Tables) -> DataFrame:
     numbers = t.raw("events").select("event_type", F.round("value", 1).alias("number")).distinct()

@@ -170,3 +170,25 @@ def test_containment_over_all_parts(spark, small):
         want += [(r.problem_id, k, round(len(own & w) / len(own), 6)) for k, w in parts if len(own & w) / len(own) > 0.2]
     got = rows(catalogue.queries()["containment_dupes_all"](spark, small).select("problem_id", "part_id", "share"))
     assert got == sorted(want, key=repr) and len(got) > catalogue.queries()["containment_dupes"](spark, small).count()
+
+
+def test_topic_links_over_all_parts(spark, small):
+    from gleaner.plans import catalogue
+    from gleaner.plans.tables import Tables
+
+    t = Tables(spark, small)
+    brand = {r.p_partkey: r.p_brand for r in t.raw("part").collect()}
+    topics: dict[int, set] = {}
+    for r in t.raw("lineitem").select("l_suppkey", "l_partkey").distinct().collect():
+        if r.l_partkey in brand:
+            topics.setdefault(r.l_suppkey, set()).add(brand[r.l_partkey])
+    weight = lambda x: 0.25 if x in ("Brand#1", "Brand#2") else 1.0
+    want = []
+    for a in topics:
+        for b in topics:
+            w = [weight(x) for x in topics[a] & topics[b]]
+            if a < b and sum(w) >= 1 and max(w) >= 1:
+                want.append((a, b, sum(w)))
+    got = rows(catalogue.queries()["problem_topic_links_all"](spark, small))
+    fewer = catalogue.queries()["problem_topic_links"](spark, small).agg(F.sum("score")).first()[0] or 0
+    assert got == sorted(want, key=repr) and sum(r[2] for r in got) > fewer
