@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import tokens
+from gleaner.operators.common import top_k
 
 
 def overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str, pattern: str, least: int) -> DataFrame:
@@ -155,6 +156,18 @@ def keywords(text: Column, stop: list[str], most: int = 8) -> Column:
     return F.slice(F.filter(tokens(text, "[a-z]{5,}"), lambda w: ~w.isin(stop)), 1, most)
 
 
+def best_by_keywords(topics: DataFrame, articles: DataFrame, topic_id: str, article_id: str, text: str, title: str, stop: list[str], least: int = 2, k: int = 6) -> DataFrame:
+    """(topic_id, article_id, hits): the k articles of each topic whose titles hold most of its keywords, at least so many.
+
+    Each distinct keyword is looked for once in each title; equi-joins bring topics and titles together.
+    """
+    own = topics.select(topic_id, F.explode(keywords(F.col(text), stop)).alias("word"))
+    titles = articles.select(article_id, F.lower(title).alias("__title"))
+    held = titles.join(own.select("word").distinct(), F.col("__title").contains(F.col("word"))).select(article_id, "word").distinct()
+    scored = own.join(held, "word").groupBy(topic_id, article_id).agg(F.count("*").cast("int").alias("hits")).filter(F.col("hits") >= least)
+    return top_k(scored, [topic_id], [F.desc("hits"), F.desc(article_id)], k)
+
+
 def hits(words: Column, text: Column) -> Column:
     """How many of the words the text holds, as substrings."""
     low = F.lower(text)

@@ -190,6 +190,13 @@ def top_articles_by_keywords(t: Tables) -> DataFrame:
     return F.broadcast(best).crossJoin(topics).select("topic", "artifact_id", "hits")
 
 
+@query()
+def top_articles_by_own_keywords(t: Tables) -> DataFrame:
+    """Six articles for each problem by the keywords of its own statement, two at least in the article's first 300 characters."""
+    a = t.artifacts().select("artifact_id", F.substring("content", 1, 300).alias("title"))
+    return M.best_by_keywords(t.problems(), a, "problem_id", "artifact_id", "statement", "title", R.KEYWORD_STOP)
+
+
 @query("SELECT page_id, regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1), '^www\\.', '') AS host FROM pages")
 def host_extract(t: Tables) -> DataFrame:
     return t.raw("pages").select("page_id", T.host(F.col("url")).alias("host"))
