@@ -22,6 +22,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -215,17 +216,19 @@ def features(nodes: list[Node]) -> np.ndarray:
             a[p] += a[i]
     total = max(size[0], 1)
     near = 22 + len(PARTS)
+    place = {id(m): k for node in nodes for k, m in enumerate(node.children)}
+    kinds = [Counter(m.tag for m in node.children) for node in nodes]
     for i, node in enumerate(nodes):
         p = node.parent.number if node.parent is not None else 0
         mates = node.parent.children if node.parent is not None else [node]
-        alike = [m for m in mates if m.tag == node.tag]
-        at = next((k for k, m in enumerate(mates) if m is node), 0) if len(mates) < 500 else 0
+        alike = kinds[p][node.tag] if node.parent is not None else 1
+        at = place.get(id(node), 0)
         style = node.attributes.get("style", "").replace(" ", "").lower()
         hidden = "hidden" in node.attributes or node.attributes.get("aria-hidden") == "true" or "display:none" in style
         s = size[i]
         x[i, :22] = (
             _TAG_NUMBER.get(node.tag, -1), depth[i], math.log1p(s), links[i] / s if s else 0, inner[i] / (s + 1) * 100, paragraphs[i], commas[i] / (s + 1) * 100,
-            math.log1p(own_size[i]), s / total, len(node.children), at / len(mates), len(mates), len(alike), s / max(size[p], 1), paragraphs[p], links[p] / max(size[p], 1),
+            math.log1p(own_size[i]), s / total, len(node.children), at / len(mates), len(mates), alike, s / max(size[p], 1), paragraphs[p], links[p] / max(size[p], 1),
             _TAG_NUMBER.get(node.parent.tag, -1) if node.parent is not None else -2, math.log1p(size[p]), hidden, math.log1p(inner[i]), own_size[i] / (s + 1), i / n,
         )
         if node.parent is not None:

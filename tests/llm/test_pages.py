@@ -91,3 +91,11 @@ def test_extract_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None)]
     got = html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted(str(r.page_id) for r in got) == ["1", "1", "None"] and all(r.n_chars == len(r.text) for r in got)
+
+
+def test_siblings_are_numbered_at_any_size():
+    nodes = html_main.flat(html_main.parse("<div>" + "".join(f"<p>paragraph number {k} of a long page</p>" for k in range(600)) + "</div>"))
+    mates = max((n.children for n in nodes), key=len)
+    x = html_main.features(nodes)
+    assert len(mates) == 600 and np.allclose([x[m.number, 10] for m in mates], np.arange(600) / 600)
+    assert all(x[m.number, 12] == 600 for m in mates)
