@@ -166,7 +166,7 @@ def merge(bins: DataFrame, limit: int, full: int) -> DataFrame | None:
             moved = moved.select("m.bin", F.coalesce("s.into", "m.into").alias("into"), (F.col("m.at") + F.coalesce("s.at", F.lit(0))).alias("at"))
         left = step.filter(f"bin = into AND fill < {full}").select("bin", "fill")
         before, n, turn = n, left.count(), turn + 1
-        if groups == 1 or n > 0.98 * before:
+        if groups == 1 or n == before:
             break
     return moved
 

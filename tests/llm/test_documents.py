@@ -318,6 +318,14 @@ def test_language_model_is_a_distribution_and_helps(spark, real):
     assert out["score"].sum() > out["base_score"].sum()
 
 
+def test_merge_goes_on_while_rounds_gain(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_BINS", 50)
+    bins = spark.createDataFrame([(i, 900) for i in range(1000)] + [(1000 + i, 500) for i in range(40)], "bin long, bin_fill long")
+    into = collections.Counter(r["into"] for r in packing.merge(bins, 1024, 1022).collect())
+    alone = sum(1 for b, n in into.items() if b >= 1000 and n == 1)
+    assert sum(into.values()) == 1040 and alone <= 2
+
+
 def test_exchange_finds_alternating_classes():
     rng = np.random.default_rng(1)
     n, kind = 40, np.arange(40) % 2
