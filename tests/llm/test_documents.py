@@ -288,34 +288,103 @@ def test_best_fit_and_merge_rounds(spark, monkeypatch):
 # language model ------------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("which,head", [("docs", 20), ("docs", 100_000), ("real", 500)])
-def test_language_model_base(which, head, request):
+def lm_tokens(text):
+    return [*WORD.findall(ascii_lower(text)), " "]
+
+
+def lm_held(i):
+    return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+
+
+@pytest.mark.parametrize("which,chunk,piece", [("docs", 400_000, 1 << 20), ("docs", 50, 100), ("real", 20_000, 1 << 20)])
+def test_language_model_base(which, chunk, piece, request, monkeypatch):
+    monkeypatch.setattr(class_lm, "CHUNK_TOKENS", chunk)
+    monkeypatch.setattr(class_lm, "PIECE", piece)
     df = request.getfixturevalue(which)
     rows = df.collect()
-    split = lambda t: [*WORD.findall(ascii_lower(t)), " "]
-    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    c = collections.Counter(x for r in rows if not held(r.doc_id) for x in split(r.text))
+    c = collections.Counter(x for r in rows if not lm_held(r.doc_id) for x in lm_tokens(r.text))
     total, distinct = sum(c.values()), len(c)
-    got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in class_lm.train_and_score(df, head=head).collect()), key=repr)
+    got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in class_lm.train_and_score(df, core=100).collect()), key=repr)
     want = []
     for r in rows:
-        w = split(r.text)
-        want.append((r.doc_id, held(r.doc_id), len(w), sum(c[x] > 0 for x in w), total, round(sum(math.log10((c[x] + 1) / (total + distinct + 1)) for x in w), 4)))
+        w = lm_tokens(r.text)
+        want.append((r.doc_id, lm_held(r.doc_id), len(w), sum(c[x] > 0 for x in w), total, round(sum(math.log10((c[x] + 1) / (total + distinct + 1)) for x in w), 4)))
     assert got == sorted(want, key=repr)
 
 
-def test_language_model_is_a_distribution_and_helps(spark, real):
-    train = real
-    counts = class_lm.staged(class_lm.count_tokens(train), "counts")
-    model = class_lm.fit(train, counts, head=400, clustered=100, classes=8)
-    assert np.allclose((10**model.transition).sum(1), 1)
-    tail = len(model.class_of) - 1
-    mass = np.bincount(model.class_of[:-1], 10 ** model.emission[:-1], tail + 1)[: model.class_of[tail] + 1]
-    rare = sum(r.n for r in counts.collect() if bytes(r.word) not in model.head) + 10**model.unknown
-    mass[model.class_of[tail]] = 10 ** model.emission[tail] * rare
-    assert np.allclose(mass, 1)
-    out = class_lm.train_and_score(real).filter("held_out").toPandas()
-    assert out["score"].sum() > out["base_score"].sum()
+@pytest.mark.parametrize("which", ["docs", "real"])
+def test_language_model_by_brute_force(which, request, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(class_lm, "CHUNK_TOKENS", 5_000)
+    df = request.getfixturevalue(which)
+    rows = df.collect()
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
+    fitted = class_lm.fit(df, held, core=60, classes=6)
+    known = {bytes(r["word"]).decode(): (r["n"], r["class"]) for r in class_lm.word_classes(fitted).collect()}
+    train = [lm_tokens(r.text) for r in rows if not lm_held(r.doc_id)]
+    counts = collections.Counter(x for t in train for x in t)
+    # every training word, however rare, has its whole count and one class
+    assert {w: n for w, (n, _) in known.items()} == dict(counts)
+    g = 1 + max(c for _, c in known.values())
+    assert known[" "][1] == g - 1 and sum(c == g - 1 for _, c in known.values()) == 1
+    mass, once, pairs = np.zeros(g), np.ones(g), np.zeros((g + 1, g))
+    for w, n in counts.items():
+        mass[known[w][1]] += n
+        once[known[w][1]] += n == 1
+    for t in train:
+        for a, b in zip([" ", *t], t, strict=False):
+            pairs[known[a][1], known[b][1]] += 1
+    shares = (pairs.sum(0) + 0.5) / (pairs.sum() + 0.5 * g)
+    chance = (pairs + 20 * shares) / (pairs.sum(1, keepdims=True) + 20)
+    assert np.allclose((chance * (mass / (mass + once))).sum(1) + (chance * (once / (mass + once))).sum(1), 1)
+    want = []
+    for r in rows:
+        total, before = 0.0, g - 1
+        for x in lm_tokens(r.text):
+            n, c = known.get(x, (0, g))
+            p = chance[before, c] * n / (mass[c] + once[c]) if n else (chance[before] * once / (mass + once)).sum()
+            total, before = total + math.log10(p), c
+        want.append((r.doc_id, round(total, 4)))
+    got = [(r["__id"], round(r.score, 4)) for r in class_lm.scored(fitted.ready, fitted.model).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_language_model_beats_word_counts_out_of_sample(spark):
+    out = class_lm.train_and_score(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).filter("held_out").toPandas()
+    n = out["n_tokens"].sum()
+    assert 10 ** (-out["score"].sum() / n) < 0.25 * 10 ** (-out["base_score"].sum() / n)
+
+
+def test_assign_takes_the_best_class():
+    rng = np.random.default_rng(3)
+    g, size = 5, 40
+    grid = rng.integers(0, 40, (g, g)).astype(float)
+    word, near = np.nonzero(rng.random((size - 1, 2 * g)) < 0.3)
+    n = rng.integers(1, 14, len(word))
+    own = np.where(rng.random(size) < 0.5, rng.integers(0, g - 1, size), -1)
+
+    def info(x):
+        return x * math.log(max(x, 1))
+
+    got = class_lm.assign(size, word, near, n, grid, own)
+    for w in range(size):
+        mine = [(int(d), int(k)) for x, d, k in zip(word, near, n, strict=True) if x == w]
+        if not mine:
+            assert got[w] == -1
+            continue
+        value = []
+        for c in range(g - 1):
+            # with the word in class c against without it, the two sides of a pair apart
+            total = 0.0
+            for d, k in mine:
+                cell = grid[d, c] if d < g else grid[c, d - g]
+                total += info(cell) - info(max(cell - k, 0)) if own[w] == c else info(cell + k) - info(cell)
+            for side, whole in ((0, grid[:, c].sum()), (1, grid[c].sum())):
+                k = sum(k for d, k in mine if (d >= g) == bool(side))
+                total -= info(whole) - info(max(whole - k, 0)) if own[w] == c else info(whole + k) - info(whole)
+            value.append(total)
+        assert value[got[w]] >= max(value) - 1e-6
 
 
 def test_merge_goes_on_while_rounds_gain(spark, monkeypatch):
