@@ -38,12 +38,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import bounded_batches, check_columns, emit, rows, staged, trim
+from gleaner.llm.common import bounded_batches, check_columns, emit, release, rows, scratch, staged, trim
 
 #: The end token; no word holds a blank.
 END = b" "
 #: Tokens in a chunk (a longer document has one of its own), bytes of text that one bucket of words stands for, bytes tokenised at once.
-CHUNK_TOKENS, BUCKET_BYTES, PIECE = 400_000, 4_000_000, 1 << 20
+CHUNK_TOKENS, BUCKET_BYTES, PIECE = 1_000_000, 8_000_000, 1 << 20
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -69,18 +69,25 @@ _CHUNK_ARROW = pa.schema(
 )
 
 
-def _planes(ids: np.ndarray) -> bytes:
-    """32-bit numbers as four planes of bytes, compressed."""
-    return pa.compress(np.ascontiguousarray(ids.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+def _zip(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
-def _unplaned(data: bytes, n: int) -> np.ndarray:
-    flat = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(flat.reshape(4, n).T).view("<i4").ravel()
+def _unzip(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Integers as planes of bytes, compressed: planes of zeros take next to nothing."""
+    return _zip(np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_unzip(data), np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
 def chunks(docs: DataFrame, held_out: Column, buckets: int, text: str, doc_id: str) -> DataFrame:
-    """The documents' tokens in chunks; words of a chunk are sorted by bucket and joined by line ends."""
+    """The documents' tokens in chunks; words of a chunk are sorted by bucket and by themselves, and joined by line ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = TaskContext.get().partitionId() << 32
@@ -89,15 +96,15 @@ def chunks(docs: DataFrame, held_out: Column, buckets: int, text: str, doc_id: s
         ids, held, sizes, parts, n = [], [], [], [], 0
 
         def chunk() -> pa.RecordBatch:
-            words = list(number)
+            words = sorted(number)
             bucket = np.array([crc32(w) for w in words], np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
-            rank = np.empty(len(words), np.int32)
-            rank[order] = np.arange(len(words))
+            words = [words[k] for k in order.tolist()]
+            rank = np.empty(len(words), np.int64)
+            rank[np.array([number[w] for w in words])] = np.arange(len(words))
             bucket = bucket[order]
             last = np.flatnonzero(np.append(bucket[1:] != bucket[:-1], True))
-            body = _planes(rank[np.concatenate(parts)])
-            return emit({"chunk": [turn], "ids": [ids], "held": [held], "sizes": [sizes], "buckets": [bucket[last].tolist()], "ends": [(last + 1).tolist()], "words": [b"\n".join([words[k] for k in order.tolist()])], "body": [body]}, _CHUNK_ARROW)
+            return emit({"chunk": [turn], "ids": [ids], "held": [held], "sizes": [sizes], "buckets": [bucket[last].tolist()], "ends": [(last + 1).tolist()], "words": [_zip(b"\n".join(words))], "body": [packed(rank[np.concatenate(parts)])]}, _CHUNK_ARROW)
 
         for i, h, t in rows(batches, "__id", "__held", "__text"):
             before = n
@@ -124,8 +131,8 @@ class _Chunk:
         self.number, self.ids, self.held = row["chunk"], row["ids"], row["held"]
         self.sizes = np.array(row["sizes"], np.int64)
         self.ends = np.cumsum(self.sizes)
-        self.x = _unplaned(row["body"], int(self.ends[-1]))
-        self.words = row["words"].split(b"\n")
+        self.x = unpacked(row["body"])
+        self.words = _unzip(row["words"]).split(b"\n") if "words" in row else []
         self.train = np.repeat(~np.array(self.held, bool), self.sizes)
         self.end = int(self.x[-1])
         self.before = np.append(self.end, self.x[:-1])  # each document ends with the end token, which the next one follows
@@ -133,7 +140,7 @@ class _Chunk:
         self.slices = list(zip(row["buckets"], lows, row["ends"], strict=True))
 
     def counts(self) -> np.ndarray:
-        return np.bincount(self.x[self.train], minlength=len(self.words))
+        return np.bincount(self.x[self.train], minlength=self.slices[-1][2])
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Chunk, dict]]:
@@ -162,13 +169,13 @@ def count_words(held: DataFrame, core: int) -> DataFrame:
                 some = np.flatnonzero(n[a:b]) + a
                 if len(some):
                     out["bucket"].append(bucket)
-                    out["words"].append(b"\n".join([chunk.words[k] for k in some.tolist()]))
-                    out["n"].append(n[some].astype("<i8").tobytes())
+                    out["words"].append(_zip(b"\n".join([chunk.words[k] for k in some.tolist()])))
+                    out["n"].append(packed(n[some]))
             yield emit(out, schema)
 
     def add(table: pa.Table) -> pa.Table:
         words, code = _encoded(table["words"])
-        n = np.bincount(code, np.concatenate([np.frombuffer(x, "<i8") for x in table["n"].to_pylist()]), len(words)).astype(np.int64)
+        n = np.bincount(code, np.concatenate([unpacked(x) for x in table["n"].to_pylist()]), len(words)).astype(np.int64)
         most = sorted((k for k in range(len(words)) if words[k] != END), key=lambda k: (-n[k], words[k]))[:core]
         return pa.table([pa.array([int(n.sum())]), pa.array([len(words)]), pa.array([[words[k] for k in most]], pa.list_(pa.binary())), pa.array([[int(n[k]) for k in most]], pa.list_(pa.int64()))], schema=result)
 
@@ -179,7 +186,7 @@ def _encoded(column: pa.ChunkedArray) -> tuple[list[bytes], np.ndarray]:
     """The distinct words of joined lists, and each listed word's number among them."""
     number: defaultdict[bytes, int] = defaultdict()
     number.default_factory = number.__len__
-    parts = [x.split(b"\n") for x in column.to_pylist()]
+    parts = (_unzip(x).split(b"\n") for x in column.to_pylist())
     code = [np.fromiter(map(number.__getitem__, p), np.int64, len(p)) for p in parts]
     return list(number), np.concatenate(code)
 
@@ -325,7 +332,7 @@ def _joined(held: DataFrame, state: DataFrame) -> DataFrame:
 def _known(row: dict) -> tuple[np.ndarray, np.ndarray]:
     """A chunk's words' counts and classes, in their order."""
     parts = sorted(row["state"], key=lambda s: s["bucket"])
-    return np.concatenate([np.frombuffer(s["n"], "<i8") for s in parts]), np.concatenate([np.frombuffer(s["class"], np.int8) for s in parts]).astype(np.int64)
+    return np.concatenate([unpacked(s["n"]) for s in parts]), np.concatenate([unpacked(s["class"]) for s in parts])
 
 
 def exchange_round(held: DataFrame, classes: dict[bytes, int], grid: np.ndarray, last: bool) -> DataFrame:
@@ -335,7 +342,7 @@ def exchange_round(held: DataFrame, classes: dict[bytes, int], grid: np.ndarray,
     """
     g, first = len(grid), "state" not in held.columns
     sent = held.sparkSession.sparkContext.broadcast((classes, grid))
-    names = ("bucket", "chunk", "words", "n", "own", "word", "near", "times")
+    names = ("bucket", "chunk", "words", "n", "own", "many", "near", "times")
     schema = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), *[(x, pa.binary()) for x in names[2:]]])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,10 +360,8 @@ def exchange_round(held: DataFrame, classes: dict[bytes, int], grid: np.ndarray,
             cuts = np.searchsorted(word, [a for _, a, _ in chunk.slices] + [len(chunk.words)])
             out: dict[str, list] = {x: [] for x in names}
             for (bucket, a, b), low, high in zip(chunk.slices, cuts, cuts[1:], strict=False):
-                values = (
-                    bucket, chunk.number, b"\n".join(chunk.words[a:b]), n[a:b].astype("<i8").tobytes(), own[a:b].astype(np.int8).tobytes(),
-                    (word[low:high] - a).astype("<i4").tobytes(), near[low:high].astype(np.uint8).tobytes(), times[low:high].astype("<i4").tobytes(),
-                )
+                many = np.bincount(word[low:high] - a, minlength=b - a)
+                values = (bucket, chunk.number, _zip(b"\n".join(chunk.words[a:b])), *map(packed, (n[a:b], own[a:b], many, near[low:high], times[low:high])))
                 for x, v in zip(names, values, strict=True):
                     out[x].append(v)
             yield emit(out, schema)
@@ -364,14 +369,13 @@ def exchange_round(held: DataFrame, classes: dict[bytes, int], grid: np.ndarray,
     def settle(table: pa.Table) -> pa.Table:
         core, fixed_grid = sent.value
         words, code = _encoded(table["words"])
-        sizes = [len(x) // 8 for x in table["n"].to_pylist()]
-        n = np.bincount(code, np.concatenate([np.frombuffer(x, "<i8") for x in table["n"].to_pylist()]), len(words)).astype(np.int64)
+        counts, own_, many, near, times = ([unpacked(x) for x in table[c].to_pylist()] for c in ("n", "own", "many", "near", "times"))
+        sizes = [len(x) for x in counts]
+        n = np.bincount(code, np.concatenate(counts), len(words)).astype(np.int64)
         own = np.full(len(words), -1, np.int64)
-        own[code] = np.concatenate([np.frombuffer(x, np.int8) for x in table["own"].to_pylist()])
+        own[code] = np.concatenate(own_)
         starts = np.cumsum([0, *sizes[:-1]])
-        word = np.concatenate([code[np.frombuffer(x, "<i4") + s] for x, s in zip(table["word"].to_pylist(), starts.tolist(), strict=True)])
-        near = np.concatenate([np.frombuffer(x, np.uint8) for x in table["near"].to_pylist()]).astype(np.int64)
-        times = np.concatenate([np.frombuffer(x, "<i4") for x in table["times"].to_pylist()])
+        word, near, times = np.repeat(code, np.concatenate(many)), np.concatenate(near), np.concatenate(times)
         both, back = np.unique(word * (2 * g) + near, return_inverse=True)
         times = np.bincount(back, times, len(both)).astype(np.int64)
         word, near = both // (2 * g), both % (2 * g)
@@ -387,8 +391,8 @@ def exchange_round(held: DataFrame, classes: dict[bytes, int], grid: np.ndarray,
         seen = (n > 0) & (found >= 0)
         out = {"chunk": table["chunk"].to_pylist(), "bucket": table["bucket"].to_pylist(), "n": [], "class": [], "pairs": [None] * len(sizes), "mass": [None] * len(sizes), "once": [None] * len(sizes)}
         for s, size in zip(starts.tolist(), sizes, strict=True):
-            out["n"].append(n[code[s : s + size]].astype("<i8").tobytes())
-            out["class"].append(found[code[s : s + size]].astype(np.int8).tobytes())
+            out["n"].append(packed(n[code[s : s + size]]))
+            out["class"].append(packed(found[code[s : s + size]]))
         totals = (-1, out["bucket"][0], None, None, pairs.astype(np.int64).tolist(), np.bincount(found[seen], n[seen], g).astype(np.int64).tolist(), np.bincount(found[seen & (n == 1)], minlength=g).tolist())
         for x, v in zip(_STATE_ARROW.names, totals, strict=True):
             out[x].append(v)
@@ -396,7 +400,7 @@ def exchange_round(held: DataFrame, classes: dict[bytes, int], grid: np.ndarray,
         trim()
         return pa.table([pa.array(out[f.name], f.type) for f in _STATE_ARROW], schema=_STATE_ARROW)
 
-    return held.mapInArrow(send, "bucket long, chunk long, words binary, n binary, own binary, word binary, near binary, times binary").groupBy("bucket").applyInArrow(settle, _STATE)
+    return held.mapInArrow(send, "bucket long, chunk long, words binary, n binary, own binary, many binary, near binary, times binary").groupBy("bucket").applyInArrow(settle, _STATE)
 
 
 def summed(df: DataFrame, column: str, size: int) -> np.ndarray:
@@ -522,9 +526,11 @@ def fit(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "do
     grid, state = among, None
     for turn in range(rounds):
         given = held if state is None else _joined(held, state)
+        before = scratch()[-1:] if turn else []
         state = staged(exchange_round(given, fixed, grid, turn == rounds - 1), "classes")
+        release(before)
         grid = among + summed(state, "pairs", g * g).reshape(g, g)
-    ready = staged(resolve(_joined(held, state), g), "ready")
+    ready = staged(resolve(_joined(held.drop("words"), state), g), "ready")
     pairs = summed(ready, "pairs", g * g).reshape(g, g)
     return Fitted(held, state, ready, model_of(pairs, summed(state, "mass", g), summed(state, "once", g), int(total), int(different), prior))
 
