@@ -26,8 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one under /tmp where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{os.getpid()}").rstrip("/")
+    """The folder all executors see: spark.checkpoint.dir. Where it is unset, one under /tmp, on a single machine only."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        given = f"file:///tmp/checkpoints/{os.getpid()}"
+    return given.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
@@ -118,6 +124,12 @@ def check_columns(df: DataFrame, *names: str) -> None:
         raise ValueError(f"columns are missing: {', '.join(missing)}")
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns renamed c0, c1, ... so that joined columns can't clash with them, and the new names by the old ones."""
+    names = [f"c{n}" for n in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True))
+
+
 def broadcast_if_small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
     """df with a broadcast hint where it has at most so many (narrow) rows; else as it is, for a shuffled join."""
     from pyspark.sql import functions as F
