@@ -1,36 +1,44 @@
 """SimHash near-duplicates: exact comparison of fingerprints in tiles, by numpy exclusive-or and bit counts.
 
-Tiles. Fingerprints within ``radius`` bits of each other agree on at least ``blocks - radius`` of ``blocks`` blocks of
-bits, so those that agree on such a choice of blocks are compared with each other, and none are lost. Within such a
-set, fingerprints are sorted by their number of ones and cut into tiles; pairs of tiles whose numbers of ones differ by more
-than the radius can't hold a link and are skipped. Sets too large for one task are cut into tiles by that number and
-a salt beforehand, and the pairs of tiles are dealt out to tasks. Only distinct fingerprints are compared, and each
+Tiles. All distinct fingerprints are dealt to tiles by their number of ones, or, for larger inputs, by the numbers of
+ones of their halves or quarters; a tile that would be too large is cut by a salt. A pair of tiles whose population counts
+differ by more than the radius can't hold a link and is skipped; every other pair is dealt out, to a task that holds just
+these two tiles. There both are sorted by the population counts of their quarters and cut into small tiles, pairs of
+which are skipped by the same rule, and the rest is compared, each fingerprint with each, by exclusive-or and bit
+counts. Pairs of very large tiles are first narrowed down to fingerprints that agree on enough blocks of bits (those
+within the radius do, by the pigeonhole principle), then compared in the same way. All links come from a pair of tiles, and each
 task gives a spanning forest of its links, not all pairs.
 
+Cost. With n distinct fingerprints each is sent to the tiles within reach: 9 at most by ones, 41 by halves, 321 by
+quarters, times the salts of a tile (2 or 3 as tiles grow with n). Work within a task is the square of a tile, less what
+is skipped, up to the bound from which on blocks narrow it down.
+
 Defined cases: null and empty texts have fingerprint zero and link like any other; a text of fewer words than a
 shingle has one shingle; rows without a doc_id get a fingerprint and no component; repeated rows are all returned by
-``fingerprint_components`` and one of them stays in ``deduplicate``; extra columns are ignored or kept.
+``fingerprint_components`` and one of them stays in ``deduplicate``; rows that share an id but not a text have each the component of their text, and all go if one
+of them does; extra columns are ignored or kept, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import bounded_batches, broadcast_if_small, check_columns, emit, rows, staged, trim
+from gleaner.llm.common import bounded_batches, broadcast_if_small, check_columns, emit, numbered, rows, staged, trim
 from gleaner.llm.graph import components, forest
 
-TILE = 1024
-#: Sets of more fingerprints than this are cut before they go to tasks.
-MOST_IN_SET = 20_000
-#: Sets up to this size are compared together, place by place.
-_DIAGONAL = 48
+#: Fingerprints in a small tile; in a tile at least and at most; comparisons of a pair of tiles from which on blocks narrow it down.
+SMALL, LEAST, MOST = 256, 4096, 1 << 20
+DENSE = 1 << 32
+#: Up to so many distinct fingerprints tiles go by all ones, by those of halves, beyond by those of quarters.
+WHOLE, HALVES = 4_000_000, 64_000_000
+_STEP, _SALT = 128, 1 << 24
 
 
 def fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
@@ -69,135 +77,169 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     return given.mapInArrow(run, "__id long, __fp long")
 
 
-def _tiles(fp: np.ndarray, node: np.ndarray, ones: np.ndarray, radius: int, other: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links within one set sorted by ones; with other (a side, 0 or 1, per row), only between the two sides."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    held = 0
-    for i in range(0, len(fp), TILE):
-        a, last = fp[i : i + TILE], ones[min(i + TILE, len(fp)) - 1]
-        for j in range(i, len(fp), TILE):
-            if ones[j] - last > radius:
-                break
-            near = np.bitwise_count(a[:, None] ^ fp[None, j : j + TILE]) <= radius
-            if i == j:
+def _pairs_near(a: np.ndarray, b: np.ndarray, radius: int, within: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of a and b that link, by small tiles; within: a and b are the same, and each pair counts once."""
+    shifts = np.arange(4, dtype=np.uint64) * np.uint64(16)
+
+    def cut(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        ones = np.bitwise_count((fp[:, None] >> shifts) & np.uint64(0xFFFF)).astype(np.int16)
+        order = np.lexsort(ones.T[::-1])
+        starts = np.arange(0, len(fp), SMALL)
+        return order, fp[order], np.minimum.reduceat(ones[order], starts), np.maximum.reduceat(ones[order], starts)
+
+    if not len(a) or not len(b):
+        return
+    order_a, fa, low_a, high_a = cut(a)
+    order_b, fb, low_b, high_b = (order_a, fa, low_a, high_a) if within else cut(b)
+    for i in range(len(low_a)):
+        # the least by which population counts of these two tiles' quarters can differ
+        apart = np.maximum(0, np.maximum(low_a[i] - high_b, low_b - high_a[i])).sum(1)
+        own = fa[i * SMALL : (i + 1) * SMALL, None]
+        for j in np.flatnonzero(apart <= radius).tolist():
+            if within and j < i:
+                continue
+            near = np.bitwise_count(own ^ fb[None, j * SMALL : (j + 1) * SMALL]) <= radius
+            if within and i == j:
                 near = np.triu(near, 1)
-            if other is not None:
-                near &= other[i : i + TILE, None] != other[None, j : j + TILE]
-            x, y = np.nonzero(near)
-            if len(x):
-                found.append((node[i + x], node[j + y]))
-                held += len(x)
-            if held > 2_000_000:
-                found, held = [forest(*map(np.concatenate, zip(*found, strict=True)))], 0
-    return found
-
-
-def _compare(columns: dict[str, np.ndarray], bounds: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the sets that bounds mark in the sorted columns, as a forest."""
-    fp, node = columns["fp"].view(np.uint64), columns["node"]
-    sizes = np.diff(bounds)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    few = np.repeat((sizes > 1) & (sizes <= _DIAGONAL), sizes)
-    end = np.repeat(bounds[1:], sizes)
-    if few.any():
-        at = np.flatnonzero(few)
-        for d in range(1, _DIAGONAL):
-            at = at[at + d < end[at]]
-            if not len(at):
-                break
-            hit = at[np.bitwise_count(fp[at] ^ fp[at + d]) <= radius]
-            hit = hit[(columns["t"][hit] == columns["u"][hit]) | (columns["own"][hit] != columns["own"][hit + d])]
-            found.append((node[hit], node[hit + d]))
-    for k in np.flatnonzero(sizes > _DIAGONAL):
-        s = slice(bounds[k], bounds[k + 1])
-        across = columns["t"][s.start] != columns["u"][s.start]
-        found += _tiles(fp[s], node[s], columns["ones"][s], radius, columns["own"][s] if across else None)
+            if near.any():
+                x, y = np.nonzero(near)
+                yield order_a[i * SMALL + x], order_b[j * SMALL + y]
+
+
+def _pairs_by_blocks(a: np.ndarray, b: np.ndarray, radius: int, within: bool, most: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same links as _pairs_near, found among those that agree on all but radius of radius + 3 blocks of bits."""
+    blocks = radius + 3
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    for chosen in combinations(range(blocks), blocks - radius):
+        mask = np.uint64(sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen))
+        order = np.argsort(b & mask, kind="stable")
+        keys = (b & mask)[order]
+        low, high = (np.searchsorted(keys, a & mask, side) for side in ("left", "right"))
+        many = np.cumsum(high - low)
+        at = 0
+        while at < len(a):
+            done = many[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(many, done + most, "right")))
+            n = (high - low)[at:to]
+            x = np.repeat(np.arange(at, to), n)
+            for part in range(0, len(x), most):
+                xs = x[part : part + most]
+                y = order[np.arange(part, part + len(xs)) - np.repeat(np.cumsum(n) - n, n)[part : part + most] + low[xs]]
+                hit = np.bitwise_count(a[xs] ^ b[y]) <= radius
+                if within:
+                    hit &= xs < y
+                yield xs[hit], y[hit]
+            at = to
+
+
+def compare(fp: np.ndarray, node: np.ndarray, side: np.ndarray, radius: int, dense: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links of one pair of tiles, as a forest: within the one tile if all sides are 0, else between sides 0 and 1. Beyond dense comparisons, blocks narrow them down."""
+    within = not side.any()
+    a = np.flatnonzero(side == 0)
+    b = a if within else np.flatnonzero(side == 1)
+    ways = _pairs_by_blocks if len(a) * len(b) > dense else _pairs_near
+    found, held = [], 0
+    for x, y in ways(fp[a], fp[b], radius, within):
+        found.append((node[a[x]], node[b[y]]))
+        held += len(x)
+        if held > 2_000_000:
+            found, held = [forest(*map(np.concatenate, zip(*found, strict=True)))], 0
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return forest(*map(np.concatenate, zip(*found, strict=True)))
 
 
-def links(distinct: DataFrame, radius: int = 4, bits: int = 64) -> DataFrame:
-    """(a, b) of nodes, a spanning set of all pairs of distinct(__fp, __node) within radius bits of each other."""
-    n = distinct.count()
-    blocks = radius + 1
-    while blocks < radius + 4 and n >> (bits * (blocks - radius) // blocks) > 2048:
-        blocks += 1
-    edges = [bits * i // blocks for i in range(blocks + 1)]
-    masks = []
-    for chosen in combinations(range(blocks), blocks - radius):
-        mask = sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    keyed = distinct.select(
-        F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col("__fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])).alias("s"),
-        F.col("__fp").alias("fp"),
-        F.col("__node").alias("node"),
-        F.bit_count("__fp").cast("int").alias("ones"),
-    ).select("s.c", "s.k", "fp", "node", "ones")
-    large = staged(keyed.groupBy("c", "k").agg(F.count("*").alias("n")).filter(F.col("n") > MOST_IN_SET), "large-sets")
-    whole = F.lit(-1)
-    if large.isEmpty():
-        dealt = keyed.select("*", whole.alias("t"), whole.alias("u"), whole.alias("own"))
-    else:
-        salts = F.ceil(F.col("n") / F.lit(4 * MOST_IN_SET)).cast("int")
-        joined = keyed.join(broadcast_if_small(large), ["c", "k"], "left")
-        own = F.col("ones") * salts + F.pmod(F.xxhash64("node"), salts).cast("int")
-        low, high = F.greatest(F.col("ones") - radius, F.lit(0)) * salts, (F.least(F.col("ones") + radius, F.lit(bits)) + 1) * salts - 1
-        mates = F.when(F.col("n").isNull(), F.array(whole)).otherwise(F.sequence(low, high))
-        dealt = joined.withColumn("own", F.coalesce(own, whole)).withColumn("mate", F.explode(mates))
-        dealt = dealt.select("c", "k", "fp", "node", "ones", F.least("own", "mate").alias("t"), F.greatest("own", "mate").alias("u"), "own")
-    key = ("c", "k", "t", "u")
-    names = ("fp", "node", "ones", "own", *key)
+def _layout(n: int) -> tuple[int, int]:
+    """Into how many parts the bits are cut for the tiles' population counts, and the fingerprints of a tile at most."""
+    return 1 if n <= WHOLE else 2 if n <= HALVES else 4, min(max(LEAST, n // 16), MOST)
+
+
+def _cell(parts: int) -> Column:
+    width = 64 // parts
+    if parts == 1:
+        return F.bit_count("__fp").cast("long")
+    ones = [F.bit_count(F.shiftrightunsigned("__fp", i * width).bitwiseAND(F.lit((1 << width) - 1))) * F.lit(_STEP**i) for i in range(parts)]
+    return sum(ones[1:], ones[0]).cast("long")
+
+
+def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
+    """(a, b, t, u): a spanning set of all pairs of distinct(__fp, __node) within radius bits of each other, with the pair of tiles they come from."""
+    parts, most = _layout(distinct.count())
+    placed = distinct.withColumn("cell", _cell(parts))
+    # at most 65, 33^2 or 17^4 rows
+    cells = staged(placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(most)).cast("long").alias("salts")), "cells")
+    reach = sorted(sum(d * _STEP**i for i, d in enumerate(x)) for x in product(range(-radius, radius + 1), repeat=parts) if sum(map(abs, x)) <= radius)
+    dealt = placed.join(F.broadcast(cells), "cell").select(
+        F.col("__fp").alias("fp"), F.col("__node").alias("node"), (F.col("cell") * _SALT + F.pmod(F.xxhash64("__node"), F.col("salts"))).alias("own"), F.explode(F.array(*[F.col("cell") + d for d in reach])).alias("mate")
+    )
+    mates = cells.select(F.col("cell").alias("mate"), F.col("salts").alias("mate_salts"))
+    dealt = dealt.join(F.broadcast(mates), "mate").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mate_salts") - 1)))
+    other = F.col("mate") * _SALT + F.col("salt")
+    dealt = dealt.select("fp", "node", F.least("own", other).alias("t"), F.greatest("own", other).alias("u"), (F.col("own") > other).cast("int").alias("side"))
+    names = ("fp", "node", "side", "t", "u")
+    schema = pa.schema([(n, pa.int64()) for n in ("a", "b", "t", "u")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        def judged(columns: dict[str, np.ndarray], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                t, u = int(columns["t"][i]), int(columns["u"][i])
+                side = columns["side"][i:j]
+                if t != u and (not side.any() or side.all()):
+                    continue  # the other tile is empty
+                a, b = compare(columns["fp"][i:j].view(np.uint64), columns["node"][i:j], side, radius, DENSE)
+                yield emit({"a": a, "b": b, "t": np.full(len(a), t), "u": np.full(len(a), u)}, schema)
+
         held: list[dict[str, np.ndarray]] = []
         for batch in batches:
             held.append({x: batch.column(x).to_numpy() for x in names})
             if sum(len(x["fp"]) for x in held) < 100_000:
                 continue
             columns = {x: np.concatenate([h[x] for h in held]) for x in names}
-            bounds = _bounds(columns, key)
-            rest = bounds[-2]  # the last set may go on
+            bounds = _bounds(columns)
+            rest = bounds[-2]  # the last pair of tiles may go on
             held = [{x: v[rest:] for x, v in columns.items()}]
-            if rest:
-                a, b = _compare({x: v[:rest] for x, v in columns.items()}, bounds[:-1], radius)
-                yield emit({"a": a, "b": b}, schema)
+            yield from judged({x: v[:rest] for x, v in columns.items()}, bounds[:-1])
         if held:
             columns = {x: np.concatenate([h[x] for h in held]) for x in names}
-            if len(columns["fp"]):
-                a, b = _compare(columns, _bounds(columns, key), radius)
-                yield emit({"a": a, "b": b}, schema)
+            yield from judged(columns, _bounds(columns))
+        trim()
 
-    return dealt.repartition(*key).sortWithinPartitions(*key, "ones").mapInArrow(run, "a long, b long")
+    return dealt.repartition("t", "u").sortWithinPartitions("t", "u").mapInArrow(run, "a long, b long, t long, u long")
 
 
-def _bounds(columns: dict[str, np.ndarray], key: tuple[str, ...]) -> np.ndarray:
+def _bounds(columns: dict[str, np.ndarray]) -> np.ndarray:
+    """Where pairs of tiles start in the sorted columns, and the end."""
     new = np.zeros(len(columns["fp"]), bool)
     new[:1] = True
-    for x in key:
+    for x in ("t", "u"):
         new[1:] |= columns[x][1:] != columns[x][:-1]
     return np.append(np.flatnonzero(new), len(new))
 
 
-def fingerprint_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, radius: int = 4) -> DataFrame:
-    """Per row: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links)."""
+def _components(docs: DataFrame, text: str, doc_id: str, width: int, radius: int) -> DataFrame:
+    """(id, fp, root) of each row."""
     marked = staged(fingerprints(docs, text, doc_id, width), "fingerprints")
     distinct = staged(marked.filter("__id IS NOT NULL").groupBy("__fp").agg(F.min("__id").alias("__node")), "distinct")
-    roots = components(links(distinct, radius))
-    classes = distinct.join(roots, F.col("__node") == F.col("node"), "left").select("__fp", F.coalesce("root", "__node").alias("component_id"))
+    roots = components(links(distinct, radius).select("a", "b"))
+    classes = distinct.join(roots, F.col("__node") == F.col("node"), "left").select("__fp", F.coalesce("root", "__node").alias("root"))
     # a fingerprint of many copies is a hot key here: adaptive execution splits it
-    return marked.join(classes, "__fp", "left").select(
-        F.col("__id").alias(doc_id), F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), F.when(F.col("__id").isNotNull(), F.col("component_id")).alias("component_id")
-    )
+    return marked.join(classes, "__fp", "left").select(F.col("__id").alias("id"), F.col("__fp").alias("fp"), F.when(F.col("__id").isNotNull(), F.col("root")).alias("root"))
+
+
+def fingerprint_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, radius: int = 4) -> DataFrame:
+    """Per row: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links)."""
+    found = _components(docs, text, doc_id, width, radius)
+    return found.select(F.col("id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("root").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, radius: int = 4) -> DataFrame:
     """The rows of docs that stay: of each component that with the smallest doc_id, once; rows without doc_id stay."""
-    found = staged(fingerprint_components(docs, text, doc_id, width, radius), "components")
-    gone = staged(found.filter(f"`{doc_id}` != component_id").select(F.col(doc_id).alias("__gone")).distinct(), "gone")
-    ids = found.filter(F.col(doc_id).isNotNull())
-    left = docs.join(broadcast_if_small(gone), F.col(doc_id) == F.col("__gone"), "left_anti")
-    if ids.select(doc_id).distinct().count() == ids.count():
-        return left
-    return left.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(left.filter(F.col(doc_id).isNull()))
+    found = staged(_components(docs, text, doc_id, width, radius), "components")
+    gone = staged(found.filter("id != root").select(F.col("id").alias("gone")).distinct(), "gone")
+    plain, at = numbered(docs)
+    key = F.col(at[doc_id])
+    left = plain.join(broadcast_if_small(gone), key.cast("long") == F.col("gone"), "left_anti")
+    ids = found.filter("id IS NOT NULL")
+    if ids.select("id").distinct().count() != ids.count():
+        left = left.filter(key.isNotNull()).dropDuplicates([at[doc_id]]).unionByName(left.filter(key.isNull()))
+    return left.toDF(*docs.columns)
