@@ -14,6 +14,7 @@ import numpy as np
 
 _WORD = 5
 _PAD = 16
+MOST_GROUPS = 1 << 24
 
 
 def _words(t: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -46,14 +47,16 @@ def direct_sort(padded: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
         if not len(slots):
             break
         group = np.cumsum(new)[slots].astype(np.uint64)
-        if group[-1] >= 1 << 24:
-            raise ValueError("more than 2^24 groups of suffixes: cut the text into smaller parts")
         some = at[slots]
-        key = (group << np.uint64(40)) | _words(padded, np.minimum(some + deep, len(padded) - _WORD))
-        order = np.argsort(key, kind="stable")
-        at[slots], key = some[order], key[order]
+        key = _words(padded, np.minimum(some + deep, len(padded) - _WORD))
+        if group[-1] < MOST_GROUPS:  # group and word fit one number
+            key |= group << np.uint64(40)
+            order = np.argsort(key, kind="stable")
+        else:
+            order = np.lexsort((key, group))
+        at[slots], key, group = some[order], key[order], group[order]
         fresh = np.ones(len(slots), bool)
-        fresh[1:] = key[1:] != key[:-1]
+        fresh[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
         new[slots] |= fresh
     return at
 

@@ -3,23 +3,24 @@
 Every byte covered by a string of ``length`` bytes that also starts in a document with a smaller id is removed. To find
 them without one suffix array over all text:
 
-1. *Copies* of whole documents are told by their digests; only the first copy is searched.
-2. *Anchors.* Each window of ``length`` bytes picks the k-gram with the smallest hash in it, so equal windows pick
+1. *Anchors.* Each window of ``length`` bytes picks the k-gram with the smallest hash in it, so equal windows pick
    equal k-grams, at equal places. Numbers of picked k-grams are dealt to buckets, deduplicated within chunks of
-   documents, and those found in several documents are reported back to their chunks.
-3. *Contexts.* Windows that picked a shared anchor are sent to the anchor's bucket, as the stretch of bytes
-   they cover, distinct within a chunk, with the smallest id that has it; those of an anchor that very many chunks have are
-   dealt out window by window instead. In the bucket, stretches whose anchor
-   has just one are settled; all others are concatenated, their suffixes sorted in two stages (suffix_array), and runs of
-   neighbours with common prefixes of ``length`` bytes give the smallest document of each window.
-4. The verdicts, a bit for each window, go back to the chunks, which cut the bytes out.
-
-Buckets hold each anchor and stretch once per chunk, however many documents share it, and their number follows
-the bytes of the input. Bodies travel compressed. Each step ends in a table in the shared folder.
+   documents, and those found in several documents are reported back to their chunks. All other windows can't repeat.
+2. *Within a chunk* the suffixes of the stretches around shared anchors are sorted in two stages (suffix_array), and runs of
+   neighbours with common prefixes of ``length`` bytes give the smallest document of the chunk that has each window.
+3. *Across chunks* each stretch (the bytes that the windows of one anchor cover) goes to its anchor's bucket, once per chunk, with the
+   smallest id that has it; those of an anchor that very many chunks have are dealt out window by window instead. The bucket's stretches are
+   laid end to end, and their suffixes and common prefixes give the smallest document of each window over all chunks.
+4. The verdicts, a bit for each window, go back to the chunks. A byte goes if either order finds a smaller document for a window over it.
+
+Whether a window repeats is told by the sorted suffixes alone; sending equal stretches of a chunk once only combines them before
+the shuffle, so that a group of copies, whole documents included, costs a bucket one stretch per chunk. Buckets and partitions
+follow the bytes of the input, so tasks stay of one size. Bodies travel compressed. Each step ends in a table in the shared folder.
 
 Defined cases: null and empty texts have no bytes; documents shorter than ``length`` lose nothing; rows that share an
 id don't remove from each other; a null id counts as larger than all ids and not smaller than another null; repeated rows are all
-returned; extra columns are ignored or kept.
+returned; a document longer than a chunk is one of its own, and needs about 60 bytes of memory a byte of its text; extra columns are
+ignored or kept, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,17 +32,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from gleaner.llm.common import bounded_batches, broadcast_if_small, check_columns, emit, rows, staged, trim
+from gleaner.llm.common import bounded_batches, check_columns, emit, rows, staged, trim
 from gleaner.llm.suffix_array import common_prefixes, suffix_array
 
 CHUNK_BYTES, BUCKET_BYTES = 1_000_000, 4_000_000
+#: Bytes of text that one partition of chunks stands for.
+PART_BYTES = 8_000_000
 K = 24
-#: Suffixes in one suffix array at most; more stretches in a bucket are taken by anchor in parts.
+#: Suffixes in one suffix array; more stretches in a bucket are taken by anchor in parts.
 ARRAY_BYTES = 1_500_000
 #: An anchor in more chunks than this doesn't gather its stretches in one bucket: each of their windows goes to a bucket of its own hash.
 HOT_CHUNKS = 4000
@@ -195,7 +198,7 @@ def _anchor_lists(chunks: DataFrame, buckets: int, length: int) -> DataFrame:
     return chunks.mapInArrow(run, "bucket long, chunk long, ids binary")
 
 
-def _shared(lists: DataFrame) -> DataFrame:
+def _shared(lists: DataFrame, parts: int) -> DataFrame:
     """(chunk, bucket, ids, hot) of anchors that several documents have, and of those among them that very many chunks have."""
     schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("ids", pa.binary()), ("hot", pa.binary())])
     most = HOT_CHUNKS
@@ -216,7 +219,7 @@ def _shared(lists: DataFrame) -> DataFrame:
                     out[n].append(v)
         return pa.table([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
-    return lists.groupBy("bucket").applyInArrow(run, "chunk long, bucket long, ids binary, hot binary")
+    return lists.repartition(parts, "bucket").groupBy("bucket").applyInArrow(run, "chunk long, bucket long, ids binary, hot binary")
 
 
 def _among(number: np.ndarray, shared: list[dict] | None, which: str) -> np.ndarray:
@@ -228,8 +231,8 @@ def _among(number: np.ndarray, shared: list[dict] | None, which: str) -> np.ndar
     return sought[np.minimum(np.searchsorted(sought, number), len(sought) - 1)] == number
 
 
-def _stretches(chunk: _Chunk, shared: list[dict] | None, buckets: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list]]:
-    """Occurrences of stretches (document, first window, last window, number of the distinct stretch), and the distinct ones.
+def _stretches(chunk: _Chunk, shared: list[dict] | None, buckets: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list]]:
+    """Occurrences of stretches (document, first window, last window), their anchors and the numbers of their distinct stretches, and these.
 
     Distinct stretches, in order of occurrence: [bucket, bytes, anchor's offset, smallest id].
     """
@@ -243,7 +246,7 @@ def _stretches(chunk: _Chunk, shared: list[dict] | None, buckets: int, length: i
         many = (high - low + 1)[hot]
         at = np.repeat(low[hot], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         own = np.array([zlib.crc32(chunk.body[a : a + length]) for a in at.tolist()], np.int64) % buckets
-        doc, place, bucket = (np.concatenate([x[~hot], np.repeat(x[hot], many)]) for x in (doc, place, bucket))
+        doc, place, bucket, number = (np.concatenate([x[~hot], np.repeat(x[hot], many)]) for x in (doc, place, bucket, number))
         low, high = np.concatenate([low[~hot], at]), np.concatenate([high[~hot], at])
         bucket[len(bucket) - len(own) :] = own
     known: dict[tuple[int, bytes], int] = {}
@@ -258,7 +261,7 @@ def _stretches(chunk: _Chunk, shared: list[dict] | None, buckets: int, length: i
         elif ids[d] < distinct[k][3]:
             distinct[k][3] = ids[d]
         which[n] = k
-    return np.stack([doc, low, high]), which, np.array([d[0] for d in distinct], np.int64), distinct
+    return np.stack([doc, low, high]), number, which, np.array([d[0] for d in distinct], np.int64), distinct
 
 
 def _contexts(chunks: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -268,7 +271,7 @@ def _contexts(chunks: DataFrame, buckets: int, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, row in _opened(batches):
-            _, _, of, distinct = _stretches(chunk, row["shared"], buckets, length)
+            _, _, _, of, distinct = _stretches(chunk, row["shared"], buckets, length)
             out: dict[str, list] = {n: [] for n in names}
             order = np.argsort(of, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else []:
@@ -307,41 +310,52 @@ def window_owners(texts: list[bytes], owner: np.ndarray, length: int) -> list[np
     return [by_place[a : a + m] for a, m in zip(starts.tolist(), many.tolist(), strict=True)]
 
 
-def _verdicts(contexts: DataFrame, length: int) -> DataFrame:
+def local_hits(chunk: _Chunk, doc: np.ndarray, low: np.ndarray, high: np.ndarray, anchor: np.ndarray, length: int, most: int) -> np.ndarray:
+    """The starts of windows among those given that a document of the chunk with a smaller id has too.
+
+    Equal windows have equal anchors, so a chunk of over most bytes, that of a very long document, is taken in parts by anchor.
+    """
+    hits = [low[:0]]
+    parts = -(-len(chunk.t) // most)
+    for part in range(parts):
+        some = np.flatnonzero(anchor % np.uint64(parts) == part)
+        if not len(some):
+            continue
+        # windows low..high that follow each other make one passage of a document
+        some = some[np.argsort(low[some], kind="stable")]
+        d, first_, last_ = doc[some], low[some], np.maximum.accumulate(high[some])
+        new = np.ones(len(some), bool)
+        new[1:] = (d[1:] != d[:-1]) | (first_[1:] > last_[:-1] + 1)
+        first = np.flatnonzero(new)
+        starts, ends = first_[first], last_[np.append(first[1:], len(some)) - 1] + length
+        owners = chunk.ids[d[first]]
+        texts = [chunk.body[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        for a, own, found in zip(starts.tolist(), owners.tolist(), window_owners(texts, owners, length), strict=True):
+            hits.append(a + np.flatnonzero(found < own))
+    return np.concatenate(hits)
+
+
+def _verdicts(contexts: DataFrame, length: int, parts: int) -> DataFrame:
     """(chunk, bucket, bits): for each distinct stretch of the chunk, a bit per window that a smaller document has."""
     schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("bits", pa.binary())])
     windows = length - K + 1
 
     def run(table: pa.Table) -> pa.Table:
-        known: dict[bytes, int] = {}
         texts: list[bytes] = []
-        grams: list[bytes] = []
-        owner: list[int] = []
-        lists = []
+        owner: list[np.ndarray] = []
+        groups: dict[bytes, list[int]] = {}
         for smallest, offsets, ends, raw, body in zip(*(table[n].to_pylist() for n in ("smallest", "offsets", "ends", "raw", "body")), strict=True):
             body, at = pa.decompress(body, raw, codec="zstd", asbytes=True), 0
-            own = np.frombuffer(smallest, "<i8")
-            numbers = np.empty(len(own), np.int64)
-            for n, (i, off, end) in enumerate(zip(own.tolist(), offsets, np.frombuffer(ends, "<i4").tolist(), strict=True)):
-                text = body[at:end]
+            owner.append(np.frombuffer(smallest, "<i8"))
+            for off, end in zip(offsets, np.frombuffer(ends, "<i4").tolist(), strict=True):
+                groups.setdefault(body[at + off : at + off + K], []).append(len(texts))
+                texts.append(body[at:end])
                 at = end
-                k = known.setdefault(text, len(texts))
-                if k == len(texts):
-                    texts.append(text)
-                    grams.append(text[off : off + K])
-                    owner.append(i)
-                elif i < owner[k]:
-                    owner[k] = i
-                numbers[n] = k
-            lists.append((own, numbers))
-        owners = np.array(owner, np.int64)
-        # least[k, j]: the smallest document that has window j of stretch k
+        owners = np.concatenate(owner)
+        # least[k, j]: the smallest document that has window j of stretch k, by the order of all suffixes of its anchor's stretches
         least = np.repeat(owners[:, None], windows, 1)
-        groups: dict[bytes, list[int]] = {}
-        for k, g in enumerate(grams):
-            groups.setdefault(g, []).append(k)
         part, size = [], 0
-        for g in [*(g for g in groups.values() if len(g) > 1), None]:
+        for g in [*groups.values(), None]:
             if part and (g is None or size > ARRAY_BYTES):
                 for k, found in zip(part, window_owners([texts[k] for k in part], owners[part], length), strict=True):
                     least[k, : len(found)] = found
@@ -349,15 +363,15 @@ def _verdicts(contexts: DataFrame, length: int) -> DataFrame:
             if g:
                 part += g
                 size += sum(len(texts[k]) for k in g)
-        out = []
         weights = np.uint64(1) << np.arange(windows, dtype=np.uint64)
-        for own, numbers in lists:
-            out.append(((least[numbers] < own[:, None]) * weights).sum(1, dtype=np.uint64).astype("<u4").tobytes())
-        del known, texts, grams, groups, least, lists
+        bits = ((least < owners[:, None]) * weights).sum(1, dtype=np.uint64).astype("<u4")
+        cuts = np.cumsum([0, *map(len, owner)]).tolist()
+        out = [bits[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+        del texts, groups, least, bits
         trim()
         return pa.table([table["chunk"].combine_chunks(), table["bucket"].combine_chunks(), pa.array(out, pa.binary())], schema=schema)
 
-    return contexts.groupBy("bucket").applyInArrow(run, "chunk long, bucket long, bits binary")
+    return contexts.repartition(parts, "bucket").groupBy("bucket").applyInArrow(run, "chunk long, bucket long, bits binary")
 
 
 def _whole(data: bytes) -> bytes:
@@ -376,17 +390,19 @@ def _cut(chunks: DataFrame, buckets: int, length: int, with_text: bool) -> DataF
         cover = np.zeros(len(chunk.t) + 1, np.int64)
         if not row["verdicts"]:
             return cover[:-1] > 0
-        (doc, low, high), which, of, distinct = _stretches(chunk, row["shared"], buckets, length)
+        (doc, low, high), anchor, which, of, distinct = _stretches(chunk, row["shared"], buckets, length)
         bits = np.zeros(len(distinct), np.uint64)
         order = np.argsort(of, kind="stable")
         by = {v["bucket"]: np.frombuffer(v["bits"], "<u4") for v in row["verdicts"]}
         for part in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else []:
             bits[part] = by[int(of[part[0]])]
+        # within the chunk: by the order of the suffixes of its own stretches
+        start = local_hits(chunk, doc, low, high, anchor, length, 2 * max(ARRAY_BYTES, CHUNK_BYTES))
+        np.add.at(cover, start, 1)
+        np.add.at(cover, start + length, -1)
+        # across chunks: for the occurrences that have the smallest id of their stretch, the others are later in this very chunk
         least = np.array([d[3] for d in distinct], np.int64)[which]
-        later = chunk.ids[doc] > least  # a smaller document of this very chunk has the whole stretch
-        np.add.at(cover, low[later], 1)
-        np.add.at(cover, high[later] + length, -1)
-        first = np.flatnonzero(~later & (bits[which] > 0))
+        first = np.flatnonzero((chunk.ids[doc] == least) & (bits[which] > 0))
         set_ = (bits[which[first]][:, None] >> np.arange(windows, dtype=np.uint64)) & np.uint64(1) > 0
         at, j = np.nonzero(set_ & (np.arange(windows) <= (high - low)[first][:, None]))
         start = low[first[at]] + j
@@ -426,26 +442,17 @@ def passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length
     others = [F.col(c).alias(f"c{n}") for n, c in enumerate(docs.columns) if c != text] if with_text else []
     rest = F.struct(F.col(text).isNull().alias("empty"), *others)
     given = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LARGEST)).alias("__id"), rest.alias("__rest"), body.alias("__body"))
-    given = given.withColumns({"__key": F.xxhash64("__body"), "__sha": F.sha2("__body", 256), "__n": F.octet_length("__body").cast("long")})
-    thin = staged(given.select("__id", "__key", "__sha", "__n"), "digests")
-    total = thin.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    given = given.withColumn("__key", F.xxhash64("__body"))
+    total = given.agg(F.coalesce(F.sum(F.octet_length("__body").cast("long")), F.lit(0))).first()[0]
     buckets = max(32, -(-total // BUCKET_BYTES))
-    several = thin.filter(F.col("__n") >= length).groupBy("__sha").agg(F.min("__id").alias("__first"), F.count("*").alias("__k")).filter("__k > 1").select("__sha", "__first")
-    copies = staged(thin.join(broadcast_if_small(several), "__sha").filter("__id > __first").select("__id", "__key", "__n"), "copies")
-    marked = broadcast_if_small(copies.select(F.col("__id").alias("i"), F.col("__key").alias("k")).distinct())
-    rest = given.join(marked, (F.col("__id") == F.col("i")) & (F.col("__key") == F.col("k")), "left_anti")
-    chunks = staged(_chunks(rest), "chunks")
-    shared = staged(_shared(_anchor_lists(chunks, buckets, length)), "shared")
-    own = shared.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "ids", "hot")).alias("shared"))
-    with_shared = chunks.join(own, "chunk", "left")
-    verdicts = staged(_verdicts(_contexts(with_shared.filter("shared IS NOT NULL"), buckets, length), length), "verdicts")
-    judged = verdicts.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("verdicts"))
-    cut = _cut(with_shared.join(judged, "chunk", "left"), buckets, length, with_text)
-    gone = given.join(marked, (F.col("__id") == F.col("i")) & (F.col("__key") == F.col("k")), "left_semi")
-    whole = gone.select(
-        "__id", "__key", "__rest", F.col("__n").alias("n_bytes"), F.col("__n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit(b"" if with_text else None).cast("binary").alias("kept")
-    )
-    return cut.unionByName(whole)
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // PART_BYTES))
+    chunks = staged(_chunks(given), "chunks")
+    shared = staged(_shared(_anchor_lists(chunks, buckets, length), parts), "shared")
+    own = shared.repartition(parts, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "ids", "hot")).alias("shared"))
+    with_shared = chunks.repartition(parts, "chunk").join(own, "chunk", "left")
+    verdicts = staged(_verdicts(_contexts(with_shared.filter("shared IS NOT NULL"), buckets, length), length, parts), "verdicts")
+    judged = verdicts.repartition(parts, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("verdicts"))
+    return _cut(with_shared.join(judged, "chunk", "left"), buckets, length, with_text)
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 50) -> DataFrame:
@@ -456,9 +463,13 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
 
 def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 50, n_chars: str | None = "n_chars") -> DataFrame:
     """docs with the repeated bytes cut out of their texts (what is left of a cut character goes too), and n_chars, if it is a column, counted anew."""
-    fields = [(f"c{n}", c) for n, c in enumerate(docs.columns) if c != text]
     found = passages(docs, text, doc_id, length, with_text=True)
-    out = found.select(*[F.col(f"__rest.{n}").alias(c) for n, c in fields], F.col("n_removed").alias("__gone"), F.when(~F.col("__rest.empty"), F.col("kept").cast("string")).alias(text))
-    if n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.when(F.col("__gone") == 0, F.col(n_chars)).otherwise(F.length(text).cast(docs.schema[n_chars].dataType)))
-    return out.select(*docs.columns)
+    body = F.when(~F.col("__rest.empty"), F.col("kept").cast("string"))
+
+    def column(n: int, name: str) -> Column:
+        if name == text:
+            return body
+        own = F.col(f"__rest.c{n}")
+        return F.when(F.col("n_removed") == 0, own).otherwise(F.length(body).cast(docs.schema[n].dataType)) if name == n_chars else own
+
+    return found.select(*[column(n, c).alias(f"c{n}") for n, c in enumerate(docs.columns)]).toDF(*docs.columns)
