@@ -1,17 +1,18 @@
 """WARC archives and a chunked record table.
 
 ``write`` makes WARC/1.1 files in a folder that all machines share, a file per task and one gzip member per record,
-and returns their manifest. Of records with equal payloads (of at least a given size) that with the largest id is a
-response and the others are revisits that refer to it. ``read`` turns archives into a table of
-chunks: a record of any size becomes rows of record id and chunk number, each with its bytes and the digest of the payload up
-to there, so that neither side ever holds a whole record. ``records`` sums the chunks up, one row per record.
+and returns their manifest. Payloads are cut into chunks before they reach a Python worker, which streams them into the archive, so no
+worker holds a whole one. Of records with equal payloads (of at least a given size) that with the largest id is a
+response and the others are revisits that refer to it. ``read`` turns archives into a table of chunks: a record of any size
+becomes rows of its archive, its place there and chunk number, each with its bytes and the digest of the payload up to there, which is
+carried on from chunk to chunk. ``records`` sums the chunks up, one row per record: sizes over all chunks, the digest of the last.
 
 Files are written under a name of the task's attempt and then renamed; only those in the manifest are read, so lost or
 repeated attempts leave no records behind.
 
-Defined cases: a null payload is empty; empty payloads are equal to each other; rows without an id are archived too, under
-an id of -1, as responses; repeated rows are each archived, and the response is any one of those with the largest id;
-long payloads are written and read in chunks; an empty table gives no files and an empty table.
+Defined cases: a null payload is empty; empty payloads are equal to each other; any integer may be an id; rows without an id are archived
+too, as responses, and come back without one; repeated rows are each archived, and those with the largest id of equal payloads
+are responses; extra columns are ignored, whatever their names; an empty table gives no files and an empty table.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import bounded_batches, broadcast_if_small, check_columns, emit, rows, scratch_path, staged
 
-CHUNK_BYTES = 1 << 20
+#: Bytes of a payload that go to a worker, into an archive and into a row of the chunk table at once.
+CHUNK_BYTES = 1 << 14
 _LINE = b"\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n\r\n"
 
@@ -47,39 +49,43 @@ def _filesystem(folder: str):
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
 
-def _record_uri(record: int) -> str:
+def _record_uri(record: int | str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'record:{record}')}>"
 
 
 class Writer:
-    """Writes records to an open stream, each as its own gzip member, in parts of CHUNK_BYTES."""
+    """Writes records to an open stream, each as its own gzip member: ``begin``, any number of ``part``, ``end``."""
 
     def __init__(self, out, level: int = 1, date: str | None = None) -> None:
-        self.out, self.level = out, level
+        self.out, self.level, self.records = out, level, 0
         self.date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+        self.mark = uuid.uuid4().hex
 
-    def add(self, record: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> None:
+    def begin(self, record: int | None, url: str | None, size: int, digest: str, refers_to: int | None) -> None:
         head = [
             ("WARC-Type", "response" if refers_to is None else "revisit"),
-            ("WARC-Record-ID", _record_uri(record)),
+            ("WARC-Record-ID", _record_uri(f"{self.mark}:{self.records}" if record is None else record)),
             ("WARC-Date", self.date),
             ("WARC-Target-URI", (url or "").replace("\r", "%0D").replace("\n", "%0A")),
             ("WARC-Payload-Digest", f"sha1:{digest}"),
             ("Content-Type", "application/http; msgtype=response"),
-            ("X-Record-Number", str(record)),
         ]
+        if record is not None:
+            head.append(("X-Record-Number", str(record)))
         if refers_to is not None:
-            head += [("WARC-Refers-To", _record_uri(refers_to)), ("X-Refers-To-Number", str(refers_to)), ("X-Payload-Length", str(len(payload)))]
+            head += [("WARC-Refers-To", _record_uri(refers_to)), ("X-Refers-To-Number", str(refers_to)), ("X-Payload-Length", str(size))]
             head.append(("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
-        size = len(_HTTP) + (len(payload) if refers_to is None else 0)
-        lines = ["WARC/1.1", *[f"{k}: {v}" for k, v in head], f"Content-Length: {size}", "", ""]
-        pack = zlib.compressobj(self.level, zlib.DEFLATED, 31)
-        self.out.write(pack.compress("\r\n".join(lines).encode() + _HTTP))
-        if refers_to is None:
-            view = memoryview(payload)
-            for at in range(0, len(payload), CHUNK_BYTES):
-                self.out.write(pack.compress(view[at : at + CHUNK_BYTES]))
-        self.out.write(pack.compress(_LINE + _LINE) + pack.flush())
+        length = len(_HTTP) + (size if refers_to is None else 0)
+        lines = ["WARC/1.1", *[f"{k}: {v}" for k, v in head], f"Content-Length: {length}", "", ""]
+        self.pack = zlib.compressobj(self.level, zlib.DEFLATED, 31)
+        self.out.write(self.pack.compress("\r\n".join(lines).encode() + _HTTP))
+        self.records += 1
+
+    def part(self, data: bytes) -> None:
+        self.out.write(self.pack.compress(data))
+
+    def end(self) -> None:
+        self.out.write(self.pack.compress(_LINE + _LINE) + self.pack.flush())
 
 
 class _Inflated(io.RawIOBase):
@@ -109,6 +115,7 @@ class _Inflated(io.RawIOBase):
 def parse(raw, chunk_bytes: int = CHUNK_BYTES, zipped: bool = True) -> Iterator[dict]:
     """The chunks of all records of an open archive, in order; a record with an empty payload has one empty chunk."""
     stream = io.BufferedReader(_Inflated(raw) if zipped else raw, 1 << 18)
+    record = -1
     while True:
         line = stream.readline()
         if not line:
@@ -128,7 +135,7 @@ def parse(raw, chunk_bytes: int = CHUNK_BYTES, zipped: bool = True) -> Iterator[
                 left -= len(line)
                 if line in (_LINE, b""):
                     break
-        digest, offset, number = hashlib.sha1(), 0, 0
+        digest, offset, number, record = hashlib.sha1(), 0, 0, record + 1
         while True:
             data = stream.read(min(left, chunk_bytes))
             if left and not data:
@@ -136,7 +143,8 @@ def parse(raw, chunk_bytes: int = CHUNK_BYTES, zipped: bool = True) -> Iterator[
             left -= len(data)
             digest.update(data)
             yield {
-                "record_id": int(head.get("x-record-number", -1)),
+                "record": record,
+                "record_id": int(head["x-record-number"]) if "x-record-number" in head else None,
                 "chunk": number,
                 "start": offset,
                 "data": data,
@@ -154,10 +162,10 @@ def parse(raw, chunk_bytes: int = CHUNK_BYTES, zipped: bool = True) -> Iterator[
 
 
 _CHUNK = (
-    "record_id long, chunk int, start long, data binary, digest string, last boolean, kind string, url string, stated_digest string, stated_length long, refers_to long"
+    "archive string, record long, record_id long, chunk int, start long, data binary, digest string, last boolean, kind string, url string, stated_digest string, stated_length long, refers_to long"
 )
 _CHUNK_ARROW = pa.schema(
-    [("record_id", pa.int64()), ("chunk", pa.int32()), ("start", pa.int64()), ("data", pa.binary()), ("digest", pa.string()), ("last", pa.bool_())]
+    [("archive", pa.string()), ("record", pa.int64()), ("record_id", pa.int64()), ("chunk", pa.int32()), ("start", pa.int64()), ("data", pa.binary()), ("digest", pa.string()), ("last", pa.bool_())]
     + [("kind", pa.string()), ("url", pa.string()), ("stated_digest", pa.string()), ("stated_length", pa.int64()), ("refers_to", pa.int64())]
 )
 
@@ -178,7 +186,12 @@ def write(pages: DataFrame, folder: str, payload: str = "html", page_id: str = "
     same = broadcast_if_small(staged(plan(pages, payload, page_id, smallest), "equal-payloads"))
     # beyond the broadcast's bound this is a shuffle, whose hot digests adaptive execution splits
     given = given.join(same, (F.col("__key") == F.col("__digest")) & (F.col("__len") == F.col("__size")), "left")
-    given = given.select("__id", "__url", "__body", "__key", F.when(F.col("__id") != F.col("__first"), F.col("__first")).alias("__refers"))
+    refers = F.when(F.col("__id") != F.col("__first"), F.col("__first"))
+    # a record's chunks follow each other; a revisit has one, without bytes
+    chunks = F.when(refers.isNotNull(), 1).otherwise(F.greatest(F.ceil(F.col("__len") / CHUNK_BYTES), F.lit(1))).cast("int")
+    given = given.select("__id", "__url", "__body", "__key", "__len", refers.alias("__refers"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("__at"))
+    piece = F.when(F.col("__refers").isNull(), F.substring("__body", F.col("__at") * CHUNK_BYTES + 1, F.lit(CHUNK_BYTES))).otherwise(F.lit(b"").cast("binary"))
+    given = given.select("__id", "__url", "__key", "__len", "__refers", "__at", piece.alias("__piece"))
     schema = pa.schema([("path", pa.string()), ("records", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,23 +199,27 @@ def write(pages: DataFrame, folder: str, payload: str = "html", page_id: str = "
         fs, base = _filesystem(folder)
         fs.create_dir(base)
         name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}.warc.gz"
-        out, writer, n = None, None, 0
-        for i, u, b, key, refers in rows(batches, "__id", "__url", "__body", "__key", "__refers"):
+        out, writer = None, None
+        for i, u, key, size, refers, at, piece in rows(batches, "__id", "__url", "__key", "__len", "__refers", "__at", "__piece"):
             if out is None:
                 out = fs.open_output_stream(posixpath.join(base, name + ".open"))
                 writer = Writer(out)
-            writer.add(-1 if i is None else i, u, b, base64.b32encode(bytes.fromhex(key)).decode(), refers)
-            n += 1
+            if at == 0:
+                if writer.records:
+                    writer.end()
+                writer.begin(i, u, size, base64.b32encode(bytes.fromhex(key)).decode(), refers)
+            writer.part(piece)
         if out is not None:
+            writer.end()
             out.close()
             fs.move(posixpath.join(base, name + ".open"), posixpath.join(base, name))
-            yield emit({"path": [name], "records": [n]}, schema)
+            yield emit({"path": [name], "records": [writer.records]}, schema)
 
     return staged(given.mapInArrow(run, "path string, records long"), "manifest")
 
 
-def read(manifest: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES, with_data: bool = True) -> DataFrame:
-    """The chunk table of the manifest's archives; without data only sizes and digests leave the Python workers."""
+def read(manifest: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The chunk table of the manifest's archives."""
     bounded_batches(manifest.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,11 +230,10 @@ def read(manifest: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES, with_
             with fs.open_input_stream(posixpath.join(base, name), compression=None) as raw:
                 for chunk in parse(raw, chunk_bytes):
                     size += len(chunk["data"])
-                    if not with_data:
-                        chunk |= {"start": chunk["start"] + len(chunk["data"]), "data": None}
+                    held["archive"].append(name)
                     for n, v in chunk.items():
                         held[n].append(v)
-                    if size >= 4 * chunk_bytes or len(held["chunk"]) >= 2000:
+                    if size >= 4_000_000 or len(held["chunk"]) >= 2000:
                         yield emit(held, _CHUNK_ARROW)
                         held, size = {n: [] for n in _CHUNK_ARROW.names}, 0
             if held["chunk"]:
@@ -227,23 +243,32 @@ def read(manifest: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES, with_
     return manifest.repartition(max(1, files), "path").mapInArrow(run, _CHUNK) if files else manifest.sparkSession.createDataFrame([], _CHUNK)
 
 
-def records(chunks: DataFrame, with_data: bool = True) -> DataFrame:
-    """One row per record of a chunk table: its kind, length and digest as read, and as stated where it is a revisit."""
-    end = F.col("start") + F.length("data") if with_data else F.col("start")
+def records(chunks: DataFrame) -> DataFrame:
+    """One row per record of a chunk table: its kind, length and digest as read, and as stated where it is a revisit; the number of its chunks.
+
+    A record is intact if its chunks are all there, one after another, and their digest is the stated one.
+    """
+    last = lambda c: F.max(F.when(F.col("last"), F.col(c))).alias(c)
+    size = F.length("data").cast("long")
+    found = chunks.groupBy("archive", "record").agg(
+        F.sum(size).alias("size"), F.count("*").alias("chunks"), F.max("chunk").alias("final"), F.max(F.when(F.col("last"), F.col("start") + size)).alias("end"), *map(last, ("record_id", "digest", "kind", "url", "stated_digest", "stated_length", "refers_to"))
+    )
     revisit = F.col("kind") == "revisit"
-    return chunks.filter("last").select(
+    whole = (F.col("size") == F.col("end")) & (F.col("chunks") == F.col("final") + 1)
+    return found.select(
         "record_id",
         "url",
-        F.when(revisit, F.col("stated_length")).otherwise(end).cast("long").alias("payload_bytes"),
+        F.when(revisit, F.col("stated_length")).otherwise(F.col("size")).alias("payload_bytes"),
         F.when(revisit, F.col("stated_digest")).otherwise(F.col("digest")).alias("payload_digest"),
         F.col("kind").alias("record_type"),
         "refers_to",
-        (revisit | (F.col("digest") == F.col("stated_digest"))).alias("intact"),
+        F.coalesce(revisit | (whole & (F.col("digest") == F.col("stated_digest"))), F.lit(False)).alias("intact"),
+        "chunks",
     )
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Archive pages in the shared folder, read the archives back, and sum the records up."""
+    """Archive pages in the shared folder, read the archives back into a chunk table, written there too, and sum its records up."""
     folder = scratch_path(spark, "warc")
     manifest = write(pages, folder)
-    return records(read(manifest, folder, with_data=False), with_data=False)
+    return records(staged(read(manifest, folder), "record-chunks"))
