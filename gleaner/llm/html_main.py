@@ -10,10 +10,13 @@ The trees are trained in numpy on pages that ``make_pages`` lays out from parame
 comments and so on in many arrangements, with invented words), where the label of each element is known. No page of
 the input is trained on, so results don't depend on what else a table holds.
 
-Defined cases: a null or empty page has empty text; markup cut short anywhere keeps what precedes the cut; elements that never show
+Time and memory of a page grow in proportion to its length, whatever its markup.
+
+Defined cases: a null or empty page has empty text; markup cut short anywhere keeps what precedes the cut;
+a quote without its match in a tag stands for itself; elements that never show
 text (scripts, styles, templates, form controls, head) are left out by the parser; character references are decoded
 once; white space inside a block becomes one space, blocks are joined by one space; repeated rows are each extracted;
-extra columns are ignored.
+extra columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +37,8 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import bounded_batches, check_columns, emit, rows
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?|</[^>]*>?|<(?=[a-zA-Z])[^<]*\Z", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_SPECIAL = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 #: Fixed values of HTML: elements without an end, those whose content is no text, inline ones, and which open elements end a paragraph.
@@ -72,11 +76,78 @@ class Node:
         self.number, self.label = -1, 0
 
 
+class Markup:
+    """Finds the tags of a page, each place looked at a bounded number of times whatever the page."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.dead: set[int] = set()  # quotes from which on no tag's end is found
+        self.special = (-1, -1)  # no sign that matters for tags stands between these places
+        self.closing = -2  # the next > found, -1 if there is none any more
+
+    def _next_special(self, at: int) -> int:
+        if not self.special[0] <= at <= self.special[1]:
+            m = _SPECIAL.search(self.page, at)
+            self.special = (at, m.start() if m else len(self.page))
+        return self.special[1]
+
+    def _next_closing(self, at: int) -> int:
+        if self.closing != -1 and self.closing < at:
+            self.closing = self.page.find(">", at)
+        return self.closing
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends a tag: the next outside quotes, or, where quotes don't match, the next at all; -1 for none."""
+        start, seen, page = at, [], self.page
+        while True:
+            x = self._next_special(at)
+            if x == len(page) or x in self.dead:
+                break
+            if page[x] == ">":
+                return x
+            seen.append(x)
+            close = page.find(page[x], x + 1)
+            at = x + 1 if close < 0 else close + 1  # a quote that never closes stands for itself
+        self.dead.update(seen)
+        return self._next_closing(start)
+
+    def tags(self) -> Iterator[tuple[str, bool, str, str, int]]:
+        """(text before, whether an end tag, name, attributes, end) of each tag in turn; comments and declarations have an empty name.
+
+        The caller may send() a place to go on from. Markup that the page's end cuts short goes.
+        """
+        page, at = self.page, 0
+        text_from = 0
+        while True:
+            x = page.find("<", at)
+            if x < 0:
+                yield page[text_from:], False, "", "", len(page)
+                return
+            after = page[x + 1 : x + 2]
+            closes = after == "/"
+            name = _NAME.match(page, x + 1 + closes)
+            if name is None and after not in ("!", "?", "/"):
+                at = x + 1  # a plain sign
+                continue
+            if page.startswith("<!--", x):
+                found = page.find("-->", x + 4)
+                end = len(page) if found < 0 else found + 3
+            else:
+                found = self.end(name.end()) if name else self._next_closing(x + 1)
+                end = len(page) if found < 0 else found + 1
+            attributes = page[name.end() : end - 1] if name and found >= 0 else ""
+            moved = yield page[text_from:x], closes, name[0].lower() if name and found >= 0 else "", attributes, end
+            at = text_from = end if moved is None else moved
+            if moved is not None:
+                yield "", False, "", "", at  # what send() returns
+
+
 def parse(page: str | None) -> Node:
     """The element tree of a page; inline elements don't become nodes of their own except links."""
     root = node = Node("body", {}, None)
-    page, at, place = page or "", 0, 0
+    page, place = page or "", 0
     skipping: list[str] = []
+    opened: Counter[str] = Counter()  # tags of the elements around the place
 
     def add(text: str) -> None:
         nonlocal place
@@ -84,56 +155,53 @@ def parse(page: str | None) -> Node:
             node.own.append((place, html.unescape(text)))
             place += 1
 
-    def up_to(tags: set[str] | frozenset[str], stop: frozenset[str]) -> None:
+    def leave(to: Node) -> None:
         nonlocal node
+        while node is not to:
+            opened[node.tag] -= 1
+            node = node.parent
+
+    def up_to(tags: set[str] | frozenset[str], stop: frozenset[str]) -> None:
+        if not any(opened[t] for t in tags):
+            return
         x = node
         while x.parent is not None and x.tag not in tags and x.tag not in stop:
             x = x.parent
         if x.parent is not None and x.tag in tags:
-            node = x.parent
-
-    while True:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            add(page[at:])
-            return root
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+            leave(x.parent)
+
+    found = Markup(page).tags()
+    for text, closes, tag, attributes, at in found:
+        add(text)
+        if not tag:
             continue
-        tag = tag.lower()
-        if m[1]:  # an end
+        if closes:
             if skipping:
                 if tag in skipping:
                     del skipping[skipping.index(tag) :]
                 continue
             if tag == "br":
                 add(" ")
-            elif tag == "a" or tag not in INLINE:
+            elif (tag == "a" or tag not in INLINE) and opened[tag]:
                 x = node
-                while x.parent is not None and x.tag != tag:
+                while x.tag != tag:
                     x = x.parent
-                if x.parent is not None:
-                    node = x.parent
+                leave(x.parent)
             continue
         if skipping:
-            if tag in SKIPPED and tag not in VOID:
+            if tag in SKIPPED and tag not in VOID and tag not in skipping:
                 skipping.append(tag)
             elif tag == "body":
                 skipping.clear()
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             if tag in ("noscript", "template", "svg", "math"):
                 skipping.append(tag)
-            elif end is None:
-                at = len(page)
             else:
-                at = page.find(">", end.start())
-                at = len(page) if at < 0 else at + 1
-            if tag not in ("svg", "math"):
-                continue
+                end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
+                at = page.find(">", end.start()) + 1 if end else 0
+                found.send(at or len(page))
+            continue
         if tag in SKIPPED and tag not in VOID:
             if tag not in skipping:
                 skipping.append(tag)
@@ -145,7 +213,7 @@ def parse(page: str | None) -> Node:
             continue
         if tag in ("html", "body"):
             if tag == "body":
-                root.attributes |= _attributes(m[3])
+                root.attributes |= _attributes(attributes)
             continue
         if tag in INLINE and tag != "a":
             continue
@@ -155,12 +223,14 @@ def parse(page: str | None) -> Node:
             up_to(SIBLING_ENDS[tag], SCOPES)
         if tag == "a":
             up_to(frozenset({"a"}), SCOPES | {"p", "li", "td"})
-        child = Node(tag, _attributes(m[3]), node)
+        child = Node(tag, _attributes(attributes), node)
         node.own.append((place, child))
         place += 1
         node.children.append(child)
-        if not m[3].endswith("/"):
+        if not attributes.endswith("/"):
             node = child
+            opened[tag] += 1
+    return root
 
 
 def _attributes(given: str) -> dict[str, str]:
