@@ -6,11 +6,14 @@ segments: for a window it starts from the term with the shortest list, takes the
 intersects these with the other terms' lists, shortest first, until none are left or all terms agree.
 ``proximity`` finds places where all terms of an item stand within a span of words, in any order.
 
-The test items are the stated query set. They are taken in blocks of bounded size, each of which goes to all segments.
+The test items are the stated query set, as a table of distinct windows. A set of at most ``BLOCK_BYTES`` is broadcast; a larger
+one is dealt out by a join: each window goes, under the term of it that is rarest in the whole index, to the segments that hold that
+term. The driver never sees more than one such block.
 
 Defined cases: a null or empty text has no words, and is never hit; an item without words is ignored; a null item_id
 is ignored; equal windows of several items count for each; repeated rows are each judged and returned; windows never
-cross documents; extra columns are ignored or kept.
+cross documents; a document longer than a segment has one of its own (its positions take some 30 bytes a word in one task); extra
+columns are ignored or kept, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import bounded_batches, broadcast_if_small, check_columns, emit, rows, staged, trim
+from gleaner.llm.common import bounded_batches, broadcast_if_small, check_columns, emit, numbered, rows, staged, trim
 
 _WORD = regex.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: Bytes of text in a segment (a longer document has one of its own), and of items' text in a block of the query set.
+#: Bytes of text in a segment (a longer document has one of its own), and of windows that are broadcast at most.
 SEGMENT_BYTES = 4_000_000
 BLOCK_BYTES = 8_000_000
 #: Between documents the positions jump, so that no window reaches over.
@@ -146,54 +149,87 @@ class Segment:
         return np.searchsorted(self.starts, at, "right") - 1
 
 
-def windows(items: list[tuple[int, bytes]], width: int) -> dict[tuple[bytes, ...], list[int]]:
-    """The distinct windows of the items, each with the places of its items in the list."""
-    found: dict[tuple[bytes, ...], list[int]] = {}
-    for k, (_, text) in enumerate(items):
-        ws = words(text)
-        for i in range(max(1, len(ws) - width + 1) if ws else 0):
-            owners = found.setdefault(tuple(ws[i : i + width]), [])
-            if not owners or owners[-1] != k:
-                owners.append(k)
-    return found
+def windows(text: bytes | None, width: int) -> Iterator[list[bytes]]:
+    """An item's windows: width words in a row, or all words of a shorter one."""
+    ws = words(text)
+    for i in range(max(1, len(ws) - width + 1) if ws else 0):
+        yield ws[i : i + width]
 
 
-def _blocks(items: DataFrame, text: str, item_id: str) -> Iterator[list[tuple[int, bytes]]]:
-    block, held = [], 0
-    given = items.filter(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("binary").alias("t"))
-    for row in given.toLocalIterator():
-        block.append((row["i"], bytes(row["t"] or b"")))
-        held += len(block[-1][1]) + 64
-        if held >= BLOCK_BYTES:
-            yield block
-            block, held = [], 0
-    yield block
+def sought(items: DataFrame, width: int | None, text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """(terms, items): the distinct windows of the items and the ids of those that have them; without a width, all words of an item at once."""
+    check_columns(items, text, item_id)
+    bounded_batches(items.sparkSession)
+    schema = pa.schema([("item", pa.int64()), ("terms", pa.list_(pa.binary()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[str, list] = {"item": [], "terms": []}
+        for i, t in rows(batches, "__id", "__text"):
+            for terms in windows(t, width) if width else filter(None, [words(t)]):
+                out["item"].append(i)
+                out["terms"].append(terms)
+                if len(out["item"]) >= 5000:
+                    yield emit(out, schema)
+                    out = {"item": [], "terms": []}
+        yield emit(out, schema)
+
+    given = items.filter(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("__id"), F.col(text).cast("binary").alias("__text"))
+    return given.mapInArrow(run, "item long, terms array<binary>").groupBy("terms").agg(F.collect_set("item").alias("items"))
+
+
+class _Asked:
+    """What is sought in a segment: the same for all (broadcast), or its row's own list."""
+
+    def __init__(self, held=None) -> None:
+        self.held = held
+
+    def of(self, row: dict[str, pa.Scalar]) -> list[tuple[list[bytes], list[int]]]:
+        return self.held.value if self.held is not None else [(x["terms"], x["items"]) for x in row["asked"].as_py() or []]
+
+
+def _put(index: DataFrame, asked: DataFrame) -> tuple[DataFrame, _Asked]:
+    """The index, with a column of what is asked of each segment where that isn't broadcast."""
+    asked = staged(asked, "sought")
+    size = asked.agg(F.coalesce(F.sum(F.aggregate("terms", F.lit(0).cast("long"), lambda a, t: a + F.octet_length(t) + 9) + 8 * F.size("items")), F.lit(0))).first()[0]
+    if size <= BLOCK_BYTES:
+        found = [([bytes(t) for t in r["terms"]], list(r["items"])) for r in asked.collect()]
+        return index, _Asked(index.sparkSession.sparkContext.broadcast(found))
+    keyed = asked.withColumn("key", F.xxhash64("terms"))
+    listed = index.select("segment", F.posexplode("terms").alias("at", "term"), "list_ends")
+    listed = listed.select("segment", "term", (F.col("list_ends")[F.col("at")] - F.when(F.col("at") > 0, F.col("list_ends")[F.greatest(F.col("at") - 1, F.lit(0))]).otherwise(0)).alias("n"))
+    terms = keyed.select("terms", "key", F.explode(F.array_distinct("terms")).alias("term"))
+    # counted over the whole index; a window with a term that no segment has isn't sought at all
+    often = listed.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
+    rarest = terms.join(often, "term", "left").groupBy("key", "terms").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("least")).filter("least.n > 0")
+    dealt = keyed.join(rarest.select("key", "terms", F.col("least.term").alias("term")), ["key", "terms"])
+    own = listed.select("segment", "term").join(dealt, "term").groupBy("segment").agg(F.collect_list(F.struct("terms", "items")).alias("asked"))
+    return index.join(own, "segment", "left"), _Asked()
 
 
 _HIT = "__seg long, __row int, __id long, n_words long, items array<long>, runs array<long>"
 _HIT_ARROW = pa.schema([("__seg", pa.int64()), ("__row", pa.int32()), ("__id", pa.int64()), ("n_words", pa.int64()), ("items", pa.list_(pa.int64())), ("runs", pa.list_(pa.int64()))])
 
 
-def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[Segment]:
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Segment, dict[str, pa.Scalar]]]:
     for batch in batches:
         for i in range(batch.num_rows):
-            yield Segment({n: batch.column(n)[i] for n in batch.schema.names})
+            row = {n: batch.column(n)[i] for n in batch.schema.names}
+            yield Segment(row), row
             trim()
 
 
-def phrases(index: DataFrame, block: list[tuple[int, bytes]], width: int = 13) -> DataFrame:
-    """Per document: its words, the ids of the block's items with windows in it, and the runs of words hit (starts and ends)."""
-    sought = index.sparkSession.sparkContext.broadcast((windows(block, width), [i for i, _ in block]))
+def phrases(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """Per document: its words, the ids of the items with windows in it, and the runs of words hit (starts and ends). asked: as by ``sought``."""
+    given, ask = _put(index, asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, item_ids = sought.value
-        for seg in _open(batches):
+        for seg, row in _open(batches):
             hits: dict[int, tuple[set[int], list[tuple[int, int]]]] = {}
-            for terms, owners in asked.items():
-                at = seg.phrase(list(terms))
+            for terms, owners in ask.of(row):
+                at = seg.phrase(terms)
                 for p, d in zip(at.tolist(), seg.document(at).tolist(), strict=True):
                     items, spans = hits.setdefault(d, (set(), []))
-                    items.update(item_ids[k] for k in owners)
+                    items.update(owners)
                     spans.append((p, p + len(terms)))
             out = {n: [] for n in _HIT_ARROW.names}
             for d, (i, n) in enumerate(zip(seg.doc_ids.to_pylist(), seg.sizes.tolist(), strict=True)):
@@ -203,7 +239,7 @@ def phrases(index: DataFrame, block: list[tuple[int, bytes]], width: int = 13) -
                     out[k].append(v)
             yield emit(out, _HIT_ARROW)
 
-    return index.mapInArrow(run, _HIT)
+    return given.mapInArrow(run, _HIT)
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -220,42 +256,28 @@ def merged(spans) -> list[tuple[int, int]]:
 def proximity(index: DataFrame, items: DataFrame, span: int = 20, text: str = "text", item_id: str = "item_id") -> DataFrame:
     """(doc_id, item_id, position): the item's rarest term stands there, and all its others within span words of it."""
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("position", pa.int64())])
-    found = None
-    for block in _blocks(items, text, item_id):
-        sought = index.sparkSession.sparkContext.broadcast([(i, words(t)) for i, t in block])
-
-        def run(batches: Iterator[pa.RecordBatch], sought=sought) -> Iterator[pa.RecordBatch]:
-            for seg in _open(batches):
-                ids = seg.doc_ids.to_pylist()
-                for i, terms in sought.value:
-                    at = seg.near(terms, span)
-                    if len(at):
-                        d = seg.document(at)
+    given, ask = _put(index, sought(items, None, text, item_id))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for seg, row in _open(batches):
+            ids = seg.doc_ids.to_pylist()
+            for terms, owners in ask.of(row):
+                at = seg.near(terms, span)
+                if len(at):
+                    d = seg.document(at)
+                    for i in owners:
                         yield emit({"doc_id": [ids[k] for k in d.tolist()], "item_id": [i] * len(at), "position": at - seg.starts[d]}, schema)
 
-        part = index.mapInArrow(run, "doc_id long, item_id long, position long")
-        found = part if found is None else found.unionByName(part)
-    return found
+    return given.mapInArrow(run, "doc_id long, item_id long, position long")
 
 
 def contamination(
     docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", width: int = 13, share: int = 20
 ) -> DataFrame:
     """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words)."""
-    check_columns(items, item_text, item_id)
     index = staged(build(docs, text, doc_id), "index")
-    found = None
-    for n, block in enumerate(_blocks(items, item_text, item_id)):
-        part = phrases(index, block, width)
-        found = part if found is None else found.unionByName(part)
-    if n:  # the runs of several blocks meet
-        starts = F.expr("transform(sequence(0, size(runs) DIV 2), i -> struct(get(runs, 2 * i) AS a, get(runs, 2 * i + 1) AS b))")
-        found = found.withColumn("pairs", F.filter(starts, lambda x: x["a"].isNotNull())).groupBy("__seg", "__row", "__id", "n_words")
-        found = found.agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_sort(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-        hit = F.expr("aggregate(pairs, struct(0L AS n, 0L AS e), (s, x) -> struct(s.n + greatest(0L, x.b - greatest(x.a, s.e)) AS n, greatest(s.e, x.b) AS e), s -> s.n)")
-    else:
-        found = found.withColumn("items", F.array_distinct("items"))
-        hit = F.expr("aggregate(sequence(0, greatest(size(runs) DIV 2 - 1, 0)), 0L, (s, i) -> s + coalesce(get(runs, 2 * i + 1) - get(runs, 2 * i), 0L))")
+    found = phrases(index, sought(items, width, item_text, item_id))
+    hit = F.expr("aggregate(sequence(0, greatest(size(runs) DIV 2 - 1, 0)), 0L, (s, i) -> s + coalesce(get(runs, 2 * i + 1) - get(runs, 2 * i), 0L))")
     named = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     out = found.select(F.col("__id").alias(doc_id), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(named.cast("binary"), 256).alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
@@ -263,7 +285,8 @@ def contamination(
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """The rows of docs that aren't contaminated; documents are told apart by doc_id and, for rows that share one, by text."""
-    marked = docs.select(F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit(""))).alias("__key"), F.col(text).alias("__text"))
-    bad = contamination(marked, items, text="__text", doc_id="__key", **how).filter("contaminated").select(F.col("__key").alias("__bad")).distinct()
-    key = F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit("")))
-    return docs.join(broadcast_if_small(staged(bad, "contaminated")), key == F.col("__bad"), "left_anti")
+    plain, at = numbered(docs)
+    key = F.xxhash64(F.col(at[doc_id]), F.coalesce(F.col(at[text]), F.lit("")))
+    marked = plain.select(key.alias("key"), F.col(at[text]).alias("body"))
+    bad = contamination(marked, items, text="body", doc_id="key", **how).filter("contaminated").select(F.col("key").alias("bad")).distinct()
+    return plain.join(broadcast_if_small(staged(bad, "contaminated")), key == F.col("bad"), "left_anti").toDF(*docs.columns)
