@@ -7,13 +7,15 @@ by best fit again, give off what is nearly full, and fewer groups are left; it e
 brings no gain.
 
 Defined cases: a null or empty text is one piece with the end token alone; repeated rows are packed each; rows keep
-their doc_id, null included; extra columns are ignored; an empty table gives no rows.
+their doc_id, null included; strings of added tokens are those tokens, as the library reads them; runs of a million blanks
+or letters are encoded like any text; extra columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -28,6 +30,8 @@ from gleaner.llm.common import bounded_batches, broadcast_if_small, check_column
 
 #: Bins in one group of a merge round at most, and groups that one group of the next round takes in.
 GROUP_BINS, FAN_IN = 20_000, 8
+#: Runs of white space, letters, digits or other signs from this length on are left to the tokenizers library.
+LONG_RUN = 5_000
 _encoders: dict[str, object] = {}
 
 
@@ -39,10 +43,11 @@ def _byte_symbols() -> dict[str, int]:
 
 
 def encoder(path: str):
-    """A function from text to token ids for a byte-level BPE file of the tokenizers library; special tokens' strings are plain text.
+    """A function from text to token ids, those of the tokenizers library for a byte-level BPE file (add_special_tokens=False).
 
-    The file's vocabulary is loaded into tiktoken, whose merges are several times as fast; where the vocabulary isn't in
-    the order of its merges, or the two disagree on a probe, the tokenizers library itself encodes.
+    The file's vocabulary is loaded into tiktoken, whose merges are several times as fast. The tokenizers library itself encodes
+    texts that quote an added token or hold a long run of white space or of one kind of characters (tiktoken's patterns run out of stack on those), texts on
+    which tiktoken fails, and all texts where the vocabulary isn't in the order of its merges or the two disagree on a probe.
     """
     if path not in _encoders:
         _encoders[path] = _load(path)
@@ -55,7 +60,6 @@ def _load(path: str):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
 
     def slow(text: str) -> list[int]:
         return plain.encode(text, add_special_tokens=False).ids
@@ -68,8 +72,20 @@ def _load(path: str):
         fast = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     except (KeyError, ValueError):
         return slow
+    odd = re.compile("|".join([*map(re.escape, sorted(special)), rf"\s{{{LONG_RUN},}}", rf"[^\W\d_]{{{LONG_RUN},}}", rf"\d{{{LONG_RUN},}}", rf"[^\w\s]{{{LONG_RUN},}}"]))
+
+    def both(text: str) -> list[int]:
+        if odd.search(text):
+            return slow(text)
+        try:
+            return fast(text)
+        except BaseException as failed:  # what the library raises on a panic is no Exception
+            if isinstance(failed, (KeyboardInterrupt, SystemExit, GeneratorExit)):
+                raise
+            return slow(text)
+
     probe = "Added 12 of it's naïve ñandú's, Straße\t\n  x  — 東京 🙂 don't <|endoftext|> WE'LL 3.14%%%\r\n" + base64.b64encode(bytes(range(256))).decode()
-    return fast if fast(probe) == slow(probe) else slow
+    return both if both(probe) == slow(probe) and fast(probe.replace("<|endoftext|>", "")) == slow(probe.replace("<|endoftext|>", "")) else slow
 
 
 def best_fit(sizes: list[int], limit: int) -> tuple[list[int], list[int], list[int]]:
