@@ -9,8 +9,8 @@ once, for a line as for the host's share. A group of copies of a good text there
 that differ in any word count each, and removing near copies is the task of deduplication.
 
 Defined cases: a null or empty text has no words and fails the base rule (fewer than 50 words); a null host is a
-host of its own; repeated rows are judged alike and all returned; extra columns are ignored by ``judge`` and kept by
-``keep``; an empty table gives an empty result.
+host of its own; repeated rows are judged alike and all returned; extra columns, whatever their names, are ignored by ``judge``
+and kept by ``keep``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import broadcast_if_small, check_columns, staged
+from gleaner.llm.common import broadcast_if_small, check_columns, numbered, staged
 
 _WHITE = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -139,5 +139,6 @@ def judge(
 def keep(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """The rows of docs that the rules keep, with docs' own columns."""
     gone = staged(judge(docs, text=text, doc_id=doc_id, keyed=True, **how).filter(~F.col("kept")).select("__id", "__sha").distinct(), "rejected")
-    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__sha"))
-    return docs.join(broadcast_if_small(gone), same, "left_anti")
+    plain, at = numbered(docs)
+    same = F.col(at[doc_id]).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(at[text]), F.lit(""))) == F.col("__sha"))
+    return plain.join(broadcast_if_small(gone), same, "left_anti").toDF(*docs.columns)

@@ -23,7 +23,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(spark, table(spark, sf_dir, "pages"))
-    return found.select(F.when(F.col("record_id") >= 0, F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+    return found.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "intact", "chunks")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,8 @@ b AS (SELECT *, list_transform(range(40), lambda i: strpos('0123456789abcdef', h
 d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
   CAST((((nibble[(5 * k) // 4 + 1] * 256 + coalesce(nibble[(5 * k) // 4 + 2], 0) * 16 + coalesce(nibble[(5 * k) // 4 + 3], 0)) // CAST(pow(2, 7 - (5 * k) % 4) AS BIGINT)) % 32) + 1 AS INT)]), '') AS payload_digest FROM b),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM d)
-SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, true AS intact FROM m""",
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, true AS intact,
+  CASE WHEN page_id <> first THEN 1 ELSE greatest(1, (payload_bytes + 16383) // 16384) END AS chunks FROM m""",
     "op5_suffix_dedup": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (SELECT doc_id, unnest(range(greatest(length(h) // 2 - 49, 0))) AS p, unnest(list_transform(range(greatest(length(h) // 2 - 49, 0)), lambda i: h[2 * i + 1:2 * i + 100])) AS gram FROM d),
 hit AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY gram) AS first FROM w) WHERE first < doc_id),
@@ -93,12 +94,11 @@ tri AS (SELECT doc_id, unnest(range(greatest(len(w) - 2, 0))) AS pos, unnest(lis
 twice AS (SELECT doc_id, pos FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS p FROM twice) GROUP BY 1),
 raw AS (SELECT doc_id, source, list_filter(list_transform(string_split(lower(t), chr(10)), lambda x: trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')), lambda x: x <> '') AS ls FROM d),
-line AS (SELECT doc_id, source, x, length(x) - length(replace(x, ' ', '')) + 1 AS words, CAST('0x' || md5(x)[1:15] AS BIGINT) AS h FROM (SELECT doc_id, source, unnest(ls) AS x FROM raw)),
-longest AS (SELECT doc_id, list_transform(list_sort(list_distinct(list({'n': -words, 'h': h})))[1:2], lambda pair: pair.h) AS hs FROM line GROUP BY 1),
-sig AS (SELECT l.*, CASE WHEN h = hs[1] THEN coalesce(hs[2], 0) ELSE hs[1] END AS s FROM line l JOIN longest USING (doc_id)),
-host AS (SELECT source, count(*) AS docs FROM documents GROUP BY 1),
-freq AS (SELECT s.source, h FROM (SELECT source, h, count(DISTINCT s) AS n FROM sig GROUP BY 1, 2) s JOIN host USING (source) WHERE n > 20 AND n > 0.05 * docs),
-gone AS (SELECT doc_id, sum(words) AS n FROM sig SEMI JOIN freq USING (source, h) GROUP BY 1),
+whole AS (SELECT *, array_to_string(ls, chr(10)) AS body FROM raw),
+line AS (SELECT doc_id, source, body, x, length(x) - length(replace(x, ' ', '')) + 1 AS words FROM (SELECT doc_id, source, body, unnest(ls) AS x FROM whole)),
+host AS (SELECT source, count(DISTINCT body) AS docs FROM whole GROUP BY 1),
+freq AS (SELECT s.source, x FROM (SELECT source, x, count(DISTINCT body) AS n FROM line GROUP BY 1, 2) s JOIN host h ON s.source IS NOT DISTINCT FROM h.source WHERE n > 20 AND n > 0.05 * docs),
+gone AS (SELECT doc_id, sum(words) AS n FROM line l WHERE EXISTS (FROM freq f WHERE f.x = l.x AND f.source IS NOT DISTINCT FROM l.source) GROUP BY 1),
 base AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
   coalesce(rep.n, 0) AS n_repeat_words, least(coalesce(gone.n, 0), len(w)) AS removed_words FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
