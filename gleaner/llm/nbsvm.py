@@ -9,7 +9,9 @@ Bound: the model is fit on at most ``most_rows`` labelled rows of each class, th
 
 Defined cases: null and empty texts have no n-grams and get the score of the bias alone; labels that are null are left
 out; an id with several labels counts once for each; with no labelled rows, or one class, scores are the constant
-share of ones (0.5 without labels); repeated rows are each scored; extra columns are ignored.
+share of ones (0.5 without labels); repeated rows are each scored, and each learnt from; rows to learn from are
+taken in an order of their own (hash, label, content), so ties don't depend on where rows come from; ids are integers; extra columns
+are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -162,11 +164,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
                 out["buckets"].append(features(t).astype("<i4").tobytes())
             yield emit(out, schema)
 
-    joined = docs.join(picked, F.col(doc_id) == F.col("__lid")).select("__y", "__lid", F.col(text).cast("binary").alias("__text"))
+    given = docs.select(F.col(doc_id).alias("__did"), F.col(text).cast("binary").alias("__text"))
+    joined = given.join(picked, F.col("__did") == F.col("__lid")).select("__y", "__lid", "__text")
     found = joined.mapInArrow(run, "y int, fresh boolean, buckets binary").toArrow()
-    order = np.argsort([hash_of(b) for b in found["buckets"].to_pylist()], kind="stable") if found.num_rows else []
-    sets = [np.frombuffer(b, "<i4").astype(np.int64) for b in found["buckets"].to_pylist()]
-    y, fresh = (np.array(found[n].to_pylist()) for n in ("y", "fresh"))
+    held_rows = list(zip(*(found[n].to_pylist() for n in ("buckets", "y", "fresh")), strict=True))
+    order = sorted(range(len(held_rows)), key=lambda i: (hash_of(held_rows[i][0]), held_rows[i][1:], held_rows[i][0]))
+    sets = [np.frombuffer(b, "<i4").astype(np.int64) for b, _, _ in held_rows]
+    y, fresh = (np.array([r[k] for r in held_rows]) for k in (1, 2))
     return fit([sets[i] for i in order], y[order] if len(order) else np.zeros(0), fresh[order].astype(bool) if len(order) else np.zeros(0, bool))
 
 

@@ -13,7 +13,9 @@ Bound: at most ``most_rows`` labelled rows of each class, those with the smalles
 
 Defined cases: null and empty texts have the score of no response at all; words are runs of letters, others count as
 gaps; long texts are taken in overlapping parts, none left out; with no labels or one class scores are constant (0 without ones,
-0.5 without labels); repeated rows are each scored; extra columns are ignored.
+0.5 without labels); repeated rows are each scored, and each learnt from; rows to learn from are
+taken in an order of their own (hash, label, content), so ties don't depend on where rows come from; ids are integers; extra columns
+are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -222,9 +224,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str, text: str, doc_id: str
                     out[n].append(v)
             yield emit(out, schema)
 
-    joined = docs.join(picked, F.col(doc_id) == F.col("__lid")).select("__y", "__lid", F.col(text).cast("binary").alias("__text"))
+    given = docs.select(F.col(doc_id).alias("__did"), F.col(text).cast("binary").alias("__text"))
+    joined = given.join(picked, F.col("__did") == F.col("__lid")).select("__y", "__lid", "__text")
     found = joined.mapInArrow(run, "y int, key long, lang string, buckets binary").toArrow().to_pydict()
-    order = sorted(range(len(found["y"])), key=lambda i: (crc32(b"%d" % found["key"][i]), found["key"][i]))
+    order = sorted(range(len(found["y"])), key=lambda i: (crc32(b"%d" % found["key"][i]), found["key"][i], found["y"][i], found["buckets"][i]))
     texts = [np.frombuffer(found["buckets"][i], "<i4").reshape(-1, 2).astype(np.int64) for i in order]
     y = np.array([found["y"][i] for i in order], float)
     fresh = np.array([crc32(b"fresh %d" % found["key"][i]) % 4 == 0 for i in order], bool)
