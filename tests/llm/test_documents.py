@@ -83,12 +83,13 @@ def fingerprint(text):
 
 
 @pytest.mark.parametrize("which", ["docs", "real"])
-@pytest.mark.parametrize("cut", [False, True])
-def test_components(which, cut, request, monkeypatch):
-    if cut:  # as if all sets were too large for one task
-        monkeypatch.setattr(simhash, "MOST_IN_SET", 3)
-        monkeypatch.setattr(simhash, "TILE", 8)
-        monkeypatch.setattr(simhash, "_DIAGONAL", 2)
+@pytest.mark.parametrize("least,whole,halves,dense", [(4096, 4_000_000, 64_000_000, 1 << 32), (3, 4_000_000, 64_000_000, 1 << 32), (3, 0, 64_000_000, 0), (8, 0, 0, 4)])
+def test_components(which, least, whole, halves, dense, request, monkeypatch):
+    # tiles of few fingerprints, by ones, halves and quarters, compared whole or by blocks first
+    for name, value in (("LEAST", least), ("WHOLE", whole), ("HALVES", halves), ("DENSE", dense)):
+        monkeypatch.setattr(simhash, name, value)
+    if least < 4096:
+        monkeypatch.setattr(simhash, "_layout", lambda n: (1 if whole else 2 if halves else 4, least))
     df = request.getfixturevalue(which)
     got = sorted(((r.doc_id, r.fingerprint, r.component_id) for r in simhash.fingerprint_components(df).collect()), key=repr)
     rows = [(r.doc_id, fingerprint(r.text)) for r in df.collect()]
@@ -108,18 +109,36 @@ def test_components(which, cut, request, monkeypatch):
     assert got == sorted(((i, f"{f:016x}", None if i is None else find(i)) for i, f in rows), key=repr)
 
 
-def test_tiles_lose_no_link():
+def test_every_link_comes_from_a_pair_of_tiles(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    marked = simhash.staged(simhash.fingerprints(docs), "test")
+    distinct = marked.groupBy("__fp").agg({"__id": "min"}).withColumnRenamed("min(__id)", "__node")
+    fp = {r["__node"]: r["__fp"] & (1 << 64) - 1 for r in distinct.collect()}
+    found = simhash.links(distinct).collect()
+    for r in found:
+        assert {r.t // simhash._SALT, r.u // simhash._SALT} == {fp[r.a].bit_count(), fp[r.b].bit_count()}
+        assert abs(r.t // simhash._SALT - r.u // simhash._SALT) <= 4
+    nodes, values = np.array(list(fp)), np.array(list(fp.values()), np.uint64)
+    x, y = np.nonzero(np.bitwise_count(values[:, None] ^ values[None, :]) <= 4)
+    want = forest(nodes[x], nodes[y])
+    assert len(want[0]) > 1
+    got = forest(np.array([r.a for r in found]), np.array([r.b for r in found]))
+    assert [g.tolist() for g in got] == [w.tolist() for w in want]
+
+
+@pytest.mark.parametrize("dense", [1 << 32, 0])
+def test_tiles_lose_no_link(dense):
     rng = np.random.default_rng(5)
     seeds = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     fp = np.concatenate([seeds, *[seeds ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) for _ in range(60)]])
-    ones = np.bitwise_count(fp).astype(np.int32)
-    order = np.argsort(ones, kind="stable")
-    fp, ones, node = fp[order], ones[order], np.arange(len(fp))
-    columns = {"fp": fp.view(np.int64), "node": node, "ones": ones, **{n: np.full(len(fp), -1) for n in ("t", "u", "own")}}
-    got = simhash._compare(columns, np.array([0, len(fp)]), 4)
-    x, y = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4)
-    want = forest(x, y)
-    assert [a.tolist() for a in got] == [a.tolist() for a in want]
+    node, near = np.arange(len(fp)), np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4
+    for side in (np.zeros(len(fp), int), rng.integers(0, 2, len(fp))):
+        got = simhash.compare(fp, node, side, 4, dense)
+        x, y = np.nonzero(near if not side.any() else near & (side[:, None] != side[None, :]))
+        assert [a.tolist() for a in got] == [a.tolist() for a in forest(x, y)]
+    pairs = [np.concatenate(z) for z in zip(*simhash._pairs_by_blocks(fp, fp, 4, True, 50), strict=True)]
+    x, y = np.nonzero(np.triu(near, 1))
+    assert set(zip(*map(np.ndarray.tolist, pairs), strict=True)) == set(zip(x.tolist(), y.tolist(), strict=True))
 
 
 def test_deduplicate_keeps_one(docs):
@@ -176,6 +195,33 @@ def test_remove_keeps_columns_and_characters(spark, docs):
     assert got == {1: ("é" * 60, 60), 2: ("x tail", 6)}
 
 
+def test_suffix_order_decides_all(spark, monkeypatch):
+    """All that goes, whole copies included, comes from the sorted suffixes: with them blind, nothing goes."""
+    rows = [(i, f"passage number {k} that several documents of this little table share, word for word, and then some more of it", "s") for i, k in ((1, 1), (2, 1), (3, 2), (9, 1))]
+    rows += [(4, "own start. " + rows[2][1] + " own end", "s"), (5, "another start. " + rows[0][1][10:] + " another end", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    for chunk in (1_000_000, 150):  # in one chunk, and across chunks
+        monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", chunk)
+        given = df.select("doc_id", "text").collect()
+        assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeated_passages(df).collect()), key=repr) == removed(given)
+        with monkeypatch.context() as m:
+            m.setattr(suffix_dedup, "window_owners", lambda texts, owner, length: [np.full(max(0, len(x) - length + 1), o) for x, o in zip(texts, owner, strict=True)])
+            chunk_ = type("C", (), {"t": np.zeros(200, np.uint8), "body": b"x" * 200, "ids": np.array([1, 2])})
+            at = np.array([0, 100])
+            assert not len(suffix_dedup.local_hits(chunk_, np.array([0, 1]), at, at + 50, at.astype(np.uint64), 50, 1000))
+            m.setattr(suffix_dedup, "local_hits", lambda chunk, doc, low, *rest: low[:0])
+            assert {r.n_removed for r in suffix_dedup.repeated_passages(df).collect()} == {0}
+
+
+def test_suffix_array_with_many_groups(monkeypatch):
+    from gleaner.llm import suffix_array as sa
+
+    t = np.random.default_rng(2).integers(97, 99, 500).astype(np.uint8)
+    want = suffix_array(t, 501).tolist()
+    monkeypatch.setattr(sa, "MOST_GROUPS", 3)
+    assert suffix_array(t, 501).tolist() == want == sorted(range(500), key=lambda i: t.tobytes()[i:])
+
+
 def test_suffix_array_is_exact():
     rng = np.random.default_rng(0)
     for n, letters in ((1, 3), (2, 1), (10, 2), (300, 2), (400, 1), (700, 26)):
@@ -215,7 +261,7 @@ def judged(rows, items):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block", [8_000_000, 300])
+@pytest.mark.parametrize("block", [8_000_000, 0])
 @pytest.mark.parametrize("segment", [4_000_000, 500])
 def test_contamination(spark, small, real, docs, block, segment, monkeypatch):
     monkeypatch.setattr(positional_index, "BLOCK_BYTES", block)
@@ -236,6 +282,19 @@ def test_decontaminate_and_proximity(spark):
     assert not [r for r in positional_index.proximity(positional_index.build(df), items, span=2).collect() if r.doc_id == 2]
 
 
+def test_windows_go_where_their_rarest_term_is(spark, monkeypatch):
+    monkeypatch.setattr(positional_index, "BLOCK_BYTES", 0)
+    rows = [(i, f"common words stand here and there term{i} more common words", "s") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)
+    items = spark.createDataFrame([(1, "here and there term7 more"), (2, "term8 term9"), (3, "absent term7"), (4, "common words")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in positional_index.contamination(df, items, width=5).collect()}
+    assert got == {i: (5 + 4, 2) if i == 7 else (4, 1) for i in range(40)}
+    index = positional_index.staged(positional_index.build(df), "test")
+    given, _ = positional_index._put(index, positional_index.sought(items, 5))
+    asked = sorted(len(r.asked or []) for r in given.select("asked").collect())
+    assert sum(asked) == index.count() + 2  # the common window goes everywhere, those of term7 and term8 to one segment each, the other nowhere
+
+
 # packing ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -266,6 +325,18 @@ def test_packing_round_trip(which, request):
     assert len(bins) <= math.ceil(sum(r.length for r in rows) / limit) * 1.05 + 3
 
 
+def test_odd_texts_are_encoded_as_the_library_does(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path()
+    plain, encode = Tokenizer.from_file(path), packing.encoder(path)
+    odd = [" " * 1_000_000, "\n" * 100_000, "a" * 60_000, "7" * 60_000, "!" * 60_000, "\u3000" * 30_000, "é" * 30_000, "x <|endoftext|> y", "<|endoftext|>", "a" + " " * 20_000 + "b", "ab1 " * 30_000, "\u0301" * 20_000, "\u200d" * 20_000, "a\u0300" * 20_000]
+    for text in odd:
+        assert encode(text) == plain.encode(text, add_special_tokens=False).ids, text[:10]
+    out = packing.pack(spark.createDataFrame([(1, odd[0]), (2, odd[7])], "doc_id long, text string"), path).collect()
+    assert sum(r.length for r in out if r.doc_id == 1) == len(plain.encode(odd[0], add_special_tokens=False).ids) + 1
+
+
 def test_best_fit_and_merge_rounds(spark, monkeypatch):
     where, at, fill = packing.best_fit([6, 5, 5, 4, 10, 3], 10)
     assert len(fill) == 4 and all(f <= 10 for f in fill) and sum(fill) == 33
@@ -296,10 +367,16 @@ def lm_held(i):
     return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
 
 
-@pytest.mark.parametrize("which,chunk,piece", [("docs", 400_000, 1 << 20), ("docs", 50, 100), ("real", 20_000, 1 << 20)])
-def test_language_model_base(which, chunk, piece, request, monkeypatch):
-    monkeypatch.setattr(class_lm, "CHUNK_TOKENS", chunk)
+@pytest.mark.parametrize("piece", [1, 7, 1 << 20])
+def test_words_are_the_same_in_pieces(piece, monkeypatch):
     monkeypatch.setattr(class_lm, "PIECE", piece)
+    for text in (b"", b"  \n", b"One two\x0bTHREE  four " + b"x" * 30 + b" end", "Ünï codé\u00a0and\u2003more".encode()):
+        assert class_lm.tokens(text) == [*(w.encode() for w in WORD.findall(ascii_lower(text.decode()))), b" "]
+
+
+@pytest.mark.parametrize("which,chunk", [("docs", 400_000), ("docs", 50), ("real", 20_000)])
+def test_language_model_base(which, chunk, request, monkeypatch):
+    monkeypatch.setattr(class_lm, "CHUNK_TOKENS", chunk)
     df = request.getfixturevalue(which)
     rows = df.collect()
     c = collections.Counter(x for r in rows if not lm_held(r.doc_id) for x in lm_tokens(r.text))
@@ -441,6 +518,36 @@ def test_dual_descent_separates():
     assert all((w[r].sum() / math.sqrt(2) + b > 0) == (k < 2) for k, r in enumerate(rows_))
 
 
+# clashing names ---------------------------------------------------------------------------------------------------------------------
+
+OWN = "__id __sha __host __at __line __words __text __raw __ls __whole __l __n __docs __body __fp __node __gone __lid __did __y __key __bad __rest __held keep node root a b t u cell mate gone id fp c0 c1 c2 chunk bucket bin into at fill from state words".split()
+
+
+def test_clashing_names(spark, docs):
+    """Columns named like those that operators use for themselves: nothing fails, and what is kept keeps them."""
+    from pyspark.sql import functions as F
+
+    df = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    clash = df.withColumns({c: F.lit("extra") for c in OWN})
+    items = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (7, 0, 1), (8, 1, 0), (11, 0, 1)], "doc_id long, quality int, toxic int").withColumns({c: F.lit("extra") for c in OWN})
+
+    def seen(out, names):
+        return sorted((tuple(r[n] for n in names) for r in out.select(*names).collect()), key=repr)
+
+    for run in (
+        line_quality.judge, simhash.fingerprint_components, suffix_dedup.repeated_passages, lambda d: positional_index.contamination(d, items), lambda d: packing.pack(d, tokenizer_path()).drop("sequence_id", "offset"),
+        lambda d: class_lm.train_and_score(d, core=20).drop("score", "perplexity"), lambda d: nbsvm.classify(d, labels), lambda d: toxicity.classify(d, labels),
+    ):
+        plain = run(df)
+        assert seen(run(clash), plain.columns) == seen(plain, plain.columns)
+    for run in (line_quality.keep, simhash.deduplicate, suffix_dedup.remove, lambda d: positional_index.decontaminate(d, items)):
+        out = run(clash)
+        assert out.columns == clash.columns
+        assert seen(out, df.columns) == seen(run(df), df.columns)
+        assert {r["__id"] for r in out.collect()} == {"extra"}
+
+
 # empty tables ----------------------------------------------------------------------------------------------------------------------
 
 

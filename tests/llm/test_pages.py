@@ -7,24 +7,25 @@ import io
 import numpy as np
 from gleaner.llm import html_main, warc
 
-ROWS = [(1, "http://a/1", "<p>one</p>"), (2, "http://a/2", "<p>one</p>"), (3, None, None), (4, "http://a/4", ""), (5, "u", "é" * 1_500_000), (None, "http://a/5", "<p>one</p>"), (6, "http://a/6\nx", "two"), (2, "http://a/2", "<p>one</p>")]
+ROWS = [(1, "http://a/1", "<p>one</p>"), (2, "http://a/2", "<p>one</p>"), (3, None, None), (4, "http://a/4", ""), (5, "u", "é" * 1_500_000), (None, "http://a/5", "<p>one</p>"), (6, "http://a/6\nx", "two"), (2, "http://a/2", "<p>one</p>"), (-5, "http://a/7", "minus"), (-1, "http://a/8", "minus")]
 
 
 def _pages(spark):
     from pyspark.sql import functions as F
 
-    return spark.createDataFrame(ROWS, "page_id long, url string, html string").withColumn("path", F.lit("extra")).repartition(3)
+    clash = ("path", "chunk", "record", "data", "__id", "__body", "__key", "__len", "__digest", "__size", "__first", "__at", "__piece")
+    return spark.createDataFrame(ROWS, "page_id long, url string, html string").withColumns({c: F.lit("extra") for c in clash}).repartition(3)
 
 
 def test_round_trip(spark):
     got = warc.round_trip(spark, _pages(spark)).collect()
     assert len(got) == len(ROWS) and all(r.intact for r in got)
-    want = {1: ("revisit", 2), 2: ("response", None), 3: ("revisit", 4), 4: ("response", None), 5: ("response", None), 6: ("response", None), -1: ("revisit", 2)}
+    want = {1: ("revisit", 2), 2: ("response", None), 3: ("revisit", 4), 4: ("response", None), 5: ("response", None), 6: ("response", None), None: ("response", None), -5: ("revisit", -1), -1: ("response", None)}
     for r in got:
-        body = next((h or "").encode() for i, _, h in ROWS if (i if i is not None else -1) == r.record_id)
+        body = next((h or "").encode() for i, _, h in ROWS if i == r.record_id)
         assert (r.payload_bytes, r.payload_digest) == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode())
-        if r.record_id >= 0:
-            assert (r.record_type, r.refers_to) == want[r.record_id]
+        assert (r.record_type, r.refers_to) == want[r.record_id]
+        assert r.chunks == (1 if r.record_type == "revisit" else max(1, -(-len(body) // warc.CHUNK_BYTES)))
 
 
 def test_chunks_carry_digests_and_bytes(spark):
@@ -35,6 +36,9 @@ def test_chunks_carry_digests_and_bytes(spark):
     body = b"".join(bytes(r["data"]) for r in five)
     assert body == ("é" * 1_500_000).encode() and five[-1].last
     assert five[3].digest == base64.b32encode(hashlib.sha1(body[:400_000]).digest()).decode()
+    # a chunk table that lacks rows isn't intact
+    broken = warc.records(chunks.filter("NOT (record_id = 5 AND chunk = 7)")).filter("record_id = 5").collect()
+    assert [r.intact for r in broken] == [False]
 
 
 def test_smaller_payloads_are_responses(spark):
@@ -52,10 +56,21 @@ def test_empty_archive(spark):
 def test_reads_plain_archives_in_any_chunks():
     out = io.BytesIO()
     w = warc.Writer(out)
-    w.add(7, "http://x", b"0123456789", warc.base32_sha1(b"0123456789"), None)
-    w.add(8, "http://y", b"", warc.base32_sha1(b""), None)
+    for record, data in ((7, b"0123456789"), (8, b"")):
+        w.begin(record, "http://x", len(data), warc.base32_sha1(data), None)
+        for at in range(0, len(data), 3):
+            w.part(data[at : at + 3])
+        w.end()
     got = list(warc.parse(io.BytesIO(out.getvalue()), 4))
-    assert [(c["record_id"], c["data"]) for c in got] == [(7, b"0123"), (7, b"4567"), (7, b"89"), (8, b"")]
+    assert [(c["record"], c["record_id"], c["data"]) for c in got] == [(0, 7, b"0123"), (0, 7, b"4567"), (0, 7, b"89"), (1, 8, b"")]
+
+
+def test_page_with_several_chunks_in_the_query(spark):
+    from gleaner.llm import queries
+
+    got = queries.op2_warc(spark, "/root/testdata/sf0.1")
+    assert got.columns[:5] == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert got.filter("chunks > 1 AND intact").count() > 0 and got.filter("NOT intact").count() == 0
 
 
 PAGE = (
@@ -99,3 +114,34 @@ def test_siblings_are_numbered_at_any_size():
     x = html_main.features(nodes)
     assert len(mates) == 600 and np.allclose([x[m.number, 10] for m in mates], np.arange(600) / 600)
     assert all(x[m.number, 12] == 600 for m in mates)
+
+
+def test_time_grows_with_the_page_alone():
+    import time
+
+    trees, n = html_main.trained(), 50_000
+    long = {
+        "siblings": "<article>" + "<p>some words of a paragraph</p>" * n + "</article>",
+        "open quotes": '<p class="x' * n + "end",
+        "quotes and tags": "<p a='" * n + '<b c="' * n + ">end",
+        "plain signs": "< a " * n,
+        "tags without an end": "<p " * n,
+        "one end for all": "<p " * n + ">end",
+        "unclosed": "<div>" * n + "</section>" * n,
+        "skipped": "<select>" * n + "</video>" * n,
+        "drawings": "<svg>" * n,
+        "comments": "<!-- " * n,
+        "headings": "<h1>" * n + "<p>" * n,
+    }
+    for name, page in long.items():
+        began = time.perf_counter()
+        html_main.main_text(page, trees)
+        assert time.perf_counter() - began < 25, name
+
+
+def test_quotes_without_a_match_end_with_the_tag():
+    root = html_main.parse('<div class="a><p>one</p></div><p title=\'x > y\'>two</p>')
+    texts = ["".join(t for _, t in n.own if isinstance(t, str)) for n in html_main.flat(root)]
+    assert [t for t in texts if t] == ["one", "two"]
+    assert html_main.parse("<p>kept<b title='cut").children[0].own[0][1] == "kept"
+    assert html_main.main_text("<article><h1>A < B</h1><p>1 < 2 and 3 <4 stay, as plain signs do in a long line of article text</p></article>", html_main.trained()).count("<") == 3
