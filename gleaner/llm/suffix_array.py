@@ -1,8 +1,7 @@
 """Two-stage suffix sorting in numpy, and common prefixes of neighbours in the order.
 
 A suffix is *ascending* if it is smaller than its successor (the suffix one place on), else *descending*; the last one is
-descending. Stage one sorts the ascending suffixes directly, by words of bytes, going deeper only where suffixes
-still tie. Stage two scans the buckets of first bytes in order: each suffix read puts the one before it, if that
+descending. Stage one sorts the ascending suffixes directly, by their first bytes. Stage two scans the buckets of first bytes in order: each suffix read puts the one before it, if that
 is descending, at the next free place of its bucket. All steps work on whole buckets at a time.
 
 The order is exact up to ``depth`` bytes; suffixes alike to that depth are in any order among themselves.
@@ -12,15 +11,16 @@ from __future__ import annotations
 
 import numpy as np
 
-_WORD = 5
-_PAD = 16
-MOST_GROUPS = 1 << 24
+#: Suffixes whose bytes are laid out side by side at once while they are sorted.
+_PAD, MOST = 16, 4_000_000
 
 
-def _words(t: np.ndarray, at: np.ndarray) -> np.ndarray:
-    out = t[at].astype(np.uint64)
-    for k in range(1, _WORD):
-        out = (out << np.uint64(8)) | t[at + k]
+def _words(padded: np.ndarray, n: int, size: int) -> np.ndarray:
+    """At each of the first n places, the size bytes from there as one number."""
+    out = padded[:n].astype(np.uint64)
+    for k in range(1, size):
+        out <<= np.uint64(8)
+        out |= padded[k : n + k]
     return out
 
 
@@ -32,33 +32,14 @@ def ascending(t: np.ndarray) -> np.ndarray:
 
 
 def direct_sort(padded: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes at the given places, sorted by their first depth bytes or more."""
-    if not len(at):
-        return at
-    key = _words(padded, at)
-    order = np.argsort(key, kind="stable")
-    at, key = at[order], key[order]
-    new = np.ones(len(at), bool)
-    new[1:] = key[1:] != key[:-1]
-    for deep in range(_WORD, depth, _WORD):
-        tied = ~new
-        tied[:-1] |= ~new[1:]
-        slots = np.flatnonzero(tied)
-        if not len(slots):
-            break
-        group = np.cumsum(new)[slots].astype(np.uint64)
-        some = at[slots]
-        key = _words(padded, np.minimum(some + deep, len(padded) - _WORD))
-        if group[-1] < MOST_GROUPS:  # group and word fit one number
-            key |= group << np.uint64(40)
-            order = np.argsort(key, kind="stable")
-        else:
-            order = np.lexsort((key, group))
-        at[slots], key, group = some[order], key[order], group[order]
-        fresh = np.ones(len(slots), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
-        new[slots] |= fresh
-    return at
+    """Suffixes at the given places, sorted by their first depth bytes; padded reaches so far beyond the last of them."""
+    if len(at) > MOST:
+        # in parts by first byte
+        parts = [at[padded[at] == c] for c in np.unique(padded[at])]
+        if len(parts) > 1:
+            return np.concatenate([direct_sort(padded, p, depth) for p in parts])
+    keys = np.lib.stride_tricks.sliding_window_view(padded, depth)[at]
+    return at[np.argsort(np.ascontiguousarray(keys).view(f"S{depth}").ravel(), kind="stable")]
 
 
 def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
@@ -103,19 +84,24 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
 
 def common_prefixes(t: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
     """For each place in order but the first: the length of its common prefix with the one before it, at most cap; 0 first."""
-    padded = np.concatenate([t, np.zeros(cap + _PAD, np.uint8)])
-    room = len(t) - order
-    out = np.zeros(len(order), np.int64)
+    size = 8
+    words = _words(np.concatenate([t, np.zeros(cap + _PAD, np.uint8)]), len(t) + cap, size)
+    out = np.full(len(order), cap, np.int64)
+    out[:1] = 0
+    a, b = order[:-1], order[1:]
     live = np.arange(1, len(order))
-    for deep in range(0, cap, _WORD):
+    for deep in range(0, cap, size):
+        differ = words[b + deep] ^ words[a + deep]
+        ended = np.flatnonzero(differ)
+        x = differ[ended]
+        alike = np.full(len(ended), size)
+        for k in range(size):
+            alike[x >= np.uint64(1) << np.uint64(8 * k)] = size - 1 - k
+        out[live[ended]] = deep + alike
+        on = np.flatnonzero(differ == 0)
+        live, a, b = live[on], a[on], b[on]
         if not len(live):
             break
-        differ = _words(padded, order[live] + deep) ^ _words(padded, order[live - 1] + deep)
-        alike = np.full(len(live), _WORD)
-        for k in range(_WORD):
-            alike[differ >= np.uint64(1) << np.uint64(8 * k)] = _WORD - 1 - k
-        out[live] += alike
-        live = live[alike == _WORD]
-    limit = np.minimum(room[1:], room[:-1])
-    out[1:] = np.minimum(np.minimum(out[1:], limit), cap)
+    room = len(t) - order
+    out[1:] = np.minimum(np.minimum(out[1:], np.minimum(room[1:], room[:-1])), cap)
     return out

@@ -295,13 +295,11 @@ def window_owners(texts: list[bytes], owner: np.ndarray, length: int) -> list[np
     ends = np.cumsum(sizes)
     starts = ends - sizes
     many = np.maximum(sizes - length, 0)
-    is_window = np.zeros(len(t) + 1, np.int32)
-    np.add.at(is_window, starts[many > 0], 1)
-    np.add.at(is_window, (starts + many)[many > 0], -1)
-    is_window = np.cumsum(is_window[:-1]) > 0
+    text_of = np.repeat(np.arange(len(texts)), sizes)
+    is_window = np.arange(len(t)) < (starts + many)[text_of]
     order = suffix_array(t, length)
     order = order[is_window[order]]
-    of = np.searchsorted(ends, order, "right")
+    of = text_of[order]
     new = common_prefixes(t, order, length) < length
     first = np.flatnonzero(new)
     least = np.minimum.reduceat(owner[of], first) if len(first) else np.zeros(0, np.int64)
