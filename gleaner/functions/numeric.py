@@ -51,3 +51,28 @@ def jalali(date: Column) -> Column:
     of_month = F.when(left < 186, F.pmod(left, F.lit(31))).otherwise(F.pmod(left - 186, F.lit(30)))
     two = lambda x: F.lpad((x + 1).cast("string"), 2, "0")
     return F.concat(year.cast("string"), F.lit("/"), two(month), F.lit("/"), two(of_month))
+
+
+def _unpadded(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+
+
+def plain_decimal(value: Column, digits: int = 6) -> Column:
+    """A number as text without an exponent, with so many decimals at most and no trailing zeros."""
+    return _unpadded(value.cast(f"decimal(38,{digits})").cast("string"))
+
+
+def significant(value: Column, digits: int = 6) -> Column:
+    """A number as text with so many significant digits at most, ties away from zero, no trailing zeros; beyond 10^digits or below 10^-4 with an exponent."""
+    size = F.abs(value)
+
+    def places(n: int) -> Column:
+        return _unpadded(F.round(value, n).cast(f"decimal(38,{n})").cast("string"))
+
+    out = F.when(size == 0, "0")
+    for e in range(-4, digits):
+        out = out.when((size >= 10.0**e) & (size < 10.0 ** (e + 1)), places(digits - 1 - e))
+    e = F.floor(F.log10(size)).cast("int")
+    scaled = _unpadded(F.round(value / F.pow(F.lit(10.0), e), digits - 1).cast(f"decimal(38,{digits - 1})").cast("string"))
+    sign = F.when(e < 0, "e-").otherwise("e+")
+    return out.otherwise(F.concat(scaled, sign, F.lpad(F.abs(e).cast("string"), 2, "0")))

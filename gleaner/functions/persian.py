@@ -20,6 +20,7 @@ DIGITS = "۰۱۲۳۴۵۶۷۸۹"
 PUNCTUATION = "،؛.!؟:"
 MAGNITUDES = [(1e9, "میلیارد"), (1e6, "میلیون")]
 CONJUNCTIONS = ["و", "اما", "ولی", "که", "زیرا", "چون"]
+STOP_WORDS = ["این", "است", "برای", "که", "های", "شده", "خود", "آن", "بود", "یک", "شود", "کرد", "بین"]
 # --------------------------------------------------------------------------------------------------------------------
 
 
@@ -136,6 +137,142 @@ def split_runons(texts: pd.Series) -> pd.Series:
 
 def content_words(text: Column) -> Column:
     """Distinct Persian words of three letters or more, without the commonest function words."""
-    stop = ["این", "است", "برای", "که", "های", "شده", "خود", "آن", "بود", "یک", "شود", "کرد", "بین"]
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"[؀-ۿ]{3,}"), F.lit(0)))
-    return F.array_except(found, F.array(*[F.lit(w) for w in stop]))
+    return F.array_except(found, F.array(*[F.lit(w) for w in STOP_WORDS]))
+
+
+# Attribution and definitions ------------------------------------------------------------------------------------------
+
+# Provider phrases in the order in which they are looked for, placeholder brackets, and unit words.
+PROVIDER_PHRASES = [
+    "بانک جهانی", "یاهو فایننس", "Yahoo", "صندوق بین‌المللی پول", "مرکز آمار", "بانک مرکزی", "EIA", "داده‌های بازار جهانی", "آمارهای رسمی", "بازار جهانی",
+    "نهادهای معتبر بین‌المللی", "نهادهای بین‌المللی", "منابع معتبر", "منابع رسمی", "ارائه‌دهنده", "ارائه دهنده", "ارائهدهنده",
+]
+PLACEHOLDER = r"\[\s*(?:بنا بر\s+)?منبع\s*[:.٫]?\s*[A-Za-zXY۰-۹]?\s*\]|\[\.\.\.\]|…{2,}"
+UNIT_WORDS = "میلیارد|میلیون|هزار|دلار|درصد|بشکه|تومان|ریال|یورو|سنت"
+DIGIT = "[۰-۹0-9]"
+NAME_LABELS = ["نام", "فارسی", "انگلیسی"]
+# ------------------------------------------------------------------------------------------------------------------
+
+
+def provider_name(source: Column) -> Column:
+    """The Persian name of a data provider; others stay as they are."""
+    s = F.coalesce(source, F.lit(""))
+    return (
+        F.when(s.contains("World Bank") | (F.trim(s) == "WDI"), "بانک جهانی").when(s.contains("Yahoo"), "یاهو فایننس").when(s.contains("IMF"), "صندوق بین‌المللی پول")
+        .when(s.startswith("OWID:"), "پایگاه Our World in Data").when(s.contains("SCI"), "مرکز آمار ایران").when(s.contains("CBI"), "بانک مرکزی ایران").otherwise(s)
+    )
+
+
+def head_key(name: Column) -> Column:
+    """The first three words of a name of four or more (else all), without leading labels; empty if shorter than six characters."""
+    words = F.filter(F.split(F.coalesce(name, F.lit("")), r"\s+"), lambda w: w != "")
+    label = F.transform(words, lambda w: F.regexp_replace(w, ":+$", "").isin(NAME_LABELS))
+    first = F.coalesce(F.nullif(F.array_position(label, F.lit(False)), F.lit(0)), F.size(words) + 1).cast("int")
+    rest = F.slice(words, first, F.greatest(F.size(words) - first + 1, F.lit(0)))
+    head = F.array_join(F.when(F.size(rest) >= 4, F.slice(rest, 1, 3)).otherwise(rest), " ")
+    return F.when(F.length(head) >= 6, head).otherwise("")
+
+
+def unit_name(unit: Column) -> Column:
+    """The Persian name of a unit; unknown ones as they are."""
+    u = F.lower(F.trim(F.coalesce(unit, F.lit(""))))
+    return (
+        F.when(u == "", "").when(u.contains("%") | (u == "percent"), "٪").when(u.contains("million tonnes"), "میلیون تن").when(u.contains("tonnes") | (u == "t"), "تن")
+        .when(u.contains("kwh") | u.contains("kilowatt"), "کیلووات‌ساعت").when(u.contains("person"), "نفر").when(u.contains("yield"), u).otherwise(F.trim(unit))
+    )
+
+
+def without_glossary(text: Column) -> Column:
+    """What precedes an appended glossary."""
+    return F.regexp_replace(text, r"(?s)\n+\s*📚.*$", "")
+
+
+def clamped(text: Column, most: int = 170) -> Column:
+    """Text cut at the last clause mark before the limit, if that leaves over 40 characters, else at a word's end, with an ellipsis."""
+    plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    cut = F.substring(plain, 1, most)
+    clause = F.regexp_extract(cut, "(?s)^(.*)[،؛]", 1)
+    word = F.regexp_extract(cut, "(?s)^(.*) ", 1)
+    tidy = F.regexp_replace(clause, "[ ،؛]+$", "")
+    return F.when(F.length(plain) <= most, plain).when(F.length(clause) > 40, F.concat(tidy, F.lit("…"))).otherwise(F.concat(F.rtrim(word), F.lit("…")))
+
+
+def _wordy(inner: Column, least: int) -> Column:
+    """A phrase of enough words that holds neither a figure nor a provider."""
+    words = F.size(F.filter(F.split(inner, r"\s+"), lambda w: w != ""))
+    named = F.lit(False)
+    for p in PROVIDER_PHRASES:
+        named = named | inner.contains(p)
+    return (words >= least) & ~inner.rlike(DIGIT) & ~named
+
+
+def without_definitions(text: Column) -> Column:
+    """Definitions in brackets (five words or more) and between a dash and a year (four or more) taken out; sources, units and short glosses stay."""
+    inside = F.filter(F.regexp_extract_all(text, F.lit(r"\(([^()]{15,})\)"), F.lit(1)), lambda x: _wordy(x, 5))
+    out = F.aggregate(inside, text, lambda t, x: F.replace(t, F.concat(F.lit("("), x, F.lit(")")), F.lit("")))
+    apart = F.filter(F.regexp_extract_all(text, F.lit(rf" — ([^—.؟!\n()]{{10,}}?) در سال {DIGIT}"), F.lit(1)), lambda x: _wordy(x, 4))
+    out = F.aggregate(apart, out, lambda t, x: F.replace(t, F.concat(F.lit(" — "), x, F.lit(" در سال ")), F.lit(" در سال ")))
+    return F.regexp_replace(out, " {2,}", " ")
+
+
+def _by_sentence(text: Column, mend) -> Column:
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"[^.؟!\n]*[.؟!\n]*"), F.lit(0)), mend), "")
+
+
+def _first_named(text: Column, providers: dict[str, str]) -> Column:
+    """The provider of the longest metric name that the text holds; null if none."""
+    out = F.lit(None).cast("string")
+    for name in sorted(providers, key=len):
+        out = F.when(text.contains(name), providers[name]).otherwise(out)
+    return out
+
+
+def filled_placeholders(text: Column, providers: dict[str, str]) -> Column:
+    """Placeholder brackets replaced by the provider of a metric named before them in their sentence, or dropped."""
+
+    def mend(sentence: Column) -> Column:
+        parts = F.split(sentence, PLACEHOLDER)
+
+        def join(done: Column, part: Column) -> Column:
+            named = _first_named(done, providers)
+            return F.concat(done, F.coalesce(F.concat(F.lit("("), named, F.lit(")")), F.lit("")), part)
+
+        return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.element_at(parts, 1), join)
+
+    return _by_sentence(text, mend)
+
+
+def corrected_sources(text: Column, providers: dict[str, str]) -> Column:
+    """In a sentence that names a metric, other providers' phrases become the metric's own."""
+
+    def mend(sentence: Column) -> Column:
+        want = _first_named(sentence, providers)
+        out = sentence
+        for phrase in PROVIDER_PHRASES:
+            out = F.replace(out, F.lit(phrase), want)  # its own phrase becomes itself
+        return F.when(want.isNull(), sentence).otherwise(out)
+
+    return _by_sentence(text, mend)
+
+
+def inserted_sources(text: Column, providers: dict[str, str]) -> Column:
+    """The provider in brackets behind the first figure (with its unit words) that is no year, in sentences that name a metric's head and figures but no provider."""
+    with_unit = rf"{DIGIT}[۰-۹0-9٬٫.,]*(?:\s*(?:{UNIT_WORDS}))+"
+    bare = rf"{DIGIT}(?:[۰-۹0-9٬٫.,]*{DIGIT})?"
+
+    def mend(sentence: Column) -> Column:
+        want = _first_named(sentence, providers)
+        named = F.lit(False)
+        for p in PROVIDER_PHRASES:
+            named = named | sentence.contains(p)
+        units = F.regexp_extract_all(sentence, F.lit(with_unit), F.lit(0))
+        figures = F.when(F.size(units) > 0, units).otherwise(F.regexp_extract_all(sentence, F.lit(bare), F.lit(0)))
+        plain = lambda x: F.translate(F.regexp_replace(x, rf"(?:\s*(?:{UNIT_WORDS}))+$", ""), "۰۱۲۳۴۵۶۷۸۹", "0123456789")
+        other = F.filter(figures, lambda x: ~plain(x).rlike("^(19[0-9]{2}|20[0-9]{2}|2100)$"))
+        figure = F.coalesce(F.get(other, F.lit(0)), F.get(figures, F.size(figures) - 1))
+        end = F.instr(sentence, figure) + F.length(figure) - 1
+        added = F.concat(F.substring(sentence, F.lit(1), end), F.lit(" ("), want, F.lit(")"), F.substring(sentence, end + 1, F.length(sentence)))
+        return F.when(want.isNull() | named | figure.isNull(), sentence).otherwise(added)
+
+    return _by_sentence(text, mend)

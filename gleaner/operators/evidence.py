@@ -103,3 +103,14 @@ def histogram(df: DataFrame, column: Column, name: str) -> DataFrame:
 
 def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     return top_k(df, keys, order, k, "place")
+
+
+def subjects(questions: DataFrame, links: DataFrame, entities: DataFrame) -> DataFrame:
+    """(question_id, entity_id, name): the first entity, by id, of each question's problem."""
+    first = links.join(entities, "entity_id").groupBy("problem_id").agg(F.min_by(F.struct("entity_id", "name"), "entity_id").alias("e"))
+    return questions.join(first, "problem_id").select("question_id", "e.entity_id", "e.name")
+
+
+def interventions(links: DataFrame, levers: DataFrame, key: str) -> DataFrame:
+    """A problem's interventions; one that states its relevance counts as verified."""
+    return links.join(levers, key).withColumn("verified", F.coalesce(F.trim("relevance"), F.lit("")) != "")

@@ -59,13 +59,12 @@ def contained(new: DataFrame, old: DataFrame, new_id: str, old_id: str, text: st
     return shared.withColumn("share", F.col("shared") / F.col("size")).filter(F.col("share") > more_than).select(new_id, old_id, "share")
 
 
-def contained_all(new: DataFrame, old: DataFrame, new_id: str, old_id: str, text: str, pattern: str, more_than: float) -> DataFrame:
-    """As contained, where many rows share a text: each distinct text is compared once, and ids are joined back."""
-    a = new.groupBy(text).agg(F.min(new_id).alias("__a"))
-    b = old.groupBy(text).agg(F.min(old_id).alias("__b"))
-    found = contained(a, b, "__a", "__b", text, pattern, more_than)
-    ids = lambda df, one, key, first: df.select(key, text).join(one, text).select(key, first)
-    return found.join(ids(new, a, new_id, "__a"), "__a").join(ids(old, b, old_id, "__b"), "__b").select(new_id, old_id, "share")
+def contained_classes(new: DataFrame, old: DataFrame, new_id: str, old_id: str, text: str, pattern: str, more_than: float, new_rows: str, old_rows: str) -> DataFrame:
+    """As contained, between distinct texts, each under its smallest id, with the numbers of rows that have them."""
+    a = new.groupBy(text).agg(F.min(new_id).alias(new_id), F.count("*").alias(new_rows))
+    b = old.groupBy(text).agg(F.min(old_id).alias(old_id), F.count("*").alias(old_rows))
+    found = contained(a, b, new_id, old_id, text, pattern, more_than)
+    return found.join(a.select(new_id, new_rows), new_id).join(b.select(old_id, old_rows), old_id).select(new_id, old_id, "share", new_rows, old_rows)
 
 
 def verbatim(texts: DataFrame, sources: DataFrame, key: str, text: str, source_text: str, n: int = 8) -> DataFrame:

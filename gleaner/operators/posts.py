@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import ascii_digits
+from gleaner.operators.common import top_k
+
 # Fixed values -----------------------------------------------------------------------------------------------------
 REQUIRED_SECTIONS = ["What the evidence says", "How it could be addressed", "What we don't yet know"]
 MIN_WORDS, MAX_WORDS = 40, 600
@@ -17,6 +20,12 @@ STUDY_TERMS = [
     "population", "demograph", "migrat", "youth", "refugee", "agricultur", "farm", "crop", "wheat", "pistachio", "food", "export", "import", "trade", "tariff", "sanction", "inflation", "price", "market",
     "cooperativ", "welfare", "poverty", "inequality", "credit", "econom", "security", "conflict", "military", "nato", "defence", "defense", "iran", "middle east", "developing", "emerging", "china", "settlement", "infrastructur", "spatial", "planning", "climate",
 ]
+FORECAST_LABELS = ["پیش‌بینی", "پیش بینی", "برآورد", "پروژکشن", "forecast", "projection"]
+RISING = ["افزایش", "رو به رشد", "جهش", "بالاتر رفت"]
+FALLING = ["کاهش", "نزولی", "سقوط", "پایین آمد"]
+REPORTED = ["بر پایه گزارش", "بر اساس گزارش", "بر اساس همین گزارش"]
+FALLS = ["افت", "کاهش", "سقوط"]
+GROWS = ["رشد", "افزایش", "جهش"]
 HOOKS = ["مقایسه", "صحنه", "عدد غافلگیرکننده", "پرسش ساده", "تاریخ", "تضاد ساختاری"]
 HOOK_MARKS = {"پرسش ساده": ["چرا", "؟"], "تاریخ": ["دهه", "سال ۱"], "عدد غافلگیرکننده": ["درصد"]}
 FRAMING_TELLS = ["روزهایی که", "این روزها", "تیتر یک", "رسانه‌ها", "خبرها", "اخبار", "در شرایطی که", "چرا با وجود"]
@@ -51,11 +60,15 @@ def gate(markdown: Column, confidence: Column) -> Column:
 
 
 def case(analyses: Column, has_news: Column, has_data: Column) -> Column:
-    return F.when(analyses > 0, "analysis").when(has_data, F.when(has_news, "own_forecast").otherwise("own_forecast")).otherwise("discard")
+    """News alone makes no case: without an analysis it takes data, whether there is news or not."""
+    return F.when(analyses > 0, "analysis").when(has_data, "own_forecast").otherwise("discard")
 
 
-def study_audit(title: Column, cited_by: Column) -> Column:
-    low = F.lower(F.coalesce(title, F.lit("")))
+def study_audit(title: Column, cited_by: Column, abstract: Column | None = None, concepts: Column | None = None) -> Column:
+    """Over-cited, or off the domain's terms in title, abstract and concepts (an array) together, or ok."""
+    more = [abstract] if abstract is not None else []
+    more += [F.array_join(concepts, " ")] if concepts is not None else []
+    low = F.lower(F.concat_ws(" ", title, *more))
     return F.when(F.coalesce(cited_by, F.lit(0)) > CITATION_CLIFF, "over_cited").when(occurring(low, STUDY_TERMS) == 0, "off_domain").otherwise("ok")
 
 
@@ -98,3 +111,78 @@ def route_state(calls: DataFrame, route: str, at: str, ok: str, base: int = 1800
     out = calls.select(route).distinct().join(fails, route, "left").withColumn("fails", F.coalesce("fails", F.lit(0)))
     wait = F.least(F.lit(base) * F.pow(F.lit(2.0), F.least(F.col("fails") - 2, F.lit(20))), F.lit(most)).cast("int")
     return out.select(route, "fails", F.when(F.col("fails") >= 2, F.col("last_fail") + F.make_dt_interval(secs=wait)).alias("disabled_until"))
+
+
+def unlabelled_years(text: Column, this_year: int, around: int = 70) -> Column:
+    """Future years at whose first mention no word for a forecast stands within so many characters."""
+    plain = ascii_digits(text)
+
+    def window(y: Column) -> Column:
+        at = F.instr(plain, y.cast("string"))
+        return F.substring(plain, F.greatest(at - around, F.lit(1)), F.least(F.lit(2 * around), F.lit(around) + at - 1))
+
+    return F.filter(future_years(plain, this_year), lambda y: occurring(window(y), FORECAST_LABELS) == 0)
+
+
+def trend_contradiction(text: Column, direction: Column, figures: Column, around: int = 200) -> Column:
+    """Whether a text that names one of a series' decimals speaks of the opposite direction near it: at the first mention of an opposite word."""
+    shared = F.filter(figures, lambda n: text.contains(n))
+
+    def near(word: str) -> Column:
+        at = F.instr(text, word)
+        window = F.substring(text, F.greatest(at - around, F.lit(1)), F.least(F.lit(2 * around), F.lit(around) + at - 1))
+        return (at > 0) & F.exists(shared, lambda n: window.contains(n))
+
+    def some(words: list[str]) -> Column:
+        return reduce(lambda a, b: a | b, [near(w) for w in words])
+
+    return F.coalesce(F.when(direction == "increasing", some(FALLING)).when(direction == "decreasing", some(RISING)), F.lit(False))
+
+
+def valid_insight(claim: Column, numbers_ok: Column, most: int = 320) -> Column:
+    return (F.length(claim) <= most) & numbers_ok
+
+
+def licensed(topics: Column, terms: dict[str, list[str]], angle: Column) -> Column:
+    """Whether a series may be charted: one of its topics has a term in the angle; an unregistered series (null topics) may."""
+    low = F.lower(F.coalesce(angle, F.lit("")))
+    own = F.transform(F.split(topics, ","), lambda t: F.trim(t))
+    hit = reduce(lambda a, b: a | b, [F.array_contains(own, t) & (occurring(low, words) > 0) for t, words in terms.items()])
+    return F.coalesce(hit, F.lit(True))
+
+
+def chart_series(points: DataFrame, keys: list[str], tail: int = 36, least: int = 8, most: int = 3) -> DataFrame:
+    """(keys, indicator, n, span, place): of each group's series of (indicator, year, value), cut to their last points, the widest by relative span."""
+    last = points.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "indicator").orderBy(F.desc("year")))).filter(F.col("__n") <= tail)
+    ends = last.groupBy(*keys, "indicator").agg(F.count("*").alias("n"), F.min_by("value", "year").alias("a"), F.max_by("value", "year").alias("b"))
+    ends = ends.filter((F.col("n") >= least) & (F.col("a") != F.col("b"))).withColumn("span", F.round(F.abs(F.col("b") - F.col("a")) / F.greatest(F.abs("a"), F.lit(1e-9)), 6))
+    return top_k(ends, keys, [F.desc("span"), F.asc("indicator")], most, "place").select(*keys, "indicator", "n", "span", "place")
+
+
+def card_layout(sentences: DataFrame, key: str) -> DataFrame:
+    """(key, pos, layout): the sentence a card is built from, and how.
+
+    sentences: key, pos, sentence, strength (sum of its three best figures' scores), units (of these), overlap (words and topics shared with the
+    angle), has_angle. Reported ones get two more, each shared word four. Misaligned, reported and all other ones give no_stat, a contrast takes two units and
+    words of both directions.
+    """
+    text = F.col("sentence")
+    score = F.col("strength") + F.when(occurring(text, REPORTED) > 0, 2).otherwise(0) + 4 * F.col("overlap")
+    best = top_k(sentences.withColumn("__score", score), [key], [F.desc("__score"), F.asc("pos")], 1)
+    misaligned = F.col("has_angle") & (F.col("overlap") == 0)
+    both = (occurring(text, FALLS) > 0) & (occurring(text, GROWS) > 0)
+    layout = F.when(misaligned | (occurring(text, REPORTED[:2]) > 0), "no_stat").when(both & (F.size(F.array_distinct("units")) >= 2), "contrast").otherwise("no_stat")
+    return best.select(key, "pos", layout.alias("layout"))
+
+
+def mechanism_steps(text: Column) -> Column:
+    """How many causal connectives a post names; two or more make a mechanism."""
+    return occurring(text, CAUSAL_STEPS)
+
+
+def without_lever(sentences: DataFrame, key: str, sentence: str, levers: DataFrame) -> DataFrame:
+    """(key, pos): prescriptive sentences that name none of the key's levers."""
+    own = levers.groupBy(key).agg(F.collect_set(F.lower("lever")).alias("__levers"))
+    low = F.lower(F.col(sentence))
+    named = F.coalesce(F.exists("__levers", lambda x: low.contains(x)), F.lit(False))
+    return sentences.filter(occurrences(F.col(sentence), PRESCRIPTIONS) > 0).join(own, key, "left").filter(~named).select(key, "pos")

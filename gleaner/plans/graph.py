@@ -115,18 +115,10 @@ def representative_pairs(t: Tables) -> DataFrame:
 
 
 @query(
-    "+x AS (SELECT DISTINCT p_brand AS topic, ps.l_suppkey AS problem_id FROM lineitem ps JOIN part ON p_partkey = ps.l_partkey WHERE p_size = 1), w AS (SELECT *, CASE WHEN topic IN ('Brand#1', 'Brand#2') THEN 0.25 ELSE 1.0 END AS w FROM x) SELECT a.problem_id AS a, b.problem_id AS b, CAST(sum(a.w) AS DOUBLE) AS score FROM w a JOIN w b ON a.topic = b.topic AND a.problem_id < b.problem_id GROUP BY 1, 2 HAVING sum(a.w) >= 1 AND max(a.w) >= 1",
+    "+x AS (SELECT DISTINCT p_brand AS topic, ps.l_suppkey AS problem_id FROM lineitem ps JOIN part ON p_partkey = ps.l_partkey), w AS (SELECT *, CASE WHEN topic IN ('Brand#1', 'Brand#2') THEN 0.25 ELSE 1.0 END AS w FROM x) SELECT a.problem_id AS a, b.problem_id AS b, CAST(sum(a.w) AS DOUBLE) AS score FROM w a JOIN w b ON a.topic = b.topic AND a.problem_id < b.problem_id GROUP BY 1, 2 HAVING sum(a.w) >= 1 AND max(a.w) >= 1",
     "studies",
 )
 def problem_topic_links(t: Tables) -> DataFrame:
-    parts = t.raw("part").filter("p_size = 1").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("topic"))
-    topics = t.raw("lineitem").select("l_partkey", F.col("l_suppkey").alias("problem_id")).join(F.broadcast(parts), "l_partkey").select("problem_id", "topic")
-    return E.topic_links(topics, ["Brand#1", "Brand#2"])
-
-
-@query()
-def problem_topic_links_all(t: Tables) -> DataFrame:
-    """As problem_topic_links, over all parts."""
     parts = t.raw("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("topic"))
     topics = t.raw("lineitem").select("l_partkey", F.col("l_suppkey").alias("problem_id")).join(parts, "l_partkey").select("problem_id", "topic")
     return E.topic_links(topics, ["Brand#1", "Brand#2"])

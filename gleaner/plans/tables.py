@@ -80,6 +80,10 @@ class Tables:
         status = F.when(key % 3 == 0, "published").when(key % 3 == 1, "ready").otherwise("candidate")
         return self.raw("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(key.alias("problem_id"), statement.alias("statement"), F.when(key % 4 == 0, F.lit(None)).otherwise(F.lower("c_mktsegment")).alias("topic"), status.alias("status"))
 
+    def problem_subjects(self) -> DataFrame:
+        nation = F.broadcast(self.raw("nation"))
+        return self.raw("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("problem_id"), F.col("n_name").alias("subject"))
+
     def questions(self) -> DataFrame:
         key = F.col("o_orderkey")
         question = F.concat_ws(" ", F.lit("What is the"), _pick(ANGLES, key), F.lit("on"), _pick(SUBJECTS, key + F.floor(key / 7)), _pick(ENDINGS, key))
@@ -115,6 +119,7 @@ SQL = {
     "registry": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in r) + ")" for r in REGISTRY) + ") AS r(indicator, label, metric_kind, unit, topics, polarity)",
     "problems": f"""SELECT c_custkey AS problem_id, {_list(SUBJECTS)}[c_custkey % 12 + 1] || ' in ' || array_to_string(list_transform(string_split(lower(n_name), ' '), lambda x: upper(x[1]) || x[2:]), ' ') || ' ' || {_list(ANGLES)}[c_custkey % 7 + 1] AS statement,
         CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE lower(c_mktsegment) END AS topic, CASE c_custkey % 3 WHEN 0 THEN 'published' WHEN 1 THEN 'ready' ELSE 'candidate' END AS status FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    "problem_subjects": "SELECT c_custkey AS problem_id, n_name AS subject FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "questions": f"""SELECT o_orderkey AS question_id, o_custkey AS problem_id, 'What is the ' || {_list(ANGLES)}[o_orderkey % 7 + 1] || ' on ' || {_list(SUBJECTS)}[(o_orderkey + o_orderkey // 7) % 12 + 1] || ' ' || {_list(ENDINGS)}[o_orderkey % 5 + 1] AS question,
         {_list(FARSI)}[o_orderkey % 7 + 1] AS question_fa, CAST(o_orderdate AS DATE) AS asked FROM orders""",
     "question_evidence": "SELECT l_orderkey AS question_id, CASE WHEN l_returnflag = 'R' THEN 'measurement' ELSE 'finding' END AS evidence_type, l_partkey AS evidence_id, l_linenumber AS line FROM lineitem",

@@ -156,17 +156,11 @@ def jaccard_pairs(t: Tables) -> DataFrame:
     return M.jaccard_pairs(t.raw("documents"), "doc_id", "text", "[a-z0-9]+", 0.72).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query("+a AS (SELECT problem_id, unnest(" + _WORDS.format("statement") + ") AS w, len(" + _WORDS.format("statement") + ") AS n FROM problems), b AS (SELECT p_partkey AS part_id, unnest(" + _WORDS.format("p_type || ' economy price market exports crude women housing'") + ") AS w FROM part WHERE p_size = 1) SELECT problem_id, part_id, round(count(*) / any_value(n), 6) AS share FROM a JOIN b USING (w) GROUP BY 1, 2 HAVING count(*) / any_value(n) > 0.2", "problems")
+@query("+ra AS (SELECT statement, min(problem_id) AS problem_id, count(*) AS problems FROM problems GROUP BY 1), rb AS (SELECT p_type || ' economy price market exports crude women housing' AS st, min(p_partkey) AS part_id, count(*) AS parts FROM part GROUP BY 1), a AS (SELECT problem_id, problems, unnest(" + _WORDS.format("statement") + ") AS w, len(" + _WORDS.format("statement") + ") AS n FROM ra), b AS (SELECT part_id, parts, unnest(" + _WORDS.format("st") + ") AS w FROM rb) SELECT problem_id, part_id, round(count(*) / any_value(n), 6) AS share, any_value(problems) AS problems, any_value(parts) AS parts FROM a JOIN b USING (w) GROUP BY 1, 2 HAVING count(*) / any_value(n) > 0.2", "problems")
 def containment_dupes(t: Tables) -> DataFrame:
-    parts = t.raw("part").filter("p_size = 1").select(F.col("p_partkey").alias("part_id"), F.concat("p_type", F.lit(" economy price market exports crude women housing")).alias("statement"))
-    return M.contained(t.problems(), parts, "problem_id", "part_id", "statement", "[a-z]{4,}", 0.2).withColumn("share", F.round("share", 6))
-
-
-@query()
-def containment_dupes_all(t: Tables) -> DataFrame:
-    """As containment_dupes, over all parts: distinct statements are compared and ids joined back."""
+    """Pairs of distinct statements, each under its smallest id, with how many rows have them."""
     parts = t.raw("part").select(F.col("p_partkey").alias("part_id"), F.concat("p_type", F.lit(" economy price market exports crude women housing")).alias("statement"))
-    return M.contained_all(t.problems(), parts, "problem_id", "part_id", "statement", "[a-z]{4,}", 0.2).withColumn("share", F.round("share", 6))
+    return M.contained_classes(t.problems(), parts, "problem_id", "part_id", "statement", "[a-z]{4,}", 0.2, "problems", "parts").withColumn("share", F.round("share", 6))
 
 
 @query(
@@ -181,20 +175,10 @@ def keyword_counts(t: Tables) -> DataFrame:
     return t.problems().select("problem_id", F.size(M.keywords(F.col("statement"), R.KEYWORD_STOP, 1000)).alias("n_all"))
 
 
-@query("+q AS (SELECT DISTINCT question FROM questions), k AS (SELECT topic, list_distinct(regexp_extract_all(lower(any_value(topic)), '[a-z]{5,}')) AS k FROM problems WHERE topic IS NOT NULL GROUP BY 1), a AS (SELECT artifact_id, lower(content[1:300]) AS title FROM artifacts) SELECT topic, artifact_id, len(list_filter(['tion', 'there', 'ening', 'keit'], lambda w: contains(title, w))) AS hits FROM a CROSS JOIN k QUALIFY row_number() OVER (PARTITION BY topic ORDER BY hits DESC, artifact_id DESC) <= 6", "questions", "problems", "artifacts")
+@query("+k AS (SELECT problem_id, unnest(list_filter(list_distinct(regexp_extract_all(lower(statement), '[a-z]{5,}')), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in R.KEYWORD_STOP) + "))[1:8]) AS w FROM problems), h AS (SELECT artifact_id, w FROM artifacts JOIN (SELECT DISTINCT w FROM k) ON contains(lower(content), w)) SELECT problem_id, artifact_id, CAST(count(*) AS INT) AS hits FROM k JOIN h USING (w) GROUP BY 1, 2 HAVING count(*) >= 2 QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY hits DESC, artifact_id DESC) <= 6", "problems", "artifacts")
 def top_articles_by_keywords(t: Tables) -> DataFrame:
-    words = F.array(*[F.lit(x) for x in ("tion", "there", "ening", "keit")])
-    scored = t.artifacts().select("artifact_id", M.hits(words, F.substring("content", 1, 300)).alias("hits"))
-    best = scored.orderBy(F.desc("hits"), F.desc("artifact_id")).limit(6)
-    topics = t.problems().select("topic").filter("topic IS NOT NULL").distinct()
-    return F.broadcast(best).crossJoin(topics).select("topic", "artifact_id", "hits")
-
-
-@query()
-def top_articles_by_own_keywords(t: Tables) -> DataFrame:
-    """Six articles for each problem by the keywords of its own statement, two at least in the article's first 300 characters."""
-    a = t.artifacts().select("artifact_id", F.substring("content", 1, 300).alias("title"))
-    return M.best_by_keywords(t.problems(), a, "problem_id", "artifact_id", "statement", "title", R.KEYWORD_STOP)
+    """Six articles for each problem by the first eight keywords of its statement, of which an article holds two at least."""
+    return M.best_by_keywords(t.problems(), t.artifacts(), "problem_id", "artifact_id", "statement", "content", R.KEYWORD_STOP)
 
 
 @query("SELECT page_id, regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1), '^www\\.', '') AS host FROM pages")

@@ -30,11 +30,16 @@ def sources_config(spark: SparkSession, rows: list[dict]) -> DataFrame:
 def feed_entries(spark: SparkSession, path: str, per_source: int = 10) -> DataFrame:
     """Landed RSS or Atom files (one XML file per feed) as entries with a link, the first of each file.
 
-    The XML reader splits files by item, so a file of any size is scanned in parallel.
+    The XML reader splits files by item, or by entry, so a file of any size is scanned in parallel.
     """
     rss = "title string, link string, pubDate string, description string"
-    df = spark.read.option("rowTag", "item").schema(rss).xml(path).withColumn("__file", F.input_file_name())
-    df = df.withColumn("__pos", F.monotonically_increasing_id()).filter(F.length(F.trim("link")) > 0)
+    atom = "title string, link array<struct<_href: string, _rel: string>>, published string, updated string, summary string, content string"
+    one = spark.read.option("rowTag", "item").schema(rss).xml(path).withColumn("__file", F.input_file_name()).withColumn("__pos", F.monotonically_increasing_id())
+    entry = spark.read.option("rowTag", "entry").schema(atom).xml(path).withColumn("__file", F.input_file_name()).withColumn("__pos", F.monotonically_increasing_id())
+    # of an entry's links the one that isn't to something else
+    links = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    entry = entry.select("title", F.get(F.transform(links, lambda x: x["_href"]), F.lit(0)).alias("link"), F.coalesce("published", "updated").alias("pubDate"), F.coalesce("summary", "content").alias("description"), "__file", "__pos")
+    df = one.unionByName(entry).filter(F.length(F.trim("link")) > 0)
     df = top_k(df, ["__file"], [F.asc("__pos")], per_source, "rank")
     return df.select(F.col("__file").alias("feed"), "rank", collapsed(F.col("title")).alias("title"), F.trim("link").alias("url"), feed_time(F.col("pubDate")).alias("published"), "description")
 
@@ -66,6 +71,73 @@ def world_bank(spark: SparkSession, path: str, this_year: int) -> DataFrame:
     return _series(one, F.col("r.indicator.value"), F.col("r.country.value"), F.col("r.date"), F.col("r.value"), "World Bank WDI", this_year)
 
 
+def world_bank_status(spark: SparkSession, path: str) -> DataFrame:
+    """(file, status, observations) of landed answers, three ways apart: ok, no_observation (the source answered, without a value), source_unavailable (no answer that can be read)."""
+    row = "struct<date: string, value: double>"
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    whole = F.regexp_extract("value", r"(?s)^\s*\[(.*)\]\s*$", 0)
+    body = F.from_json(F.regexp_extract("value", r"(?s)^\s*\[\s*\{.*?\}\s*,\s*(\[.*\])\s*\]\s*$", 1), f"array<{row}>")
+    n = F.size(F.filter(F.coalesce(body, F.array().cast(f"array<{row}>")), lambda x: x["value"].isNotNull()))
+    return raw.select("file", F.when(n > 0, "ok").when(whole != "", "no_observation").otherwise("source_unavailable").alias("status"), n.alias("observations"))
+
+
+def unsd(spark: SparkSession, path: str, indicator: str, area: str = "364", this_year: int = 2026) -> DataFrame:
+    """Landed answers of {"data": [{geoAreaCode, value, timePeriod, year}]}: the area's rows with a value; none where the answer has another shape."""
+    row = "struct<geoAreaCode: string, value: string, timePeriod: string, year: string>"
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"data array<{row}>").alias("j"))
+    one = raw.select(F.explode("j.data").alias("r")).filter(F.col("r.geoAreaCode") == area).withColumn("v", F.col("r.value").try_cast("double")).filter("v IS NOT NULL")
+    period = F.coalesce(F.nullif("r.timePeriod", F.lit("")), "r.year", F.lit(""))
+    return _series(one, F.lit(f"SDG {indicator}"), F.lit(area), period, F.col("v"), "UNSD SDG", this_year)
+
+
+def oecd(spark: SparkSession) -> DataFrame:
+    """No rows: what that source answers isn't guessed at."""
+    return spark.createDataFrame([], SERIES)
+
+
+def read_source(spark: SparkSession, name: str, **how) -> DataFrame:
+    """Series of the named source from its landed answers. Raises for a name without a reader."""
+    readers = {"worldbank": world_bank, "imf": imf, "owid": owid, "unsd": unsd, "oecd": oecd}
+    if name not in readers:
+        raise ValueError(f"no reader for {name!r}; known: {', '.join(sorted(readers))}")
+    return readers[name](spark, **how)
+
+
+def bulk(spark: SparkSession, wanted: list[dict]) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """All curated indicators, each under its label, and what failed (source, error): a source that fails leaves the others alone.
+
+    wanted: dicts of source, label, and the reader's own arguments.
+    """
+    parts, failed = [oecd(spark)], []
+    for one in wanted:
+        how = {k: v for k, v in one.items() if k not in ("source", "label")}
+        try:
+            parts.append(read_source(spark, one["source"], **how).withColumn("indicator", F.lit(one["label"])))
+        except Exception as error:  # noqa: BLE001  a source that can't be read is reported, not guessed
+            failed.append((one["source"], str(error).splitlines()[0]))
+    return combined(parts), failed
+
+
+# Words of a statement, and the domains of series they call for.
+DOMAIN_SERIES = {
+    "economic": ["labor", "labor_gender"], "cooperativ": ["labor"], "energy": ["energy", "environment"], "water": ["energy", "agriculture", "environment"], "agriculture": ["agriculture", "environment"], "export": ["agriculture", "environment"],
+    "women": ["labor_gender", "labor"], "gender": ["labor_gender", "labor"], "labor": ["labor", "labor_gender"], "unemploy": ["labor", "labor_gender"], "family": ["labor_gender"], "housing": ["labor"], "conflict": ["energy", "environment"],
+}
+
+
+def series_domains(statement: Column) -> Column:
+    """The domains of series that a statement's words call for, each once, sorted."""
+    low = F.lower(F.coalesce(statement, F.lit("")))
+    found = F.flatten(F.array(*[F.when(low.contains(w), F.array(*[F.lit(d) for d in domains])).otherwise(F.array().cast("array<string>")) for w, domains in DOMAIN_SERIES.items()]))
+    return F.array_sort(F.array_distinct(found))
+
+
+def series_by_domain(statements: DataFrame, series: DataFrame) -> DataFrame:
+    """(statement, series' columns): rows of series(domain, ...) of each statement's domains. Distinct statements meet series by domain."""
+    own = statements.select("statement").distinct().select("statement", F.explode(series_domains(F.col("statement"))).alias("domain"))
+    return own.join(series, "domain")
+
+
 def imf(spark: SparkSession, path: str, indicator: str, subject: str, this_year: int) -> DataFrame:
     """Landed answers of {"values": {indicator: {subject: {year: value}}}}."""
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "values map<string, map<string, map<string, double>>>").alias("j"))
@@ -124,6 +196,36 @@ def works(spark: SparkSession, path: str, query_ix: int = 0, source_ix: int = 0)
     )
 
 
+def semantic_works(spark: SparkSession, path: str, query_ix: int = 0, source_ix: int = 1) -> DataFrame:
+    """Landed answers of {"data": [...]} as flat studies; those without a title or an abstract are dropped."""
+    paper = "struct<paperId: string, title: string, abstract: string, year: int, citationCount: int, externalIds: struct<DOI: string>, authors: array<struct<name: string>>>"
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"data array<{paper}>").alias("j")).select(F.explode("j.data").alias("p"))
+    kept = raw.filter((F.trim(F.coalesce("p.title", F.lit(""))) != "") & (F.trim(F.coalesce("p.abstract", F.lit(""))) != ""))
+    none = F.array().cast("array<string>")
+    return kept.select(
+        F.col("p.paperId").alias("id"), F.col("p.title").alias("title"), F.lower("p.externalIds.DOI").alias("doi"), F.col("p.year").alias("year"), F.lit(None).cast("string").alias("study_type"), F.col("p.citationCount").alias("cited_by_count"), F.col("p.abstract").alias("abstract"),
+        F.transform("p.authors", lambda a: a["name"]).alias("authors"), none.alias("institutions"), none.alias("countries"), none.alias("concepts"), F.lit(query_ix).alias("query_ix"), F.lit(source_ix).alias("source_ix"),
+    )
+
+
+def news_search(spark: SparkSession, path: str, preferred: list[str]) -> DataFrame:
+    """Landed answers of {"articles": [...]}: titled ones, with the time seen and whether the outlet is preferred, and their place: preferred, English, newest first."""
+    article = "struct<title: string, url: string, domain: string, seendate: string, language: string>"
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", f"articles array<{article}>").alias("j")).select("file", F.posexplode("j.articles").alias("pos", "a"))
+    domain = F.lower(F.coalesce("a.domain", F.lit("")))
+    liked = reduce(lambda x, y: x | y, [domain.contains(p) for p in preferred], F.lit(False))
+    kept = raw.filter(F.coalesce("a.title", F.lit("")) != "").select("file", "pos", F.trim("a.title").alias("title"), F.col("a.url").alias("url"), domain.alias("domain"), F.try_to_timestamp("a.seendate", F.lit("yyyyMMdd'T'HHmmss'Z'")).alias("seen"), F.col("a.language").alias("language"), liked.alias("preferred"))
+    english = F.coalesce(F.col("language").isin("English", "eng"), F.lit(False))
+    return top_k(kept, ["file"], [F.desc("preferred"), F.desc(english), F.desc_nulls_last("seen"), F.asc("pos")], 250, "place")
+
+
+def frozen(studies: DataFrame, fetched: DataFrame | None = None) -> DataFrame:
+    """Studies frozen beforehand stand in for retrieval wherever there are any; else what was fetched."""
+    if fetched is None:
+        return studies
+    return studies.unionByName(fetched.join(studies.limit(1).select(F.lit(1).alias("__any")), F.lit(True), "left_anti"), allowMissingColumns=True)
+
+
 def merged_works(parts: list[DataFrame]) -> DataFrame:
     """The union of works, one per DOI (or per start of the title), the first by query and source; works with neither are dropped."""
     df = combined(parts).withColumn("__key", F.coalesce("doi", F.substring(F.lower("title"), 1, 80))).filter("__key IS NOT NULL")

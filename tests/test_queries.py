@@ -43,9 +43,14 @@ def test_query_matches_sql(name, spark, small, duck):
     assert table(df.columns, [tuple(r) for r in df.collect()]) == table(columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
-def test_query_runs(name, spark, small):
-    assert catalogue.queries()[name](spark, small).count() >= 0
+#: Queries whose rule rests on its own earlier output, or whose SQL is bound to part of the rows, and the tests that hold them against brute force.
+ELSEWHERE = {
+    "greedy_distinct_claims": "test_greedy", "title_clusters": "test_greedy", "series_linker": "test_greedy", "persian_normalise": "test_greedy", "persian_repairs": "test_greedy", "query_phrases": "test_greedy", "entity_merge": "test_greedy",
+}
+
+
+def test_every_query_is_held_against_something():
+    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) <= set(ELSEWHERE)
 
 
 def test_entry(spark):
@@ -64,3 +69,11 @@ def test_no_part_of_the_engine_imports_llm():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert "gleaner.llm" not in path.read_text(), path
+
+
+def test_core_queries_stand_without_what_llm_needs():
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['xxhash'] = None; sys.modules['tiktoken'] = None; import __spark_entry__ as e; q = e.queries(); assert 'gate4_priority' in q and not any(n.startswith('op4_') for n in q) and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=entry_module.__file__.rsplit("/", 1)[0])
