@@ -14,11 +14,20 @@ from gleaner.operators.common import top_k
 def overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str, pattern: str, least: int) -> DataFrame:
     """(left_id, right_id, shared): pairs that share at least so many distinct tokens.
 
-    An equi-join on tokens: only pairs with a token in common ever meet.
+    Texts that have the same tokens are compared once, as sets, and ids joined back. Sets meet by their rarest tokens: of a set that shares
+    least tokens with another, at least one of all but its least - 1 most frequent ones is shared, so frequent tokens make no pairs.
     """
-    a = left.select(left_id, F.explode(tokens(F.col(text), pattern)).alias("token"))
-    b = right.select(right_id, F.explode(tokens(F.col(text), pattern)).alias("token"))
-    return a.join(b, "token").groupBy(left_id, right_id).agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+    a = left.select(left_id, F.array_sort(tokens(F.col(text), pattern)).alias("set")).filter(F.size("set") >= least)
+    b = right.select(right_id, F.array_sort(tokens(F.col(text), pattern)).alias("set")).filter(F.size("set") >= least)
+    sa, sb = a.select("set").distinct().select(F.xxhash64("set").alias("ka"), "set"), b.select("set").distinct().select(F.xxhash64("set").alias("kb"), "set")
+    token = sa.select("ka", F.explode("set").alias("token"))
+    rarity = sb.select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    # tokens that no set of the other side has can't be shared
+    known = token.join(rarity, "token").groupBy("ka").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order")).filter(F.size("order") >= least)
+    prefix = known.select("ka", F.explode(F.slice("order", F.lit(1), F.size("order") - (least - 1))).alias("x")).select("ka", F.col("x.token").alias("token"))
+    met = prefix.join(sb.select("kb", F.explode("set").alias("token")), "token").select("ka", "kb").distinct()
+    both = met.join(sa.withColumnRenamed("set", "x"), "ka").join(sb.withColumnRenamed("set", "y"), "kb").withColumn("shared", F.size(F.array_intersect("x", "y")).cast("long")).filter(F.col("shared") >= least)
+    return both.join(a.withColumnRenamed("set", "x"), "x").join(b.withColumnRenamed("set", "y"), "y").select(left_id, right_id, "shared")
 
 
 def jaccard_pairs(df: DataFrame, key: str, text: str, pattern: str, threshold: float, block: list[str] | None = None) -> DataFrame:
@@ -158,11 +167,15 @@ def keywords(text: Column, stop: list[str], most: int = 8) -> Column:
 def best_by_keywords(topics: DataFrame, articles: DataFrame, topic_id: str, article_id: str, text: str, title: str, stop: list[str], least: int = 2, k: int = 6) -> DataFrame:
     """(topic_id, article_id, hits): the k articles of each topic whose titles hold most of its keywords, at least so many.
 
-    Each distinct keyword is looked for once in each title; equi-joins bring topics and titles together.
+    A keyword counts where it stands within a longer word, too. Each distinct word of the titles is cut into runs of five letters, and a keyword
+    meets those words that hold its first five, so all joins are on equal keys.
     """
     own = topics.select(topic_id, F.explode(keywords(F.col(text), stop)).alias("word"))
-    titles = articles.select(article_id, F.lower(title).alias("__title"))
-    held = titles.join(own.select("word").distinct(), F.col("__title").contains(F.col("word"))).select(article_id, "word").distinct()
+    words = own.select("word").distinct().withColumn("gram", F.substring("word", 1, 5))
+    titled = articles.select(article_id, F.explode(tokens(F.col(title), "[a-z]{5,}")).alias("token"))
+    grams = titled.select("token").distinct().withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") - 4), lambda i: F.substring(F.col("token"), i, F.lit(5))))))
+    within = grams.join(words, "gram").filter(F.col("token").contains(F.col("word"))).select("token", "word").distinct()
+    held = titled.join(within, "token").select(article_id, "word").distinct()
     scored = own.join(held, "word").groupBy(topic_id, article_id).agg(F.count("*").cast("int").alias("hits")).filter(F.col("hits") >= least)
     return top_k(scored, [topic_id], [F.desc("hits"), F.desc(article_id)], k)
 

@@ -175,10 +175,10 @@ def keyword_counts(t: Tables) -> DataFrame:
     return t.problems().select("problem_id", F.size(M.keywords(F.col("statement"), R.KEYWORD_STOP, 1000)).alias("n_all"))
 
 
-@query("+k AS (SELECT problem_id, unnest(list_filter(list_distinct(regexp_extract_all(lower(statement), '[a-z]{5,}')), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in R.KEYWORD_STOP) + "))[1:8]) AS w FROM problems), h AS (SELECT artifact_id, w FROM artifacts JOIN (SELECT DISTINCT w FROM k) ON contains(lower(content), w)) SELECT problem_id, artifact_id, CAST(count(*) AS INT) AS hits FROM k JOIN h USING (w) GROUP BY 1, 2 HAVING count(*) >= 2 QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY hits DESC, artifact_id DESC) <= 6", "problems", "artifacts")
+@query("+k AS (SELECT item_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]{5,}'), lambda w, i: list_position(regexp_extract_all(lower(text), '[a-z]{5,}'), w) = i AND w NOT IN (" + ", ".join(f"'{w}'" for w in R.KEYWORD_STOP) + "))[1:8]) AS w FROM benchmark), h AS (SELECT artifact_id, w FROM artifacts JOIN (SELECT DISTINCT w FROM k) ON contains(lower(content), w)) SELECT item_id, artifact_id, CAST(count(*) AS INT) AS hits FROM k JOIN h USING (w) GROUP BY 1, 2 HAVING count(*) >= 2 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, artifact_id DESC) <= 6", "artifacts")
 def top_articles_by_keywords(t: Tables) -> DataFrame:
-    """Six articles for each problem by the first eight keywords of its statement, of which an article holds two at least."""
-    return M.best_by_keywords(t.problems(), t.artifacts(), "problem_id", "artifact_id", "statement", "content", R.KEYWORD_STOP)
+    """Six articles for each benchmark item by the first eight keywords of its text, of which an article holds two at least."""
+    return M.best_by_keywords(t.raw("benchmark"), t.artifacts(), "item_id", "artifact_id", "text", "content", R.KEYWORD_STOP)
 
 
 @query("SELECT page_id, regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1), '^www\\.', '') AS host FROM pages")
