@@ -17,12 +17,12 @@ def cited(evidence: DataFrame, questions: DataFrame, kind: str) -> DataFrame:
 def finding_citations(findings: DataFrame, studies: DataFrame, evidence: DataFrame, questions: DataFrame) -> DataFrame:
     """Findings of accepted studies with the questions and problems that cite them."""
     good = studies.filter(not_rejected(F.col("quality")))
-    known = findings.join(F.broadcast(good), "study_id")
+    known = findings.join(good, "study_id")
     return cited(evidence, questions, "finding").join(known, F.col("evidence_id") == F.col("finding_id"))
 
 
 def provenance(findings: DataFrame, studies: DataFrame) -> DataFrame:
-    return findings.join(F.broadcast(studies), "study_id", "left")
+    return findings.join(studies, "study_id", "left")
 
 
 def orphans(findings: DataFrame, evidence: DataFrame, kind: str = "finding") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import rules as R
@@ -55,8 +55,15 @@ def news_scores(statements: DataFrame, titles: DataFrame, least: int = 2, k: int
     word = lambda c: F.explode(F.array_except(tokens(F.col(c), "[a-z]{3,}"), stop)).alias("w")
     s, t = statements.select("statement").distinct(), titles.groupBy("title").agg(F.min("dt").alias("dt"))
     shared = s.select("statement", word("statement")).join(t.select("title", "dt", word("title")), "w").groupBy("statement", "title", "dt").agg(F.count("*").alias("n"))
-    # a title that names Iran reaches the threshold without shared words
-    named = s.crossJoin(F.broadcast(t.filter(F.lower("title").contains("iran")))).select("statement", "title", "dt", F.lit(0).cast("long").alias("n"))
+    # a title that names Iran reaches the threshold without shared words; of those a statement needs the k oldest that it shares no word with,
+    # which are among the k + c oldest of all if it shares words with c of them
+    iran = lambda df: df.filter(F.lower("title").contains("iran"))
+    met = iran(shared).groupBy("statement").agg(F.count("*").alias("c"))
+    most = met.agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
+    oldest = iran(t).select("title", "dt").orderBy(F.asc_nulls_first("dt"), "title").limit(k + most)
+    oldest = oldest.withColumn("r", F.row_number().over(Window.orderBy(F.asc_nulls_first("dt"), "title")))
+    places = s.select("statement").join(met, "statement", "left").select("statement", F.explode(F.sequence(F.lit(1), (F.lit(k) + F.coalesce("c", F.lit(0))).cast("int"))).alias("r"))
+    named = places.join(oldest, "r").select("statement", "title", "dt", F.lit(0).cast("long").alias("n"))
     both = shared.unionByName(named).groupBy("statement", "title", "dt").agg(F.max("n").alias("n"))
     scored = both.withColumn("score", F.col("n") + F.when(F.lower("title").contains("iran"), 2).otherwise(0)).filter(F.col("score") >= least)
     return top_k(scored, ["statement"], [F.desc("score"), F.asc_nulls_first("dt"), F.asc("title")], k, "place").select("statement", "title", "score", "place")
@@ -67,6 +74,6 @@ def opening_similarity(texts: DataFrame, ledger: DataFrame, group: str, key: str
     grams = lambda c: F.array_distinct(ngrams(F.slice(F.regexp_extract_all(F.lower(c), F.lit(pattern), F.lit(0)), 1, first), n))
     own = texts.select(group, key, grams(F.col(text)).alias("a"))
     old = ledger.select(group, F.col(key).alias("__old"), grams(F.col(text)).alias("b"))
-    pairs = own.join(F.broadcast(old), group).filter(F.col(key) != F.col("__old"))
+    pairs = own.join(old, group).filter(F.col(key) != F.col("__old"))
     best = pairs.groupBy(key).agg(F.max(F.when((F.size("a") > 0) & (F.size("b") > 0), jaccard(F.col("a"), F.col("b"))).otherwise(0.0)).alias("similarity"))
     return own.select(key).join(best, key, "left").select(key, F.coalesce("similarity", F.lit(0.0)).alias("similarity"))

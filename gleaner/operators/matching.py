@@ -34,7 +34,8 @@ def jaccard_pairs(df: DataFrame, key: str, text: str, pattern: str, threshold: f
     """(a, b, jaccard) of pairs a < b at or above the threshold, exact.
 
     Prefix filter: pairs at the threshold must share one of their rarest tokens, as many as size - ceil(t * size) + 1, so
-    only those are joined on; candidates are then compared as whole sets. Equal token sets are compared once, by
+    only those are joined on, and only where the tokens that follow the shared one on both sides can still make up the overlap
+    (positional filter); candidates are then compared as whole sets. Equal token sets are compared once, by
     their smallest key, and spread out at the end.
     """
     block = block or []
@@ -44,9 +45,12 @@ def jaccard_pairs(df: DataFrame, key: str, text: str, pattern: str, threshold: f
     rarity = token.groupBy("token").agg(F.count("*").alias("df"))
     ranked = token.join(rarity, "token").groupBy(*block, "rep").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
     length = F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1
-    prefix = ranked.select(*block, "rep", "size", F.explode(F.slice("order", F.lit(1), length.cast("int"))).alias("p")).select(*block, "rep", "size", F.col("p.token").alias("token"))
-    other = prefix.select(*block, F.col("rep").alias("other"), F.col("size").alias("other_size"), "token")
+    prefix = ranked.select(*block, "rep", "size", F.posexplode(F.slice("order", F.lit(1), length.cast("int"))).alias("at", "p")).select(*block, "rep", "size", "at", F.col("p.token").alias("token"))
+    other = prefix.select(*block, F.col("rep").alias("other"), F.col("size").alias("other_size"), F.col("at").alias("other_at"), "token")
     fits = (F.col("size") >= threshold * F.col("other_size")) & (F.col("other_size") >= threshold * F.col("size"))
+    # of the first shared token the places before are not shared, so this loses no pair; the bound is kept a little loose for rounding
+    left = F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at"))
+    fits = fits & (left >= F.lit(threshold / (1 + threshold)) * (F.col("size") + F.col("other_size")) - 1e-6)
     near = prefix.join(other, [*block, "token"]).filter((F.col("rep") < F.col("other")) & fits).select(*block, "rep", "other").distinct()
     own = lambda n, s: shared.select(*block, F.col("rep").alias(n), F.col("set").alias(s))
     judged = near.join(own("rep", "x"), [*block, "rep"]).join(own("other", "y"), [*block, "other"])

@@ -106,7 +106,7 @@ def best_attempts(attempts: DataFrame, key: str, attempt: str) -> DataFrame:
 def route_state(calls: DataFrame, route: str, at: str, ok: str, base: int = 1800, most: int = 43200) -> DataFrame:
     """Per route: failures since its last success, and until when it is quarantined (from the second failure on, doubling)."""
     last_ok = calls.filter(F.col(ok)).groupBy(route).agg(F.max(at).alias("last_ok"))
-    joined = calls.join(F.broadcast(last_ok), route, "left")
+    joined = calls.join(last_ok, route, "left")
     fails = joined.filter(~F.col(ok) & (F.col("last_ok").isNull() | (F.col(at) > F.col("last_ok")))).groupBy(route).agg(F.count("*").alias("fails"), F.max(at).alias("last_fail"))
     out = calls.select(route).distinct().join(fails, route, "left").withColumn("fails", F.coalesce("fails", F.lit(0)))
     wait = F.least(F.lit(base) * F.pow(F.lit(2.0), F.least(F.col("fails") - 2, F.lit(20))), F.lit(most)).cast("int")

@@ -46,7 +46,7 @@ def findings_provenance_left(t: Tables) -> DataFrame:
 
 @query("SELECT finding_id, statement FROM findings JOIN studies USING (study_id) WHERE quality IS DISTINCT FROM 'rejected'", "findings", "studies")
 def accepted_findings(t: Tables) -> DataFrame:
-    return t.findings().join(F.broadcast(t.studies()), "study_id").filter(R.not_rejected(F.col("quality"))).select("finding_id", "statement")
+    return t.findings().join(t.studies(), "study_id").filter(R.not_rejected(F.col("quality"))).select("finding_id", "statement")
 
 
 @query("SELECT DISTINCT problem_id, proposition FROM claims JOIN orders ON o_orderkey = artifact_id JOIN problems ON problem_id = o_custkey", "claims", "problems")
@@ -191,7 +191,7 @@ def due_forecasts(t: Tables) -> DataFrame:
 
 @query("+m AS (SELECT f.finding_id, f.study_id, substr(f.statement, 1, 120) AS head, f.effect_size, f.intervention, s.year FROM findings f JOIN studies s USING (study_id) WHERE s.quality IS DISTINCT FROM 'rejected'), d AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY study_id, head ORDER BY finding_id) = 1) SELECT study_id, finding_id, row_number() OVER (PARTITION BY study_id ORDER BY effect_size IS NOT NULL DESC, intervention IS NOT NULL DESC, year DESC, finding_id) AS place FROM d QUALIFY place <= 4", "findings", "studies")
 def mechanisms_top4(t: Tables) -> DataFrame:
-    m = t.findings().join(F.broadcast(t.studies().filter(R.not_rejected(F.col("quality")))), "study_id").withColumn("head", F.substring("statement", 1, 120))
+    m = t.findings().join(t.studies().filter(R.not_rejected(F.col("quality"))), "study_id").withColumn("head", F.substring("statement", 1, 120))
     d = top_k(m, ["study_id", "head"], [F.asc("finding_id")], 1)
     order = [F.col("effect_size").isNotNull().desc(), F.col("intervention").isNotNull().desc(), F.desc("year"), F.asc("finding_id")]
     return E.top_rows(d, ["study_id"], order, 4).select("study_id", "finding_id", "place")

@@ -58,7 +58,7 @@ class Tables:
 
     def measurements(self) -> DataFrame:
         """Annual and monthly revenue per indicator, nation and source; the natural key is the id."""
-        sold = self.raw("lineitem").join(F.broadcast(self.raw("supplier").select("s_suppkey", "s_nationkey")), F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(self.raw("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+        sold = self.raw("lineitem").join(self.raw("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(self.raw("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
         value = (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")
         month = F.date_format("l_shipdate", "yyyy-MM")
         keys = ["indicator", "subject", "source"]
