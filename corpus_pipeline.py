@@ -3,6 +3,12 @@
 Quality rules, near-duplicates, repeated passages, benchmark decontamination, packing. Each stage takes (spark, docs, sf_dir)
 and gives a DataFrame; all but the last give the columns of documents. Stages are meant to be written as Parquet
 and read again in between; ``run`` does so in the shared folder.
+
+Defined cases, by stage. Empty tables pass all stages and give no rows; extra columns, whatever their names, are kept by all stages but the last.
+Quality rules: null and empty texts fail and go; repeated rows stay or go together. Near-duplicates: of rows that share an id one stays, rows
+without an id stay. Repeated passages: null texts stay null, a text cut down to nothing stays, empty; a null id counts as the largest.
+Decontamination: texts without words stay; rows that share an id are judged by their own texts. Packing: a null or empty text is one piece, the end
+token; a null id stays null.
 """
 
 from __future__ import annotations
