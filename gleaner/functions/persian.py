@@ -276,3 +276,9 @@ def inserted_sources(text: Column, providers: dict[str, str]) -> Column:
         return F.when(want.isNull() | named | figure.isNull(), sentence).otherwise(added)
 
     return _by_sentence(text, mend)
+
+
+def topic_keys(text: Column, topics: dict[str, list[str]]) -> Column:
+    """The topics of which the text holds a word, sorted."""
+    hits = [F.when(F.array_contains(F.array(*[text.contains(w) for w in words]), True), F.lit(name)) for name, words in sorted(topics.items())]
+    return F.array_compact(F.array(*hits))

@@ -263,3 +263,8 @@ def not_projection(status: Column) -> Column:
 
 def not_rejected(quality: Column) -> Column:
     return ~quality.eqNullSafe(F.lit("rejected"))
+
+
+def forecast_score(outcome: Column) -> Column:
+    """A hit counts one, a partial one a half, anything else nothing; null while unresolved."""
+    return F.when(outcome == "hit", 1.0).when(outcome == "partial", 0.5).when(outcome.isNotNull(), 0.0)

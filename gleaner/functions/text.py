@@ -100,3 +100,23 @@ def stem(word: Column) -> Column:
     """Lower case, one trailing s off words of over four letters."""
     low = F.lower(word)
     return F.when((F.length(low) > 4) & low.endswith("s"), F.substring(low, F.lit(1), F.length(low) - 1)).otherwise(low)
+
+
+def sentences_after_marks(text: Column) -> Column:
+    """Split behind a full stop, question or exclamation mark with white space after it, and at line ends."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+|\n+"), lambda x: x != "")
+
+
+def long_sentences(text: Column, least: int = 25) -> Column:
+    """Sentences of at least so many characters; a point between digits ends none."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?:(?<![0-9])\.|\.(?![0-9])|[!?\n])+"), lambda x: F.trim(x)), lambda x: F.length(x) >= least)
+
+
+def sentence_spans(text: Column) -> Column:
+    """Sentences with the marks that end them, so that joined they are the text again."""
+    return F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^.!?\n]*[.!?\n]*"), F.lit(0)), lambda x: x != "")
+
+
+def by_marks(text: Column) -> Column:
+    """Stretches between any marks that end or part sentences."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "[.!?;:]+"), lambda x: F.trim(x) != "")

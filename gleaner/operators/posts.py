@@ -186,3 +186,10 @@ def without_lever(sentences: DataFrame, key: str, sentence: str, levers: DataFra
     low = F.lower(F.col(sentence))
     named = F.coalesce(F.exists("__levers", lambda x: low.contains(x)), F.lit(False))
     return sentences.filter(occurrences(F.col(sentence), PRESCRIPTIONS) > 0).join(own, key, "left").filter(~named).select(key, "pos")
+
+
+def solution_analysis(findings: DataFrame, key: str) -> DataFrame:
+    """(key, findings, grounded, levers, confidence): distinct interventions in order; grounded if half of the findings have an effect, indicative if none has."""
+    levers = F.array_join(F.array_sort(F.collect_set("intervention")), ", ")
+    g = findings.groupBy(key).agg(F.count("*").alias("findings"), F.count("effect_size").alias("grounded"), levers.alias("levers"))
+    return g.withColumn("confidence", F.when(F.col("grounded") == 0, "indicative").when(F.col("grounded") * 2 >= F.col("findings"), "grounded").otherwise("mixed"))

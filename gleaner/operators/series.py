@@ -160,3 +160,39 @@ def macro_rows(rows: DataFrame, existing: DataFrame, low: int = 1990, high: int
 
 
 
+
+
+#: Words of an indicator's name that make it a rate.
+RATE_WORDS = ["%", "rate", "growth", "inflation", "share"]
+
+
+def temporal_summary(measurements: DataFrame, registry: DataFrame, this_year: int) -> DataFrame:
+    """(series, summary): window, direction by its ends, net change (for rates the ends instead), latest value, newest observed year, and what to be careful about, joined by "; ".
+
+    A bare year from this one on is a projection; a month of this year is an observation.
+    """
+    year, value, period = period_year(F.col("period")), F.col("value"), F.col("period")
+    projected = F.coalesce((year > this_year) | ((year == this_year) & (F.length("period") == 4)), F.lit(False))
+    g = measurements.groupBy(*KEYS).agg(
+        F.min_by(F.struct("period", "value"), "period").alias("a"), F.max_by(F.struct("period", "value"), "period").alias("b"), F.count_if(projected).alias("n"), F.max(F.when(~projected, year)).alias("actual")
+    )
+    g = g.join(F.broadcast(registry.select("indicator", "label", "unit")), "indicator", "left")
+    name = F.lower(F.concat_ws(" ", F.coalesce("label", "indicator"), F.col("unit")))
+    rate = F.lit(False)
+    for w in RATE_WORDS:
+        rate = rate | name.contains(w)
+    a, b = F.col("a.value"), F.col("b.value")
+    pct = percent_change(a, b)
+    shown = lambda c: F.format_number(c, 1)
+    change = F.when(rate, F.concat(F.lit("moved from "), shown(a), F.lit(" ("), F.col("a.period"), F.lit(") to "), shown(b), F.lit(" ("), F.col("b.period"), F.lit(")"))).otherwise(
+        F.concat(F.lit("net change "), F.when(pct >= 0, "+").otherwise("-"), F.abs(pct).cast("decimal(38,1)").cast("string"), F.lit("%"))
+    )
+    text = lambda c: F.col(c).cast("string")
+    age = this_year - F.col("actual")
+    parts = [
+        F.concat(F.lit("window "), F.col("a.period"), F.lit("-"), F.col("b.period")), F.concat(F.when(b > a, "increasing").when(b < a, "decreasing").otherwise("flat"), F.lit(" overall")), change,
+        F.concat(F.lit("latest value "), shown(b), F.lit(" ("), F.col("b.period"), F.lit(")")), F.coalesce(F.concat(F.lit("latest observed year: "), text("actual")), F.lit("no observed data")),
+        F.when(F.col("n") > 0, F.concat(F.lit("WARNING: "), text("n"), F.lit(f" point(s) from {this_year} on are projections"))),
+        F.when(age >= 2, F.concat(F.lit("STALENESS: newest observation is "), age.cast("string"), F.lit(" years old"))).when(age <= 1, "NOTE: the newest values are often preliminary"),
+    ]
+    return g.select(*KEYS, F.concat_ws("; ", *parts).alias("summary"))
