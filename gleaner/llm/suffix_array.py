@@ -4,6 +4,9 @@ A suffix is *ascending* if it is smaller than its successor (the suffix one plac
 descending. Stage one sorts the ascending suffixes directly, by their first bytes. Stage two scans the buckets of first bytes in order: each suffix read puts the one before it, if that
 is descending, at the next free place of its bucket. All steps work on whole buckets at a time.
 
+Where only some places are wanted, the others are left out but for those that the order of the wanted ones is induced from: a
+descending suffix needs its successors up to the next ascending one.
+
 The order is exact up to ``depth`` bytes; suffixes alike to that depth are in any order among themselves.
 """
 
@@ -42,36 +45,53 @@ def direct_sort(padded: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     return at[np.argsort(np.ascontiguousarray(keys).view(f"S{depth}").ravel(), kind="stable")]
 
 
-def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
-    """All places of t (uint8), by the first depth bytes of their suffixes."""
+def _closed(wanted: np.ndarray, up: np.ndarray) -> np.ndarray:
+    """The wanted places and those that their order is induced from: on to the next ascending suffix, or the last one."""
+    n = len(up)
+    following = np.where(up, np.arange(n), n - 1)
+    following = np.minimum.accumulate(following[::-1])[::-1]
+    first = np.flatnonzero(wanted & ~np.append(False, wanted[:-1]))
+    last = np.flatnonzero(wanted & ~np.append(wanted[1:], False))
+    edge = np.zeros(n + 1, np.int32)
+    np.add.at(edge, first, 1)
+    np.add.at(edge, following[last] + 1, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def suffix_array(t: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """All places of t (uint8), by the first depth bytes of their suffixes; or those wanted (a flag a place), and some more that they need."""
     n = len(t)
     if not n:
         return np.zeros(0, np.int64)
     padded = np.concatenate([t, np.zeros(depth + _PAD, np.uint8)])
     up = ascending(t)
-    sizes = np.bincount(t, minlength=256)
+    held = np.ones(n, bool) if wanted is None else _closed(wanted, up)
+    if not held.any():
+        return np.zeros(0, np.int64)
+    sizes = np.bincount(t[held], minlength=256)
     start = np.concatenate([[0], np.cumsum(sizes)])
-    down = np.bincount(t[~up], minlength=256)
-    direct = direct_sort(padded, np.flatnonzero(up), depth)
-    out = np.empty(n, np.int64)
+    down = np.bincount(t[held & ~up], minlength=256)
+    direct = direct_sort(padded, np.flatnonzero(held & up), depth)
+    out = np.empty(start[-1], np.int64)
     # the directly sorted ones fill the ends of their buckets
     firsts = t[direct]
     base = start[:256] + down
     within = np.arange(len(direct)) - np.concatenate([[0], np.cumsum(sizes - down)])[firsts]
     out[base[firsts] + within] = direct
     free = start[:256].copy()
-    out[free[t[n - 1]]] = n - 1
-    free[t[n - 1]] += 1
+    if held[n - 1]:
+        out[free[t[n - 1]]] = n - 1
+        free[t[n - 1]] += 1
     for c in np.flatnonzero(sizes):
         front = out[start[c] : free[c]]
         while len(front):
             before = front[front > 0] - 1
-            front = before[t[before] == c]
+            front = before[(t[before] == c) & held[before]]
             out[free[c] : free[c] + len(front)] = front
             free[c] += len(front)
         bucket = out[start[c] : start[c + 1]]
         before = bucket[bucket > 0] - 1
-        before = before[t[before] > c]
+        before = before[(t[before] > c) & held[before]]
         if len(before):
             before = before[np.argsort(t[before], kind="stable")]
             chars = t[before]

@@ -43,7 +43,8 @@ from gleaner.llm.suffix_array import common_prefixes, suffix_array
 CHUNK_BYTES, BUCKET_BYTES = 1_000_000, 4_000_000
 #: Bytes of text that one partition of chunks stands for.
 PART_BYTES = 8_000_000
-K = 24
+#: Bytes of an anchor; windows and their bits follow from it.
+K = 20
 #: Suffixes in one suffix array; more stretches in a bucket are taken by anchor in parts.
 ARRAY_BYTES = 1_500_000
 #: An anchor in more chunks than this doesn't gather its stretches in one bucket: each of their windows goes to a bucket of its own hash.
@@ -52,54 +53,68 @@ _LARGEST = (1 << 63) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _hashes(t: np.ndarray, k: int = K) -> np.ndarray:
-    """A hash of each k-gram (k = 24)."""
-    h, p, n = t.astype(np.uint64) + np.uint64(1), _MIX, 1
+def _small_hashes(t: np.ndarray) -> np.ndarray:
+    """32 bits of a hash of each K-gram (K = 20), by which windows pick."""
+    h, p, four = t.astype(np.uint32), np.uint32(0x9E3779B1), None
+    h += np.uint32(1)
     with np.errstate(over="ignore"):
-        while n < 8:
+        n = 1
+        while n < 16:
             h = h[:-n] * p + h[n:]
             p, n = p * p, 2 * n
-        h = (h[:-16] * p + h[8:-8]) * p + h[16:]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
+            if n == 4:
+                four, by = h, p
+        h = h[:-4] * by + four[16:]
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x85EBCA6B)
+        h ^= h >> np.uint32(13)
     return h
 
 
-def anchors(t: np.ndarray, sizes: np.ndarray, length: int, k: int = K) -> tuple[np.ndarray, ...]:
+def _gram_hashes(t: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64 bits of a hash of the K-grams at the given places."""
+    words = np.lib.stride_tricks.sliding_window_view(t, 8)
+    h = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for shift in (0, 8, K - 8):
+            h ^= np.ascontiguousarray(words[at + shift]).view("<u8").ravel()
+            h *= _MIX
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+    return h
+
+
+def anchors(t: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Of documents laid end to end in t: for each run of windows that pick one anchor, the document, first window, last window, the anchor's place, its hash."""
     none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
     if len(t) < length:
         return none
-    value = _hashes(t, k)
-    pick = np.arange(len(value), dtype=np.int32)
-    span, width = 1, length - k + 1
-
-    def best(v: np.ndarray, p: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
-        right = v[shift:] < v[:-shift]  # ties go left
-        return np.where(right, v[shift:], v[:-shift]), np.where(right, p[shift:], p[:-shift])
-
-    hashed = value
+    # hash and place in one number: the least of them is the leftmost of the least hashes
+    value = _small_hashes(t).astype(np.uint64)
+    value <<= np.uint64(32)
+    value |= np.arange(len(value), dtype=np.uint64)
+    span, width = 1, length - K + 1
     while 2 * span <= width:
-        value, pick = best(value, pick, span)
+        value = np.minimum(value[span:], value[:-span])
         span *= 2
     if span < width:
-        value, pick = best(value, pick, width - span)
+        value = np.minimum(value[width - span :], value[: span - width])
     ends = np.cumsum(sizes)
-    valid = np.ones(len(pick) + length - 1, bool)
+    valid = np.ones(len(value) + length - 1, bool)
     for back in range(1, length):
         at = ends - back
         valid[at[at >= ends - sizes]] = False
-    starts = np.flatnonzero(valid[: len(pick)])
+    starts = np.flatnonzero(valid[: len(value)])
     if not len(starts):
         return none
-    place = pick[starts].astype(np.int64)
+    place = value[starts].astype(np.uint32)  # the low half
     new = np.ones(len(starts), bool)
     new[1:] = (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
-    low = starts[first]
-    return np.searchsorted(ends, low, "right"), low, starts[last], place[first], hashed[place[first]] * _MIX
+    low, picked = starts[first], place[first].astype(np.int64)
+    return np.searchsorted(ends, low, "right"), low, starts[last], picked, _gram_hashes(t, picked)
 
 
 def _numbers(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -288,32 +303,40 @@ def _contexts(chunks: DataFrame, buckets: int, length: int) -> DataFrame:
     return chunks.mapInArrow(run, "bucket long, chunk long, smallest binary, offsets binary, ends binary, raw long, body binary")
 
 
-def window_owners(texts: list[bytes], owner: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each text and each window of it, the smallest owner of any text that holds the window."""
-    sizes = np.array([len(x) + 1 for x in texts], np.int64)
+def window_owners(texts: list[bytes], owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, window, least): for each window of each text, by their numbers, the smallest owner of any text that holds the window."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     t = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)  # a byte that UTF-8 doesn't use
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
+    starts = np.cumsum(sizes) - sizes
     many = np.maximum(sizes - length, 0)
     text_of = np.repeat(np.arange(len(texts)), sizes)
     is_window = np.arange(len(t)) < (starts + many)[text_of]
-    order = suffix_array(t, length)
+    order = suffix_array(t, length, is_window)
     order = order[is_window[order]]
-    of = text_of[order]
     new = common_prefixes(t, order, length) < length
     first = np.flatnonzero(new)
+    of = text_of[order]
     least = np.minimum.reduceat(owner[of], first) if len(first) else np.zeros(0, np.int64)
-    by_place = np.empty(len(t), np.int64)
-    by_place[order] = least[np.cumsum(new) - 1]
-    return [by_place[a : a + m] for a, m in zip(starts.tolist(), many.tolist(), strict=True)]
+    return of, order - starts[of], least[np.cumsum(new) - 1]
 
 
 def local_hits(chunk: _Chunk, doc: np.ndarray, low: np.ndarray, high: np.ndarray, anchor: np.ndarray, length: int, most: int) -> np.ndarray:
     """The starts of windows among those given that a document of the chunk with a smaller id has too.
 
-    Equal windows have equal anchors, so a chunk of over most bytes, that of a very long document, is taken in parts by anchor.
+    Equal windows have equal anchors, so windows of anchors that one document of the chunk alone has are left out, and a chunk of over
+    most bytes, that of a very long document, is taken in parts by anchor.
     """
     hits = [low[:0]]
+    each = np.lexsort((doc, anchor))
+    new = np.ones(len(each), bool)
+    new[1:] = anchor[each][1:] != anchor[each][:-1]
+    group = np.cumsum(new) - 1
+    if not len(each):
+        return hits[0]
+    several = doc[each][np.append(np.flatnonzero(new)[1:], len(each)) - 1] != doc[each][np.flatnonzero(new)]
+    some = np.zeros(len(each), bool)
+    some[each] = several[group]
+    doc, low, high, anchor = doc[some], low[some], high[some], anchor[some]
     parts = -(-len(chunk.t) // most)
     for part in range(parts):
         some = np.flatnonzero(anchor % np.uint64(parts) == part)
@@ -328,8 +351,8 @@ def local_hits(chunk: _Chunk, doc: np.ndarray, low: np.ndarray, high: np.ndarray
         starts, ends = first_[first], last_[np.append(first[1:], len(some)) - 1] + length
         owners = chunk.ids[d[first]]
         texts = [chunk.body[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        for a, own, found in zip(starts.tolist(), owners.tolist(), window_owners(texts, owners, length), strict=True):
-            hits.append(a + np.flatnonzero(found < own))
+        of, window, least = window_owners(texts, owners, length)
+        hits.append((starts[of] + window)[least < owners[of]])
     return np.concatenate(hits)
 
 
@@ -350,19 +373,19 @@ def _verdicts(contexts: DataFrame, length: int, parts: int) -> DataFrame:
                 texts.append(body[at:end])
                 at = end
         owners = np.concatenate(owner)
-        # least[k, j]: the smallest document that has window j of stretch k, by the order of all suffixes of its anchor's stretches
+        # least[k, j]: the smallest document that has window j of stretch k, by the order of all suffixes of its anchor's stretches; one alone has its own
         least = np.repeat(owners[:, None], windows, 1)
         part, size = [], 0
-        for g in [*groups.values(), None]:
+        for g in [*(g for g in groups.values() if len(g) > 1), None]:
             if part and (g is None or size > ARRAY_BYTES):
-                for k, found in zip(part, window_owners([texts[k] for k in part], owners[part], length), strict=True):
-                    least[k, : len(found)] = found
+                of, window, found = window_owners([texts[k] for k in part], owners[part], length)
+                least[np.array(part)[of], window] = found
                 part, size = [], 0
             if g:
                 part += g
                 size += sum(len(texts[k]) for k in g)
         weights = np.uint64(1) << np.arange(windows, dtype=np.uint64)
-        bits = ((least < owners[:, None]) * weights).sum(1, dtype=np.uint64).astype("<u4")
+        bits = ((least < owners[:, None]) @ weights).astype("<u4")
         cuts = np.cumsum([0, *map(len, owner)]).tolist()
         out = [bits[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
         del texts, groups, least, bits

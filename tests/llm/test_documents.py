@@ -205,7 +205,11 @@ def test_suffix_order_decides_all(spark, monkeypatch):
         given = df.select("doc_id", "text").collect()
         assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeated_passages(df).collect()), key=repr) == removed(given)
         with monkeypatch.context() as m:
-            m.setattr(suffix_dedup, "window_owners", lambda texts, owner, length: [np.full(max(0, len(x) - length + 1), o) for x, o in zip(texts, owner, strict=True)])
+            def blind(texts, owner, length):
+                of = np.repeat(np.arange(len(texts)), [max(0, len(x) - length + 1) for x in texts])
+                return of, np.arange(len(of)) - np.searchsorted(of, of), owner[of]
+
+            m.setattr(suffix_dedup, "window_owners", blind)
             chunk_ = type("C", (), {"t": np.zeros(200, np.uint8), "body": b"x" * 200, "ids": np.array([1, 2])})
             at = np.array([0, 100])
             assert not len(suffix_dedup.local_hits(chunk_, np.array([0, 1]), at, at + 50, at.astype(np.uint64), 50, 1000))
@@ -230,6 +234,9 @@ def test_suffix_array_is_exact():
         b = t.tobytes()
         want = sorted(range(n), key=lambda i: b[i:])
         assert suffix_array(t, n + 1).tolist() == want
+        for wanted in (rng.random(n) < 0.2, np.arange(n) % 9 < 3, np.zeros(n, bool)):
+            got = [i for i in suffix_array(t, n + 1, wanted).tolist() if wanted[i]]
+            assert got == [i for i in want if wanted[i]]
 
         def shared(x, y):
             return next((k for k in range(min(len(x), len(y), 50)) if x[k] != y[k]), min(len(x), len(y), 50))
