@@ -15,6 +15,7 @@ from gleaner.plans.gates import _in
 from gleaner.plans.registry import query
 from gleaner.plans.tables import Tables, _list
 
+#: Word stems of war and pressure that put a draft behind others.
 _WAR = ["war", "missile", "strike", "military", "retaliat", "escalat", "attack", "sanction", "base", "troops", "defense", "defence", "weapon", "army"]
 _DOMAIN = "CASE " + " ".join(f"WHEN regexp_matches(lower({{t}}), '{p}') THEN '{n}'" for n, p in R.DOMAIN_PATTERNS) + " ELSE 'society' END"
 
