@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import class_lm, html_main, line_quality, nbsvm, packing, positional_index, simhash, suffix_dedup, toxicity, warc
+from gleaner.llm import class_lm, html_main, line_quality, nbsvm, packing, positional_index, ranked_search, sharding, simhash, suffix_dedup, toxicity, vector_codes, warc
 from gleaner.llm.common import table
 
 
@@ -58,8 +58,20 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.train_and_score(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality, op2_warc, op3_packing, op4_simhash, op5_suffix_dedup, op6_html_main, op7_decontaminate, op8_toxicity, op9_line_quality, op10_class_lm]
+    found = [op1_quality, op2_warc, op3_packing, op4_simhash, op5_suffix_dedup, op6_html_main, op7_decontaminate, op8_toxicity, op9_line_quality, op10_class_lm, op11_vector_codes, op12_sharding, op13_ranked_search]
     return {f.__name__: f for f in found}
 
 
@@ -106,6 +118,35 @@ SELECT *, NOT base_failed AND NOT (n_words - removed_words < 25 AND n_words - re
 }
 
 
+
+
+def _code_rounds(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """op11's rounds in SQL, written out one after another."""
+    nearest = """a{r} AS MATERIALIZED (SELECT rid, p, any_value(v) AS v, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+  SELECT rid, a.p, v, e, CAST(list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS BIGINT) AS d FROM part a JOIN b{r} USING (p)) GROUP BY rid, p)"""
+    moved = """b{n} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN (
+  SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (SELECT p, e, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{r}, (SELECT unnest(range(1, (SELECT max(len(v)) FROM part) + 1)) AS i) GROUP BY p, e, i) GROUP BY p, e) m USING (p, e))"""
+    steps = [(nearest + ",\n" + moved).format(r=r, n=r + 1) for r in range(rounds)] + [nearest.format(r=rounds)]
+    return f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS MATERIALIZED (SELECT rid, p, q[p * len(q) // {parts} + 1:(p + 1) * len(q) // {parts}] AS v FROM kept, (SELECT unnest(range({parts})) AS p)),
+b0 AS MATERIALIZED (SELECT p, rid - 1 AS e, v AS c FROM part WHERE rid <= {entries}),
+{",\n".join(steps)},
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds}),
+coded AS (SELECT rid, string_agg(lpad(to_hex(e), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY rid)
+SELECT vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN kept USING (rid), books"""
+
+
+_SQL["op11_vector_codes"] = _code_rounds()
+_SQL["op13_ranked_search"] = r"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, unnest(regexp_extract_all(LOWERED, 'TERM')) AS t FROM documents),
+tf AS MATERIALIZED (SELECT row, t, count(*) AS tf FROM d GROUP BY 1, 2), doc AS (SELECT row, any_value(doc_id) AS doc_id, count(*) AS n FROM d GROUP BY 1),
+size AS (SELECT count(*) AS N_, CAST(sum(n) AS BIGINT) AS L FROM doc), df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1),
+q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(LOWERED, 'TERM')) AS t FROM benchmark) GROUP BY 1, 2),
+w AS (SELECT item_id, t, times * CAST(floor(1000 * ln((2 * N_ + 2) / (2 * df + 1))) AS BIGINT) AS w FROM q JOIN df USING (t), size),
+s AS (SELECT item_id, row, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * N_) // L)))) AS BIGINT) AS score FROM w JOIN tf USING (t) JOIN doc USING (row), size GROUP BY 1, 2)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s JOIN doc USING (row) WHERE score > 0 QUALIFY rank <= 20""".replace("LOWERED", _ASCII_LOWER).replace("TERM", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries whose method SQL can express; the others are tested against brute force."""
     return dict(_SQL)
