@@ -25,8 +25,8 @@ import html
 import math
 import random
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -49,6 +49,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLING_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = frozenset("ul ol dl table article section div main aside nav header footer body form blockquote".split())
+_LINK_SCOPES = SCOPES | {"p", "li", "td"}
 #: Words of class and id attributes and roles that sites use for parts of pages.
 PARTS = {
     "content": "article content main post entry story body text blog news page prose maincontent articlebody",
@@ -147,7 +148,8 @@ def parse(page: str | None) -> Node:
     root = node = Node("body", {}, None)
     page, place = page or "", 0
     skipping: list[str] = []
-    opened: Counter[str] = Counter()  # tags of the elements around the place
+    around: list[Node] = []  # the elements around the place, outermost first, without the root
+    depths: defaultdict[str, list[int]] = defaultdict(list)  # at which places of around a tag's elements are
 
     def add(text: str) -> None:
         nonlocal place
@@ -155,20 +157,21 @@ def parse(page: str | None) -> Node:
             node.own.append((place, html.unescape(text)))
             place += 1
 
-    def leave(to: Node) -> None:
+    def leave(depth: int) -> None:
+        """Out of all elements from that place of around on."""
         nonlocal node
-        while node is not to:
-            opened[node.tag] -= 1
-            node = node.parent
-
-    def up_to(tags: set[str] | frozenset[str], stop: frozenset[str]) -> None:
-        if not any(opened[t] for t in tags):
-            return
-        x = node
-        while x.parent is not None and x.tag not in tags and x.tag not in stop:
-            x = x.parent
-        if x.parent is not None and x.tag in tags:
-            leave(x.parent)
+        for x in around[depth:]:
+            depths[x.tag].pop()
+        del around[depth:]
+        node = around[-1] if around else root
+
+    def innermost(tags: Iterable[str]) -> int:
+        return max((depths[t][-1] for t in tags if depths[t]), default=-1)
+
+    def up_to(tags: Iterable[str], stop: Iterable[str]) -> None:
+        depth = innermost(tags)
+        if depth >= 0 and depth >= innermost(stop):
+            leave(depth)
 
     found = Markup(page).tags()
     for text, closes, tag, attributes, at in found:
@@ -182,11 +185,8 @@ def parse(page: str | None) -> Node:
                 continue
             if tag == "br":
                 add(" ")
-            elif (tag == "a" or tag not in INLINE) and opened[tag]:
-                x = node
-                while x.tag != tag:
-                    x = x.parent
-                leave(x.parent)
+            elif (tag == "a" or tag not in INLINE) and depths[tag]:
+                leave(depths[tag][-1])
             continue
         if skipping:
             if tag in SKIPPED and tag not in VOID and tag not in skipping:
@@ -218,18 +218,19 @@ def parse(page: str | None) -> Node:
         if tag in INLINE and tag != "a":
             continue
         if tag in CLOSES_P:
-            up_to(frozenset({"p"}), SCOPES)
+            up_to(("p",), SCOPES)
         if tag in SIBLING_ENDS:
             up_to(SIBLING_ENDS[tag], SCOPES)
         if tag == "a":
-            up_to(frozenset({"a"}), SCOPES | {"p", "li", "td"})
+            up_to(("a",), _LINK_SCOPES)
         child = Node(tag, _attributes(attributes), node)
         node.own.append((place, child))
         place += 1
         node.children.append(child)
         if not attributes.endswith("/"):
+            depths[tag].append(len(around))
+            around.append(child)
             node = child
-            opened[tag] += 1
     return root
 
 

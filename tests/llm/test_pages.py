@@ -133,6 +133,9 @@ def test_time_grows_with_the_page_alone():
         "drawings": "<svg>" * n,
         "comments": "<!-- " * n,
         "headings": "<h1>" * n + "<p>" * n,
+        "rows under strange elements": "<td><table>" + "<x>" * n + "<tr></tr>" * n,
+        "links under strange elements": "<a><li>" + "<x>" * n + "<a></a>" * n,
+        "nested lists": "<ul><li>" * n + "<li>" * n,
     }
     for name, page in long.items():
         began = time.perf_counter()
@@ -146,3 +149,23 @@ def test_quotes_without_a_match_end_with_the_tag():
     assert [t for t in texts if t] == ["one", "two"]
     assert html_main.parse("<p>kept<b title='cut").children[0].own[0][1] == "kept"
     assert html_main.main_text("<article><h1>A < B</h1><p>1 < 2 and 3 <4 stay, as plain signs do in a long line of article text</p></article>", html_main.trained()).count("<") == 3
+
+
+def test_parsing_large_pages_is_linear():
+    import random
+    import time
+
+    rng, n = random.Random(4), 100_000
+    for page in ("<td><table>" + "<x>" * n + "<tr></tr>" * n, "<a><li>" + "<x>" * n + "<a></a>" * n):
+        began = time.perf_counter()
+        html_main.parse(page)
+        assert time.perf_counter() - began < 5
+    tags = "p div li ul td tr table a x section h1 dt dd dl form".split()
+    soup = ["".join(rng.choice(("<%s>", "<%s>", "</%s>")) % rng.choice(tags) for _ in range(k)) for k in (40_000, 160_000)]
+    html_main.parse(soup[0])
+    took = []
+    for page in soup:
+        began = time.process_time()
+        html_main.parse(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 4 * 2.5 * took[0]
