@@ -5,13 +5,12 @@ ones of their halves or quarters; a tile that would be too large is cut by a sal
 differ by more than the radius can't hold a link and is skipped; every other pair is dealt out, to a task that holds just
 these two tiles. There both are sorted by the population counts of their quarters and cut into small tiles, pairs of
 which are skipped by the same rule, and the rest is compared, each fingerprint with each, by exclusive-or and bit
-counts. Pairs of very large tiles are first narrowed down to fingerprints that agree on enough blocks of bits (those
-within the radius do, by the pigeonhole principle), then compared in the same way. All links come from a pair of tiles, and each
-task gives a spanning forest of its links, not all pairs.
+counts. All links come from such a comparison, at any number of fingerprints, and each task gives a spanning forest of its
+links, not all pairs.
 
 Cost. With n distinct fingerprints each is sent to the tiles within reach: 9 at most by ones, 41 by halves, 321 by
-quarters, times the salts of a tile (2 or 3 as tiles grow with n). Work within a task is the square of a tile, less what
-is skipped, up to the bound from which on blocks narrow it down.
+quarters, times the salts of a tile (2 or 3 as tiles grow with n, more once they have MOST). Work within a task is the square of a tile, less what
+is skipped, and at most 2^34 comparisons, some seconds; work on the whole is the square of n, less what is skipped.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; a text of fewer words than a
 shingle has one shingle; rows without a doc_id get a fingerprint and no component; repeated rows are all returned by
@@ -22,7 +21,7 @@ of them does; extra columns are ignored or kept, whatever their names; an empty
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, product
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +32,8 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import bounded_batches, broadcast_if_small, check_columns, emit, numbered, rows, staged, trim
 from gleaner.llm.graph import components, forest
 
-#: Fingerprints in a small tile; in a tile at least and at most; comparisons of a pair of tiles from which on blocks narrow it down.
-SMALL, LEAST, MOST = 256, 4096, 1 << 20
-DENSE = 1 << 32
+#: Fingerprints in a small tile; in a tile at least and at most.
+SMALL, LEAST, MOST = 256, 4096, 1 << 17
 #: Up to so many distinct fingerprints tiles go by all ones, by those of halves, beyond by those of quarters.
 WHOLE, HALVES = 4_000_000, 64_000_000
 _STEP, _SALT = 128, 1 << 24
@@ -106,40 +104,13 @@ def _pairs_near(a: np.ndarray, b: np.ndarray, radius: int, within: bool) -> Iter
                 yield order_a[i * SMALL + x], order_b[j * SMALL + y]
 
 
-def _pairs_by_blocks(a: np.ndarray, b: np.ndarray, radius: int, within: bool, most: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The same links as _pairs_near, found among those that agree on all but radius of radius + 3 blocks of bits."""
-    blocks = radius + 3
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    for chosen in combinations(range(blocks), blocks - radius):
-        mask = np.uint64(sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen))
-        order = np.argsort(b & mask, kind="stable")
-        keys = (b & mask)[order]
-        low, high = (np.searchsorted(keys, a & mask, side) for side in ("left", "right"))
-        many = np.cumsum(high - low)
-        at = 0
-        while at < len(a):
-            done = many[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(many, done + most, "right")))
-            n = (high - low)[at:to]
-            x = np.repeat(np.arange(at, to), n)
-            for part in range(0, len(x), most):
-                xs = x[part : part + most]
-                y = order[np.arange(part, part + len(xs)) - np.repeat(np.cumsum(n) - n, n)[part : part + most] + low[xs]]
-                hit = np.bitwise_count(a[xs] ^ b[y]) <= radius
-                if within:
-                    hit &= xs < y
-                yield xs[hit], y[hit]
-            at = to
-
-
-def compare(fp: np.ndarray, node: np.ndarray, side: np.ndarray, radius: int, dense: int) -> tuple[np.ndarray, np.ndarray]:
-    """The links of one pair of tiles, as a forest: within the one tile if all sides are 0, else between sides 0 and 1. Beyond dense comparisons, blocks narrow them down."""
+def compare(fp: np.ndarray, node: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links of one pair of tiles, as a forest: within the one tile if all sides are 0, else between sides 0 and 1."""
     within = not side.any()
     a = np.flatnonzero(side == 0)
     b = a if within else np.flatnonzero(side == 1)
-    ways = _pairs_by_blocks if len(a) * len(b) > dense else _pairs_near
     found, held = [], 0
-    for x, y in ways(fp[a], fp[b], radius, within):
+    for x, y in _pairs_near(fp[a], fp[b], radius, within):
         found.append((node[a[x]], node[b[y]]))
         held += len(x)
         if held > 2_000_000:
@@ -186,7 +157,7 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
                 side = columns["side"][i:j]
                 if t != u and (not side.any() or side.all()):
                     continue  # the other tile is empty
-                a, b = compare(columns["fp"][i:j].view(np.uint64), columns["node"][i:j], side, radius, DENSE)
+                a, b = compare(columns["fp"][i:j].view(np.uint64), columns["node"][i:j], side, radius)
                 yield emit({"a": a, "b": b, "t": np.full(len(a), t), "u": np.full(len(a), u)}, schema)
 
         held: list[dict[str, np.ndarray]] = []
