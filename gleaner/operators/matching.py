@@ -1,9 +1,7 @@
-"""Text similarity and matching: token overlaps as joins, greedy passes as ordered folds."""
+"""Text similarity and matching: token overlaps as joins."""
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,62 +105,6 @@ def verbatim(texts: DataFrame, sources: DataFrame, key: str, text: str, source_t
     return exact.groupBy(key).agg(F.min(F.struct("position", "gram")).alias("h")).select(key, "h.position", "h.gram")
 
 
-def _fold(keys: list[str], keep) -> callable:
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[frozenset] = []
-        flags = []
-        for words in group["tokens"]:
-            own = frozenset(words)
-            flags.append(keep(own, kept))
-            if flags[-1]:
-                kept.append(own)
-        return group.assign(kept=flags)[[*keys, "place", "kept"]]
-
-    return run
-
-
-def greedy_distinct(df: DataFrame, group: list[str], order: str, text: str, pattern: str, threshold: float) -> DataFrame:
-    """(group, place, kept): in order, a text is kept unless its Jaccard similarity with one kept before reaches the threshold.
-
-    Each decision rests on earlier ones, so a group is folded in one task; groups (a problem's findings) are bounded by what one reader is
-    shown. For sets of any size use jaccard_pairs.
-    """
-    rows = df.select(*group, F.col(order).alias("place"), tokens(F.col(text), pattern).alias("tokens"))
-
-    def keep(own: frozenset, kept: list[frozenset]) -> bool:
-        return not any(len(own & k) >= threshold * len(own | k) for k in kept if own | k)
-
-    fold = _fold(group, keep)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fold(pdf.sort_values("place"))
-
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.groupBy(*group).applyInPandas(run, ", ".join(f"`{c}` {types[c]}" for c in [*group, "place"]) + ", kept boolean")
-
-
-def seed_clusters(df: DataFrame, group: list[str], order: str, text: str, pattern: str, shared: int = 3) -> DataFrame:
-    """(group, place, cluster): in order, each text not yet taken seeds a cluster of the later free ones that share enough tokens with it; clusters of one are dropped."""
-    rows = df.select(*group, F.col(order).alias("place"), tokens(F.col(text), pattern).alias("tokens"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place").reset_index(drop=True)
-        sets, free, out = [frozenset(t) for t in pdf["tokens"]], [True] * len(pdf), {}
-        for i, seed in enumerate(sets):
-            if not free[i]:
-                continue
-            members = [i] + [j for j in range(i + 1, len(sets)) if free[j] and len(seed & sets[j]) >= shared]
-            for j in members:
-                free[j] = False
-                if len(members) > 1:
-                    out[j] = pdf["place"][i]
-        kept = pdf.loc[sorted(out)]
-        return kept.assign(cluster=[out[j] for j in sorted(out)])[[*group, "place", "cluster"]]
-
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.groupBy(*group).applyInPandas(run, ", ".join(f"`{c}` {types[c]}" for c in [*group, "place"]) + f", cluster {types['place']}")
-
-
 def keywords(text: Column, stop: list[str], most: int = 8) -> Column:
     """The first distinct words of five letters or more that aren't stop words."""
     return F.slice(F.filter(tokens(text, "[a-z]{5,}"), lambda w: ~w.isin(stop)), 1, most)

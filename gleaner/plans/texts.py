@@ -11,6 +11,7 @@ from gleaner.functions import numeric as N
 from gleaner.functions import rules as R
 from gleaner.functions import text as T
 from gleaner.operators import matching as M
+from gleaner.operators import picking as P
 from gleaner.operators import verify as V
 from gleaner.operators.common import top_k
 from gleaner.plans.registry import query
@@ -291,10 +292,11 @@ def jalali_date(t: Tables) -> DataFrame:
 @query()
 def greedy_distinct_claims(t: Tables) -> DataFrame:
     claims = t.claims().select("artifact_id", "pos", "proposition")
-    return M.greedy_distinct(claims, ["artifact_id"], "pos", "proposition", "[a-z0-9]+", 0.72)
+    return P.greedy_distinct(claims, ["artifact_id"], "pos", "proposition", "[a-z0-9]+", 0.72)
 
 
 @query()
 def title_clusters(t: Tables) -> DataFrame:
+    """Each document's first claim as its title, clustered within its source by shared words in Latin or Arabic letters."""
     firsts = top_k(t.claims(), ["artifact_id"], [F.asc("pos")], 1).select("source", "artifact_id", "proposition")
-    return M.seed_clusters(firsts, ["source"], "artifact_id", "proposition", "[a-z]{4,}", 3)
+    return P.seed_clusters(firsts, ["source"], "artifact_id", "proposition", P.TITLE_WORD, 3)

@@ -47,7 +47,7 @@ def test_title_clusters(spark, small, t):
     first = {}
     for r in t.claims().collect():
         if r.artifact_id not in first or r.pos < first[r.artifact_id][0]:
-            first[r.artifact_id] = (r.pos, r.source, tokens(r.proposition, "[a-z]{4,}"))
+            first[r.artifact_id] = (r.pos, r.source, tokens(r.proposition, "[a-zA-Z\u0600-\u06FF]{4,}"))
     groups = defaultdict(list)
     for key, (_, source, words) in sorted(first.items()):
         groups[source].append((key, words))

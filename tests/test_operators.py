@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gleaner.operators import common as C
 from gleaner.operators import evidence as E
 from gleaner.operators import matching as M
+from gleaner.operators import picking as P
 from gleaner.operators import series as S
 from gleaner.operators import verify as V
 from gleaner.sources import readers
@@ -105,8 +106,8 @@ def test_jaccard_pairs_are_exact(spark, texts, threshold):
 
 def test_greedy_order_matters(spark):
     df = spark.createDataFrame([("g", 1, "a b c d"), ("g", 2, "a b c e"), ("g", 3, "a b c e f")], "g string, n int, t string")
-    assert rows(M.greedy_distinct(df, ["g"], "n", "t", "[a-z]", 0.6)) == [("g", 1, True), ("g", 2, False), ("g", 3, True)]
-    clusters = M.seed_clusters(spark.createDataFrame([("g", 1, "aaaa bbbb cccc"), ("g", 2, "zzzz"), ("g", 3, "aaaa bbbb cccc dddd"), ("g", 4, "dddd aaaa bbbb")], "g string, n int, t string"), ["g"], "n", "t", "[a-z]{4,}", 3)
+    assert rows(P.greedy_distinct(df, ["g"], "n", "t", "[a-z]", 0.6)) == [("g", 1, True), ("g", 2, False), ("g", 3, True)]
+    clusters = P.seed_clusters(spark.createDataFrame([("g", 1, "aaaa bbbb cccc"), ("g", 2, "zzzz"), ("g", 3, "aaaa bbbb cccc dddd"), ("g", 4, "dddd aaaa bbbb")], "g string, n int, t string"), ["g"], "n", "t", "[a-z]{4,}", 3)
     assert rows(clusters) == [("g", 1, 1), ("g", 3, 1)]
 
 
