@@ -50,23 +50,43 @@ def series_to_statements(statements: DataFrame, registry: DataFrame, measurement
 
 
 def news_scores(statements: DataFrame, titles: DataFrame, least: int = 2, k: int = 6) -> DataFrame:
-    """(statement, title, score, place): shared words, two more where Iran is named; the k best, older ones first of equals."""
+    """(statement, title, score, place): shared words, two more where Iran is named; the k best, older ones first of equals.
+
+    Words of a statement are ordered by how many titles have them. Each word has a list of champions, its oldest titles, those that name Iran first;
+    scored exactly, a statement's champions give a score that its k best reach at least (a threshold). A title that reaches it shares so many words
+    with the statement that one of the rarest is among them, all but as many as the threshold less one; only the lists of these are
+    read, and common words are looked up for the titles found there. A title that names Iran and shares no word reaches the threshold only where fewer than
+    k titles score above 2; then fewer than k such titles share a word, so the 2 k oldest are enough.
+    """
+    bonus = 2
     stop = F.array(*[F.lit(w) for w in NEWS_STOP])
-    word = lambda c: F.explode(F.array_except(tokens(F.col(c), "[a-z]{3,}"), stop)).alias("w")
-    s, t = statements.select("statement").distinct(), titles.groupBy("title").agg(F.min("dt").alias("dt"))
-    shared = s.select("statement", word("statement")).join(t.select("title", "dt", word("title")), "w").groupBy("statement", "title", "dt").agg(F.count("*").alias("n"))
-    # a title that names Iran reaches the threshold without shared words; of those a statement needs the k oldest that it shares no word with,
-    # which are among the k + c oldest of all if it shares words with c of them
-    iran = lambda df: df.filter(F.lower("title").contains("iran"))
-    met = iran(shared).groupBy("statement").agg(F.count("*").alias("c"))
-    most = met.agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
-    oldest = iran(t).select("title", "dt").orderBy(F.asc_nulls_first("dt"), "title").limit(k + most)
-    oldest = oldest.withColumn("r", F.row_number().over(Window.orderBy(F.asc_nulls_first("dt"), "title")))
-    places = s.select("statement").join(met, "statement", "left").select("statement", F.explode(F.sequence(F.lit(1), (F.lit(k) + F.coalesce("c", F.lit(0))).cast("int"))).alias("r"))
-    named = places.join(oldest, "r").select("statement", "title", "dt", F.lit(0).cast("long").alias("n"))
-    both = shared.unionByName(named).groupBy("statement", "title", "dt").agg(F.max("n").alias("n"))
-    scored = both.withColumn("score", F.col("n") + F.when(F.lower("title").contains("iran"), 2).otherwise(0)).filter(F.col("score") >= least)
-    return top_k(scored, ["statement"], [F.desc("score"), F.asc_nulls_first("dt"), F.asc("title")], k, "place").select("statement", "title", "score", "place")
+    own = lambda c: F.array_except(tokens(F.col(c), "[a-z]{3,}"), stop)
+    named = F.lower("title").contains("iran")
+    t = titles.groupBy("title").agg(F.min("dt").alias("dt")).select("title", "dt", named.alias("iran"), own("title").alias("words"))
+    lists = t.select(F.explode("words").alias("w"), "title", "dt", "iran")
+    rarity = lists.groupBy("w").agg(F.count("*").alias("df"))
+    said = statements.select("statement").distinct().select("statement", own("statement").alias("own"))
+    order = said.select("statement", F.explode("own").alias("w")).join(rarity, "w").groupBy("statement").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "w"))), lambda x: x["w"]).alias("order"))
+    s = said.join(order, "statement", "left").select("statement", "own", F.coalesce("order", F.array().cast("array<string>")).alias("order"))
+    score = F.size(F.array_intersect("own", "words")) + F.when(F.col("iran"), bonus).otherwise(0)
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """Of (statement, title): statement, title, dt, score."""
+        return pairs.distinct().join(t, "title").join(said, "statement").select("statement", "title", "dt", score.alias("score"))
+
+    champions = top_k(lists, ["w"], [F.desc("iran"), F.asc_nulls_first("dt"), F.asc("title")], 2 * k).select("w", "title")
+    first = scored(s.select("statement", F.explode("order").alias("w")).join(champions, "w").select("statement", "title"))
+    place = Window.partitionBy("statement").orderBy(F.desc("score"))
+    reached = first.withColumn("r", F.row_number().over(place)).filter(F.col("r") == k).select("statement", "score")
+    bounds = s.join(reached, "statement", "left").withColumn("least", F.greatest(F.lit(least), F.coalesce("score", F.lit(0))))
+    # a word is read for titles that name Iran, and, if it is among the rarer ones, for all
+    read = bounds.select("statement", "least", F.size("order").alias("m"), F.posexplode("order").alias("at", "w"))
+    met = read.filter(F.col("at") <= F.col("m") - (F.col("least") - bonus)).join(lists.select("w", "title", "iran"), "w")
+    found = met.filter(F.col("iran") | (F.col("at") <= F.col("m") - F.col("least"))).select("statement", "title")
+    oldest = t.filter("iran").orderBy(F.asc_nulls_first("dt"), "title").limit(2 * k).select("title", F.lit(bonus).alias("least"))
+    unshared = bounds.filter(F.col("least") <= bonus).select("statement", F.lit(bonus).alias("least")).join(F.broadcast(oldest), "least").select("statement", "title")
+    best = scored(found.unionByName(unshared)).filter(F.col("score") >= least)
+    return top_k(best, ["statement"], [F.desc("score"), F.asc_nulls_first("dt"), F.asc("title")], k, "place").select("statement", "title", "score", "place")
 
 
 def opening_similarity(texts: DataFrame, ledger: DataFrame, group: str, key: str, text: str, pattern: str, first: int = 12, n: int = 3) -> DataFrame:

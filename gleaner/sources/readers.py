@@ -56,10 +56,10 @@ def recent(entries: DataFrame, now: str, days: int = 21) -> DataFrame:
     return entries.filter(F.col("published").isNull() | (F.col("published") >= F.expr(f"TIMESTAMP '{now}' - INTERVAL {days} DAYS")))
 
 
-def articles(pages: DataFrame, text: str, url: str, least: int = 200) -> DataFrame:
-    """Extracted articles of enough text, one per content."""
+def articles(pages: DataFrame, text: str, url: str, least: int = 200, key: str | None = None) -> DataFrame:
+    """Extracted articles of enough text, one per content: that of the smallest url, of equal ones of the smallest key."""
     kept = pages.filter(F.length(F.trim(text)) >= least).withColumn("content_hash", content_hash(F.col(text)))
-    return top_k(kept, ["content_hash"], [F.asc(url)], 1)
+    return top_k(kept, ["content_hash"], [F.asc(url), *([F.asc(key)] if key else [])], 1)
 
 
 def world_bank(spark: SparkSession, path: str, this_year: int) -> DataFrame:
