@@ -89,6 +89,30 @@ def topic_links(topics: DataFrame, generic: list[str], generic_weight: float = 0
     return linked.join(a, "sa").join(b, "sb").filter("a < b").select("a", "b", "score")
 
 
+def topic_classes(topics: DataFrame, generic: list[str], generic_weight: float = 0.25, least: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """What topic_links gives, without its pairs: (problem_id, class) of all problems with topics, and (a, b, score, links) of linked classes, a <= b.
+
+    A class holds the problems of one set of topics and goes by its smallest id; links counts the pairs of problems between two classes, or within one. The result grows with the
+    sets of topics, not with the pairs of problems; ``topic_links_of`` expands it for given problems.
+    """
+    weight = F.when(F.col("topic").isin(generic), generic_weight).otherwise(1.0)
+    sets = topics.select("problem_id", "topic").distinct().groupBy("problem_id").agg(F.sort_array(F.collect_list("topic")).alias("s"))
+    classes = sets.groupBy("s").agg(F.min("problem_id").alias("class"), F.count("*").alias("n"))
+    one = classes.select(F.col("class").alias("a"), F.col("n").alias("na"), F.explode("s").alias("topic")).withColumn("w", weight)
+    other = classes.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.explode("s").alias("topic"))
+    shared = one.join(other, "topic").filter("a <= b").groupBy("a", "b", "na", "nb").agg(F.sum("w").alias("score"), F.max("w").alias("m"))
+    pairs = F.when(F.col("a") == F.col("b"), F.expr("na * (na - 1) div 2")).otherwise(F.col("na") * F.col("nb"))
+    linked = shared.filter((F.col("score") >= least) & (F.col("m") >= 1.0)).select("a", "b", "score", pairs.alias("links")).filter("links > 0")
+    return sets.join(classes, "s").select("problem_id", "class"), linked
+
+
+def topic_links_of(asked: DataFrame, members: DataFrame, linked: DataFrame) -> DataFrame:
+    """(problem_id, other, score): all links of the asked problems (problem_id), from classes and their links."""
+    both = linked.select("a", "b", "score").unionByName(linked.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    own = asked.join(members, "problem_id").join(both, F.col("class") == F.col("a")).select("problem_id", "b", "score")
+    return own.join(members.select(F.col("problem_id").alias("other"), F.col("class").alias("b")), "b").filter("other <> problem_id").select("problem_id", "other", "score")
+
+
 def value_bands(numbers: DataFrame, values: DataFrame, width: float = 0.051) -> DataFrame:
     """Numbers and values less than width apart: an equi-join on bands of that width and their neighbours, then the exact test."""
     band = F.floor(F.col("value") / width)

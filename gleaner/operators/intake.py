@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import ASCII_DIGITS, PERSIAN_DIGITS
+from gleaner.operators import automaton
 from gleaner.operators.common import top_k
 
 # Fixed values -----------------------------------------------------------------------------------------------------
@@ -64,14 +65,12 @@ def eligible_events(artifacts: DataFrame, linked: DataFrame, verdicts: DataFrame
 
 
 def mentions(posts: DataFrame, labels: DataFrame, key: str, text: str, label: str, near: int = 40) -> DataFrame:
-    """(key, label, figured): labels found in a text, whole or without their bracket; figured if a digit stands near. Labels are a small dimension."""
+    """(key, label, figured): labels of four characters or more found in a text, whole or else without their bracket; figured if a digit stands near."""
+    whole = F.trim(label)
     base = F.trim(F.regexp_replace(label, r"\s*\([^)]*\)\s*", ""))
-    pairs = posts.select(key, text).crossJoin(F.broadcast(labels.select(F.trim(label).alias("l"), base.alias("b")).distinct()))
-    hit = F.when((F.length("l") >= 4) & F.col(text).contains(F.col("l")), F.col("l")).when((F.length("b") >= 4) & F.col(text).contains(F.col("b")), F.col("b"))
-    found = pairs.withColumn("h", hit).filter("h IS NOT NULL").withColumn("at", F.instr(F.col(text), F.col("h")))
-    low = F.greatest(F.col("at") - near, F.lit(1))
-    window = F.substring(F.col(text), low, F.col("at") - low + F.length("h") + near)
-    return found.select(key, F.col("l").alias("label"), window.rlike("[0-9۰-۹]").alias("figured"))
+    ways = F.array(F.struct(whole.alias("pattern"), F.lit(0).alias("rank")), F.struct(base.alias("pattern"), F.lit(1).alias("rank")))
+    patterns = labels.select(whole.alias("name"), F.explode(ways).alias("w")).select("w.pattern", "name", "w.rank").filter(F.length("pattern") >= 4)
+    return automaton.found(posts, patterns, key, text, near).select(key, F.col("name").alias("label"), F.col("near").rlike("[0-9۰-۹]").alias("figured"))
 
 
 def stats(sentence: Column) -> Column:

@@ -7,8 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions import persian
 from gleaner.functions.text import ascii_digits
 from gleaner.operators.common import top_k
+from gleaner.operators.intake import stats
+from gleaner.operators.verify import verified
 
 # Fixed values -----------------------------------------------------------------------------------------------------
 REQUIRED_SECTIONS = ["What the evidence says", "How it could be addressed", "What we don't yet know"]
@@ -143,6 +146,27 @@ def valid_insight(claim: Column, numbers_ok: Column, most: int = 320) -> Column:
     return (F.length(claim) <= most) & numbers_ok
 
 
+def valid_insights(insights: DataFrame, dossiers: DataFrame, key: str, claim: str, dossier: str, most: int = 320) -> DataFrame:
+    """(key, valid): short enough, and every figure of the claim is in the dossier's text or matches one there. Without a dossier no figure is backed."""
+    given = insights.select(key).distinct().join(dossiers.select(key, dossier), key, "left").select(key, F.coalesce(dossier, F.lit("")).alias(dossier))
+    checked = verified(insights.select(key, claim), given, key, claim, dossier).select(key, "ok")
+    return insights.select(key, claim).join(checked, key).select(key, valid_insight(F.col(claim), F.col("ok"), most).alias("valid"))
+
+
+def sanity(posts: DataFrame, facts: DataFrame, key: str, post: str, this_year: int) -> DataFrame:
+    """(key, ok, violations): years still to come (future:y), those of them without a word for a forecast near (unlabelled:y), and contradicted trends (trend:direction), sorted.
+
+    facts: key, direction, figures, one row for each series of the post's dossier; all of them are held against the post.
+    """
+    text = F.col(post)
+    tell = lambda what, years: F.transform(years, lambda y: F.concat(F.lit(f"{what}:"), y.cast("string")))
+    dated = posts.select(key, F.concat(tell("future", future_years(ascii_digits(text), this_year)), tell("unlabelled", unlabelled_years(text, this_year))).alias("__years"))
+    against = facts.filter(F.col("direction").isin("increasing", "decreasing")).join(posts.select(key, post), key)
+    trends = against.filter(trend_contradiction(text, F.col("direction"), F.col("figures"))).groupBy(key).agg(F.collect_set(F.concat(F.lit("trend:"), "direction")).alias("__trends"))
+    found = dated.join(trends, key, "left").withColumn("violations", F.array_sort(F.concat("__years", F.coalesce("__trends", F.array().cast("array<string>")))))
+    return found.select(key, (F.size("violations") == 0).alias("ok"), "violations")
+
+
 def licensed(topics: Column, terms: dict[str, list[str]], angle: Column) -> Column:
     """Whether a series may be charted: one of its topics has a term in the angle; an unregistered series (null topics) may."""
     low = F.lower(F.coalesce(angle, F.lit("")))
@@ -151,14 +175,31 @@ def licensed(topics: Column, terms: dict[str, list[str]], angle: Column) -> Colu
     return F.coalesce(hit, F.lit(True))
 
 
-def chart_series(points: DataFrame, keys: list[str], tail: int = 36, least: int = 8, most: int = 3) -> DataFrame:
-    """(keys, indicator, n, span, place): of each group's series of (indicator, year, value), cut to their last points, the widest by relative span."""
+def series_spans(points: DataFrame, keys: list[str], tail: int = 36, least: int = 8) -> DataFrame:
+    """(keys, indicator, n, span) of each group's series of (indicator, year, value), cut to their last points: the relative span from first to last."""
     last = points.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "indicator").orderBy(F.desc("year")))).filter(F.col("__n") <= tail)
     ends = last.groupBy(*keys, "indicator").agg(F.count("*").alias("n"), F.min_by("value", "year").alias("a"), F.max_by("value", "year").alias("b"))
-    ends = ends.filter((F.col("n") >= least) & (F.col("a") != F.col("b"))).withColumn("span", F.round(F.abs(F.col("b") - F.col("a")) / F.greatest(F.abs("a"), F.lit(1e-9)), 6))
+    wide = ends.filter((F.col("n") >= least) & (F.col("a") != F.col("b")))
+    return wide.select(*keys, "indicator", "n", F.round(F.abs(F.col("b") - F.col("a")) / F.greatest(F.abs("a"), F.lit(1e-9)), 6).alias("span"))
+
+
+def chart_series(points: DataFrame, keys: list[str], tail: int = 36, least: int = 8, most: int = 3) -> DataFrame:
+    """(keys, indicator, n, span, place): the widest series of each group by relative span."""
+    ends = series_spans(points, keys, tail, least)
     return top_k(ends, keys, [F.desc("span"), F.asc("indicator")], most, "place").select(*keys, "indicator", "n", "span", "place")
 
 
+def licensed_series(spans: DataFrame, angles: DataFrame, registry: DataFrame, group: str, key: str, angle: str, terms: dict[str, list[str]], most: int = 3) -> DataFrame:
+    """(key, indicator, n, span, place): the widest series of the key's group that its angle licenses; series off the subject go first, then the widest are picked.
+
+    Angles repeat, so each distinct one is held against each indicator of its group once.
+    """
+    series = spans.join(registry.select("indicator", "topics"), "indicator", "left")
+    asked = angles.select(group, angle).distinct().join(series, group).filter(licensed(F.col("topics"), terms, F.col(angle)))
+    best = top_k(asked, [group, angle], [F.desc("span"), F.asc("indicator")], most, "place")
+    return angles.select(key, group, angle).distinct().join(best, [group, angle]).select(key, "indicator", "n", "span", "place")
+
+
 def card_layout(sentences: DataFrame, key: str) -> DataFrame:
     """(key, pos, layout): the sentence a card is built from, and how.
 
@@ -175,6 +216,24 @@ def card_layout(sentences: DataFrame, key: str) -> DataFrame:
     return best.select(key, "pos", layout.alias("layout"))
 
 
+def card_layouts_of(posts: DataFrame, key: str, post: str, angle: str, topics: dict[str, list[str]]) -> DataFrame:
+    """(key, pos, sentence, layout) for each post with a sentence that has figures, all from the post and its angle.
+
+    A sentence's strength is the sum of its first three figures' scores, units are theirs; it overlaps with the angle in content words and in topics.
+    """
+    marks = r"(?:(?<![0-9۰-۹])\.|\.(?![0-9۰-۹])|[\n؟!])\s+"
+    long = F.filter(F.transform(F.split(F.coalesce(post, F.lit("")), marks), lambda x: F.trim(x)), lambda x: F.length(x) > 25)
+    s = posts.select(key, F.coalesce(angle, F.lit("")).alias("__angle"), F.posexplode(long).alias("pos", "sentence")).withColumn("__stats", stats(F.col("sentence"))).filter(F.size("__stats") > 0)
+    first = F.slice("__stats", 1, 3)
+    shared = lambda f: F.size(F.array_intersect(f(F.col("sentence")), f(F.col("__angle"))))
+    about = lambda c: persian.topic_keys(c, topics)
+    scored = s.select(
+        key, "pos", "sentence", F.aggregate(first, F.lit(0), lambda a, x: a + x["score"]).alias("strength"), F.transform(first, lambda x: x["unit"]).alias("units"),
+        (shared(persian.content_words) + shared(about)).alias("overlap"), (F.size(F.concat(persian.content_words(F.col("__angle")), about(F.col("__angle")))) > 0).alias("has_angle"),
+    )
+    return card_layout(scored, key).join(scored.select(key, "pos", "sentence"), [key, "pos"])
+
+
 def mechanism_steps(text: Column) -> Column:
     """How many causal connectives a post names; two or more make a mechanism."""
     return occurring(text, CAUSAL_STEPS)

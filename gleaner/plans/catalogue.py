@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.plans import collected, core, dossiers, extras, gates, graph, intake, orthography, records, texts  # noqa: F401  register their queries
+from gleaner.plans import collected, core, dossiers, extras, gates, graph, intake, lookups, orthography, records, texts  # noqa: F401  register their queries
 from gleaner.plans.registry import ORACLE, QUERIES
 
 FLAGSHIP = "gate4_priority"
