@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.numeric import significant
@@ -193,3 +193,27 @@ def context_pack(text: Column, dropped: tuple[str, ...] = ("CASE", "INSIGHT", "L
 def deduplicated_evidence(evidence: DataFrame, keys: list[str], order: str, text: str, head: int = 120) -> DataFrame:
     """Evidence lines of a post, of which those that start alike in so many characters appear once, the first."""
     return top_k(evidence.withColumn("__head", F.substring(F.col(text), 1, head)), [*keys, "__head"], [F.asc(order)], 1).drop("__head")
+
+
+def post_bodies(problems: DataFrame, evidence: DataFrame, levers: DataFrame, gaps: DataFrame, key: str, most: int = 12) -> DataFrame:
+    """(key, body, flags): a post of headline, evidence, levers and open questions, each with a line of its own where there are none.
+
+    problems: key, statement; evidence: key, place, text (lines that start alike come once, the first ``most`` are shown); levers: key, lever, verified; gaps: key,
+    place, question. Flags: no_evidence, unverified:n, open:n.
+    """
+    lines = deduplicated_evidence(evidence, [key], "place", "text").withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("place"))).filter(F.col("__n") <= most)
+    told = _lines(lines, [key], ["place"], F.concat(F.lit("- "), "text")).withColumnRenamed("body", "__evidence")
+    named = levers.groupBy(key, "lever").agg(F.bool_or("verified").alias("verified"))
+    ways = _lines(named, [key], ["lever"], F.concat(F.lit("- "), "lever", F.when(F.col("verified"), "").otherwise(" (not verified)"))).withColumnRenamed("body", "__levers")
+    weak = named.groupBy(key).agg(F.count_if(~F.col("verified")).alias("__weak"))
+    open_ = _lines(gaps, [key], ["place"], F.concat(F.lit("- "), "question")).withColumnRenamed("body", "__gaps")
+    many = gaps.groupBy(key).agg(F.count("*").alias("__open"))
+    df = problems.select(key, "statement")
+    for part in (told, ways, weak, open_, many):
+        df = df.join(part, key, "left")
+    body = F.concat(
+        F.lit("# "), F.trim("statement"), F.lit("\n\n## Evidence\n"), F.coalesce("__evidence", F.lit("None is linked yet.")), F.lit("\n\n## Levers\n"), F.coalesce("__levers", F.lit("None is known yet.")),
+        F.lit("\n\n## Open questions\n"), F.coalesce("__gaps", F.lit("None.")),
+    )
+    flags = F.array_compact(F.array(F.when(F.col("__evidence").isNull(), "no_evidence"), F.when(F.col("__weak") > 0, F.concat(F.lit("unverified:"), "__weak")), F.when(F.col("__open") > 0, F.concat(F.lit("open:"), "__open"))))
+    return df.select(key, body.alias("body"), F.array_join(flags, ",").alias("flags"))

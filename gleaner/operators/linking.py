@@ -97,3 +97,24 @@ def opening_similarity(texts: DataFrame, ledger: DataFrame, group: str, key: str
     pairs = own.join(old, group).filter(F.col(key) != F.col("__old"))
     best = pairs.groupBy(key).agg(F.max(F.when((F.size("a") > 0) & (F.size("b") > 0), jaccard(F.col("a"), F.col("b"))).otherwise(0.0)).alias("similarity"))
     return own.select(key).join(best, key, "left").select(key, F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+
+
+def opening_similarity_to_others(posts: DataFrame, ledger: DataFrame, owner: str, key: str, text: str, order: str, pattern: str, first: int = 12, n: int = 3, last: int = 20) -> DataFrame:
+    """(key, similarity): the greatest Jaccard similarity of a post's opening n-grams with those of the last ledger entries of other owners.
+
+    No owner has more than ``last`` of the newest 2 * last entries kept of at most ``last`` for each, so each post finds its last entries of others among these.
+    Openings repeat: distinct ones are compared, by the grams they share.
+    """
+    grams = lambda c: F.array_distinct(ngrams(F.slice(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), 1, first), n))
+    newest = top_k(ledger.select(owner, F.col(key).alias("__entry"), order, text), [owner], [F.desc(order), F.desc("__entry")], last)
+    newest = newest.orderBy(F.desc(order), F.desc("__entry")).limit(2 * last)
+    placed = newest.withColumn("r", F.row_number().over(Window.orderBy(F.desc(order), F.desc("__entry"))))  # of 2 * last rows
+    entries = placed.select("r", F.col(owner).alias("__owner"), grams(F.coalesce(text, F.lit(""))).alias("b"))
+    own = placed.groupBy(F.col(owner).alias("__p")).agg(F.collect_list("r").alias("own"))
+    mine = posts.select(key, owner, grams(F.coalesce(text, F.lit(""))).alias("a"))
+    kinds = mine.select("a").distinct().filter(F.size("a") > 0)
+    shared = kinds.select("a", F.explode("a").alias("g")).join(entries.select("r", "__owner", "b", F.explode("b").alias("g")), "g").select("a", "r", "__owner", jaccard(F.col("a"), F.col("b")).alias("s")).distinct()
+    met = mine.join(own, F.col(owner) == F.col("__p"), "left").join(shared, "a").filter(F.col("__owner") != F.col(owner))
+    before = F.coalesce(F.size(F.filter("own", lambda x: x < F.col("r"))), F.lit(0))
+    best = met.filter(F.col("r") - F.greatest(before, F.lit(0)) <= last).groupBy(key).agg(F.max("s").alias("similarity"))
+    return posts.select(key).join(best, key, "left").select(key, F.coalesce("similarity", F.lit(0.0)).alias("similarity"))

@@ -68,10 +68,17 @@ def measurement_get_or_create(t: Tables) -> DataFrame:
     return m.filter("source <> 'src0'").join(m.filter("source = 'src0'").select(*keys), keys, "left_anti").select("measurement_id", "indicator", "subject", "source", "period", "value")
 
 
-@query("SELECT indicator, label, metric_kind, unit, topics, polarity FROM registry WHERE indicator NOT IN ('NO', 'ZZ') UNION ALL VALUES ('NO', 'Jobless rate', 'rate', '%', 'labour', 'bad'), ('ZZ', 'New metric', 'count', NULL, 'trade', NULL)", "registry")
+@query(
+    "WITH old AS (SELECT 'P' || p_partkey AS indicator, p_name AS label, lower(p_type) AS metric_kind, p_brand AS unit FROM part), new AS (SELECT 'P' || l_partkey AS indicator, any_value(p_name) || ' in bulk' AS label, 'bulk' AS metric_kind, CAST(CAST(max(l_quantity) AS INT) AS VARCHAR) AS unit FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 50 GROUP BY l_partkey UNION ALL SELECT 'S' || s_suppkey, s_name, 'balance', 'USD' FROM supplier) SELECT * FROM old WHERE indicator NOT IN (SELECT indicator FROM new) UNION ALL SELECT * FROM new"
+)
 def registry_upsert(t: Tables) -> DataFrame:
-    new = t.spark.createDataFrame([("NO", "Jobless rate", "rate", "%", "labour", "bad"), ("ZZ", "New metric", "count", None, "trade", None)], t.registry().schema)
-    return upsert(t.registry(), new, ["indicator"])
+    """A registry of all parts takes in what bulk sales say of them, and the suppliers as new indicators."""
+    part = t.raw("part")
+    old = part.select(F.concat(F.lit("P"), "p_partkey").alias("indicator"), F.col("p_name").alias("label"), F.lower("p_type").alias("metric_kind"), F.col("p_brand").alias("unit"))
+    bulk = t.raw("lineitem").filter("l_quantity >= 50").groupBy("l_partkey").agg(F.max("l_quantity").cast("int").cast("string").alias("unit"))
+    known = bulk.join(part, F.col("p_partkey") == F.col("l_partkey")).select(F.concat(F.lit("P"), "l_partkey").alias("indicator"), F.concat("p_name", F.lit(" in bulk")).alias("label"), F.lit("bulk").alias("metric_kind"), "unit")
+    fresh = t.raw("supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("indicator"), F.col("s_name").alias("label"), F.lit("balance").alias("metric_kind"), F.lit("USD").alias("unit"))
+    return upsert(old, known.unionByName(fresh), ["indicator"])
 
 
 @query("SELECT question_id, evidence_type, evidence_id, max(line) AS line FROM question_evidence GROUP BY ALL", "question_evidence")
@@ -192,9 +199,10 @@ def registry_coverage(t: Tables) -> DataFrame:
     return series.coverage(t.measurements(), t.registry())
 
 
-@query("SELECT indicator, subject, source, count(DISTINCT period) AS periods FROM measurements GROUP BY ALL HAVING count(DISTINCT period) <= 2", "measurements")
+@query("SELECT indicator, subject, source, count(DISTINCT period) AS periods FROM measurements WHERE period >= '2001-10' GROUP BY ALL HAVING count(DISTINCT period) <= 2", "measurements")
 def snapshot_only_series(t: Tables) -> DataFrame:
-    return series.short_series(t.measurements())
+    """Series that the newest two months of the data alone would give."""
+    return series.short_series(t.measurements().filter("period >= '2001-10'"))
 
 
 @query("SELECT indicator, source, count(DISTINCT subject) AS subjects, count(DISTINCT period) AS periods FROM measurements GROUP BY ALL HAVING count(DISTINCT subject) <> 1 OR min(subject) <> 'IRAN' OR count(DISTINCT period) < 3", "measurements")

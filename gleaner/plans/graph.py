@@ -61,9 +61,10 @@ def problems_with_topic(t: Tables) -> DataFrame:
     return t.problems().join(F.broadcast(topics), "topic", "left").select("problem_id", F.coalesce("name", F.lit("?")).alias("topic_name"))
 
 
-@query("SELECT finding_id, intervention FROM findings f WHERE NOT EXISTS (SELECT 1 FROM question_evidence e WHERE e.evidence_type = 'finding' AND e.evidence_id = f.finding_id)", "findings", "question_evidence")
+@query("SELECT finding_id, intervention FROM findings f WHERE NOT EXISTS (SELECT 1 FROM question_evidence e WHERE e.evidence_type = 'finding' AND e.evidence_id = f.finding_id AND e.line = 1)", "findings", "question_evidence")
 def orphans_not_exists(t: Tables) -> DataFrame:
-    return E.orphans(t.findings(), t.question_evidence()).select("finding_id", "intervention")
+    """Findings that no question has as its first evidence."""
+    return E.orphans(t.findings(), t.question_evidence().filter("line = 1")).select("finding_id", "intervention")
 
 
 @query("SELECT artifact_id, source FROM artifacts WHERE status = 'extracted' AND artifact_id NOT IN (SELECT user_id FROM events)", "artifacts")
@@ -124,9 +125,9 @@ def problem_topic_links(t: Tables) -> DataFrame:
     return E.topic_links(topics, ["Brand#1", "Brand#2"])
 
 
-@query("+n AS (SELECT DISTINCT event_type, round(value, 1) AS number FROM events) SELECT event_type, number, count(*) AS hits, min(p_retailprice) AS nearest_low FROM n JOIN part ON abs(p_retailprice - number) < 0.051 GROUP BY 1, 2", "studies")
+@query("+n AS (SELECT DISTINCT event_type, floor(9000 + value * 2) / 10 AS number FROM events) SELECT event_type, number, count(*) AS hits, min(p_retailprice) AS nearest_low FROM n JOIN part ON abs(p_retailprice - number) < 0.051 GROUP BY 1, 2", "studies")
 def value_band_join(t: Tables) -> DataFrame:
-    numbers = t.raw("events").select("event_type", F.round("value", 1).alias("number")).distinct()
+    numbers = t.raw("events").select("event_type", (F.floor(9000 + F.col("value") * 2) / 10).alias("number")).distinct()
     values = t.raw("part").select(F.col("p_retailprice").alias("value"))
     return E.value_bands(numbers, values).groupBy("event_type", "number").agg(F.count("*").alias("hits"), F.min("value").alias("nearest_low"))
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import persian as P
 from gleaner.operators import changes
+from gleaner.operators import dossier as D
 from gleaner.operators import evidence as E
+from gleaner.operators import linking as L
 from gleaner.operators import posts as G
 from gleaner.plans.dossiers import _INDEX, _POSTS, _TERMS, _evidence, _in, _list, _near, _posts, significant_sql
 from gleaner.plans.extras import TOPIC_WORDS
@@ -144,3 +146,63 @@ def licensed_card_series(t: Tables) -> DataFrame:
     spans = G.series_spans(points, ["subject"])
     angles = t.problems().select("problem_id", "statement").join(t.problem_subjects(), "problem_id")
     return G.licensed_series(spans, angles, t.registry(), "subject", "problem_id", "statement", _TERMS)
+
+
+# posts and their panel ------------------------------------------------------------------------------------------------------
+
+_GRAMS = "list_distinct(list_transform(range(greatest(len(w) - 2, 0)), lambda i: array_to_string(w[i + 1:i + 3], ' ')))"
+_POST_FA = "p AS (SELECT question_id, problem_id, question_id AS spot, question_fa || ' ' || FARSI[question_id // 7 % 7 + 1] || ' ' || FARSI[question_id // 49 % 7 + 1] AS post FROM questions)"
+
+
+def _farsi_posts(t: Tables) -> DataFrame:
+    from gleaner.plans.tables import FARSI, _pick
+
+    k = F.col("question_id")
+    return t.questions().select("question_id", "problem_id", k.alias("spot"), F.concat_ws(" ", "question_fa", _pick(FARSI, F.floor(k / 7)), _pick(FARSI, F.floor(k / 49))).alias("post"))
+
+
+def _farsi_sql() -> str:
+    from gleaner.plans.tables import FARSI
+
+    return _POST_FA.replace("FARSI", _list(FARSI))
+
+
+@query(
+    "+" + _farsi_sql() + f", g AS (SELECT question_id, problem_id, spot, {_GRAMS} AS a FROM (SELECT *, regexp_extract_all(post, '[؀-ۿ]+')[1:12] AS w FROM p)), pr AS (SELECT DISTINCT problem_id FROM g), top AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY spot DESC) <= 20), "
+    "n AS (SELECT * FROM top ORDER BY spot DESC LIMIT 40), l AS (SELECT pr.problem_id AS owner, n.* FROM pr JOIN n ON n.problem_id <> pr.problem_id QUALIFY row_number() OVER (PARTITION BY pr.problem_id ORDER BY spot DESC) <= 20) "
+    "SELECT g.question_id, round(max(CASE WHEN len(g.a) > 0 AND len(l.a) > 0 THEN len(list_intersect(g.a, l.a)) / len(list_distinct(g.a || l.a)) ELSE 0 END), 6) AS similarity FROM g JOIN l ON l.owner = g.problem_id GROUP BY 1",
+    "questions",
+)
+def post_opening_similarity(t: Tables) -> DataFrame:
+    """How much the opening of each post (Persian words) is like one of the last twenty of other problems."""
+    p = _farsi_posts(t)
+    return L.opening_similarity_to_others(p, p, "problem_id", "question_id", "post", "spot", r"[\u0600-\u06FF]+").withColumn("similarity", F.round("similarity", 6))
+
+
+@query("SELECT o_custkey AS problem_id, count(*) AS versions, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS score, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS decision, bool_or(o_orderstatus = 'F') AS delivered FROM orders JOIN problems ON problem_id = o_custkey GROUP BY 1", "problems")
+def panel_posts(t: Tables) -> DataFrame:
+    """Each problem's posts: how many versions, the newest with its score and decision, and whether one was delivered."""
+    o = t.raw("orders").select(F.col("o_custkey").alias("problem_id"), "o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus", F.struct("o_orderdate", "o_orderkey").alias("at"))
+    g = o.groupBy("problem_id").agg(F.count("*").alias("versions"), F.max_by(F.struct("o_orderkey", "o_totalprice", "o_orderpriority"), "at").alias("x"), F.bool_or(F.col("o_orderstatus") == "F").alias("delivered"))
+    return g.join(t.problems().select("problem_id"), "problem_id").select("problem_id", "versions", F.col("x.o_orderkey").alias("latest"), F.col("x.o_totalprice").alias("score"), F.col("x.o_orderpriority").alias("decision"), "delivered")
+
+
+@query(
+    "+e AS (SELECT problem_id, question_id AS place, question || ' since ' || year(asked) AS text FROM questions JOIN (SELECT DISTINCT question_id FROM question_evidence WHERE evidence_type = 'measurement') USING (question_id)), d AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY problem_id, text[1:120] ORDER BY place) = 1), "
+    "ev AS (SELECT problem_id, string_agg('- ' || text, chr(10) ORDER BY place) AS body FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY place) <= 12) GROUP BY 1), "
+    "lv AS (SELECT problem_id, coalesce(intervention, 'other ways') AS lever, bool_or(effect_size IS NOT NULL) AS verified FROM questions JOIN question_evidence USING (question_id) JOIN findings ON finding_id = evidence_id WHERE evidence_type = 'finding' GROUP BY 1, 2), "
+    "ls AS (SELECT problem_id, string_agg('- ' || lever || CASE WHEN verified THEN '' ELSE ' (not verified)' END, chr(10) ORDER BY lever) AS body, count(*) FILTER (NOT verified) AS weak FROM lv GROUP BY 1), "
+    "gp AS (SELECT problem_id, string_agg('- ' || question, chr(10) ORDER BY question_id) AS body, count(*) AS open FROM questions WHERE question_id NOT IN (SELECT question_id FROM question_evidence) GROUP BY 1) "
+    "SELECT problem_id, '# ' || trim(statement) || chr(10) || chr(10) || '## Evidence' || chr(10) || coalesce(ev.body, 'None is linked yet.') || chr(10) || chr(10) || '## Levers' || chr(10) || coalesce(ls.body, 'None is known yet.') || chr(10) || chr(10) || '## Open questions' || chr(10) || coalesce(gp.body, 'None.') AS body, "
+    "concat_ws(',', CASE WHEN ev.body IS NULL THEN 'no_evidence' END, CASE WHEN weak > 0 THEN 'unverified:' || weak END, CASE WHEN open > 0 THEN 'open:' || open END) AS flags FROM problems LEFT JOIN ev USING (problem_id) LEFT JOIN ls USING (problem_id) LEFT JOIN gp USING (problem_id)",
+    "problems", "questions", "question_evidence", "findings",
+)
+def post_markdown(t: Tables) -> DataFrame:
+    """The first draft of a problem's post: headline, evidence, levers, open questions, and what it is flagged for."""
+    q, links = t.questions(), t.question_evidence()
+    measured = links.filter("evidence_type = 'measurement'").select("question_id").distinct()
+    evidence = q.join(measured, "question_id").select("problem_id", F.col("question_id").alias("place"), F.concat("question", F.lit(" since "), F.year("asked").cast("string")).alias("text"))
+    found = q.select("problem_id", "question_id").join(links.filter("evidence_type = 'finding'"), "question_id").join(t.findings(), F.col("evidence_id") == F.col("finding_id"))
+    levers = found.select("problem_id", F.coalesce("intervention", F.lit("other ways")).alias("lever"), F.col("effect_size").isNotNull().alias("verified"))
+    gaps = q.join(links, "question_id", "left_anti").select("problem_id", F.col("question_id").alias("place"), "question")
+    return D.post_bodies(t.problems(), evidence, levers, gaps, "problem_id")

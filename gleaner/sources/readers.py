@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.rules import vintage
@@ -216,7 +216,8 @@ def news_search(spark: SparkSession, path: str, preferred: list[str]) -> DataFra
     liked = reduce(lambda x, y: x | y, [domain.contains(p) for p in preferred], F.lit(False))
     kept = raw.filter(F.coalesce("a.title", F.lit("")) != "").select("file", "pos", F.trim("a.title").alias("title"), F.col("a.url").alias("url"), domain.alias("domain"), F.try_to_timestamp("a.seendate", F.lit("yyyyMMdd'T'HHmmss'Z'")).alias("seen"), F.col("a.language").alias("language"), liked.alias("preferred"))
     english = F.coalesce(F.col("language").isin("English", "eng"), F.lit(False))
-    return top_k(kept, ["file"], [F.desc("preferred"), F.desc(english), F.desc_nulls_last("seen"), F.asc("pos")], 250, "place")
+    order = Window.partitionBy("file").orderBy(F.desc("preferred"), F.desc(english), F.desc_nulls_last("seen"), F.asc("pos"))
+    return kept.withColumn("place", F.row_number().over(order))
 
 
 def frozen(studies: DataFrame, fetched: DataFrame | None = None) -> DataFrame:
