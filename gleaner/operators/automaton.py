@@ -38,7 +38,7 @@ def _found(texts: DataFrame, patterns: list, around: int) -> DataFrame:
             rows, kinds = [], batch.schema.field(0).type
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 best: dict[str, tuple[int, int, int]] = {}
-                for end, (pattern, names) in automaton.iter(text or ""):
+                for end, (pattern, names) in automaton.iter(text or "") if of else ():
                     start = end - len(pattern) + 1
                     for name, rank in names:
                         if name not in best or (rank, start) < best[name][:2]:
