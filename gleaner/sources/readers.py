@@ -5,6 +5,7 @@ Filters that a remote service should have applied are applied again after the sc
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -62,12 +63,32 @@ def articles(pages: DataFrame, text: str, url: str, least: int = 200, key: str |
     return top_k(kept, ["content_hash"], [F.asc(url), *([F.asc(key)] if key else [])], 1)
 
 
-def world_bank(spark: SparkSession, path: str, this_year: int) -> DataFrame:
-    """Landed API answers: a JSON array of a header and rows; null values are skipped."""
-    row = "struct<indicator: struct<id: string, value: string>, country: struct<id: string, value: string>, date: string, value: double>"
-    raw = spark.read.text(path, wholetext=True)
-    body = F.from_json(F.regexp_extract("value", r"(?s)^\s*\[\s*\{.*?\}\s*,\s*(\[.*\])\s*\]\s*$", 1), f"array<{row}>")
-    one = raw.select(F.explode(body).alias("r")).filter("r.value IS NOT NULL")
+def answer_rows(spark: SparkSession, path: str, first: str, row: str, whole: Callable[[Column], Column], stream: bool = False) -> DataFrame:
+    """(file, r): the rows of landed JSON answers; one large answer is read by many tasks.
+
+    ``first`` is the field that each row of the answer starts with. Answers as services send them have no white space before it, so a file is cut, by Spark's own splits,
+    wherever a row starts: within JSON strings quotes are escaped, so the mark can't stand inside one. What stands before the first mark is the answer's
+    head. An answer that is laid out otherwise has no mark and is one piece, which ``whole`` turns into an array of rows. Pieces that aren't JSON give no rows.
+    """
+    mark = '{"' + first + '"'
+    reader = spark.readStream if stream else spark.read
+    raw = reader.option("lineSep", mark).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    own = F.from_json(F.concat(F.lit(mark), F.regexp_replace("value", r"[\s,]+$", "")), row)
+    rows = F.when(F.col("value").rlike(r"^\s*:"), F.array(own)).otherwise(whole(F.col("value")))
+    return raw.select("file", F.explode(rows).alias("r")).filter("r IS NOT NULL")
+
+
+_WORLD_BANK_ROW = "struct<indicator: struct<id: string, value: string>, country: struct<id: string, value: string>, date: string, value: double>"
+
+
+def _after_head(value: Column) -> Column:
+    """The rows of a whole answer that is an array of a head and an array of rows."""
+    return F.from_json(F.regexp_extract(value, r"(?s)^\s*\[\s*\{.*?\}\s*,\s*(\[.*\])\s*\]\s*$", 1), f"array<{_WORLD_BANK_ROW}>")
+
+
+def world_bank(spark: SparkSession, path: str, this_year: int, stream: bool = False) -> DataFrame:
+    """Landed API answers: a JSON array of a header and rows; null values are skipped. With stream, of a folder into which answers keep landing."""
+    one = answer_rows(spark, path, "indicator", _WORLD_BANK_ROW, _after_head, stream).filter("r.value IS NOT NULL")
     return _series(one, F.col("r.indicator.value"), F.col("r.country.value"), F.col("r.date"), F.col("r.value"), "World Bank WDI", this_year)
 
 
@@ -199,7 +220,7 @@ def works(spark: SparkSession, path: str, query_ix: int = 0, source_ix: int = 0)
 def semantic_works(spark: SparkSession, path: str, query_ix: int = 0, source_ix: int = 1) -> DataFrame:
     """Landed answers of {"data": [...]} as flat studies; those without a title or an abstract are dropped."""
     paper = "struct<paperId: string, title: string, abstract: string, year: int, citationCount: int, externalIds: struct<DOI: string>, authors: array<struct<name: string>>>"
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"data array<{paper}>").alias("j")).select(F.explode("j.data").alias("p"))
+    raw = answer_rows(spark, path, "paperId", paper, lambda v: F.from_json(v, f"data array<{paper}>")["data"]).select(F.col("r").alias("p"))
     kept = raw.filter((F.trim(F.coalesce("p.title", F.lit(""))) != "") & (F.trim(F.coalesce("p.abstract", F.lit(""))) != ""))
     none = F.array().cast("array<string>")
     return kept.select(
