@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -152,16 +152,31 @@ PLACEHOLDER = r"\[\s*(?:بنا بر\s+)?منبع\s*[:.٫]?\s*[A-Za-zXY۰-۹]?\s*
 UNIT_WORDS = "میلیارد|میلیون|هزار|دلار|درصد|بشکه|تومان|ریال|یورو|سنت"
 DIGIT = "[۰-۹0-9]"
 NAME_LABELS = ["نام", "فارسی", "انگلیسی"]
+# How a source (as it stands) and a unit (in lower case) are told and what they are called: contains, starts with or is, in the order in which they are tried.
+PROVIDER_NAMES = [
+    ("contains", "World Bank", "بانک جهانی"), ("is", "WDI", "بانک جهانی"), ("contains", "Yahoo", "یاهو فایننس"), ("contains", "IMF", "صندوق بین‌المللی پول"),
+    ("starts", "OWID:", "پایگاه Our World in Data"), ("contains", "SCI", "مرکز آمار ایران"), ("contains", "CBI", "بانک مرکزی ایران"),
+]
+UNIT_NAMES = [
+    ("is", "", ""), ("contains", "%", "٪"), ("is", "percent", "٪"), ("contains", "million tonnes", "میلیون تن"), ("contains", "tonnes", "تن"), ("is", "t", "تن"),
+    ("contains", "kwh", "کیلووات‌ساعت"), ("contains", "kilowatt", "کیلووات‌ساعت"), ("contains", "person", "نفر"), ("contains", "yield", None),
+]
 # ------------------------------------------------------------------------------------------------------------------
 
 
+def _named_by(table: list[tuple[str, str, str | None]], value: Column, otherwise: Column) -> Column:
+    """The name of the first row of the table that fits; a row without a name leaves the value as it is."""
+    out = otherwise
+    for how, mark, name in reversed(table):
+        fits = {"contains": value.contains(mark), "starts": value.startswith(mark), "is": F.trim(value) == mark}[how]
+        out = F.when(fits, value if name is None else F.lit(name)).otherwise(out)
+    return out
+
+
 def provider_name(source: Column) -> Column:
     """The Persian name of a data provider; others stay as they are."""
     s = F.coalesce(source, F.lit(""))
-    return (
-        F.when(s.contains("World Bank") | (F.trim(s) == "WDI"), "بانک جهانی").when(s.contains("Yahoo"), "یاهو فایننس").when(s.contains("IMF"), "صندوق بین‌المللی پول")
-        .when(s.startswith("OWID:"), "پایگاه Our World in Data").when(s.contains("SCI"), "مرکز آمار ایران").when(s.contains("CBI"), "بانک مرکزی ایران").otherwise(s)
-    )
+    return _named_by(PROVIDER_NAMES, s, s)
 
 
 def head_key(name: Column) -> Column:
@@ -176,11 +191,19 @@ def head_key(name: Column) -> Column:
 
 def unit_name(unit: Column) -> Column:
     """The Persian name of a unit; unknown ones as they are."""
-    u = F.lower(F.trim(F.coalesce(unit, F.lit(""))))
-    return (
-        F.when(u == "", "").when(u.contains("%") | (u == "percent"), "٪").when(u.contains("million tonnes"), "میلیون تن").when(u.contains("tonnes") | (u == "t"), "تن")
-        .when(u.contains("kwh") | u.contains("kilowatt"), "کیلووات‌ساعت").when(u.contains("person"), "نفر").when(u.contains("yield"), u).otherwise(F.trim(unit))
-    )
+    return _named_by(UNIT_NAMES, F.lower(F.trim(F.coalesce(unit, F.lit("")))), F.trim(unit))
+
+
+def providers_of(registry: DataFrame, name: str, source: str, most: int = 10_000) -> dict[str, str]:
+    """Heads of metric names with their providers' Persian names, for the repairs below: full names don't stand in prose as they are in the registry.
+
+    Of metrics with one head the first by name counts. A registry is a small dimension; one of more than ``most`` rows is an error.
+    """
+    heads = registry.select(F.col(name).alias("n"), head_key(F.col(name)).alias("h"), provider_name(F.col(source)).alias("p")).filter("h <> '' AND p <> ''")
+    rows = heads.groupBy("h").agg(F.min_by("p", "n").alias("p")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the registry has over {most} metrics")
+    return {r.h: r.p for r in rows}
 
 
 def without_glossary(text: Column) -> Column:

@@ -154,27 +154,27 @@ def reasoning_items(questions: DataFrame, links: DataFrame, findings: DataFrame,
     found = links.filter("evidence_type = 'finding'").join(findings, F.col("evidence_id") == F.col("finding_id")).select("question_id", "finding_id", "study_id", "statement", "geography").distinct()
     direct = item(found, "direct_evidence", F.concat(F.lit("finding:"), text("finding_id"), F.lit(" "), F.col("statement")))
     counts = questions.select("question_id").join(links.groupBy("question_id").agg(F.countDistinct(F.when(F.col("evidence_type") == "measurement", F.col("evidence_id"))).alias("m"), F.countDistinct(F.when(F.col("evidence_type") == "finding", F.col("evidence_id"))).alias("f")), "question_id", "left").na.fill(0)
-    coverage = item(counts, "deterministic_patterns", F.concat(F.lit("substrate coverage: "), text("m"), F.lit(" measurement(s), "), text("f"), F.lit(" finding(s)")))
+    coverage = item(counts, "deterministic_patterns", F.concat(F.lit("coverage measurements="), text("m"), F.lit(" findings="), text("f")))
     studies = questions.select("question_id").join(found.groupBy("question_id").agg(F.countDistinct("study_id").alias("k")), "question_id", "left").na.fill(0)
-    supported = item(studies, "deterministic_patterns", F.concat(F.lit("supporting studies: "), text("k")))
+    supported = item(studies, "deterministic_patterns", F.concat(F.lit("studies="), text("k")))
     kinds = questions.select("question_id").join(relations.groupBy("question_id").agg(F.count_if(F.col("relation") == "conflict").alias("c"), F.count_if(F.col("relation") == "agree").alias("g")), "question_id", "left").na.fill(0)
-    conflicts = item(kinds, "deterministic_patterns", F.concat(F.lit("conflicting finding pairs: "), text("c")))
-    agreements = item(kinds, "deterministic_patterns", F.concat(F.lit("agreeing finding pairs: "), text("g")))
-    edge = F.concat(F.col("a"), F.lit(" --"), F.col("relation"), F.lit("-- "), F.col("b"))
+    conflicts = item(kinds, "deterministic_patterns", F.concat(F.lit("conflict_pairs="), text("c")))
+    agreements = item(kinds, "deterministic_patterns", F.concat(F.lit("agree_pairs="), text("g")))
+    edge = F.concat_ws(" ", "a", "relation", "b")
     edges = item(relations, "evidence_relationships", edge)
     ends = series.groupBy("question_id", "indicator").agg(F.count("value").alias("n"), F.min_by(F.struct("period", "value"), "period").alias("x"), F.max_by(F.struct("period", "value"), "period").alias("y")).filter("n >= 2")
-    moved = F.concat(F.col("indicator"), F.lit(" moved from "), F.format_number("x.value", 0), F.lit(" ("), F.col("x.period"), F.lit(") to "), F.format_number("y.value", 0), F.lit(" ("), F.col("y.period"), F.lit(")"))
+    moved = F.concat_ws(" ", "indicator", "x.period", F.format_number("x.value", 0), F.lit("->"), "y.period", F.format_number("y.value", 0))
     inferred = item(ends, "supported_inferences", moved)
-    present = item(kinds.filter("c > 0"), "supported_inferences", F.lit("Conflicting findings are present; the evidence edges establish that they exist."))
-    why = F.when(F.col("status") == "no_evidence", "no relevant evidence was retrieved for this question").when(F.col("status") == "deferred", "a source failed during retrieval; recoverable")
+    present = item(kinds.filter("c > 0"), "supported_inferences", F.lit("has_conflict"))
+    why = F.when(F.col("status").isin("no_evidence", "deferred"), F.col("status"))
     state = item(questions.withColumn("why", why).filter("why IS NOT NULL"), "unresolved", F.col("why"))
-    open_ = item(relations.filter("relation IN ('conflict', 'not_comparable')"), "unresolved", F.concat(F.when(F.col("relation") == "conflict", "no winner is established: ").otherwise("relationship undetermined: "), edge))
+    open_ = item(relations.filter("relation IN ('conflict', 'not_comparable')"), "unresolved", F.concat(F.lit("undecided "), edge))
     scoped = found.join(subjects, "question_id").filter((F.trim(F.coalesce("geography", F.lit(""))) != "") & (F.lower(F.trim("geography")) != F.lower("subject")))
-    guard = item(scoped, "unsupported_claims", F.concat(F.lit("finding:"), text("finding_id"), F.lit(" is scoped to '"), F.trim("geography"), F.lit("', not to '"), F.col("subject"), F.lit("'")))
+    guard = item(scoped, "unsupported_claims", F.concat(F.lit("finding:"), text("finding_id"), F.lit(" place="), F.trim("geography"), F.lit(" asked="), F.col("subject")))
     way = ends.select("question_id", "indicator", F.signum(F.col("y.value") - F.col("x.value")).alias("way"))
     other = way.select("question_id", F.col("indicator").alias("other"), F.col("way").alias("other_way"))
     against = way.join(other, "question_id").filter((F.col("indicator") < F.col("other")) & (F.col("way") * F.col("other_way") < 0))
-    apart = item(against, "unsupported_claims", F.concat(F.col("indicator"), F.lit(" and "), F.col("other"), F.lit(" moved in opposite directions; this shows no cause")))
+    apart = item(against, "unsupported_claims", F.concat_ws(" against ", "indicator", "other"))
     return reduce(DataFrame.unionByName, [direct, coverage, supported, conflicts, agreements, edges, inferred, present, state, open_, guard, apart])
 
 

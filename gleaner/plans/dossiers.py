@@ -119,17 +119,17 @@ e AS (SELECT question_id, indicator, min(period) AS p0, first(value ORDER BY per
 
 @query(
     "+" + _REASON + """ SELECT question_id, 'direct_evidence' AS section, 'finding:' || finding_id || ' ' || statement AS item FROM fo
-UNION ALL SELECT q.question_id, 'deterministic_patterns', 'substrate coverage: ' || coalesce(m, 0) || ' measurement(s), ' || coalesce(f, 0) || ' finding(s)' FROM q LEFT JOIN c USING (question_id)
-UNION ALL SELECT q.question_id, 'deterministic_patterns', 'supporting studies: ' || coalesce(k, 0) FROM q LEFT JOIN s USING (question_id)
-UNION ALL SELECT q.question_id, 'deterministic_patterns', 'conflicting finding pairs: ' || coalesce(c, 0) FROM q LEFT JOIN rc USING (question_id)
-UNION ALL SELECT q.question_id, 'deterministic_patterns', 'agreeing finding pairs: ' || coalesce(g, 0) FROM q LEFT JOIN rc USING (question_id)
-UNION ALL SELECT question_id, 'evidence_relationships', a || ' --' || relation || '-- ' || b FROM r
-UNION ALL SELECT question_id, 'supported_inferences', indicator || ' moved from ' || format('{:,.0f}', v0) || ' (' || p0 || ') to ' || format('{:,.0f}', v1) || ' (' || p1 || ')' FROM e
-UNION ALL SELECT question_id, 'supported_inferences', 'Conflicting findings are present; the evidence edges establish that they exist.' FROM rc WHERE c > 0
-UNION ALL SELECT question_id, 'unresolved', CASE status WHEN 'no_evidence' THEN 'no relevant evidence was retrieved for this question' ELSE 'a source failed during retrieval; recoverable' END FROM q WHERE status <> 'answered'
-UNION ALL SELECT question_id, 'unresolved', CASE relation WHEN 'conflict' THEN 'no winner is established: ' ELSE 'relationship undetermined: ' END || a || ' --' || relation || '-- ' || b FROM r WHERE relation <> 'agree'
-UNION ALL SELECT question_id, 'unsupported_claims', 'finding:' || finding_id || ' is scoped to ''' || trim(geography) || ''', not to ''' || subject || '''' FROM fo WHERE lower(trim(geography)) <> lower(subject)
-UNION ALL SELECT x.question_id, 'unsupported_claims', x.indicator || ' and ' || y.indicator || ' moved in opposite directions; this shows no cause' FROM e x JOIN e y ON x.question_id = y.question_id AND x.indicator < y.indicator WHERE sign(x.v1 - x.v0) * sign(y.v1 - y.v0) < 0""",
+UNION ALL SELECT q.question_id, 'deterministic_patterns', 'coverage measurements=' || coalesce(m, 0) || ' findings=' || coalesce(f, 0) FROM q LEFT JOIN c USING (question_id)
+UNION ALL SELECT q.question_id, 'deterministic_patterns', 'studies=' || coalesce(k, 0) FROM q LEFT JOIN s USING (question_id)
+UNION ALL SELECT q.question_id, 'deterministic_patterns', 'conflict_pairs=' || coalesce(c, 0) FROM q LEFT JOIN rc USING (question_id)
+UNION ALL SELECT q.question_id, 'deterministic_patterns', 'agree_pairs=' || coalesce(g, 0) FROM q LEFT JOIN rc USING (question_id)
+UNION ALL SELECT question_id, 'evidence_relationships', a || ' ' || relation || ' ' || b FROM r
+UNION ALL SELECT question_id, 'supported_inferences', indicator || ' ' || p0 || ' ' || format('{:,.0f}', v0) || ' -> ' || p1 || ' ' || format('{:,.0f}', v1) FROM e
+UNION ALL SELECT question_id, 'supported_inferences', 'has_conflict' FROM rc WHERE c > 0
+UNION ALL SELECT question_id, 'unresolved', status FROM q WHERE status <> 'answered'
+UNION ALL SELECT question_id, 'unresolved', 'undecided ' || a || ' ' || relation || ' ' || b FROM r WHERE relation <> 'agree'
+UNION ALL SELECT question_id, 'unsupported_claims', 'finding:' || finding_id || ' place=' || trim(geography) || ' asked=' || subject FROM fo WHERE lower(trim(geography)) <> lower(subject)
+UNION ALL SELECT x.question_id, 'unsupported_claims', x.indicator || ' against ' || y.indicator FROM e x JOIN e y ON x.question_id = y.question_id AND x.indicator < y.indicator WHERE sign(x.v1 - x.v0) * sign(y.v1 - y.v0) < 0""",
     *_EQ, "problem_subjects", "findings",
 )
 def reasoning_items(t: Tables) -> DataFrame:

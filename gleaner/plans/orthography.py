@@ -102,3 +102,22 @@ _BARE = f"translate(regexp_replace(m, '(?:\\s*(?:{P.UNIT_WORDS}))+$', ''), '۰۱
 )
 def sources_inserted(t: Tables) -> DataFrame:
     return _posts(t).select("k", P.inserted_sources(F.col("text"), PROVIDERS).alias("mended"))
+
+
+#: Metrics as a registry names them in full, with their sources; prose has the heads only.
+_METRICS = [("نام: قیمت نفت برنت دلار هر بشکه", "Yahoo Finance"), ("ارزش صادرات کالا به دلار جاری", "World Bank WDI"), ("نرخ تورم سالانه مصرف کننده", "CBI"), ("دلار", "other")]
+_HEADS = {"قیمت نفت برنت": "یاهو فایننس", "ارزش صادرات کالا": "بانک جهانی", "نرخ تورم سالانه": "بانک مرکزی ایران"}
+
+
+def _by_head(column: str) -> str:
+    return "CASE " + " ".join(f"WHEN contains({column}, '{h}') THEN '{_HEADS[h]}'" for h in sorted(_HEADS, key=len, reverse=True)) + " END"
+
+
+@query(
+    "WITH " + _POSTS + ", " + _SENTENCES + f", g AS (SELECT k, i, x, {_by_head('x')} AS w, {_ANY} AS named, {_FIGURES} AS figures FROM s), h AS (SELECT *, coalesce(list_filter(figures, lambda m: NOT regexp_matches({_BARE}, '^(19[0-9]{{2}}|20[0-9]{{2}}|2100)$'))[1], figures[len(figures)]) AS figure FROM g),"
+    " e AS (SELECT *, strpos(x, figure) + length(figure) - 1 AS at_end FROM h) SELECT k, string_agg(CASE WHEN w IS NULL OR named OR figure IS NULL THEN x ELSE substr(x, 1, at_end) || ' (' || w || ')' || substr(x, at_end + 1) END, '' ORDER BY i) AS mended FROM e GROUP BY 1"
+)
+def sources_inserted_by_heads(t: Tables) -> DataFrame:
+    """Providers inserted where a sentence names the head of a registered metric; heads and names come from the registry's own rows."""
+    providers = P.providers_of(t.spark.createDataFrame(_METRICS, "label string, source string"), "label", "source")
+    return _posts(t).select("k", P.inserted_sources(F.col("text"), providers).alias("mended"))

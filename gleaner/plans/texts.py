@@ -145,9 +145,9 @@ def token_overlap_links(t: Tables) -> DataFrame:
 _SETS = "d AS (SELECT item_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS s FROM benchmark), j AS (SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) AS jaccard FROM d a JOIN d b ON a.item_id < b.item_id WHERE len(a.s) > 0 AND len(b.s) > 0)"
 
 
-@query("WITH " + _SETS + " SELECT a, b, round(jaccard, 6) AS jaccard FROM j WHERE jaccard >= 0.25")
+@query("WITH " + _SETS + " SELECT a, b, round(jaccard, 6) AS jaccard FROM j WHERE jaccard >= 0.15")
 def jaccard_pairs_benchmark(t: Tables) -> DataFrame:
-    return M.jaccard_pairs(t.raw("benchmark"), "item_id", "text", "[a-z0-9]+", 0.25).withColumn("jaccard", F.round("jaccard", 6))
+    return M.jaccard_pairs(t.raw("benchmark"), "item_id", "text", "[a-z0-9]+", 0.15).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query(
