@@ -12,20 +12,29 @@ from gleaner.operators.common import top_k
 def overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str, pattern: str, least: int) -> DataFrame:
     """(left_id, right_id, shared): pairs that share at least so many distinct tokens.
 
-    Texts that have the same tokens are compared once, as sets, and ids joined back. Sets meet by their rarest tokens: of a set that shares
-    least tokens with another, at least one of all but its least - 1 most frequent ones is shared, so frequent tokens make no pairs.
+    Texts that have the same tokens are compared once, under the smallest id, and ids joined back. Sets meet by their rarest tokens: of two sets that share least tokens,
+    all but the least - 1 most frequent ones of either hold one that is shared, so frequent tokens make no pairs. Sets travel with their rare tokens, so each pair is judged where it is met.
     """
-    a = left.select(left_id, F.array_sort(tokens(F.col(text), pattern)).alias("set")).filter(F.size("set") >= least)
-    b = right.select(right_id, F.array_sort(tokens(F.col(text), pattern)).alias("set")).filter(F.size("set") >= least)
-    sa, sb = a.select("set").distinct().select(F.xxhash64("set").alias("ka"), "set"), b.select("set").distinct().select(F.xxhash64("set").alias("kb"), "set")
-    token = sa.select("ka", F.explode("set").alias("token"))
-    rarity = sb.select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    # tokens that no set of the other side has can't be shared
-    known = token.join(rarity, "token").groupBy("ka").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order")).filter(F.size("order") >= least)
-    prefix = known.select("ka", F.explode(F.slice("order", F.lit(1), F.size("order") - (least - 1))).alias("x")).select("ka", F.col("x.token").alias("token"))
-    met = prefix.join(sb.select("kb", F.explode("set").alias("token")), "token").select("ka", "kb").distinct()
-    both = met.join(sa.withColumnRenamed("set", "x"), "ka").join(sb.withColumnRenamed("set", "y"), "kb").withColumn("shared", F.size(F.array_intersect("x", "y")).cast("long")).filter(F.col("shared") >= least)
-    return both.join(a.withColumnRenamed("set", "x"), "x").join(b.withColumnRenamed("set", "y"), "y").select(left_id, right_id, "shared")
+
+    def distinct(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+        sets = df.select(F.col(key).alias("id"), F.array_sort(tokens(F.col(text), pattern)).alias("set")).filter(F.size("set") >= least)
+        one = sets.groupBy("set").agg(F.min("id").alias("rep"))
+        return one, sets.join(one, "set").select("rep", "id")
+
+    (one, members), (other, others) = distinct(left, left_id), distinct(right, right_id)
+    token = one.select("rep", F.explode("set").alias("token"))
+    rarity = other.select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+
+    def prefix(df: DataFrame) -> DataFrame:
+        # tokens that no set of the other side has can't be shared
+        known = df.join(rarity, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order")).filter(F.size("order") >= least)
+        words = F.transform("order", lambda x: x["token"])
+        return known.select("rep", words.alias("set"), F.explode(F.slice(words, F.lit(1), F.size("order") - (least - 1))).alias("token"))
+
+    a = prefix(token)
+    b = prefix(other.select("rep", F.explode("set").alias("token"))).select(F.col("rep").alias("with"), F.col("set").alias("y"), "token")
+    met = a.join(b, "token").select("rep", "with", F.size(F.array_intersect("set", "y")).cast("long").alias("shared")).filter(F.col("shared") >= least).distinct()
+    return met.join(members.withColumnRenamed("id", left_id), "rep").join(others.select(F.col("rep").alias("with"), F.col("id").alias(right_id)), "with").select(left_id, right_id, "shared")
 
 
 def jaccard_pairs(df: DataFrame, key: str, text: str, pattern: str, threshold: float, block: list[str] | None = None) -> DataFrame:

@@ -1,8 +1,8 @@
 """Joins of figures within a tolerance, the larger of an absolute and a relative one, as equi-joins on bands.
 
 A number looks for values g with |g - v| <= max(ABSOLUTE, RELATIVE * |v|). Small numbers meet values in linear bands, large ones in
-logarithmic bands of each sign; which of both a number uses depends on it alone, so a pair meets once. Bands are a little narrower than the tolerance: two
-figures of one band always match, and a match is at most two bands away.
+logarithmic bands of each sign; which of both a number uses depends on it alone, so a pair meets once. Bands are a trifle wider than the tolerance, so a match is at
+most one band away.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Fixed values of the rule: the tolerances. From TURN on the relative one is the larger.
 ABSOLUTE, RELATIVE = 0.15, 0.005
 TURN = ABSOLUTE / RELATIVE
-_LINEAR, _LOG = 0.99 * ABSOLUTE, 0.98 * math.log1p(RELATIVE)
+_LINEAR, _LOG = ABSOLUTE * (1 + 1e-6), -math.log1p(-RELATIVE) * (1 + 1e-6)
 
 
 def within(value: Column, number: Column) -> Column:
@@ -38,23 +38,28 @@ def value_bands(values: DataFrame, value: str) -> DataFrame:
     return usable.withColumn("at", F.explode(F.filter(F.array(F.when(small, _linear(x)), F.when(large, _log(x))), lambda b: b.isNotNull())))
 
 
-def number_bands(numbers: DataFrame, number: str) -> DataFrame:
-    """numbers with at: the five bands in which a match may be; nulls go."""
-    x = F.col(number)
+def _bands(x: Column) -> Column:
+    """The three bands in which a number's matches may be; none for nulls, NaN and infinities."""
     own = F.when(F.abs(x) <= TURN, _linear(x)).otherwise(_log(x))
-    near = F.transform(F.array(*[F.lit(d) for d in (-2, -1, 0, 1, 2)]), lambda d: F.struct(own["kind"].alias("kind"), (own["band"] + d).alias("band")))
-    return numbers.filter(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).withColumn("at", F.explode(near))
+    near = F.transform(F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: F.struct(own["kind"].alias("kind"), (own["band"] + d).alias("band")))
+    return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), near)
+
+
+def number_bands(numbers: DataFrame, number: str) -> DataFrame:
+    """numbers with at: a row for each band in which a match may be."""
+    return numbers.withColumn("at", F.explode(_bands(F.col(number))))
 
 
-def matched(numbers: DataFrame, values: DataFrame, keys: list[str], number: str, value: str) -> DataFrame:
-    """The distinct (keys, number) that a value of the same keys matches.
+def matches(numbers: DataFrame, values: DataFrame, keys: list[str], number: str, value: str) -> DataFrame:
+    """numbers, each one to three times, with hit: whether a value of the same keys in one of its bands matches, and once: true for one row of each. A number matches if any of its rows is a hit.
 
-    Of each band just the least and the largest value count: a band below is best met by its largest, one above by its least, a number's own by any.
-    So a number meets five rows at most, however many values its key has.
+    Of each band just the least and the largest value count: a band below is best met by its largest, one above by its least. In a number's own band the least can miss only if the
+    number stands at the band's upper edge, and then the largest is next to it or nothing matches. So a number meets three rows at most, however many values its key has.
     """
     ends = value_bands(values, value).groupBy(*keys, "at").agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
-    met = number_bands(numbers.select(*keys, number).distinct(), number).join(ends, [*keys, "at"])
-    return met.filter(within(F.col("__low"), F.col(number)) | within(F.col("__high"), F.col(number))).select(*keys, number).distinct()
+    met = numbers.select("*", F.posexplode_outer(_bands(F.col(number))).alias("__d", "at")).join(ends, [*keys, "at"], "left")
+    hit = within(F.col("__low"), F.col(number)) | within(F.col("__high"), F.col(number))
+    return met.withColumns({"hit": F.coalesce(hit, F.lit(False)), "once": F.coalesce(F.col("__d") == 0, F.lit(True))}).drop("at", "__d", "__low", "__high")
 
 
 def pairs(numbers: DataFrame, values: DataFrame, keys: list[str], number: str, value: str) -> DataFrame:
