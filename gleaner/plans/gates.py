@@ -127,8 +127,8 @@ def domain_spread(t: Tables) -> DataFrame:
 def series_repair(t: Tables) -> DataFrame:
     m = t.measurements()
     bad = m.select("indicator", "source").distinct().filter("indicator = 'AF' AND source = 'src0'")
-    kept = m.join(F.broadcast(bad), ["indicator", "source"], "left_anti").select("measurement_id", "value")
-    fresh = m.join(F.broadcast(bad), ["indicator", "source"], "left_semi").select(F.concat("measurement_id", F.lit("|fresh")).alias("measurement_id"), (F.col("value") * 2).alias("value"))
+    kept = m.join(bad, ["indicator", "source"], "left_anti").select("measurement_id", "value")
+    fresh = m.join(bad, ["indicator", "source"], "left_semi").select(F.concat("measurement_id", F.lit("|fresh")).alias("measurement_id"), (F.col("value") * 2).alias("value"))
     return kept.unionByName(fresh)
 
 

@@ -58,7 +58,7 @@ def claims_for_problem(t: Tables) -> DataFrame:
 @query("SELECT p.problem_id, coalesce(n.n_name, '?') AS topic_name FROM problems p LEFT JOIN (SELECT DISTINCT lower(c_mktsegment) AS topic, c_mktsegment AS n_name FROM customer) n USING (topic)", "problems")
 def problems_with_topic(t: Tables) -> DataFrame:
     topics = t.raw("customer").select(F.lower("c_mktsegment").alias("topic"), F.col("c_mktsegment").alias("name")).distinct()
-    return t.problems().join(F.broadcast(topics), "topic", "left").select("problem_id", F.coalesce("name", F.lit("?")).alias("topic_name"))
+    return t.problems().join(topics, "topic", "left").select("problem_id", F.coalesce("name", F.lit("?")).alias("topic_name"))
 
 
 @query("SELECT finding_id, intervention FROM findings f WHERE NOT EXISTS (SELECT 1 FROM question_evidence e WHERE e.evidence_type = 'finding' AND e.evidence_id = f.finding_id AND e.line = 1)", "findings", "question_evidence")

@@ -135,3 +135,57 @@ def test_persian(spark):
     assert one(spark, P.split_runons(X), long).count(".") == 2
     assert P.number("۲٬۰۰۰٫۵") == 2000.5 and P.number("x") is None
     assert one(spark, P.round_big_numbers(X), None) is None
+
+
+@pytest.mark.parametrize(
+    "source,want",
+    [
+        ("World Bank WDI", "بانک جهانی"), (" WDI ", "بانک جهانی"), ("WDI 2024", "WDI 2024"), ("Yahoo Finance", "یاهو فایننس"), ("IMF DataMapper", "صندوق بین‌المللی پول"), ("OWID:co2", "پایگاه Our World in Data"),
+        ("about OWID:", "about OWID:"), ("SCI census", "مرکز آمار ایران"), ("CBI", "بانک مرکزی ایران"), ("someone", "someone"), (None, ""),
+    ],
+)
+def test_provider_names(spark, source, want):
+    assert one(spark, P.provider_name(X), source) == want
+
+
+@pytest.mark.parametrize("unit,want", [("%", "٪"), ("Percent", "٪"), ("million tonnes", "میلیون تن"), ("tonnes per year", "تن"), ("t", "تن"), ("kWh per person", "کیلووات‌ساعت"), ("kilowatt", "کیلووات‌ساعت"), ("1000 persons", "نفر"), ("Yield (t/ha)", "yield (t/ha)"), (" current US$ ", "current US$"), ("", ""), (None, "")])
+def test_unit_names(spark, unit, want):
+    assert one(spark, P.unit_name(X), unit) == want
+
+
+def test_providers_by_heads(spark):
+    registry = spark.createDataFrame([("نام: قیمت نفت برنت دلار هر بشکه", "Yahoo Finance"), ("دلار", "CBI"), ("قیمت نفت برنت سبک", "IMF"), ("نرخ تورم سالانه", "CBI"), (None, "CBI")], "label string, source string")
+    assert P.providers_of(registry, "label", "source") == {"قیمت نفت برنت": "صندوق بین‌المللی پول", "نرخ تورم سالانه": "بانک مرکزی ایران"}
+    with pytest.raises(ValueError, match="over 1"):
+        P.providers_of(registry, "label", "source", most=1)
+    text = "قیمت نفت برنت به ۹۵ دلار رسید. نرخ تورم سالانه در ۲۰۲۲ برابر ۴۰ درصد بود"
+    want = "قیمت نفت برنت به ۹۵ دلار (صندوق بین‌المللی پول) رسید. نرخ تورم سالانه در ۲۰۲۲ برابر ۴۰ درصد (بانک مرکزی ایران) بود"
+    assert one(spark, P.inserted_sources(X, P.providers_of(registry, "label", "source")), text) == want
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("water withdrawal and drought", ["water"]), ("women at the grid", ["energy", "labour"]), ("nothing of the kind", []), ("purchasing power of households", []),
+    ],
+)
+def test_link_domains_on_literal_texts(spark, text, want):
+    got = one(spark, R.link_domains(X), text)
+    assert set(want) <= set(got) and (want or not got)
+
+
+def test_card_from_the_posts_own_figures(spark):
+    topics = {"price": ["قیمت", "نان"]}
+    posts = [(1, "قیمت نان 40 درصد رشد و کاهش به 7 دلار داشت. تولید سالانه 123456 میلیون تن برای همه کشور بود", "افزایش قیمت نان"), (2, "هیچ عددی در این جمله بلند نیست که نیست", "x"), (3, "تولید سالانه 12 هزار تن برای همه کشور شد", "قیمت نان"), (4, "بر پایه گزارش بانک نرخ به 14 درصد در این ماه رسید", None)]
+    got = {r.k: (r.pos, r.layout) for r in G.card_layouts_of(spark.createDataFrame(posts, "k int, post string, angle string"), "k", "post", "angle", topics).collect()}
+    assert got == {1: (0, "contrast"), 3: (0, "no_stat"), 4: (0, "no_stat")}
+
+
+def test_insights_and_sanity(spark):
+    claims = spark.createDataFrame([(1, "rose to 111.9"), (2, "rose to 77"), (3, "no figure"), (4, "x" * 321), (5, "rose to 5")], "k int, c string")
+    dossiers = spark.createDataFrame([(1, "111,928,863,188"), (2, "12"), (3, ""), (4, "")], "k int, d string")
+    assert {tuple(r) for r in G.valid_insights(claims, dossiers, "k", "c", "d").collect()} == {(1, True), (2, False), (3, True), (4, False), (5, False)}
+    posts = spark.createDataFrame([(1, "کاهش 12.5 در 2030"), (2, "پیش‌بینی 2031"), (3, "کاهش 12.5"), (4, None)], "k int, p string")
+    facts = spark.createDataFrame([(1, "mixed", ["12.5"]), (1, "increasing", ["0.1", "12.5"]), (3, "decreasing", ["12.5"]), (3, "increasing", ["9.9"])], "k int, direction string, figures array<string>")
+    got = {r.k: (r.ok, r.violations) for r in G.sanity(posts, facts, "k", "p", 2026).collect()}
+    assert got[1] == (False, ["future:2030", "trend:increasing", "unlabelled:2030"]) and got[2] == (False, ["future:2031"]) and got[3] == (True, [])
