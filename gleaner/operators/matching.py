@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import tokens
 from gleaner.operators.common import top_k
+from gleaner.operators.stages import Stages
 
 
 def overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str, pattern: str, least: int) -> DataFrame:
@@ -43,16 +44,18 @@ def jaccard_pairs(df: DataFrame, key: str, text: str, pattern: str, threshold: f
     Prefix filter: pairs at the threshold must share one of their rarest tokens, as many as size - ceil(t * size) + 1, so
     only those are joined on, and only where the tokens that follow the shared one on both sides can still make up the overlap
     (positional filter); candidates are then compared as whole sets. Equal token sets are compared once, by
-    their smallest key, and spread out at the end.
+    their smallest key, and spread out at the end. The sets are a table in the shared folder, so that texts are cut into tokens once.
     """
-    block = block or []
-    sets = df.select(key, *block, F.array_sort(tokens(F.col(text), pattern)).alias("set")).filter(F.size("set") > 0)
-    shared = sets.groupBy(*block, "set").agg(F.min(key).alias("rep"))
+    block, stages = block or [], Stages(df.sparkSession)
+    sets = stages.put(df.select(key, *block, F.array_sort(tokens(F.col(text), pattern)).alias("set")).filter(F.size("set") > 0))
+    shared = stages.put(sets.groupBy(*block, "set").agg(F.min(key).alias("rep")))
     token = shared.select(*block, "rep", F.size("set").alias("size"), F.explode("set").alias("token"))
-    rarity = token.groupBy("token").agg(F.count("*").alias("df"))
+    # a token of one set alone makes no pair, but counts for the places of the others: it comes first
+    rarity = token.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     ranked = token.join(rarity, "token").groupBy(*block, "rep").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
-    length = F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1
-    prefix = ranked.select(*block, "rep", "size", F.posexplode(F.slice("order", F.lit(1), length.cast("int"))).alias("at", "p")).select(*block, "rep", "size", "at", F.col("p.token").alias("token"))
+    alone = F.col("size") - F.size("order")
+    length = F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1 - alone
+    prefix = ranked.select(*block, "rep", "size", alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), F.greatest(length.cast("int"), F.lit(0)))).alias("at", "p")).select(*block, "rep", "size", (F.col("at") + F.col("alone")).alias("at"), F.col("p.token").alias("token"))
     other = prefix.select(*block, F.col("rep").alias("other"), F.col("size").alias("other_size"), F.col("at").alias("other_at"), "token")
     fits = (F.col("size") >= threshold * F.col("other_size")) & (F.col("other_size") >= threshold * F.col("size"))
     # of the first shared token the places before are not shared, so this loses no pair; the bound is kept a little loose for rounding
