@@ -1,8 +1,8 @@
 """Percent changes of series, looked up instead of listed.
 
-A draft may name the change between any two points of a series. Listing them takes the square of a series' length; here each series is walked once from its
+A draft may name the change between any two points of a series. Listing them takes the square of a series' length; here a series of over SHORT points is walked once from its
 end with its later values kept sorted, and for each number of the draft and each point the value it would have to be followed by is looked up by
-bisection: n log n for each number. Of all changes only the nearest on either side of a number can match it, as rounding keeps order, so two per number and series
+bisection: n log n for each number. The changes of a shorter one are few and sorted at once. Of all changes only the nearest on either side of a number can match it, as rounding keeps order, so two per number and series
 come out and are judged as a listed change would be.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,10 +22,20 @@ from gleaner.operators.verify import bare
 
 #: Into so many parts a key's numbers are dealt, so that no row holds all of a large draft's.
 PARTS = 16
+#: Points of a series up to which its changes are sorted at once.
+SHORT = 64
 
 
 def nearest_changes(values: list[float | None], wanted: list[float]) -> list[tuple[float | None, float | None]]:
     """For each wanted percentage the largest change at or below it and the least at or above it, of changes from a value to a later, different one; changes from zero don't count."""
+    if len(values) <= SHORT:
+        points = np.array([v for v in values if v is not None and v == v], np.float64)
+        i, j = np.triu_indices(len(points), 1)
+        a, b = points[i], points[j]
+        use = (a != 0) & (a != b)
+        c = np.sort((b[use] - a[use]) / np.abs(a[use]) * 100)
+        low, high = np.searchsorted(c, wanted, "right") - 1, np.searchsorted(c, wanted, "left")
+        return [(float(c[x]) if x >= 0 else None, float(c[y]) if y < len(c) else None) for x, y in zip(low.tolist(), high.tolist(), strict=True)]
     below: list[float | None] = [None] * len(wanted)
     above: list[float | None] = [None] * len(wanted)
     later: list[float] = []
@@ -74,7 +85,9 @@ def bound_changes(numbers: DataFrame, series: DataFrame, key: str) -> DataFrame:
             rows = []
             for k, e, points, said, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for number, v, ends in zip(said, wanted, nearest_changes(points, wanted), strict=True):
-                    rows += [(k, e, number, v, c) for c in ends if c is not None]
+                    # as near as rounding can bring a change to the number
+                    most = max(tolerance.ABSOLUTE, abs(v) * tolerance.RELATIVE) + 0.06
+                    rows += [(k, e, number, v, c) for c in ends if c is not None and abs(c - v) <= most + abs(c) * 1e-3]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             types = (batch.schema.field(0).type, batch.schema.field(1).type, pa.string(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[key, "evidence_id", "number", "v", "change"])

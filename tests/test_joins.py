@@ -126,7 +126,9 @@ def test_no_labels_or_posts(spark):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_nearest_changes_equal_the_listing(seed):
+@pytest.mark.parametrize("short", [0, 64])
+def test_nearest_changes_equal_the_listing(seed, short, monkeypatch):
+    monkeypatch.setattr(changes, "SHORT", short)
     rng = random.Random(seed)
     values = [rng.choice((None, 0.0, rng.randrange(-5, 6) / 2, rng.random() * 100, 7.0)) for _ in range(60)]
     wanted = [rng.choice((0.0, 100.0, -100.0, rng.uniform(-300, 300), 14.2857)) for _ in range(40)]
