@@ -99,7 +99,7 @@ def test_link_domains_guard(spark):
     assert one(spark, R.link_domains(X), "purchasing power of households") == []
     assert one(spark, R.link_domains(X), "manpower and willpower") == []
     assert one(spark, R.link_domains(X), "power grid and housing") == ["energy", "housing"]
-    assert one(spark, R.primary_domain(X), "The Groundwater-Energy-Food Nexus of water") == "water"
+    assert one(spark, R.primary_domain(X), "The Groundwater-Energy-Food balance of water") == "water"
     assert one(spark, R.primary_domain(X), "nothing") is None
 
 
