@@ -24,9 +24,9 @@ def conformed(rows: DataFrame, schema: str, lists: tuple[str, ...] = (), trimmed
     return rows.select(*[one(f.name, f.dataType.simpleString()) for f in StructType.fromDDL(schema).fields])
 
 
-def updated(table: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """table with the columns of the rows that changes names (one change per key) taken from there; nulls in changes leave a value as it is."""
-    new = changes.select(key, *[F.col(c).alias(f"__{c}") for c in columns])
+def updated(table: DataFrame, changes: DataFrame, key: str | list[str], columns: list[str]) -> DataFrame:
+    """table with the columns of the rows that changes names (one change per key, of one column or several) taken from there; nulls in changes leave a value as it is."""
+    new = changes.select(*([key] if isinstance(key, str) else key), *[F.col(c).alias(f"__{c}") for c in columns])
     joined = table.join(new, key, "left")
     return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in table.columns])
 
@@ -83,9 +83,9 @@ def linked_once(links: DataFrame, old: DataFrame, keys: list[str], order: list[C
     return old.unionByName(insert_absent(links, old, keys, order))
 
 
-def backfilled(measurements: DataFrame, resolved: DataFrame, key: str) -> DataFrame:
-    """Measurements with the subject's entity filled in where it is null and a resolution is known."""
-    return updated(measurements.filter("entity_id IS NULL"), resolved.select(key, "entity_id"), key, ["entity_id"]).unionByName(measurements.filter("entity_id IS NOT NULL"))
+def backfilled(measurements: DataFrame, resolved: DataFrame, key: str | list[str]) -> DataFrame:
+    """Measurements with the subject's entity filled in where it is null and a resolution is known; key: what tells measurements apart, one column or several."""
+    return updated(measurements.filter("entity_id IS NULL"), resolved, key, ["entity_id"]).unionByName(measurements.filter("entity_id IS NOT NULL"))
 
 
 def appended(snapshots: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:

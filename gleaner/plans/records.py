@@ -117,7 +117,8 @@ def existing_subjects(t: Tables) -> DataFrame:
 def subject_backfill(t: Tables) -> DataFrame:
     m, local, known = _subjects(t)
     resolved = E.resolve_subjects(m.drop("entity_id"), local, known)
-    return W.backfilled(m, resolved, "measurement_id").select("measurement_id", "entity_id")
+    # from a million parts on, two measurements of an artifact may go by one number
+    return W.backfilled(m, resolved, ["measurement_id", "artifact_id", "name"]).select("measurement_id", "entity_id")
 
 
 @query("+f AS (SELECT problem_id, indicator, taken_at + 1 AS taken_at, value FROM snapshots) SELECT * FROM snapshots UNION ALL SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM snapshots s WHERE s.problem_id = f.problem_id AND s.indicator = f.indicator AND s.taken_at = f.taken_at)", "snapshots")
