@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.numeric import significant
+from gleaner.functions.numeric import rounded, significant
 from gleaner.operators import tolerance
 from gleaner.operators.verify import bare
 
@@ -94,5 +94,12 @@ def bound_changes(numbers: DataFrame, series: DataFrame, key: str) -> DataFrame:
 
     near = both.mapInArrow(run, f"`{key}` {kinds[key]}, evidence_id {kinds['evidence_id']}, number string, v double, change double")
     change = F.col("change")
-    shown = F.array(significant(change, 4).try_cast("double"), F.round(change, 2).cast("decimal(38,2)").cast("double"), F.round(change, 1).cast("decimal(38,1)").cast("double"))
+    shown = F.array(significant(change, 4).try_cast("double"), rounded(change, 2).cast("decimal(38,2)").cast("double"), rounded(change, 1).cast("decimal(38,1)").cast("double"))
     return near.filter(F.exists(shown, lambda c: tolerance.within(c, F.col("v")))).select(key, "number", "evidence_id").distinct()
+
+
+def bound_changes_shared(numbers: DataFrame, series: DataFrame, owners: DataFrame, key: str, group: str) -> DataFrame:
+    """As bound_changes, where series belong to groups that many keys share (owners: key, group): a number is looked up once for all keys of a group that name it."""
+    asked = numbers.select(key, "number").distinct().join(owners.select(key, group).distinct(), key)
+    found = bound_changes(asked, series, group)
+    return asked.join(found, [group, "number"]).select(key, "number", "evidence_id").distinct()

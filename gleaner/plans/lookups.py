@@ -27,7 +27,7 @@ def change_bound_numbers(t: Tables) -> DataFrame:
     _, series = _evidence(t)
     k = F.col("question_id")
     said = F.array(F.year("asked").cast("string"), F.concat((k % 100).cast("string"), F.lit("%")), F.concat(F.lit("-"), (k % 40).cast("string"), F.lit(".5%")))
-    return changes.bound_changes(t.questions().select("problem_id", F.explode(said).alias("number")), series, "problem_id")
+    return changes.bound_changes_shared(t.questions().select("problem_id", F.explode(said).alias("number")), series, t.problem_subjects(), "problem_id", "subject")
 
 
 # problems by classes of topics ----------------------------------------------------------------------------------------------
