@@ -4,7 +4,8 @@ The picked texts are the lexicographically first independent set of the graph of
 prefixes of its order. Within a prefix, pairs of similar texts come from a join, and rounds settle them: texts without an earlier unsettled
 similar one are picked, those similar to these go, and so on until no pair is left. What was picked is then joined to the rest of
 the group, and what it takes leaves before the next, larger prefix is looked at. Prefixes thin out the rest, so
-that few pairs are ever listed even where most texts of a group are similar to each other, and no group meets in one task.
+that few pairs are ever listed even where most texts of a group are similar to each other, and no large group meets in one task.
+Small groups of ``greedy_distinct`` (SMALL) are shuffled once and walked by a task instead.
 
 Similar texts meet by their rarest tokens (prefix filter): of two sets that share enough, the first tokens of both, in one order of all tokens from
 the rarest on, share one. Texts with equal tokens are compared once, by the first of them.
@@ -12,6 +13,10 @@ the rarest on, share one. Texts with equal tokens are compared once, by the firs
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +27,8 @@ from gleaner.operators.stages import Stages
 TITLE_WORD = r"[a-zA-Z\u0600-\u06FF]{4,}"
 #: The prefixes of each group's order, as shares of its rows.
 SHARES = (1 / 16, 1 / 4, 1.0)
+#: Rows and characters up to which a group is walked in one task.
+SMALL = (4096, 4_000_000)
 
 
 class Overlap:
@@ -110,8 +117,67 @@ def picked(words: DataFrame, how: Overlap | Jaccard, shares: tuple[float, ...] =
     return taken
 
 
-def greedy_distinct(df: DataFrame, group: list[str], order: str, text: str, pattern: str, threshold: float, shares: tuple[float, ...] = SHARES) -> DataFrame:
-    """(group, place, kept): in order, a text is kept unless its Jaccard similarity with one kept before reaches the threshold. Texts without tokens are kept."""
+def kept_in_order(sets: list[list[str]], threshold: float) -> list[bool]:
+    """Of sets in order, which are kept: those whose Jaccard similarity with each one kept before is below the threshold. Equal sets count once; sets without tokens are kept.
+
+    A set looks for similar ones by as many of its tokens as two similar sets must share one of; kept ones are listed under all of theirs.
+    """
+    held: dict[str, list[int]] = {}
+    sizes: list[int] = []
+    out = []
+    for own in sets:
+        n, near = len(own), dict[int, int]()
+        needed = max(1, math.ceil(threshold * n))
+        # the tokens with the fewest holders come first, so that common ones are read for known candidates only
+        order = sorted(own, key=lambda w: len(held.get(w, ())))
+        for at, w in enumerate(order):
+            if at > n - needed + 1 and not near:
+                break
+            for i in held.get(w, ()):
+                if at <= n - needed + 1 or i in near:
+                    near[i] = near.get(i, 0) + 1
+        ok = not any(shared >= threshold * (n + sizes[i] - shared) for i, shared in near.items())
+        out.append(ok)
+        if ok and n:
+            for w in own:
+                held.setdefault(w, []).append(len(sizes))
+            sizes.append(n)
+    return out
+
+
+def _walked(df: DataFrame, group: list[str], order: str, text: str, pattern: str, threshold: float) -> DataFrame:
+    """greedy_distinct of groups small enough for one task: a group's sets are shuffled once and walked in order."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
+    place = df.schema[order].dataType.simpleString()
+    rows = df.select(F.struct(*group).alias("g"), F.struct(F.col(order).alias("place"), tokens(F.col(text), pattern).alias("set")).alias("x"))
+    lists = rows.groupBy("g").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    lists = lists.select("g", F.transform("x", lambda x: x["place"]).alias("places"), F.transform("x", lambda x: x["set"]).alias("sets"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g, places, sets = batch.columns
+            kept = pa.array([kept_in_order(x, threshold) for x in sets.to_pylist()], pa.list_(pa.bool_()))
+            yield pa.RecordBatch.from_arrays([g, places, kept], names=["g", "places", "kept"])
+
+    walked = lists.mapInArrow(run, f"g {lists.schema['g'].dataType.simpleString()}, places array<{place}>, kept array<boolean>")
+    return walked.select("g", F.explode(F.arrays_zip("places", "kept")).alias("x")).select("g.*", F.col("x.places").alias("place"), F.col("x.kept").alias("kept"))
+
+
+def greedy_distinct(df: DataFrame, group: list[str], order: str, text: str, pattern: str, threshold: float, shares: tuple[float, ...] = SHARES, most: tuple[int, int] = SMALL) -> DataFrame:
+    """(group, place, kept): in order, a text is kept unless its Jaccard similarity with one kept before reaches the threshold. Texts without tokens are kept.
+
+    Groups of so many rows and characters at most are walked by one task each; larger ones are settled in rounds.
+    """
+    size = df.groupBy(*group).agg(F.count("*").alias("__n"), F.sum(F.length(text)).alias("__c"))
+    large = Stages(df.sparkSession).put(size.filter((F.col("__n") > most[0]) | (F.col("__c") > most[1])).select(*group))
+    if large.isEmpty():
+        return _walked(df, group, order, text, pattern, threshold)
+    same = [df[c].eqNullSafe(large[c]) for c in group]
+    return _walked(df.join(large, same, "left_anti"), group, order, text, pattern, threshold).unionByName(_in_rounds(df.join(large, same, "left_semi"), group, order, text, pattern, threshold, shares))
+
+
+def _in_rounds(df: DataFrame, group: list[str], order: str, text: str, pattern: str, threshold: float, shares: tuple[float, ...]) -> DataFrame:
+    """greedy_distinct of groups of any size."""
     words, first = ranked_sets(df, group, order, text, pattern)
     lost = picked(words, Jaccard(threshold), shares).select("g", F.col("place").alias("first"), F.lit(False).alias("__kept"))
     judged = first.join(lost, ["g", "first"], "left").select("g.*", "place", (F.col("__kept").isNull() & (F.col("place") == F.col("first"))).alias("kept"))
