@@ -42,8 +42,8 @@ def jaccard_pairs(df: DataFrame, key: str, text: str, pattern: str, threshold: f
     """(a, b, jaccard) of pairs a < b at or above the threshold, exact.
 
     Prefix filter: pairs at the threshold must share one of their rarest tokens, as many as size - ceil(t * size) + 1, so
-    only those are joined on, and only where the tokens that follow the shared one on both sides can still make up the overlap
-    (positional filter); candidates are then compared as whole sets. Equal token sets are compared once, by
+    only those are joined on, and only where the tokens before and behind the shared one on both sides can make up the overlap
+    (positional filter). A pair's shared rare tokens are then counted, and only pairs that can reach the threshold with those and what follows both prefixes are compared as whole sets. Equal token sets are compared once, by
     their smallest key, and spread out at the end. The sets are a table in the shared folder, so that texts are cut into tokens once.
     """
     block, stages = block or [], Stages(df.sparkSession)
@@ -58,10 +58,15 @@ def jaccard_pairs(df: DataFrame, key: str, text: str, pattern: str, threshold: f
     prefix = ranked.select(*block, "rep", "size", alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), F.greatest(length.cast("int"), F.lit(0)))).alias("at", "p")).select(*block, "rep", "size", (F.col("at") + F.col("alone")).alias("at"), F.col("p.token").alias("token"))
     other = prefix.select(*block, F.col("rep").alias("other"), F.col("size").alias("other_size"), F.col("at").alias("other_at"), "token")
     fits = (F.col("size") >= threshold * F.col("other_size")) & (F.col("other_size") >= threshold * F.col("size"))
-    # of the first shared token the places before are not shared, so this loses no pair; the bound is kept a little loose for rounding
-    left = F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at"))
-    fits = fits & (left >= F.lit(threshold / (1 + threshold)) * (F.col("size") + F.col("other_size")) - 1e-6)
-    near = prefix.join(other, [*block, "token"]).filter((F.col("rep") < F.col("other")) & fits).select(*block, "rep", "other").distinct()
+    # what both must share; the bounds are kept a little loose for rounding
+    needed = F.lit(threshold / (1 + threshold)) * (F.col("size") + F.col("other_size")) - 1e-6
+    fits = fits & (F.least("at", "other_at") + F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at")) >= needed)
+    pair = [*block, "rep", "other", "size", "other_size"]
+    met = prefix.join(other, [*block, "token"]).filter((F.col("rep") < F.col("other")) & fits).groupBy(*pair).agg(F.count("*").alias("n"), F.max("at").alias("at"), F.max("other_at").alias("other_at"))
+    # up to the last shared token of both prefixes n are shared; behind it that side has none in its prefix whose prefix ends first
+    end = lambda size: F.col(size) - F.ceil(F.lit(threshold) * F.col(size)) + 1
+    first, second = F.least(F.col("size") - end("size"), F.col("other_size") - F.col("other_at") - 1), F.least(F.col("size") - F.col("at") - 1, F.col("other_size") - end("other_size"))
+    near = met.filter(F.col("n") + F.greatest(first, second) >= needed).select(*block, "rep", "other")
     own = lambda n, s: shared.select(*block, F.col("rep").alias(n), F.col("set").alias(s))
     judged = near.join(own("rep", "x"), [*block, "rep"]).join(own("other", "y"), [*block, "other"])
     both = F.size(F.array_intersect("x", "y"))
