@@ -45,6 +45,17 @@ def _bands(x: Column) -> Column:
     return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), near)
 
 
+def own_band(number: Column) -> Column:
+    """The band a number stands in; null for nulls, NaN and infinities. It meets its matches there, if values have a row for each band that they reach."""
+    return F.when(number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf")), F.when(F.abs(number) <= TURN, _linear(number)).otherwise(_log(number)))
+
+
+def reached(values: DataFrame, value: str) -> DataFrame:
+    """values with at: a row for each band whose own numbers may match the value."""
+    near = F.transform(F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: F.struct(F.col("at.kind").alias("kind"), (F.col("at.band") + d).alias("band")))
+    return value_bands(values, value).withColumn("at", F.explode(near))
+
+
 def number_bands(numbers: DataFrame, number: str) -> DataFrame:
     """numbers with at: a row for each band in which a match may be."""
     return numbers.withColumn("at", F.explode(_bands(F.col(number))))
