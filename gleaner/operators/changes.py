@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.numeric import rounded, significant
 from gleaner.operators import tolerance
-from gleaner.operators.verify import bare
+from gleaner.operators.stages import Stages, broadcast_if_few
+from gleaner.operators.verify import bare, owned_sets
 
 #: Into so many parts a key's numbers are dealt, so that no row holds all of a large draft's.
 PARTS = 16
@@ -100,6 +101,12 @@ def bound_changes(numbers: DataFrame, series: DataFrame, key: str) -> DataFrame:
 
 def bound_changes_shared(numbers: DataFrame, series: DataFrame, owners: DataFrame, key: str, group: str) -> DataFrame:
     """As bound_changes, where series belong to groups that many keys share (owners: key, group): a number is looked up once for all keys of a group that name it."""
-    asked = numbers.select(key, "number").distinct().join(owners.select(key, group).distinct(), key)
-    found = bound_changes(asked, series, group)
-    return asked.join(found, [group, "number"]).select(key, "number", "evidence_id").distinct()
+    stages = Stages(numbers.sparkSession)
+    sets = owned_sets(owners, key, group)
+    wanted = numbers.select(key, "number").join(sets, key).select("sets", "number").distinct()
+    found = bound_changes(wanted.select(F.explode("sets").alias(group), "number").distinct(), series, group)
+    each = sets.select("sets").distinct().select("sets", F.explode("sets").alias(group)).join(found, group)
+    ids = stages.put(each.groupBy("sets", "number").agg(F.collect_set("evidence_id").alias("ids")))
+    # numbers and groups meet by key, so that numbers are shuffled once
+    asked = numbers.select(key, "number").repartition(F.col(key)).distinct().join(sets, key)
+    return asked.join(broadcast_if_few(ids), ["sets", "number"]).select(key, "number", F.explode("ids").alias("evidence_id"))
