@@ -9,6 +9,7 @@ from gleaner.functions import rules as R
 from gleaner.functions.text import jaccard, ngrams, stem, tokens
 from gleaner.operators.common import top_k
 from gleaner.operators.matching import overlaps
+from gleaner.operators.stages import Stages, broadcast_if_few
 
 #: Words too general to corroborate an indicator, region terms, and topic names that domains spell otherwise.
 GENERIC_WORDS = ["rate", "total", "annual", "goods", "services", "gross", "current", "share", "index", "growth", "per"]
@@ -113,8 +114,10 @@ def opening_similarity_to_others(posts: DataFrame, ledger: DataFrame, owner: str
     own = placed.groupBy(F.col(owner).alias("__p")).agg(F.collect_list("r").alias("own"))
     mine = posts.select(key, owner, grams(F.coalesce(text, F.lit(""))).alias("a"))
     kinds = mine.select("a").distinct().filter(F.size("a") > 0)
-    shared = kinds.select("a", F.explode("a").alias("g")).join(entries.select("r", "__owner", "b", F.explode("b").alias("g")), "g").select("a", "r", "__owner", jaccard(F.col("a"), F.col("b")).alias("s")).distinct()
-    met = mine.join(own, F.col(owner) == F.col("__p"), "left").join(shared, "a").filter(F.col("__owner") != F.col(owner))
-    before = F.coalesce(F.size(F.filter("own", lambda x: x < F.col("r"))), F.lit(0))
-    best = met.filter(F.col("r") - F.greatest(before, F.lit(0)) <= last).groupBy(key).agg(F.max("s").alias("similarity"))
-    return posts.select(key).join(best, key, "left").select(key, F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+    shared = kinds.select("a", F.explode("a").alias("g")).join(entries.filter(F.col("__owner").isNotNull()).select("r", "__owner", "b", F.explode("b").alias("g")), "g").select("a", "r", "__owner", jaccard(F.col("a"), F.col("b")).alias("s")).distinct()
+    # an opening's similarities are one row of at most 2 * last entries; owners without an entry share the best of the last ones
+    near = shared.groupBy("a").agg(F.collect_list(F.struct("r", "__owner", "s")).alias("near"), F.max(F.when(F.col("r") <= last, F.col("s"))).alias("best"))
+    met = mine.join(F.broadcast(own), F.col(owner) == F.col("__p"), "left").join(broadcast_if_few(Stages(posts.sparkSession).put(near)), "a", "left")
+    seen = lambda x: (x["__owner"] != F.col(owner)) & (x["r"] - F.size(F.filter("own", lambda y: y < x["r"])) <= last)
+    best = F.when(F.col(owner).isNull(), 0.0).when(F.col("own").isNull(), F.col("best")).otherwise(F.array_max(F.transform(F.filter("near", seen), lambda x: x["s"])))
+    return met.select(key, F.coalesce(best, F.lit(0.0)).alias("similarity"))
