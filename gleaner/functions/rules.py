@@ -5,12 +5,13 @@ The lexicons below are fixed values: results depend on them word for word.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import clean_string, containing
+from gleaner.functions.text import bound, clean_string, containing
 
 # Fixed values -----------------------------------------------------------------------------------------------------
 #: Ordered patterns over lower-case text; the first that matches gives the domain.
@@ -117,9 +118,27 @@ def _low(text: Column) -> Column:
     return F.lower(F.coalesce(text, F.lit("")))
 
 
+def _certain(alternative: str) -> str:
+    """The longest stretch of plain letters that each match of the alternative holds."""
+    return max(re.findall("[a-z ]+", re.sub(r"\\b|\([^()]*\)[?*]?|.[?*]", "|", alternative)), key=len, default="")
+
+
+def found(low: Column, pattern: str) -> Column:
+    """Whether a pattern of alternatives is found: plain ones by a search for the term, others only where their certain letters are.
+
+    Bounds of a word are looked at behind its letters, not at each place of the text.
+    """
+    one = []
+    for alternative in dict.fromkeys(re.findall(r"(?:[^|()]|\([^()]*\))+", pattern)):
+        certain = _certain(alternative)
+        looked = rf"{certain}(?<=\b{certain})\b" if alternative == rf"\b{certain}\b" else alternative
+        one.append(low.contains(certain) if certain == alternative else low.contains(certain) & low.rlike(looked))
+    return reduce(lambda a, b: a | b, one)
+
+
 def domain(text: Column) -> Column:
     """The first domain whose pattern is found in the text."""
-    return F.coalesce(*[F.when(_low(text).rlike(pattern), F.lit(name)) for name, pattern in DOMAIN_PATTERNS], F.lit(DEFAULT_DOMAIN))
+    return bound(_low(text), lambda low: F.coalesce(*[F.when(found(low, pattern), F.lit(name)) for name, pattern in DOMAIN_PATTERNS], F.lit(DEFAULT_DOMAIN)))
 
 
 def _named(found: list[tuple[str, Column]]) -> Column:
