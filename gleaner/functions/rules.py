@@ -147,14 +147,14 @@ def _named(found: list[tuple[str, Column]]) -> Column:
 
 def link_domains(text: Column) -> Column:
     """All link domains of a text, false friends taken out first."""
-    low = reduce(lambda t, phrase: F.replace(t, F.lit(phrase), F.lit(" ")), FALSE_FRIENDS, _low(text))
+    clean = reduce(lambda t, phrase: F.replace(t, F.lit(phrase), F.lit(" ")), FALSE_FRIENDS, _low(text))
 
-    def hit(terms: list[str]) -> Column:
+    def hit(low: Column, terms: list[str]) -> Column:
         short, long = [t for t in terms if len(t) < 6], [t for t in terms if len(t) >= 6]
         parts = ([low.rlike(r"\b(" + "|".join(short) + r")\b")] if short else []) + [low.contains(t) for t in long]
         return reduce(lambda a, b: a | b, parts)
 
-    return _named([(name, hit(terms)) for name, terms in LINK_DOMAINS.items()])
+    return bound(clean, lambda low: _named([(name, hit(low, terms)) for name, terms in LINK_DOMAINS.items()]))
 
 
 def primary_domain(text: Column) -> Column:

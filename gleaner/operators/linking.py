@@ -43,8 +43,8 @@ def series_to_statements(statements: DataFrame, registry: DataFrame, measurement
     r = r.select("indicator", topics.alias("topics"), words.alias("words"), R.families(words).alias("families"))
     s = statements.select("statement").distinct()
     s = s.select("statement", R.link_domains(F.col("statement")).alias("domains"), stems(F.col("statement")).alias("own"), R.families(stems(F.col("statement"))).alias("own_families"))
-    # by topic, not pair by pair
-    met = s.withColumn("topic", F.explode("domains")).join(r.withColumn("topic", F.explode(F.array_distinct("topics"))), "topic").drop("topic", "domains", "topics").distinct()
+    # by topic, not pair by pair; explode would look for empty domains in each problem's statement, before equal ones are one
+    met = s.withColumn("topic", F.explode_outer("domains")).join(r.withColumn("topic", F.explode(F.array_distinct("topics"))), "topic").drop("topic", "domains", "topics").distinct()
     score = F.size(F.array_intersect("words", "own")) + F.size(F.array_intersect("families", "own_families"))
     scored = met.withColumn("score", score).filter("score > 0")
     return top_k(scored, ["statement"], [F.desc("score"), F.asc("indicator")], k, "place").select("statement", "indicator", "score", "place")
