@@ -159,10 +159,13 @@ def link_domains(text: Column) -> Column:
 
 def primary_domain(text: Column) -> Column:
     """The link domain whose terms occur most often; the first of equals, null if none does."""
-    low = _low(text)
-    scored = [F.struct(sum((F.regexp_count(low, F.lit(t)) for t in terms), F.lit(0)).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, terms) in enumerate(LINK_DOMAINS.items())]
-    best = F.array_max(F.array(*scored))
-    return F.when(best["n"] > 0, best["name"])
+
+    def best(low: Column) -> Column:
+        times = lambda t: F.when(low.contains(t), F.regexp_count(low, F.lit(t))).otherwise(0)
+        scored = [F.struct(sum((times(t) for t in terms), F.lit(0)).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, terms) in enumerate(LINK_DOMAINS.items())]
+        return F.array_max(F.array(*scored))
+
+    return bound(bound(_low(text), best), lambda x: F.when(x["n"] > 0, x["name"]))
 
 
 def news_domains(text: Column) -> Column:
