@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import persian
-from gleaner.functions.text import ascii_digits
+from gleaner.functions.text import ascii_digits, bound
 from gleaner.operators.common import top_k
 from gleaner.operators.intake import stats
 from gleaner.operators.verify import verified
@@ -71,8 +71,8 @@ def study_audit(title: Column, cited_by: Column, abstract: Column | None = None,
     """Over-cited, or off the domain's terms in title, abstract and concepts (an array) together, or ok."""
     more = [abstract] if abstract is not None else []
     more += [F.array_join(concepts, " ")] if concepts is not None else []
-    low = F.lower(F.concat_ws(" ", title, *more))
-    return F.when(F.coalesce(cited_by, F.lit(0)) > CITATION_CLIFF, "over_cited").when(occurring(low, STUDY_TERMS) == 0, "off_domain").otherwise("ok")
+    named = bound(F.lower(F.concat_ws(" ", title, *more)), lambda low: reduce(lambda a, b: a | b, [low.contains(t) for t in STUDY_TERMS]))
+    return F.when(F.coalesce(cited_by, F.lit(0)) > CITATION_CLIFF, "over_cited").when(~named, "off_domain").otherwise("ok")
 
 
 def hook(problem_id: Column, recent_openings: Column) -> Column:
