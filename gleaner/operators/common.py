@@ -6,6 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: The rows that a task is meant to sort or to hold, where a table is dealt out by its count.
+TASK_ROWS = 1_000_000
+
+
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """df, of about so many rows, dealt out by key. A large table goes to more tasks than the session's, so that a task's memory doesn't grow with it."""
+    tasks = -(-rows // TASK_ROWS)
+    return df.repartition(tasks, key) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(key)
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
     """The first k rows of each key in the given total order. Spark prunes each task's rows to k before the shuffle."""
     n = rank or "__rank"

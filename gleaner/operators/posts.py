@@ -209,11 +209,12 @@ def card_layout(sentences: DataFrame, key: str) -> DataFrame:
     """
     text = F.col("sentence")
     score = F.col("strength") + F.when(occurring(text, REPORTED) > 0, 2).otherwise(0) + 4 * F.col("overlap")
-    best = top_k(sentences.withColumn("__score", score), [key], [F.desc("__score"), F.asc("pos")], 1)
     misaligned = F.col("has_angle") & (F.col("overlap") == 0)
     both = (occurring(text, FALLS) > 0) & (occurring(text, GROWS) > 0)
     layout = F.when(misaligned | (occurring(text, REPORTED[:2]) > 0), "no_stat").when(both & (F.size(F.array_distinct("units")) >= 2), "contrast").otherwise("no_stat")
-    return best.select(key, "pos", layout.alias("layout"))
+    # the layout travels instead of the sentence, and one row of a key at a time is kept
+    told = sentences.select(key, F.struct(score.isNull().alias("none"), (-score).alias("score"), "pos", layout.alias("layout")).alias("__x"))
+    return told.groupBy(key).agg(F.min("__x").alias("__x")).select(key, "__x.pos", "__x.layout")
 
 
 def card_layouts_of(posts: DataFrame, key: str, post: str, angle: str, topics: dict[str, list[str]]) -> DataFrame:
