@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.numeric import significant
 from gleaner.operators import evidence as E
-from gleaner.operators.common import top_k
+from gleaner.operators.common import dealt, top_k
 
 #: The order of a dossier's sections.
 SECTIONS = ["problem", "series", "claims", "findings", "interventions", "gaps", "coverage"]
@@ -127,11 +127,16 @@ def related(pairs: DataFrame, judged: DataFrame, old: DataFrame) -> DataFrame:
 def reasoning(questions: DataFrame, links: DataFrame, findings: DataFrame) -> DataFrame:
     """Per problem: direct evidence, supporting studies, conflicting pairs (an intervention with several outcomes) and unresolved questions."""
     q = questions.select("question_id", "problem_id")
-    cited = E.cited(links, questions, "finding").join(findings, F.col("evidence_id") == F.col("finding_id"))
-    direct = cited.groupBy("problem_id").agg(F.countDistinct("finding_id").alias("direct_evidence"), F.countDistinct("study_id").alias("supporting_studies"))
-    per = cited.filter("intervention IS NOT NULL").groupBy("problem_id", "question_id", "intervention").agg(F.countDistinct("outcome").alias("k"))
+    rows = links.count()
+    found = E.cited(dealt(links.select("question_id", "evidence_type", "evidence_id"), "question_id", rows), questions, "finding")
+    cited = dealt(found.select("question_id", "problem_id", "evidence_id"), "evidence_id", rows).join(findings.select("finding_id", "study_id", "intervention", "outcome"), F.col("evidence_id") == F.col("finding_id"))
+    # dealt out before they are counted: hardly any row is the same as another, so counts don't combine before the shuffle
+    each = F.explode(F.array(F.struct(F.lit(True).alias("finding"), F.col("finding_id").alias("id")), F.struct(F.lit(False).alias("finding"), F.col("study_id").alias("id")))).alias("x")
+    named = dealt(cited.select("problem_id", "finding_id", "study_id"), "problem_id", rows).select("problem_id", each).select("problem_id", "x.finding", "x.id").filter("id IS NOT NULL").distinct()
+    direct = named.groupBy("problem_id").agg(F.count_if("finding").alias("direct_evidence"), F.count_if(~F.col("finding")).alias("supporting_studies"))
+    per = dealt(cited.filter("intervention IS NOT NULL").select("problem_id", "question_id", "intervention", "outcome"), "problem_id", rows).groupBy("problem_id", "question_id", "intervention").agg(F.countDistinct("outcome").alias("k"))
     conflict = per.groupBy("problem_id").agg(F.count_if(F.col("k") > 1).alias("conflicts"))
-    bare = q.join(links, "question_id", "left_anti").groupBy("problem_id").agg(F.count("*").alias("unresolved"))
+    bare = q.join(dealt(links.select("question_id"), "question_id", rows), "question_id", "left_anti").groupBy("problem_id").agg(F.count("*").alias("unresolved"))
     out = q.select("problem_id").distinct()
     for part in (direct, conflict, bare):
         out = out.join(part, "problem_id", "left")
