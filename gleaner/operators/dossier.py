@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from gleaner.functions.numeric import significant
 from gleaner.operators import evidence as E
 from gleaner.operators.common import dealt, top_k
+from gleaner.operators.stages import Stages
 
+#: Bytes of series' texts that are broadcast at most.
+FEW_BYTES = 32 << 20
 #: The order of a dossier's sections.
 SECTIONS = ["problem", "series", "claims", "findings", "interventions", "gaps", "coverage"]
 
@@ -57,19 +60,14 @@ def claim_line(tag_id: Column, scope: Column, proposition: Column, url: Column)
     return F.concat(F.lit("[CLAIM "), tag_id.cast("string"), F.lit("] ["), F.coalesce(scope, F.lit("?")), F.lit("] "), proposition, F.lit("\n  (source: "), F.coalesce(url, F.lit("n/a")), F.lit(")"))
 
 
-def full(
+def _parts(
     problems: DataFrame, subjects: DataFrame, measurements: DataFrame, registry: DataFrame, questions: DataFrame, links: DataFrame, findings: DataFrame, studies: DataFrame, claims: DataFrame, levers: DataFrame, shown: int = 14
-) -> DataFrame:
-    """(problem_id, section, body): all sections of each problem's dossier that have something to say.
-
-    claims: problem_id, claim_id, scope, proposition, url; levers: problem_id, name, relevance. Series are written once per subject and
-    joined to its problems.
-    """
+) -> tuple[DataFrame, DataFrame]:
+    """(problem_id, section, body) of all sections but series, and (subject, body) of series, written once per subject."""
     at = lambda df, name: df.select("problem_id", F.lit(name).alias("section"), "body")
     head = problems.select("problem_id", F.concat(F.lit("PROBLEM (id="), F.col("problem_id").cast("string"), F.lit("): "), "statement").alias("body"))
     keys = ["indicator", "subject", "source"]
     series = _lines(series_text(measurements, registry, keys), ["subject"], ["indicator", "source"], F.col("body"))
-    series = subjects.join(series, "subject").select("problem_id", "body")
     first = top_k(claims, ["problem_id"], [F.asc("claim_id")], shown)
     said = _lines(first, ["problem_id"], ["claim_id"], claim_line(F.col("claim_id"), F.col("scope"), F.col("proposition"), F.col("url")))
     cited = E.finding_citations(findings, studies, links, questions)
@@ -83,14 +81,51 @@ def full(
     c = questions.join(answered, "question_id", "left").groupBy("problem_id").agg(F.count("*").alias("q"), F.count("m").alias("a"), F.coalesce(F.sum("m"), F.lit(0)).alias("m"), F.coalesce(F.sum("f"), F.lit(0)).alias("f"))
     text = lambda n: F.col(n).cast("string")
     coverage = c.select("problem_id", F.concat(F.lit("COVERAGE: "), text("a"), F.lit("/"), text("q"), F.lit(" questions answered; "), text("m"), F.lit(" measurements, "), text("f"), F.lit(" findings")).alias("body"))
-    parts = zip(SECTIONS, (head, series, said, found, act, gaps, coverage), strict=True)
-    return reduce(DataFrame.unionByName, [at(df, name) for name, df in parts])
+    parts = zip([x for x in SECTIONS if x != "series"], (head, said, found, act, gaps, coverage), strict=True)
+    return reduce(DataFrame.unionByName, [at(df, name) for name, df in parts]), series
+
+
+def full(
+    problems: DataFrame, subjects: DataFrame, measurements: DataFrame, registry: DataFrame, questions: DataFrame, links: DataFrame, findings: DataFrame, studies: DataFrame, claims: DataFrame, levers: DataFrame, shown: int = 14
+) -> DataFrame:
+    """(problem_id, section, body): all sections of each problem's dossier that have something to say.
+
+    claims: problem_id, claim_id, scope, proposition, url; levers: problem_id, name, relevance. Series are written once per subject and
+    joined to its problems.
+    """
+    parts, series = _parts(problems, subjects, measurements, registry, questions, links, findings, studies, claims, levers, shown)
+    return parts.unionByName(subjects.join(series, "subject").select("problem_id", F.lit("series").alias("section"), "body"))
+
+
+def _placed(parts: DataFrame) -> DataFrame:
+    return parts.withColumn("place", F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section")))
 
 
 def rendered(parts: DataFrame) -> DataFrame:
     """(problem_id, body): a dossier's sections as one text, in their order."""
-    place = F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section"))
-    return _lines(parts.withColumn("place", place), ["problem_id"], ["place"], F.col("body"))
+    return _lines(_placed(parts), ["problem_id"], ["place"], F.col("body"))
+
+
+def rendered_whole(problems: DataFrame, subjects: DataFrame, measurements: DataFrame, *tables: DataFrame, shown: int = 14) -> DataFrame:
+    """rendered of full, of the same tables, with its series put in last.
+
+    The texts of series are long and few, one for each set of subjects that problems have, so they meet dossiers whose other sections are put together already, and no copy of them is shuffled for a problem.
+    """
+    parts, series = _parts(problems, subjects, measurements, *tables, shown=shown)
+    stages = Stages(problems.sparkSession)
+    # a set of subjects goes by its digest; a subject named twice is told twice, as in full
+    named = subjects.groupBy("problem_id").agg(F.sort_array(F.collect_list("subject")).alias("subjects")).select("problem_id", "subjects", F.sha2(F.to_json("subjects"), 256).alias("set"))
+    sets = named.groupBy("set").agg(F.first("subjects").alias("subjects")).select("set", F.posexplode("subjects").alias("n", "subject"))
+    texts = stages.put(_lines(sets.join(series, "subject"), ["set"], ["body", "n"], F.col("body")).withColumnRenamed("body", "series"))
+    width = texts.agg(F.sum(F.octet_length("series"))).first()[0] or 0
+    place = SECTIONS.index("series") + 1
+    each = _placed(parts).groupBy("problem_id").agg(F.array_sort(F.collect_list(F.struct("place", "body"))).alias("b"))
+    side = lambda some: F.transform(F.filter("b", some), lambda x: x["body"])
+    both = each.select("problem_id", side(lambda x: x["place"] < place).alias("before"), side(lambda x: x["place"] > place).alias("after")).join(named.select("problem_id", "set"), "problem_id", "full")
+    both = both.join(F.broadcast(texts) if width <= FEW_BYTES else texts, "set", "left").filter("before IS NOT NULL OR series IS NOT NULL")
+    none = F.array().cast("array<string>")
+    lines = F.concat(F.coalesce("before", none), F.array_compact(F.array("series")), F.coalesce("after", none))
+    return both.select("problem_id", F.array_join(lines, "\n").alias("body"))
 
 
 def finding_text(statement: Column, intervention: Column, outcome: Column, strength: Column, limitations: Column) -> Column:
